@@ -30,12 +30,15 @@ _SHIFT = np.uint64(64 - 14)
 
 
 def _shape(word: str) -> int:
-    """A small number for the look of a word: case, edges, digits, length class."""
-    letters = [c for c in word if c.isalpha()]
-    upper = 2 if letters and all(c.isupper() for c in letters) and len(letters) > 1 else int(bool(letters) and letters[0].isupper())
-    tail = len(word) - len(word.rstrip("".join(set(word) - set("".join(letters))))) if letters else len(word)
-    last = ord(word[-1]) if not word[-1].isalpha() else 0
-    return hash_of(f"{upper}.{min(tail, 3)}.{last}.{any(c.isdigit() for c in word)}.{bool(letters)}.{len(word) > 24}")
+    """A small number for the look of a word: case, edges, digits, length class. Plain words are told by two tests."""
+    if word.isalpha() and len(word) <= 24:
+        if word.islower():
+            return 1
+        return 2 if word[1:].islower() or len(word) == 1 else 3
+    core = word.rstrip("".join(c for c in set(word) if not c.isalpha()))
+    tail, last = len(word) - len(core), word[-1]
+    upper = core.isupper() and len(core) > 1
+    return hash_of(f"{upper}.{core[:1].isupper()}.{min(tail, 3)}.{'' if last.isalpha() else last}.{any(map(str.isdigit, word))}.{bool(core)}.{len(word) > 24}")
 
 
 def hash_of(text: str) -> int:
@@ -43,52 +46,69 @@ def hash_of(text: str) -> int:
 
 
 class _Memo(dict):
-    """word -> row of the (word hash, shape hash) table."""
+    """word -> row of the tables of word hashes and shape hashes."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.words: list[int] = []
-        self.shapes: list[int] = []
+        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.shapes = np.zeros(1 << 12, np.uint64)
 
     def __missing__(self, word: str) -> int:
-        self[word] = at = len(self.words)
-        self.words.append(hash_of(word))
-        self.shapes.append(_shape(word))
+        self[word] = at = len(self)
+        if at >= len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.shapes = np.concatenate([self.shapes, np.zeros_like(self.shapes)])
+        self.hashes[at] = hash_of(word)
+        self.shapes[at] = _shape(word)
         return at
 
 
 class NGrams:
-    """The buckets of a text's n-grams: words, pairs of words, and trigrams of shapes where a repeated word has a shape of its own."""
+    """The buckets of texts' n-grams: words, pairs of words, and trigrams of shapes where a repeated word has a shape of its own."""
 
     def __init__(self) -> None:
         self._memo = _Memo()
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, batch: list[str]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """(buckets, owner): the n-grams of all the texts, three for each word, and the text that each belongs to."""
         if len(self._memo) > MEMO_WORDS:
             self._memo = _Memo()
-        memo = self._memo
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.int64)
-        ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        used, back = np.unique(ids, return_inverse=True)
-        hashes = np.array([memo.words[i] for i in used.tolist()], np.uint64)[back]
-        shapes = np.array([memo.shapes[i] for i in used.tolist()], np.uint64)[back]
-        again = np.zeros(len(ids), bool)
-        again[1:] = ids[1:] == ids[:-1]
-        shapes = np.where(again, np.uint64(77), shapes)
-        pairs = hashes[:-1] * _MULTIPLY ^ hashes[1:]
-        padded = np.concatenate([np.zeros(2, np.uint64), shapes])
-        triples = (padded[:-2] * _MULTIPLY ^ padded[1:-1]) * _MULTIPLY ^ padded[2:] ^ np.uint64(3)
-        return (np.concatenate([hashes, pairs, triples]) * _MULTIPLY >> _SHIFT).astype(np.int64)
+        row_of, parts, sizes = self._memo.__getitem__, [], []
+        for text in batch:
+            words = text.split()
+            parts.append(np.fromiter(map(row_of, words), np.int64, len(words)))
+            sizes.append(len(words))
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        hashes, shapes = self._memo.hashes[ids], self._memo.shapes[ids]
+        begins = np.ones(len(ids), bool)
+        begins[1:] = owner[1:] != owner[:-1]
+        shapes[1:][(ids[1:] == ids[:-1]) & ~begins[1:]] = 77
+
+        def before(values: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(values)
+            out[1:] = values[:-1]
+            out[begins] = 0
+            return out
+
+        once = before(shapes)
+        pairs = (before(hashes) * _MULTIPLY) ^ hashes
+        triples = (((before(once) * _MULTIPLY) ^ once) * _MULTIPLY) ^ shapes ^ np.uint64(3)
+        return tuple(((x * _MULTIPLY) >> _SHIFT).astype(np.int32) for x in (hashes, pairs, triples)), owner
+
+    def weights(self, batch: list[str], ratio: np.ndarray) -> np.ndarray:
+        """The sum of ratio over each text's n-grams."""
+        buckets, owner = self(batch)
+        return np.bincount(owner, ratio[buckets[0]] + ratio[buckets[1]] + ratio[buckets[2]], len(batch)) if len(owner) else np.zeros(len(batch))
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One vector of counts for each task: whatever the task's rows, it sends BUCKETS rows at most."""
     total, grams = np.zeros(BUCKETS, np.int64), NGrams()
-    for batch in batches:
-        for text in texts(batch.column(0)):
-            total += np.bincount(grams(text), minlength=BUCKETS)
+    for whole in batches:
+        for batch in slices(whole, 2 << 20):
+            for family in grams(texts(batch.column(0)))[0]:
+                total += np.bincount(family, minlength=BUCKETS)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], ["bucket", "n"])
 
@@ -113,8 +133,8 @@ def _scored(ratio: np.ndarray):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NGrams()
         for whole in batches:
-            for batch in slices(whole):
-                values = [float(ratio[grams(t)].sum()) for t in texts(batch.column(batch.schema.get_field_index("text")))]
+            for batch in slices(whole, 2 << 20):
+                values = grams.weights(texts(batch.column(batch.schema.get_field_index("text"))), ratio)
                 keep = [i for i, f in enumerate(batch.schema) if f.name != "text"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(values, pa.float64())], [*(batch.schema.names[i] for i in keep), "log_weight"])
 
@@ -227,8 +247,8 @@ def resample(docs: DataFrame, labels: DataFrame, noise: float = 0.05) -> DataFra
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NGrams()
-        for batch in batches:
-            values = [float(ratio[grams(t)].sum()) for t in texts(batch.column(at))]
+        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
+            values = grams.weights(texts(batch.column(at)), ratio)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "log_weight"])
 
     schema = T.StructType(list(docs.schema.fields)).add("log_weight", T.DoubleType())
