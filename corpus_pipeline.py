@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import assign_secrets, importance_resample, simhash_vp
+from glyphmill.llm import assign_secrets, bestfit_pack, curriculum_mix, importance_resample, simhash_vp
 from glyphmill.llm._common import materialise, table
 
 
@@ -20,8 +20,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return assign_secrets.redact_secrets(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return curriculum_mix.mixed_documents(docs)
 
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bestfit_pack.pack(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("packing", packing)]
+
+#: SQL can't express the network of n-gram models or the fingerprints' hash; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import assign_secrets, byte_gru, curriculum_mix, html_diff, importance_resample, pii_disclosure, simhash_vp, voronoi_topk
+from glyphmill.llm import assign_secrets, bestfit_pack, byte_gru, curriculum_mix, hnsw_dedup, html_diff, importance_resample, pii_disclosure, simhash_vp, voronoi_topk
 from glyphmill.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,11 +15,13 @@ QUERIES: dict[str, Query] = {
     "op1_html_diff": lambda s, d: html_diff.op1_html_diff(table(s, d, "pages")),
     "op2_pii_disclosure": lambda s, d: pii_disclosure.op2_pii_disclosure(table(s, d, "documents")),
     "op3_curriculum_mix": lambda s, d: curriculum_mix.op3_curriculum_mix(table(s, d, "documents")),
+    "op4_hnsw_dedup": lambda s, d: hnsw_dedup.op4_hnsw_dedup(table(s, d, "embeddings")),
     "op5_byte_gru": lambda s, d: byte_gru.op5_byte_gru(table(s, d, "documents")),
+    "op6_bestfit_pack": lambda s, d: bestfit_pack.op6_bestfit_pack(table(s, d, "documents")),
     "op7_voronoi_topk": lambda s, d: voronoi_topk.op7_voronoi_topk(table(s, d, "embeddings")),
     "op8_importance_resample": lambda s, d: importance_resample.op8_importance_resample(table(s, d, "documents"), table(s, d, "labels")),
     "op9_assign_secrets": lambda s, d: assign_secrets.op9_assign_secrets(table(s, d, "documents")),
     "op10_simhash_vp": lambda s, d: simhash_vp.op10_simhash_vp(table(s, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op3_curriculum_mix": curriculum_mix.SQL, "op7_voronoi_topk": voronoi_topk.SQL}
+ORACLES: dict[str, str] = {"op3_curriculum_mix": curriculum_mix.SQL, "op4_hnsw_dedup": hnsw_dedup.SQL, "op7_voronoi_topk": voronoi_topk.SQL}
