@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,11 @@ def counts(rows: DataFrame, *keys: str, name: str = "n") -> DataFrame:
 
 def nested(rows: DataFrame, arrays: dict[str, Column]) -> DataFrame:
     """(histogram, key, n) over the elements of several arrays in one pass; null elements don't count."""
-    tagged = [F.transform(a, lambda x, h=h: F.struct(F.lit(h).alias("histogram"), x.cast("string").alias("key"))) for h, a in arrays.items()]
+
+    def tag(name: str) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(name).alias("histogram"), x.cast("string").alias("key"))
+
+    tagged = [F.transform(a, tag(h)) for h, a in arrays.items()]
     exploded = rows.select(F.explode(F.concat(*(F.coalesce(a, F.array().cast("array<struct<histogram:string,key:string>>")) for a in tagged))).alias("x"))
     return exploded.select("x.*").filter("key is not null").groupBy("histogram", "key").agg(F.count("*").alias("n"))
 

@@ -92,7 +92,7 @@ def sample_plan(spark: SparkSession, total: int, ratio: dict[str, float], split:
     runs = spark.createDataFrame(rows, "first long, n long, script_class string, granularity string, family string")
     plan = runs.select((F.explode(F.sequence("first", F.col("first") + F.col("n") - 1))).alias("plan_index"), "script_class", "granularity", "family")
     tagged = every_nth(plan, ["granularity", "family"], "plan_index", 5, "clear") if split == "dev" else plan.withColumn("clear", F.lit(False))
-    return permuted(tagged.withColumn("profile", F.when("clear", "clear_print").otherwise("standard")).drop("clear"), seed, "plan_index")
+    return permuted(tagged.withColumn("profile", F.when(F.col("clear"), "clear_print").otherwise("standard")).drop("clear"), seed, "plan_index")
 
 
 def every_nth(rows: DataFrame, strata: list[str], order: str, n: int, name: str) -> DataFrame:
