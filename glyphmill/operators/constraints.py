@@ -101,9 +101,9 @@ def addon_row_violations(rows: DataFrame) -> DataFrame:
 
 def unsafe_paths(rows: DataFrame, key: str, images: str, folder: str = "images") -> DataFrame:
     """Rows whose images aren't exactly one relative path under the folder, and paths that occur twice."""
-    one = F.col(images)[0]
+    one = F.get(F.col(images), F.lit(0))
     parts = F.split(one, "/")
-    bad = (F.size(images) != 1) | one.startswith("/") | (parts[0] != folder) | F.array_contains(parts, "..")
+    bad = (F.size(images) != 1) | one.startswith("/") | (F.get(parts, F.lit(0)) != folder) | F.array_contains(parts, "..")
     single = rows.select(key, images, F.coalesce(bad, F.lit(True)).alias("_bad"), one.alias("_path"))
     twice = single.groupBy("_path").agg(F.count("*").alias("_n")).filter("_n > 1")
     unsafe = single.filter("_bad").select(key, F.lit("unsafe path").alias("violation"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """(start, event_type, n, total) of each window; works on a stream and on a table alike."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("ts", late) if events.isStreaming else timed
     grouped = timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("window.start").alias("start"), "event_type", "n", "total")
