@@ -98,24 +98,27 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     The plan is joined back by the hash of doc_id and the size; where several rows share both, each takes the plan of one.
     """
-    plan = mix_plan(docs).filter("taken > 0").withColumn("_p", hashed_order("doc_id"))
-    nth = F.row_number().over(Window.partitionBy("_p", "size").orderBy("position"))
-    plan = plan.select("_p", F.col("size").alias("_size"), "source_size", "target", "taken", "start", "slope", nth.alias("_nth"))
-    own = F.row_number().over(Window.partitionBy("_u", "_words").orderBy(F.xxhash64("text", "source")))
-    numbered = docs.withColumn("_words", words()).filter("_words > 0").withColumn("_u", hashed_order("doc_id")).withColumn("_own", own)
+    plan = mix_plan(docs).filter("taken > 0").withColumn("u", hashed_order("doc_id"))
+    nth = F.row_number().over(Window.partitionBy("u", "size").orderBy("position"))
+    named = ("u", "size", "source_size", "target", "taken", "start", "slope")
+    plan = plan.select(*(F.col(c).alias(f"__gm_{c}") for c in named), nth.alias("__gm_nth"))
+    own = F.row_number().over(Window.partitionBy("__gm_key", "__gm_words").orderBy(F.xxhash64("text", "source")))
+    numbered = docs.withColumn("__gm_words", words()).filter("__gm_words > 0").withColumn("__gm_key", hashed_order("doc_id")).withColumn("__gm_own", own)
     # the last term isn't a join key on purpose: the window's partitioning then serves the join, and the texts move once
-    joined = numbered.join(plan, (F.col("_u") == F.col("_p")) & (F.col("_words") == F.col("_size")) & (F.col("_own") - F.col("_nth") == 0))
+    same = (F.col("__gm_key") == F.col("__gm_u")) & (F.col("__gm_words") == F.col("__gm_size")) & (F.col("__gm_own") - F.col("__gm_nth") == 0)
+    joined = numbered.join(plan, same)
+    size = F.col("__gm_size")
     copies = F.transform(
         F.sequence(F.lit(0), F.lit(COPIES - 1)),
         lambda k: F.struct(
-            F.greatest(F.lit(0), F.least(F.col("_size"), F.col("taken") - F.col("_size") * k)).cast("long").alias("words"),
-            position((F.col("start") + F.col("source_size") * k).cast("double"), F.col("target"), F.col("slope")).alias("at"),
+            F.greatest(F.lit(0), F.least(size, F.col("__gm_taken") - size * k)).cast("long").alias("words"),
+            position((F.col("__gm_start") + F.col("__gm_source_size") * k).cast("double"), F.col("__gm_target"), F.col("__gm_slope")).alias("at"),
         ),
     )
-    dealt = joined.withColumn("_copy", F.explode(F.filter(copies, lambda c: c["words"] > 0)))
-    first_words = F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*+" + WORD + "+"), F.lit(0)), F.lit(1), F.col("_copy.words").cast("int"))
-    text = F.when(F.col("_copy.words") >= F.col("_size"), F.col("text")).otherwise(F.array_join(first_words, ""))
-    dealt = dealt.withColumn("text", text).orderBy("_copy.at", "doc_id")
+    dealt = joined.withColumn("__gm_copy", F.explode(F.filter(copies, lambda c: c["words"] > 0)))
+    first_words = F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*+" + WORD + "+"), F.lit(0)), F.lit(1), F.col("__gm_copy.words").cast("int"))
+    text = F.when(F.col("__gm_copy.words") >= size, F.col("text")).otherwise(F.array_join(first_words, ""))
+    dealt = dealt.withColumn("text", text).orderBy("__gm_copy.at", "doc_id")
     if "n_chars" in docs.columns:
         dealt = dealt.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return dealt.select(*docs.columns)

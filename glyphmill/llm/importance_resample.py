@@ -154,7 +154,7 @@ def gumbel(column: str, seed: int = 8) -> F.Column:
 
 
 def _ordered_bits(column: str) -> F.Column:
-    """A long that orders as the double does, from its hexadecimal big-endian bits."""
+    """The key as a whole number of 2^-20: what lies in one such step counts as a tie."""
     return F.floor(F.col(column) * F.lit(float(1 << 20))).cast("long")
 
 
@@ -205,18 +205,18 @@ class Resampler:
     def __init__(self, ratio: np.ndarray, noise: float, share: float, cut: int | None, rows: DataFrame) -> None:
         self.ratio, self.noise, self.share, self.cut, self.rows = ratio, noise, share, cut, rows
 
-    def _kept(self) -> F.Column:
-        return F.lit(False) if self.cut is None else _ordered_bits("key") >= F.lit(self.cut)
+    def kept(self, key: str = "key") -> F.Column:
+        return F.lit(False) if self.cut is None else _ordered_bits(key) >= F.lit(self.cut)
 
     def table(self) -> DataFrame:
         """doc_id, log_weight, key, kept of every row."""
-        return self.rows.select("doc_id", "log_weight", "key", self._kept().alias("kept"))
+        return self.rows.select("doc_id", "log_weight", "key", self.kept().alias("kept"))
 
 
-def _with_key(rows: DataFrame, noise: float) -> DataFrame:
+def _with_key(rows: DataFrame, noise: float, weight: str = "log_weight", key: str = "key") -> DataFrame:
     """The Gumbel key. Noise acts on the weights to the power 1 / noise; it is below 1 so that short texts, whose weights
     are all near 1, aren't dealt out by chance alone."""
-    return rows.withColumn("key", F.col("log_weight") + F.lit(noise) * gumbel("doc_id"))
+    return rows.withColumn(key, F.col(weight) + F.lit(noise) * gumbel("doc_id"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, noise: float = 0.05) -> Resampler:
@@ -249,10 +249,10 @@ def resample(docs: DataFrame, labels: DataFrame, noise: float = 0.05) -> DataFra
         grams = NGrams()
         for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
             values = grams.weights(texts(batch.column(at)), ratio)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "__gm_weight"])
 
-    schema = T.StructType(list(docs.schema.fields)).add("log_weight", T.DoubleType())
-    return _with_key(docs.mapInArrow(add, schema), noise).filter(model._kept()).select(*docs.columns)
+    schema = T.StructType(list(docs.schema.fields)).add("__gm_weight", T.DoubleType())
+    return _with_key(docs.mapInArrow(add, schema), noise, "__gm_weight", "__gm_key").filter(model.kept("__gm_key")).select(*docs.columns)
 
 
 def op8_importance_resample(docs: DataFrame, labels: DataFrame) -> DataFrame:

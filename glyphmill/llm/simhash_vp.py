@@ -187,8 +187,6 @@ def _link_shard(radius: int):
 def fingerprint_components(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(fp, root) for every distinct fingerprint that links with another one; root names its component."""
     dealt = fps.select("fp").distinct().mapInArrow(_deal(blocks, radius), "shard long, fp long")
-    shared = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1").select("shard")
-    del shared  # a shard of one row costs nothing below; a semi join would cost a second shuffle
     edges = dealt.groupBy("shard").applyInPandas(_link_shard(radius), "u long, v long")
     return connected_components(edges).select(F.col("node").alias("fp"), "root")
 
@@ -219,10 +217,10 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOC
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that represent their component: one document of each group, columns as they came."""
-    keep = simhash_components(docs, radius).filter("survivor").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = hashed.join(keep, hashed["doc_id"].eqNullSafe(keep["_id"]) & (hashed["_text_hash"] == keep["_hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    keep = simhash_components(docs, radius).filter("survivor").select(F.col("doc_id").alias("__gm_id"), F.col("text_hash").alias("__gm_h")).distinct()
+    hashed = docs.withColumn("__gm_hash", F.xxhash64("text"))
+    kept = hashed.join(keep, hashed["doc_id"].eqNullSafe(keep["__gm_id"]) & (hashed["__gm_hash"] == keep["__gm_h"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__gm_hash"]).drop("__gm_hash")
 
 
 def op10_simhash_vp(docs: DataFrame) -> DataFrame:
