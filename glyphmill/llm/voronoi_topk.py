@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm._common import hashed_order
 
-#: Pivots: the first so many vectors in hashed order (a bounded sample). Rows of a block that a task solves.
-PIVOTS, BLOCK_ROWS = 48, 20_000
+#: Pivots: the first so many vectors in hashed order (a bounded sample). Data and query rows that a task solves.
+PIVOTS, BLOCK_ROWS, QUERY_ROWS = 48, 20_000, 10_000
+#: A group whose bound lets more than this share of the data through joins the common lane.
+WIDE, ALL = 0.5, -1
 TOP, SCALE, QUERY_EVERY = 5, 256, 50
 
 
@@ -45,21 +47,21 @@ def _lifted(v: np.ndarray, largest: float | None) -> np.ndarray:
     return np.concatenate([v, more[:, None]], 1)
 
 
-def _assign(pivots: np.ndarray, largest: float):
-    """Every vector's cell and radius, as data and as a query."""
+def _assign(pivots: np.ndarray, largest: float | None):
+    """Every vector's cell and radius: data with their norm, queries (None) without."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1))
-            data, query = _distances(_lifted(v, largest), pivots), _distances(_lifted(v, None), pivots)
-            cells = (data.argmin(1), data.min(1), query.argmin(1), query.min(1)) if len(v) else ([],) * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.float64()), pa.array(cells[2], pa.int32()), pa.array(cells[3], pa.float64())], ["vec_id", "cell", "radius", "q_cell", "q_radius"]
-            )
+            if batch.num_rows:
+                distance = _distances(_lifted(_matrix(batch.column(1)), largest), pivots)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance.argmin(1).astype(np.int32)), pa.array(distance.min(1))], ["vec_id", "v", "cell", "radius"])
 
     return assign
 
 
+_CELLS = "vec_id long, v array<double>, cell int, radius double"
+
+
 def group_bounds(pivots: np.ndarray, cells: dict[int, list[float]], reach: dict[int, float], k: int) -> dict[int, float]:
     """For each query group, an upper bound of its queries' k-th distance: a vector of radius r in cell j is at most
     reach + |p_i p_j| + r away. cells: the smallest radii of each data cell, k + 1 of them, as one may be the query's own."""
@@ -71,34 +73,71 @@ def group_bounds(pivots: np.ndarray, cells: dict[int, list[float]], reach: dict[
     return out
 
 
-def _replicate(pivots: np.ndarray, largest: float, reach: dict[int, float], bound: dict[int, float], blocks: dict[int, int]):
-    """Data: (group, block, vec_id, v, false) for the groups whose bound it may meet. Queries: to all blocks of their group."""
-    groups = sorted(reach)
-    slack = 1e-6 * (1 + largest)
+class Lanes:
+    """How data and queries meet. A query group whose bound lets most data through shares one lane with all such groups: all
+    data go there once, rather than once for each group. Every other group has a lane of the data within its bound. A lane
+    is a grid of query slices and data blocks of bounded size, each cell a task."""
+
+    def __init__(self, pivots: np.ndarray, largest: float, reach: dict[int, float], bound: dict[int, float]) -> None:
+        self.pivots, self.largest, self.reach, self.bound = pivots, largest, reach, bound
+        self.slack = 1e-6 * (1 + largest)
+        self.lane_of: dict[int, int] = {}
+        self.grid: dict[int, tuple[int, int]] = {}
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def within(self, v: np.ndarray) -> dict[int, np.ndarray]:
+        distance = _distances(_lifted(v, self.largest), self.pivots)
+        return {g: distance[:, g] - far <= self.bound[g] + self.slack for g, far in self.reach.items()}
+
+    def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = dict.fromkeys(self.reach, 0)
+        for batch in batches:
+            if batch.num_rows:
+                for g, near in self.within(_matrix(batch.column(1))).items():
+                    total[g] += int(near.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())], ["grp", "n"])
+
+    def settle(self, rows: int, near: dict[int, int], queries: dict[int, int], block_rows: int, query_rows: int) -> None:
+        for g in self.reach:
+            self.lane_of[g] = ALL if near[g] > WIDE * rows else g
+        for lane in set(self.lane_of.values()):
+            asked = sum(n for g, n in queries.items() if self.lane_of[g] == lane)
+            held = rows if lane == ALL else near[lane]
+            self.grid[lane] = (max(1, -(-asked // query_rows)), max(1, -(-held // block_rows)))
+
+    def data(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1))
-            if not len(v):
+            if not batch.num_rows:
                 continue
-            distance = _distances(_lifted(v, largest), pivots)
-            ids, vectors = np.asarray(batch.column(0)), batch.column(1)
-            is_query, q_cell = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-            for g in groups:
-                near = np.flatnonzero(distance[:, g] - reach[g] <= bound[g] + slack)
-                if len(near):
-                    block = ((ids[near].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks[g]
-                    yield _piece(g, block, ids[near], vectors.take(pa.array(near)), False)
-                own = np.flatnonzero(is_query & (q_cell == g))
-                for b in range(blocks[g] if len(own) else 0):
-                    yield _piece(g, np.full(len(own), b), ids[own], vectors.take(pa.array(own)), True)
-
-    return rows
-
-
-def _piece(group: int, block: np.ndarray, ids: np.ndarray, vectors: pa.Array, query: bool) -> pa.RecordBatch:
+            near = self.within(_matrix(batch.column(1)))
+            for lane, (slices, blocks) in self.grid.items():
+                rows = np.arange(batch.num_rows) if lane == ALL else np.flatnonzero(near[lane])
+                if len(rows):
+                    ids = np.asarray(batch.column(0))[rows]
+                    for part in range(slices):
+                        yield _piece(lane, np.full(len(rows), part), _hashed(ids, blocks), ids, batch.column(1).take(pa.array(rows)), False)
+
+    def queries(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lanes = np.array([self.lane_of[c] for c in batch.column(2).to_pylist()], np.int64)
+            for lane in np.unique(lanes).tolist():
+                rows, (slices, blocks) = np.flatnonzero(lanes == lane), self.grid[lane]
+                ids = np.asarray(batch.column(0))[rows]
+                for block in range(blocks):
+                    yield _piece(lane, _hashed(ids, slices), np.full(len(rows), block), ids, batch.column(1).take(pa.array(rows)), True)
+
+
+def _hashed(ids: np.ndarray, n: int) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+
+
+_DEALT = "lane int, part int, block int, vec_id long, v array<double>, is_query boolean"
+
+
+def _piece(lane: int, part: np.ndarray, block: np.ndarray, ids: np.ndarray, vectors: pa.Array, query: bool) -> pa.RecordBatch:
     n = len(ids)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, group, np.int32)), pa.array(block.astype(np.int32)), pa.array(ids), vectors, pa.array(np.full(n, query))], ["grp", "block", "vec_id", "v", "is_query"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, lane, np.int32)), pa.array(part.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(ids), vectors, pa.array(np.full(n, query))], ["lane", "part", "block", "vec_id", "v", "is_query"]
+    )
 
 
 def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -140,12 +179,12 @@ def _solve(k: int):
     return solve
 
 
-def top_inner_products(rows: DataFrame, is_query: F.Column, k: int = TOP, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best other rows of every query, all if there are fewer.
+def top_inner_products(rows: DataFrame, is_query: str, k: int = TOP, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best other rows of every query (SQL on vec_id), all if there are fewer.
 
     Unusable vectors take no part; no usable vector gives an empty result. Repeated rows are candidates each, but a row
-    with the query's id never is one; a query id that occurs twice asks once. Vectors of unequal length raise. What reaches
-    the driver: the pivots, and k + 2 numbers for each cell.
+    with the query's id never is one; a query id that occurs more than once asks once, with its smallest vector. Vectors of
+    unequal length raise. What reaches the driver: the pivots, and for each cell k + 3 numbers.
     """
     data = quantised(rows)
     centres = [r["v"] for r in data.orderBy(hashed_order("vec_id"), "vec_id").limit(pivots).collect()]
@@ -155,30 +194,28 @@ def top_inner_products(rows: DataFrame, is_query: F.Column, k: int = TOP, pivots
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
     largest = float(data.agg(F.max(norm)).first()[0])
     points = np.unique(_lifted(np.array(centres, float), largest), axis=0)
-    cells = data.mapInArrow(_assign(points, largest), "vec_id long, cell int, radius double, q_cell int, q_radius double")
-    asking = cells.withColumn("is_query", F.coalesce(is_query, F.lit(False)))
-    reach = {r["q_cell"]: r["far"] for r in asking.filter("is_query").groupBy("q_cell").agg(F.max("q_radius").alias("far")).collect()}
-    if not reach:
+    asks = data.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(_assign(points, None), _CELLS)
+    groups = asks.groupBy("cell").agg(F.max("radius").alias("far"), F.count("*").alias("n")).collect()
+    if not groups:
         return empty
-    # the k + 1 smallest radii of each cell, pre-aggregated to as many for each partition
+    # the k + 1 smallest radii of each cell; the limit is applied in each partition before the shuffle
     first = Window.partitionBy("cell").orderBy("radius")
+    cells = data.mapInArrow(_assign(points, largest), _CELLS).select("cell", "radius")
     radii: dict[int, list[float]] = {}
-    for r in cells.select("cell", "radius").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).collect():
+    for r in cells.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).collect():
         radii.setdefault(r["cell"], []).append(r["radius"])
-    bound = group_bounds(points, radii, reach, k)
-    blocks = dict.fromkeys(reach, max(1, -(-data.count() // block_rows)))
-    both = data.join(asking.filter("is_query").select("vec_id", F.lit(True).alias("is_query"), "q_cell").distinct(), "vec_id", "left")
-    both = both.select("vec_id", "v", F.coalesce("is_query", F.lit(False)).alias("is_query"), F.coalesce("q_cell", F.lit(-1)).alias("q_cell"))
-    dealt = both.mapInArrow(_replicate(points, largest, reach, bound, blocks), "grp int, block int, vec_id long, v array<double>, is_query boolean")
-    local = dealt.groupBy("grp", "block").applyInPandas(_solve(k), "query_id long, vec_id long, score long")
-    if data.select("vec_id").distinct().count() < data.count():  # a repeated query row asks in each of its groups
-        pass
+    reach = {r["cell"]: r["far"] for r in groups}
+    lanes = Lanes(points, largest, reach, group_bounds(points, radii, reach, k))
+    near = {r["grp"]: r["n"] for r in data.mapInArrow(lanes.count, "grp int, n long").groupBy("grp").agg(F.sum("n").alias("n")).collect()}
+    lanes.settle(data.count(), near, {r["cell"]: r["n"] for r in groups}, block_rows, query_rows)
+    dealt = data.mapInArrow(lanes.data, _DEALT).unionByName(asks.mapInArrow(lanes.queries, _DEALT))
+    local = dealt.groupBy("lane", "part", "block").applyInPandas(_solve(k), "query_id long, vec_id long, score long")
     ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_voronoi_topk(embeddings: DataFrame) -> DataFrame:
-    return top_inner_products(embeddings, F.col("vec_id") % QUERY_EVERY == 0)
+    return top_inner_products(embeddings, f"vec_id % {QUERY_EVERY} = 0")
 
 
 #: DuckDB's SQL for the whole result.
