@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # The extrema that a page with ink on paper must reach.
@@ -26,13 +27,13 @@ def _window(grid: np.ndarray, reduce) -> np.ndarray:
     return reduce(np.stack([padded[y : y + h, x : x + w] for y in range(3) for x in range(3)]), 0)
 
 
-@pandas_udf("array<int>")
+@pandas_udf(T.ArrayType(T.IntegerType()))
 def spread_ink(pixels: pd.Series, width: pd.Series) -> pd.Series:
     """The darkest of each 3 x 3 neighbourhood."""
     return pd.Series([_window(_grid(p, w), np.min).ravel().astype(np.int32) for p, w in zip(pixels, width, strict=True)])
 
 
-@pandas_udf("array<int>")
+@pandas_udf(T.ArrayType(T.IntegerType()))
 def thin_ink(pixels: pd.Series, width: pd.Series) -> pd.Series:
     """The lightest of each 3 x 3 neighbourhood."""
     return pd.Series([_window(_grid(p, w), np.max).ravel().astype(np.int32) for p, w in zip(pixels, width, strict=True)])
@@ -49,7 +50,7 @@ def blank_images(rows: DataFrame, key: str, pixels: str) -> DataFrame:
     return rows.select(key, low.alias("low"), high.alias("high")).filter((F.col("low") > DARK) | (F.col("high") < LIGHT))
 
 
-@pandas_udf("struct<changed:long,outside:long>")
+@pandas_udf(T.StructType().add("changed", T.LongType()).add("outside", T.LongType()))
 def _changed(a: pd.Series, b: pd.Series, width: pd.Series, boxes: pd.Series, reach: pd.Series) -> pd.DataFrame:
     out = []
     for left, right, w, own, far in zip(a, b, width, boxes, reach, strict=True):
@@ -68,7 +69,7 @@ def changed_pixels(rows: DataFrame, key: str, reach: int = 4) -> DataFrame:
     return rows.select(key, found.alias("_f")).select(key, "_f.changed", "_f.outside")
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def shape_features(pixels: pd.Series, width: pd.Series) -> pd.Series:
     """A normalised vector of a square mask: its pixels, 0.7 times its 2 x 2 means, 0.8 times its row and column means."""
     out = []

@@ -26,7 +26,8 @@ def score_rows(rows: DataFrame, first: str = t.YI_BLOCK, second: str = t.HAN, di
             **{f"_{n}_{s}": t.keep(c, chars) for n, chars in (("yi", first), ("han", second), ("digit", digits)) for s, c in (("p", pred), ("g", gt))},
         }
     )
-    sliced = sliced.withColumn("dist", t.distance(pred, gt))
+    # one distance each for the raw and the plain texts; most texts are in compatibility form already and share the latter
+    sliced = sliced.withColumns({"dist": t.distance(pred, gt), "ws_ned": t.ned(F.col("_ws_p"), F.col("_ws_g"))})
 
     def part(name: str) -> Column:
         return F.when(F.col(f"_{name}_g") != "", t.ned(F.col(f"_{name}_p"), F.col(f"_{name}_g")))
@@ -35,9 +36,8 @@ def score_rows(rows: DataFrame, first: str = t.YI_BLOCK, second: str = t.HAN, di
         {
             "ned": t.ned(pred, gt, F.col("dist")),
             "exact": pred == gt,
-            "ws_ned": t.ned(F.col("_ws_p"), F.col("_ws_g")),
             "ws_exact": F.col("_ws_p") == F.col("_ws_g"),
-            "nfkc_ws_ned": t.ned(F.col("_k_p"), F.col("_k_g")),
+            "nfkc_ws_ned": F.when((F.col("_k_p") == F.col("_ws_p")) & (F.col("_k_g") == F.col("_ws_g")), F.col("ws_ned")).otherwise(t.ned(F.col("_k_p"), F.col("_k_g"))),
             "nfkc_ws_exact": F.col("_k_p") == F.col("_k_g"),
             **{f"{n}_ned": part(n) for n in ("yi", "han", "digit")},
             **{f"{n}_exact": F.when(F.col(f"_{n}_g") != "", F.col(f"_{n}_p") == F.col(f"_{n}_g")) for n in ("yi", "han", "digit")},

@@ -45,13 +45,18 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key before the costly distances: few input splits would else hold all the long texts."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows are spread by key before the costly distances: long texts would else sit in few input splits."""
-    return scoring.score_rows(pairs(spark, sf_dir), FIRST, SECOND, DIGITS)
+    return scoring.score_rows(spread(pairs(spark, sf_dir), "sample_id"), FIRST, SECOND, DIGITS)
 
 
 def strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_strict(pairs(spark, sf_dir), FIRST)
+    return scoring.score_strict(spread(pairs(spark, sf_dir), "sample_id"), FIRST)
 
 
 def _scenes(spark: SparkSession) -> DataFrame:
@@ -129,7 +134,7 @@ def metric_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ned_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scoring.mean_ned(pairs(spark, sf_dir)))
+    return rounded(scoring.mean_ned(spread(pairs(spark, sf_dir), "sample_id")))
 
 
 def ned_strict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
