@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm._common import materialise
 
 
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the links (a, b): (member, smallest id)."""
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = flat[: len(a)], flat[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = label != np.arange(len(ids))
+    return ids[moved], ids[label[moved]]
+
+
 def _towards_minimum(edges: DataFrame) -> DataFrame:
     """Every node's minimal neighbour (or itself), joined back to the node's edges."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm._common import materialise
-from glyphmill.llm.components import connected_components
+from glyphmill.llm.components import connected_components, star_forest
 
 THRESHOLD = 0.9
 #: Links of a node above the ground layer and on it; width of the beam while building; least shards; rows of a shard.
@@ -230,24 +230,6 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "graph": [graph.packed(copies)]})
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the links (a, b): (member, smallest id)."""
-    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = label != np.arange(len(ids))
-    return ids[moved], ids[label[moved]]
-
-
 def _answers(blob: bytes, ids: np.ndarray, vectors: np.ndarray, width: int, threshold: float) -> tuple[list, list, list]:
     """Counts (u, n, null) and forest edges (u, null, v) of a query block against a shard's graph."""
     graph, copies = Graph.unpacked(blob)
@@ -259,7 +241,7 @@ def _answers(blob: bytes, ids: np.ndarray, vectors: np.ndarray, width: int, thre
     q, node, other = q[apart], node[apart], other[apart]
     n = np.bincount(q, copies[node], len(ids)).astype(np.int64)
     some = np.flatnonzero(n)
-    u, v = _forest(ids[q], other) if len(q) else (ids[:0], ids[:0])
+    u, v = star_forest(ids[q], other) if len(q) else (ids[:0], ids[:0])
     return [*ids[some].tolist(), *u.tolist()], [*n[some].tolist(), *[None] * len(u)], [*[None] * len(some), *v.tolist()]
 
 

@@ -13,16 +13,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm._common import materialise, slices, texts
-from glyphmill.llm.components import connected_components
+from glyphmill.llm.components import connected_components, star_forest
 
 SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 5
+#: Rows that a task links, about; shards up to so many rows are compared together, in tables of so many cells.
+TASK_ROWS, SMALL_SHARD, TABLE_CELLS = 50_000, 128, 1 << 22
 
 
 def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
@@ -176,18 +177,49 @@ def _labels(parent: np.ndarray) -> np.ndarray:
         parent[:] = up
 
 
-def _link_shard(radius: int):
-    def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        u, v = shard_links(np.unique(rows["fp"].to_numpy()).view(np.uint64), radius)
-        return pd.DataFrame({"u": u, "v": v})
+def partition_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest of all shards of a partition. Small shards of like size are compared as one array of tables; a
+    large one goes through its vantage points by itself."""
+    order = np.lexsort((fp, shard))
+    shard, fp = shard[order], fp[order]
+    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))[: len(shard)]
+    sizes = np.diff(np.append(starts, len(shard)))
+    found = []
+    width = 2
+    while width <= SMALL_SHARD:
+        pick = np.flatnonzero((sizes > width // 2) & (sizes <= width) & (sizes > 1))
+        step = max(1, TABLE_CELLS // width**2)
+        ahead = np.triu(np.ones((width, width), bool), 1)
+        for low in range(0, len(pick), step):
+            own = pick[low : low + step]
+            at = starts[own][:, None] + np.arange(width)
+            real = np.arange(width) < sizes[own][:, None]
+            f = fp[np.minimum(at, len(fp) - 1)].view(np.uint64)
+            near = (np.bitwise_count(f[:, :, None] ^ f[:, None, :]) <= radius) & ahead & real[:, None, :]
+            g, i, j = np.nonzero(near)
+            found.append(star_forest(fp[at[g, i]], fp[at[g, j]]))
+        width *= 2
+    for own in np.flatnonzero(sizes > SMALL_SHARD).tolist():
+        found.append(shard_links(fp[starts[own] : starts[own] + sizes[own]].view(np.uint64), radius))
+    u, v = (np.concatenate([x[n] for x in found]) if found else fp[:0] for n in (0, 1))
+    return star_forest(u, v)
+
+
+def _link(radius: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+        if held:
+            u, v = partition_links(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return link
 
 
 def fingerprint_components(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(fp, root) for every distinct fingerprint that links with another one; root names its component."""
+    parts = max(1, -(-blocks * fps.count() // TASK_ROWS))
     dealt = fps.select("fp").distinct().mapInArrow(_deal(blocks, radius), "shard long, fp long")
-    edges = dealt.groupBy("shard").applyInPandas(_link_shard(radius), "u long, v long")
+    edges = dealt.repartition(parts, "shard").mapInArrow(_link(radius), "u long, v long")
     return connected_components(edges).select(F.col("node").alias("fp"), "root")
 
 

@@ -115,6 +115,22 @@ def test_simhash_rows(spark):
     assert {r["component_id"] for r in simhash_vp.op10_simhash_vp(long).collect()} == {1, 2}
 
 
+def test_partition_links_equal_brute_force():
+    """Shards of 1 to 300 rows in one partition: the forest joins what brute force joins within shards."""
+    rng = np.random.default_rng(12)
+    shard = np.repeat(np.arange(40), [1, 2, 3, 4, 5, 8, 9, 17, 33, 64, 65, 128, 129, 300, *rng.integers(1, 40, 26)])
+    fp = np.unique(rng.integers(0, 1 << 11, 4 * len(shard)))[: len(shard)]
+    fp = np.resize(rng.permutation(fp), len(shard)) * (1 << 20)
+    rows = sorted({(int(s), int(f)) for s, f in zip(shard, fp, strict=True)})
+    ids = sorted({f for _, f in rows})
+    at = {f: n for n, f in enumerate(ids)}
+    linked = {(at[a], at[b]) for s, a in rows for t, b in rows if s == t and a != b and (a ^ b).bit_count() <= 4}
+    expected = brute_components(len(ids), lambda i, j: (i, j) in linked)
+    u, v = simhash_vp.partition_links(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    root = dict(zip(u.tolist(), v.tolist(), strict=True))
+    assert [root.get(f, f) for f in ids] == [ids[r] for r in expected]
+
+
 # -- vectors -------------------------------------------------------------------------------------------------------
 
 
