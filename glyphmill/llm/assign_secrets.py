@@ -54,7 +54,6 @@ _TOKEN = re.compile(
     """,
     re.VERBOSE,
 )
-_LINE_OF_INTEREST = re.compile(r"[^\n]*[=:][^\n]*")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -100,10 +99,14 @@ def assignments(text: str) -> list[Assignment]:
     """Name-literal pairs of every line that has = or :, in order, with constants and concatenations propagated."""
     known: dict[str, Assignment] = {}
     found = []
-    for line in _LINE_OF_INTEREST.finditer(text):
-        pieces = list(_lex(line[0], line.start()))
+    at = 0
+    for line in text.split("\n"):
+        begin, at = at, at + len(line) + 1
+        if "=" not in line and ":" not in line:
+            continue
+        pieces = list(_lex(line, begin))
         i = 0
-        while i + 2 < len(pieces) + 0:
+        while i + 2 < len(pieces):
             name, op = pieces[i], pieces[i + 1]
             if not (name.kind in ("name", "string") and op.kind == "op" and op.text in ("=", ":", ":=", "=>")):
                 i += 1
