@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as t
 from glyphmill.functions.numeric import largest_remainder
 from glyphmill.operators import histograms, layout, planning
+from glyphmill.plans import sampling_sql
 from glyphmill.plans.evaluation import FIRST, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SEED, TOTAL, PAGES, PAIRS = 20260, 1000, 64, 2162
 RATIO = {"pure_yi": 0.40, "mixed": 0.45, "pure_common": 0.15}
+CAPS = {"light|ink -> tone_sensor|spread_minfilter": 0.25, "light|blur -> tone_sensor|none": 0.8}
 FIRST_POOL, SECOND_POOL = "ꀀꀁꀂꀃꀄꀅꀆꀇꀈꀉꀊꀋꀌꀍꀎꀏ", "天地人山水火木金土日月"
 
 
@@ -108,7 +110,7 @@ def residual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def degradation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = spark.createDataFrame([("light|ink -> tone_sensor|spread_minfilter", 0.25), ("light|blur -> tone_sensor|none", 0.8)], "class_key string, strength double")
+    policy = spark.createDataFrame(list(CAPS.items()), "class_key string, strength double")
     rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, "clear_print").when(F.col("p_partkey") % 3 == 0, "heavy").otherwise("light").alias("profile"))
     made = planning.degradation_plan(rows, "p_partkey", "profile", policy, SEED)
     return made.select("p_partkey", "profile", "class_key", "ink_mode", "applied", "strength")
@@ -217,4 +219,13 @@ SELECT page, id, line FROM f""",
     "page_lines": f"WITH {_BLOCKS}, {_LINES} SELECT page, line, string_agg('b' || id, '' ORDER BY x, id) AS text FROM lines GROUP BY page, line",
     "canvas_heights": f"WITH {_BLOCKS} SELECT page, greatest(640, max(y + h) + 500)::BIGINT AS canvas_height FROM blocks GROUP BY page",
     "block_texts": "SELECT p_partkey AS page, substr(p_name, 2, 3) AS text FROM part",
+    "sample_plan": sampling_sql.sample_plan(TOTAL, RATIO),
+    "inject_pairs": sampling_sql.inject_pairs(SEED),
+    "inject_circled": sampling_sql.inject_circled(SEED),
+    "context_lines": sampling_sql.context_lines(PAGES, PAIRS, FIRST_POOL, "ꀀ", "ꀁ", SEED),
+    "sampled_lines": sampling_sql.sampled_lines(200, RATIO, FIRST_POOL, SECOND_POOL, 0.65, 0.35, SEED),
+    "page_layout": sampling_sql.page_layout(200, RATIO, FIRST_POOL, SECOND_POOL, 0.65, 0.35, SEED),
+    "latin_plan": sampling_sql.latin_plan(120, FIRST_POOL, SECOND_POOL, SEED),
+    "residual_rows": sampling_sql.residual_rows("train", 40, FIRST_POOL, SECOND_POOL, SEED),
+    "degradation_plan": sampling_sql.degradation_plan(CAPS, SEED),
 }
