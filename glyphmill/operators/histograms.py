@@ -76,3 +76,11 @@ def pair_summary(events: DataFrame, pairs_total: int, repeats: int) -> DataFrame
 def percentiles(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
     """Linear-interpolated percentiles, one column p<share*100> each."""
     return rows.agg(*(F.percentile(column, s).alias(f"p{round(s * 100)}") for s in shares))
+
+
+def counters(rows: DataFrame, keys: dict[str, Column], amounts: dict[str, Column] | None = None) -> DataFrame:
+    """(counter, key, n): several counters over the rows in one pass. A null key isn't counted; a counter adds 1 for each
+    row unless amounts names what it adds."""
+    amounts = amounts or {}
+    each = [F.struct(F.lit(c).alias("counter"), k.cast("string").alias("key"), amounts.get(c, F.lit(1)).cast("long").alias("n")) for c, k in keys.items()]
+    return rows.select(F.explode(F.array(*each)).alias("_c")).filter("_c.key is not null").groupBy("_c.counter", "_c.key").agg(F.sum("_c.n").alias("n"))

@@ -210,23 +210,60 @@ def pair_schedule(events: DataFrame, cursor: str, pairs: int, repeats: int, font
     return made.withColumn("swapped", (F.col("pair") + F.col("font")) % 2 == 1)
 
 
-def inject_pairs(lines: DataFrame, bank: DataFrame, characters: str, repeats: int, fonts: int, seed: int) -> DataFrame:
-    """lines (line_id, granularity, text) -> the lines that get an event, with pair, place and the new text.
-
-    Eligible are lines of line and region rows with two neighbours of the class. They are shuffled, the first pairs * repeats
-    are taken, and a hashed one of a line's places is overwritten by the scheduled pair. bank: (pair, a, b), a bounded bank.
+def injection_lanes(lines: DataFrame, characters: str) -> DataFrame:
+    """The lines with two neighbours of the class, with their `places` and `lane`: anchor (of line and region rows), or, where
+    there is a layout_family, single_page and complex_page. Of a complex page only the first such line counts."""
+    found = lines.withColumn("places", t.adjacent_positions(F.col("text"), characters)).filter(F.size("places") > 0)
+    anchors = found.filter(F.col("granularity").isin("line", "region")).withColumn("lane", F.lit("anchor"))
+    if "layout_family" not in lines.columns:
+        return anchors
+    pages = found.filter(~F.col("granularity").isin("line", "region"))
+    single = pages.filter("layout_family = 'single_column_anchor'").withColumn("lane", F.lit("single_page"))
+    first = F.row_number().over(Window.partitionBy("row_id").orderBy("line_index"))
+    complex_pages = pages.filter("layout_family <> 'single_column_anchor'").withColumn("_n", first).filter("_n = 1").drop("_n").withColumn("lane", F.lit("complex_page"))
+    return anchors.unionByName(single).unionByName(complex_pages)
+
+
+def inject_pairs(lines: DataFrame, bank: DataFrame, characters: str, repeats: int, fonts: int, seed: int, complex_share: float = 0.0) -> DataFrame:
+    """lines (line_id, granularity, text) -> the lines that get an event, with lane, pair, place and the new text.
+
+    Anchor lines are shuffled and the first pairs * repeats taken, but for the share of the events that goes to complex pages
+    (one event a page; needs row_id, line_index and layout_family). A hashed one of a line's places is overwritten by the
+    scheduled pair. bank: (pair, a, b), a bounded bank.
     """
     total = bank.count()
-    places = lines.filter(F.col("granularity").isin("line", "region")).withColumn("_p", t.adjacent_positions(F.col("text"), characters)).filter(F.size("_p") > 0)
-    shuffled = places.withColumn("_o", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("line_id").cast("string")).cast("binary")))
-    taken = shuffled.orderBy("_o", "line_id").limit(total * repeats)
-    numbered = taken.withColumn("cursor", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_o", "line_id")) - 1)
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("line_id").cast("string")).cast("binary"))
+    lanes = injection_lanes(lines, characters).withColumn("_o", order)
+    anchors, pages, on_pages = lanes.filter("lane = 'anchor'"), lanes.filter("lane = 'complex_page'"), 0
+    chosen = total * repeats
+    if complex_share:
+        have = {r["lane"]: r["count"] for r in lanes.groupBy("lane").count().collect()}  # three lanes
+        chosen = min(chosen, have.get("anchor", 0))
+        on_pages = min(have.get("complex_page", 0), round(chosen * complex_share))
+    taken = anchors.orderBy("_o", "line_id").limit(chosen - on_pages)
+    if on_pages:
+        taken = taken.unionByName(pages.orderBy("_o", "line_id").limit(on_pages))
+    numbered = taken.withColumn("cursor", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("lane", "_o", "line_id")) - 1)
     order = permuted(bank.select("pair"), seed, "pair").select((F.col("place") - 1).cast("long").alias("ordered"), "pair")
     planned = pair_schedule(numbered, "cursor", total, repeats, fonts, order).join(bank, "pair")
-    place = F.element_at("_p", hashed_pick(F.size("_p"), seed, F.col("line_id"), "place") + 1)
+    place = F.element_at("places", hashed_pick(F.size("places"), seed, F.col("line_id"), "place") + 1)
     piece = F.when(F.col("swapped"), F.concat("b", "a")).otherwise(F.concat("a", "b"))
     made = planned.withColumn("position", place).withColumn("text", t.splice(F.col("text"), F.col("position"), piece, 2))
-    return made.select("line_id", "cursor", "pair", "font", "context_variant", "swapped", "position", "text")
+    return made.select("line_id", "lane", "cursor", "pair", "font", "context_variant", "swapped", "position", "text")
+
+
+def injection_counters(lanes: DataFrame, injected: DataFrame, target: int) -> DataFrame:
+    """One row: eligible lines, target, events, events on complex pages, and whether the target is reached (0 or 1)."""
+    eligible = lanes.select(F.lit(1).alias("e"), F.lit(0).alias("o"), F.lit(0).alias("c"))
+    events = injected.select(F.lit(0).alias("e"), F.lit(1).alias("o"), (F.col("lane") == "complex_page").cast("int").alias("c"))
+    total = [F.coalesce(F.sum(c), F.lit(0)) for c in "eoc"]
+    return eligible.union(events).agg(
+        total[0].alias("eligible_lines"),
+        F.lit(target).cast("long").alias("target_occurrences"),
+        total[1].alias("pair_occurrences"),
+        total[2].alias("complex_page_occurrences"),
+        (total[1] == target).cast("int").alias("full_target_reached"),
+    )
 
 
 def circled_repeats(split: str, rows: int) -> int:

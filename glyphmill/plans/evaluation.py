@@ -259,7 +259,7 @@ _SUMMARY = (
 )
 _SHOWN = ", ".join(f"CASE WHEN {c} IS NULL THEN '' ELSE printf('%.6f', {c}) END AS {c}" for c in ("ned", "ws_ned", "nfkc_ws_ned", "yi_ned", "han_ned"))
 _ACTIVE = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN flag_{k} THEN '{k}' END" for k in scoring.FLAGS) + "], lambda x: x IS NOT NULL), ',')"
-_DETAILS = f"SELECT sample_id, dist, {_SHOWN}, gt_len, pred_len, {_ACTIVE} AS flags FROM scored"
+_DETAILS = f"SELECT sample_id, dist::INT AS dist, {_SHOWN}, gt_len, pred_len, {_ACTIVE} AS flags FROM scored"
 _MESSAGES = "SELECT conv_id, arg_max(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id"
 
 ORACLES: dict[str, str] = {
@@ -272,7 +272,7 @@ SELECT a.conv_id, sha256(a.content) AS gt_sha, sha256(coalesce(r.answer, '')) AS
     "strict_assistant_violations": "SELECT conv_id, count(*) FILTER (role = 'assistant') AS n FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') <> 1",
     "flat_meta": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(source, '') ELSE '' END AS source_name, '' AS source_code, '' AS sample_type, coalesce(lang, '') AS script_mix, '' AS difficulty, '' AS scene, '' AS source_category, false AS has_digit, '' AS original_id FROM documents",
     "ned_rows": SCORED
-    + "SELECT sample_id, dist, "
+    + "SELECT sample_id, dist::INT AS dist, "
     + ", ".join(f"round({c}, 9) AS {c}" for c in ("ned", "ws_ned", "nfkc_ws_ned", "yi_ned", "han_ned"))
     + ", gt_len, pred_len, gt_yi_len, pred_yi_len, gt_han_len, pred_han_len, "
     + ", ".join(f"flag_{k}" for k in scoring.FLAGS)

@@ -59,7 +59,52 @@ def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inject_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line_id"), F.when(F.col("p_partkey") % 4 == 0, "page").otherwise("line").alias("granularity"), F.col("p_name").alias("text"))
     bank = spark.createDataFrame([(0, "A", "B"), (1, "C", "D"), (2, "E", "F")], "pair long, a string, b string")
-    return planning.inject_pairs(lines, bank, "a-z", 6, 3, SEED)
+    return planning.inject_pairs(lines, bank, "a-z", 6, 3, SEED).drop("lane")
+
+
+def _page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as lines, five to a row; every fourth row is a page, half of the pages of a single column."""
+    row = F.floor(F.col("p_partkey") / 5)
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("line_id"),
+        row.alias("row_id"),
+        (F.col("p_partkey") % 5).alias("line_index"),
+        F.when(row % 4 == 0, "page").otherwise("line").alias("granularity"),
+        F.when(row % 8 == 0, "single_column_anchor").otherwise("two_column_flow").alias("layout_family"),
+        F.col("p_name").alias("text"),
+    )
+
+
+def inject_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the events goes to complex pages."""
+    bank = spark.createDataFrame([(0, "A", "B"), (1, "C", "D"), (2, "E", "F")], "pair long, a string, b string")
+    return planning.inject_pairs(_page_rows(spark, sf_dir), bank, "a-z", 6, 3, SEED, 0.25)
+
+
+def injection_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.injection_counters(planning.injection_lanes(_page_rows(spark, sf_dir), "a-z"), inject_pages(spark, sf_dir), 18)
+
+
+def pair_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.when(F.col("pair") % 3 == 0, "tone_arc").otherwise("cluster_multifont")
+    kind = F.element_at(F.array(*map(F.lit, RATIO)), (F.col("cursor") % 3 + 1).cast("int"))
+    events = pair_schedule(spark, sf_dir).withColumn("source", source).withColumn("script_class", kind)
+    return histograms.grouping_sets(events, [["pair"], ["font"], ["pair", "font"], ["source"], ["script_class"]])
+
+
+def contract_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles, ink modes and capped classes of degraded rows, and their logical lines by profile."""
+    rows = degradation_plan(spark, sf_dir)
+    lines = F.col("p_partkey") % 4 + 1
+    keys = {"profiles": F.col("profile"), "ink_modes": F.col("ink_mode"), "flagged_classes": F.when(F.col("applied"), F.col("class_key")), "logical_lines": F.col("profile")}
+    return histograms.counters(rows, keys, {"logical_lines": lines})
+
+
+def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a split of additional rows holds: rows of both families, quotas of the first, pairs of the second by type."""
+    latin = histograms.counters(latin_plan(spark, sf_dir), {"rows": F.lit("latin"), "templates": F.col("template"), "environments": F.col("environment"), "granularities": F.col("granularity")})
+    residual = histograms.counters(residual_rows(spark, sf_dir), {"rows": F.lit("residual"), "pair_types": F.when(F.col("pair_role") == "clear", F.col("pair_type"))})
+    return latin.union(residual)
 
 
 def circled_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +222,8 @@ def block_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        quota_alloc, exact_plan, sample_plan, every_fifth, round_robin, seeded_permutation, pair_schedule, pair_summary, inject_pairs, circled_schedule, inject_circled, ab_schedule, schedule_balance,
-        context_lines, sampled_lines, page_layout, latin_plan, residual_rows, degradation_plan, font_coverage, unique_attempts, adjacent_positions, splice, visual_rows, char_offsets, page_lines, canvas_heights, block_texts,
+        quota_alloc, exact_plan, sample_plan, every_fifth, round_robin, seeded_permutation, pair_schedule, pair_summary, pair_histograms, inject_pairs, inject_pages, injection_counters, circled_schedule, inject_circled, ab_schedule, schedule_balance,
+        context_lines, sampled_lines, page_layout, latin_plan, residual_rows, split_summary, degradation_plan, contract_counters, font_coverage, unique_attempts, adjacent_positions, splice, visual_rows, char_offsets, page_lines, canvas_heights, block_texts,
     )
 }
 
@@ -228,4 +273,15 @@ SELECT page, id, line FROM f""",
     "latin_plan": sampling_sql.latin_plan(120, FIRST_POOL, SECOND_POOL, SEED),
     "residual_rows": sampling_sql.residual_rows("train", 40, FIRST_POOL, SECOND_POOL, SEED),
     "degradation_plan": sampling_sql.degradation_plan(CAPS, SEED),
+    "inject_pages": sampling_sql.inject_pages(SEED),
+    "injection_counters": sampling_sql.injection_counters(SEED),
+    "pair_histograms": """WITH e AS (SELECT c // 6 AS pair, c % 6 % 3 AS font, CASE WHEN c // 6 % 3 = 0 THEN 'tone_arc' ELSE 'cluster_multifont' END AS source, ['pure_yi', 'mixed', 'pure_common'][c % 3 + 1] AS script_class FROM range(600) t(c))
+SELECT 'pair' AS histogram, pair::VARCHAR AS key, count(*) AS n FROM e GROUP BY 2 UNION ALL SELECT 'font', font::VARCHAR, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'pairxfont', pair || '|' || font, count(*) FROM e GROUP BY 2
+UNION ALL SELECT 'source', source, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'script_class', script_class, count(*) FROM e GROUP BY 2""",
+    "contract_counters": f"""WITH d AS ({sampling_sql.degradation_plan(CAPS, SEED)})
+SELECT 'profiles' AS counter, profile AS key, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'ink_modes', ink_mode, count(*) FROM d WHERE ink_mode IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'flagged_classes', class_key, count(*) FROM d WHERE applied GROUP BY 2 UNION ALL SELECT 'logical_lines', profile, sum(p_partkey % 4 + 1)::BIGINT FROM d GROUP BY 2""",
+    "split_summary": f"""WITH l AS ({sampling_sql.latin_plan(120, FIRST_POOL, SECOND_POOL, SEED)}), r AS ({sampling_sql.residual_rows("train", 40, FIRST_POOL, SECOND_POOL, SEED)})
+SELECT 'rows' AS counter, 'latin' AS key, count(*) AS n FROM l UNION ALL SELECT 'templates', template, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'environments', environment, count(*) FROM l GROUP BY 2
+UNION ALL SELECT 'granularities', granularity, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'rows', 'residual', count(*) FROM r UNION ALL SELECT 'pair_types', pair_type, count(DISTINCT pair_id) FROM r GROUP BY 2""",
 }

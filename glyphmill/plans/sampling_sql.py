@@ -114,12 +114,37 @@ f AS (SELECT page, id, x, text, rn, y AS ay, h AS ah, 0 AS line FROM o WHERE rn
 SELECT page AS plan_index, line, string_agg(text, '' ORDER BY x, id) AS text FROM f GROUP BY page, line"""
 
 
+def _pair_events(chosen: str, seed: int) -> str:
+    """CTE e: the chosen lines (CTE c with cursor and places) with the pair that is due and its place."""
+    return f"""bank AS (SELECT pair, a, b, row_number() OVER (ORDER BY md5(concat_ws(':', {seed}, pair)), pair) - 1 AS ordered FROM (VALUES (0::BIGINT, 'A', 'B'), (1, 'C', 'D'), (2, 'E', 'F')) t(pair, a, b)), {chosen},
+e AS (SELECT c.*, pair, a, b, (cursor % 6 % 3)::INT AS font, (cursor % 6 // 3)::INT AS context_variant, (pair + cursor % 6 % 3) % 2 = 1 AS swapped, {_one("places", str(seed), "line_id", "'place'")}::INT AS position FROM c JOIN bank ON ordered = cursor // 6)"""
+
+
+_PLACES = "list_filter(range(0, greatest(length(p_name) - 1, 0)), lambda i: regexp_full_match(substr(p_name, i::INT + 1, 2), '[a-z]{2}')) AS places"
+_EVENT = "cursor::INT AS cursor, pair, font, context_variant, swapped, position, " + _splice("text", "position", "(CASE WHEN swapped THEN b || a ELSE a || b END)", 2) + " AS text FROM e"
+
+
 def inject_pairs(seed: int) -> str:
-    return f"""WITH bank AS (SELECT pair, a, b, row_number() OVER (ORDER BY md5(concat_ws(':', {seed}, pair)), pair) - 1 AS ordered FROM (VALUES (0::BIGINT, 'A', 'B'), (1, 'C', 'D'), (2, 'E', 'F')) t(pair, a, b)),
-p AS (SELECT p_partkey AS line_id, p_name AS text, list_filter(range(0, greatest(length(p_name) - 1, 0)), lambda i: regexp_full_match(substr(p_name, i::INT + 1, 2), '[a-z]{{2}}')) AS places FROM part WHERE p_partkey % 4 <> 0),
-c AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', {seed}, line_id)), line_id) - 1 AS cursor FROM p WHERE len(places) > 0),
-e AS (SELECT c.*, pair, a, b, (cursor % 6 % 3)::INT AS font, (cursor % 6 // 3)::INT AS context_variant, (pair + cursor % 6 % 3) % 2 = 1 AS swapped, {_one("places", str(seed), "line_id", "'place'")}::INT AS position FROM c JOIN bank ON ordered = cursor // 6)
-SELECT line_id, cursor::INT AS cursor, pair, font, context_variant, swapped, position, {_splice("text", "position", "(CASE WHEN swapped THEN b || a ELSE a || b END)", 2)} AS text FROM e"""
+    chosen = f"""p AS (SELECT p_partkey AS line_id, p_name AS text, {_PLACES} FROM part WHERE p_partkey % 4 <> 0),
+c AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', {seed}, line_id)), line_id) - 1 AS cursor FROM p WHERE len(places) > 0)"""
+    return f"WITH {_pair_events(chosen, seed)} SELECT line_id, {_EVENT}"
+
+
+def _on_pages(seed: int) -> str:
+    chosen = f"""p AS (SELECT p_partkey AS line_id, p_partkey // 5 AS row_id, p_partkey % 5 AS line_index, p_name AS text, CASE WHEN p_partkey // 5 % 4 <> 0 THEN 'anchor' WHEN p_partkey // 5 % 8 = 0 THEN 'single_page' ELSE 'complex_page' END AS lane, {_PLACES} FROM part),
+lanes AS (SELECT * FROM p WHERE len(places) > 0 QUALIFY lane <> 'complex_page' OR row_number() OVER (PARTITION BY row_id, lane ORDER BY line_index) = 1),
+n AS (SELECT least(18, count(*) FILTER (lane = 'anchor')) AS chosen, count(*) FILTER (lane = 'complex_page') AS pages FROM lanes), b AS (SELECT chosen, least(pages, round_even(chosen * 0.25::DOUBLE, 0)::BIGINT) AS on_pages FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY md5(concat_ws(':', {seed}, line_id)), line_id) AS rn FROM lanes),
+c AS (SELECT r.*, CASE WHEN lane = 'anchor' THEN rn - 1 ELSE chosen - on_pages + rn - 1 END AS cursor FROM r, b WHERE (lane = 'anchor' AND rn <= chosen - on_pages) OR (lane = 'complex_page' AND rn <= on_pages))"""
+    return f"WITH {_pair_events(chosen, seed)}"
+
+
+def inject_pages(seed: int) -> str:
+    return f"{_on_pages(seed)} SELECT line_id, lane, {_EVENT}"
+
+
+def injection_counters(seed: int) -> str:
+    return f"""{_on_pages(seed)} SELECT (SELECT count(*) FROM lanes) AS eligible_lines, 18::BIGINT AS target_occurrences, count(*) AS pair_occurrences, count(*) FILTER (lane = 'complex_page') AS complex_page_occurrences, (count(*) = 18)::INT AS full_target_reached FROM e"""
 
 
 def inject_circled(seed: int) -> str:

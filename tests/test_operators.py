@@ -175,6 +175,21 @@ def test_injection(spark):
         assert (chars[0] in "YW") == r["swapped"]
 
 
+def test_complex_pages_get_their_share(spark):
+    rows = [(i, i, 0, "line", "line_anchor", "abcd") for i in range(20)]
+    rows += [(100 + 10 * p + i, 100 + p, i, "page", family, "abcd" if i else "a1") for p, family in enumerate(["two_column_flow"] * 3 + ["single_column_anchor"]) for i in range(4)]
+    lines = spark.createDataFrame(rows, "line_id long, row_id long, line_index int, granularity string, layout_family string, text string")
+    bank = spark.createDataFrame([(0, "X", "Y"), (1, "Z", "W")], "pair long, a string, b string")
+    lanes = planning.injection_lanes(lines, "a-z")
+    assert Counter(r["lane"] for r in lanes.collect()) == {"anchor": 20, "single_page": 3, "complex_page": 3}
+    assert {r["line_index"] for r in lanes.filter("lane = 'complex_page'").collect()} == {1}
+    made = planning.inject_pairs(lines, bank, "a-z", 6, 3, 1, 0.25)
+    assert Counter(r["lane"] for r in made.collect()) == {"anchor": 9, "complex_page": 3}
+    assert tuple(planning.injection_counters(lanes, made, 12).first()) == (26, 12, 12, 3, 1)
+    few = lines.filter("line_id < 8 or granularity = 'page'")
+    assert Counter(r["lane"] for r in planning.inject_pairs(few, bank, "a-z", 6, 3, 1, 0.25).collect()) == {"anchor": 6, "complex_page": 2}
+
+
 def test_latin_plan_covers_the_alphabet(spark):
     rows = planning.latin_plan(spark, 100, 3).collect()
     assert "".join(sorted(r["lower_anchor"] for r in rows if r["lower_anchor"])) == "abcdefghijklmnopqrstuvwxyz"
@@ -228,6 +243,8 @@ def test_histograms(spark):
     assert {tuple(r) for r in histograms.events_by(rows, "k", F.when(F.col("k") == "a", F.col("v"))).collect()} == {("a", 2), ("b", 0)}
     domain = spark.createDataFrame([("a",), ("z",)], "symbol string")
     assert {tuple(r) for r in histograms.zero_filled(rows, "k", domain).collect()} == {("a", 1), ("z", 0)}
+    counted = histograms.counters(rows, {"k": F.col("k"), "size": F.when(F.col("k") == "a", "s")}, {"size": F.size("v")})
+    assert {tuple(r) for r in counted.collect()} == {("k", "a", 1), ("k", "b", 1), ("size", "s", 2)}
 
 
 def test_files(spark, tmp_path):
