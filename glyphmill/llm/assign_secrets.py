@@ -95,10 +95,13 @@ class Assignment(NamedTuple):
     value: str
 
 
-def assignments(text: str) -> list[Assignment]:
-    """Name-literal pairs of every line that has = or :, in order, with constants and concatenations propagated."""
+def assignments(text: str) -> Iterator[Assignment]:
+    """Name-literal pairs of every line that has = or :, in order, with constants and concatenations propagated.
+
+    A literal that reaches a name on several ways counts once in its value, so a value never outgrows the text however
+    often a name is added to itself; only the latest value of each name is held.
+    """
     known: dict[str, Assignment] = {}
-    found = []
     at = 0
     for line in text.split("\n"):
         begin, at = at, at + len(line) + 1
@@ -112,21 +115,17 @@ def assignments(text: str) -> list[Assignment]:
                 i += 1
                 continue
             target = name.text.strip("\"'`")
-            values, spans, j = [], [], i + 2
+            spans, j = [], i + 2
             while j < len(pieces):
                 piece = pieces[j]
                 if piece.kind == "string":
-                    values.append(piece.text[1:-1])
                     spans.append((piece.start + 1, piece.end - 1))
                 elif piece.kind == "number":
-                    values.append(piece.text)
                     spans.append((piece.start, piece.end))
                 elif piece.kind == "name" and piece.text in known:
-                    values.append(known[piece.text].value)
                     spans += known[piece.text].literals
                 elif piece.kind == "name" and j == i + 2 and not (j + 1 < len(pieces) and pieces[j + 1].kind == "op" and pieces[j + 1].text != "+"):
-                    values.append(piece.text)  # an unquoted literal of a configuration file
-                    spans.append((piece.start, piece.end))
+                    spans.append((piece.start, piece.end))  # an unquoted literal of a configuration file
                 else:
                     break
                 if j + 1 < len(pieces) and pieces[j + 1].text == "+":
@@ -134,12 +133,11 @@ def assignments(text: str) -> list[Assignment]:
                     continue
                 j += 1
                 break
-            if values:
-                one = Assignment(target, tuple(spans), "".join(values))
-                known[target] = one
-                found.append(one)
+            if spans:
+                literals = tuple(dict.fromkeys(spans))
+                known[target] = Assignment(target, literals, "".join(text[s:e] for s, e in literals))
+                yield known[target]
             i = max(j, i + 1)
-    return found
 
 
 def method_spans(text: str, threshold: float = 0.5) -> list[Span]:

@@ -146,3 +146,9 @@ def test_long_text_of_secrets():
     text = "x=1\n" * 50_000 + "a" * 200_000 + " " + "f" * 100_000
     base, _ = secrets.scan(text)
     assert [s.kind for s in base] == ["hex", "hex"]
+
+
+def test_a_name_added_to_itself_stays_bounded():
+    text = 'part = "Xq7Zt9Lm2"\n' + "part = part + part\n" * 200 + "db_password = part\n"
+    assert [(s.kind, text[s.start : s.end]) for s in secrets.scan(text)[1]] == [("literal", "Xq7Zt9Lm2")]
+    assert max(len(a.value) for a in secrets.assignments(text)) == 9
