@@ -24,6 +24,8 @@ from glyphmill.llm.components import connected_components, star_forest
 SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 5
 #: Rows that a task links, about; shards up to so many rows are compared together, in tables of so many cells.
 TASK_ROWS, SMALL_SHARD, TABLE_CELLS = 50_000, 128, 1 << 22
+#: A shard of more rows is dealt once more, by blocks of the bits that its rows needn't share.
+LARGE_SHARD = 8192
 
 
 def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
@@ -177,9 +179,21 @@ def _labels(parent: np.ndarray) -> np.ndarray:
         parent[:] = up
 
 
-def partition_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def sub_blocks(fps: np.ndarray, block: int, blocks: int = BLOCKS, radius: int = RADIUS) -> Iterator[np.ndarray]:
+    """For fingerprints that agree on the block: the values of radius + 1 blocks of their other bits. Two within the radius
+    differ in radius of those bits at most, so they agree on one of these blocks too."""
+    shift, width = block_bounds(blocks)[block]
+    above = fps >> np.uint64(shift + width) if shift + width < 64 else np.zeros_like(fps)
+    rest = (fps & np.uint64((1 << shift) - 1)) | (above << np.uint64(shift))
+    cuts = [(64 - width) * i // (radius + 1) for i in range(radius + 2)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        yield ((rest >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
+
+
+def partition_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS, deal_again: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The spanning forest of all shards of a partition. Small shards of like size are compared as one array of tables; a
-    large one goes through its vantage points by itself."""
+    larger one goes through its vantage points by itself, and a very large one, whose rows agree on a block, is first dealt
+    by the blocks of its other bits: comparisons grow with its square over about a thousand."""
     order = np.lexsort((fp, shard))
     shard, fp = shard[order], fp[order]
     starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))[: len(shard)]
@@ -200,16 +214,20 @@ def partition_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) ->
             found.append(star_forest(fp[at[g, i]], fp[at[g, j]]))
         width *= 2
     for own in np.flatnonzero(sizes > SMALL_SHARD).tolist():
-        found.append(shard_links(fp[starts[own] : starts[own] + sizes[own]].view(np.uint64), radius))
+        rows = fp[starts[own] : starts[own] + sizes[own]]
+        if deal_again and len(rows) > LARGE_SHARD and radius < blocks:
+            found += [partition_links(values, rows, radius, blocks, False) for values in sub_blocks(rows.view(np.uint64), int(shard[starts[own]]) % blocks, blocks, radius)]
+        else:
+            found.append(shard_links(rows.view(np.uint64), radius))
     u, v = (np.concatenate([x[n] for x in found]) if found else fp[:0] for n in (0, 1))
     return star_forest(u, v)
 
 
-def _link(radius: int):
+def _link(radius: int, blocks: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
         if held:
-            u, v = partition_links(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), radius)
+            u, v = partition_links(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), radius, blocks)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return link
@@ -217,9 +235,10 @@ def _link(radius: int):
 
 def fingerprint_components(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(fp, root) for every distinct fingerprint that links with another one; root names its component."""
-    parts = max(1, -(-blocks * fps.count() // TASK_ROWS))
+    shards = sum(1 << width for _, width in block_bounds(blocks)) if radius < blocks else 1 << 30
+    parts = min(shards, max(1, -(-blocks * fps.count() // TASK_ROWS)))
     dealt = fps.select("fp").distinct().mapInArrow(_deal(blocks, radius), "shard long, fp long")
-    edges = dealt.repartition(parts, "shard").mapInArrow(_link(radius), "u long, v long")
+    edges = dealt.repartition(parts, "shard").mapInArrow(_link(radius, blocks), "u long, v long")
     return connected_components(edges).select(F.col("node").alias("fp"), "root")
 
 

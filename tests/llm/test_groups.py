@@ -115,6 +115,25 @@ def test_simhash_rows(spark):
     assert {r["component_id"] for r in simhash_vp.op10_simhash_vp(long).collect()} == {1, 2}
 
 
+@pytest.mark.parametrize("block", range(5))
+def test_very_large_shards_lose_no_link(block):
+    rng = np.random.default_rng(block)
+    shift, width = simhash_vp.block_bounds(5)[block]
+    base = rng.integers(0, 1 << 63, 9000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 9000, dtype=np.uint64)
+    free = [b for b in range(64) if not shift <= b < shift + width]
+    near = base[:1500].copy()
+    for i, n in enumerate(rng.integers(1, 6, len(near)).tolist()):
+        for b in rng.choice(free, n, replace=False).tolist():
+            near[i] ^= np.uint64(1 << b)
+    fps = np.concatenate([base, near])
+    mask = np.uint64(((1 << width) - 1) << shift)
+    fps = np.unique((fps & ~mask) | (np.uint64(5 << shift) & mask))
+    assert len(fps) > simhash_vp.LARGE_SHARD
+    again = simhash_vp.partition_links(np.full(len(fps), 35 + block), fps.view(np.int64))
+    plain = simhash_vp.shard_links(fps)
+    assert len(again[0]) > 1000 and {*zip(*(x.tolist() for x in again), strict=True)} == {*zip(*(x.tolist() for x in plain), strict=True)}
+
+
 def test_partition_links_equal_brute_force():
     """Shards of 1 to 300 rows in one partition: the forest joins what brute force joins within shards."""
     rng = np.random.default_rng(12)
