@@ -22,8 +22,8 @@ from glyphmill.llm.curriculum_mix import words
 
 #: Permitted sequence lengths, and what opening a bin costs beside its length, in words.
 CAPACITIES, OPENING = (512, 1024, 2048, 4096, 8192), 32
-#: Pieces of a rank group (rows that one window sorts), about.
-GROUP_ROWS = 20_000
+#: Pieces of a rank group (equal lengths that one window sorts), about.
+GROUP_ROWS = 1_000
 
 
 class Plan:
@@ -126,16 +126,16 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, opening: int
     Null and wordless texts have one piece of length 0 in no bin (nulls). Repeated rows and null doc_ids are packed like
     others; further columns are ignored; an empty table gives an empty one. The driver holds the histogram and the plan:
     at most the largest capacity's number of lengths. Ranks among equal lengths are counts by hash group, then a window
-    within the group, so a common length is spread over all tasks.
+    within the group. Each length has as many groups as its pieces need, so a common length is spread over all tasks and
+    rare ones take a group each.
     """
     largest = max(capacities)
     cut = materialise(pieces(docs, largest), "pieces")
-    total = cut.count()
-    groups = max(1, -(-total // GROUP_ROWS))
-    cut = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    per_group = cut.groupBy("length", "g").count()
-    histogram = {r["length"]: r["n"] for r in per_group.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # one row a length
+    histogram = dict(cut.groupBy("length").count().collect())  # one row a length
     planned = plan(histogram, capacities, opening)
+    groups = cut.sparkSession.createDataFrame([(n, -(-count // GROUP_ROWS)) for n, count in histogram.items()], "length long, groups long")
+    cut = cut.join(F.broadcast(groups), "length").withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), "groups"))
+    per_group = cut.groupBy("length", "g").count()
     earlier = Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_group.select(F.col("length").alias("_l"), F.col("g").alias("_g"), F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("_l", "_g").orderBy("doc_id", "piece")

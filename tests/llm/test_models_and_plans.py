@@ -254,6 +254,14 @@ def test_packing(spark):
     assert bestfit_pack.op6_bestfit_pack(docs.limit(0)).count() == 0
 
 
+def test_common_length_is_ranked_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(bestfit_pack, "GROUP_ROWS", 16)
+    docs = spark.createDataFrame([(i, "w " * (7 if i % 3 else i % 40), "en", "s", 1) for i in range(900)], DOCS)
+    rows = bestfit_pack.op6_bestfit_pack(docs).collect()
+    check_bins(rows)
+    assert len(rows) == 900 and sum(r["length"] == 7 for r in rows) >= 600
+
+
 def test_plan_places_every_piece():
     rng = np.random.default_rng(3)
     histogram = {int(n): int(c) for n, c in zip(rng.integers(1, 8193, 300), rng.integers(1, 500, 300), strict=True)} | {1: 10_000, 8192: 7}
