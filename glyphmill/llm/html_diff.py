@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -325,9 +326,16 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of the marked rows among the partitions' first and last rows, in the order of the partitions."""
-    pages = list(_pages(batches))
-    out = [here.result(pages[i - 1] if i else None, pages[i + 1] if i + 1 < len(pages) else None) for i, here in enumerate(pages) if here.row["edge"]]
+    """Results of the marked rows among the partitions' first and last rows, in the order of the partitions; three rows are held."""
+    before = here = None
+    out: list[tuple] = []
+    for page in chain(_pages(batches), [None]):
+        if here is not None and here.row["edge"]:
+            out.append(here.result(before, page))
+            if len(out) >= 256:
+                yield _emit(out)
+                out = []
+        before, here = here, page
     yield _emit(out)
 
 
