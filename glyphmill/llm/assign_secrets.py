@@ -89,17 +89,42 @@ def _lex(region: str, at: int) -> Iterator[_Piece]:
             yield _Piece(m.lastgroup or "other", m[0], at + m.start(), at + m.end())
 
 
-class Assignment(NamedTuple):
-    name: str
-    literals: tuple[tuple[int, int], ...]  # spans of the value, without quotes; several after propagation
-    value: str
+class Assignment:
+    """A name and what its value is built from: spans of literals, without quotes, and earlier assignments, which aren't copied."""
+
+    __slots__ = ("name", "parts", "text")
+
+    def __init__(self, name: str, parts: list[tuple[int, int] | Assignment], text: str) -> None:
+        parts = tuple(dict.fromkeys(parts))
+        self.name, self.text = name, text
+        self.parts = parts[0].parts if len(parts) == 1 and isinstance(parts[0], Assignment) else parts
+
+    @property
+    def literals(self) -> tuple[tuple[int, int], ...]:
+        """All literals that reach the name, in order, each once."""
+        found: dict[tuple[int, int], None] = {}
+        seen, open_parts = set(), [iter(self.parts)]
+        while open_parts:
+            part = next(open_parts[-1], None)
+            if part is None:
+                open_parts.pop()
+            elif not isinstance(part, Assignment):
+                found[part] = None
+            elif id(part) not in seen:
+                seen.add(id(part))
+                open_parts.append(iter(part.parts))
+        return tuple(found)
+
+    @property
+    def value(self) -> str:
+        return "".join(self.text[s:e] for s, e in self.literals)
 
 
 def assignments(text: str) -> Iterator[Assignment]:
     """Name-literal pairs of every line that has = or :, in order, with constants and concatenations propagated.
 
     A literal that reaches a name on several ways counts once in its value, so a value never outgrows the text however
-    often a name is added to itself; only the latest value of each name is held.
+    often a name is added to itself; values are put together only when they are asked for, so memory is linear in the text.
     """
     known: dict[str, Assignment] = {}
     at = 0
@@ -123,7 +148,7 @@ def assignments(text: str) -> Iterator[Assignment]:
                 elif piece.kind == "number":
                     spans.append((piece.start, piece.end))
                 elif piece.kind == "name" and piece.text in known:
-                    spans += known[piece.text].literals
+                    spans.append(known[piece.text])
                 elif piece.kind == "name" and j == i + 2 and not (j + 1 < len(pieces) and pieces[j + 1].kind == "op" and pieces[j + 1].text != "+"):
                     spans.append((piece.start, piece.end))  # an unquoted literal of a configuration file
                 else:
@@ -134,8 +159,7 @@ def assignments(text: str) -> Iterator[Assignment]:
                 j += 1
                 break
             if spans:
-                literals = tuple(dict.fromkeys(spans))
-                known[target] = Assignment(target, literals, "".join(text[s:e] for s, e in literals))
+                known[target] = Assignment(target, spans, text)
                 yield known[target]
             i = max(j, i + 1)
 

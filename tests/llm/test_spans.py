@@ -152,3 +152,10 @@ def test_a_name_added_to_itself_stays_bounded():
     text = 'part = "Xq7Zt9Lm2"\n' + "part = part + part\n" * 200 + "db_password = part\n"
     assert [(s.kind, text[s.start : s.end]) for s in secrets.scan(text)[1]] == [("literal", "Xq7Zt9Lm2")]
     assert max(len(a.value) for a in secrets.assignments(text)) == 9
+
+
+def test_chains_of_names_stay_linear():
+    lines = ['v0 = "Xq7Zt9Lm2"'] + [f'v{i} = v{i - 1} + "k{i}"' for i in range(1, 20_000)] + ["db_password = v19999"]
+    text = "\n".join(lines)
+    found = secrets.method_spans(text)
+    assert len(found) == 20_000 and text[found[0].start : found[0].end] == "Xq7Zt9Lm2"
