@@ -9,10 +9,11 @@ navigation, headers, footers, sidebars, adverts, forms, scripts, styles and comm
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -224,27 +225,55 @@ def _line_hashes(lines: list[tuple[str, int]]) -> np.ndarray:
 
 
 #: What a page sends on: its lines that may stay (roles, texts) and the hashes of all its lines, not its markup.
-_PARSED = "page_id long, url string, host string, path string, roles binary, hashes binary, texts array<string>"
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
-            found = [lines_of(p) for p in batch.column(2).to_pylist()]
-            keys = [url_key(u) for u in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([k[0] for k in keys], pa.string()),
-                    pa.array([k[1] for k in keys], pa.string()),
-                    pa.array([bytes(role for _, role in lines) for lines in found], pa.binary()),
-                    pa.array([_line_hashes(lines).tobytes() for lines in found], pa.binary()),
-                    pa.array([[line for line, role in lines if role] for lines in found], pa.list_(pa.string())),
-                ],
-                ["page_id", "url", "host", "path", "roles", "hashes", "texts"],
-            )
+_PARSED = "part int, page_id long, url string, host string, path string, roles binary, hashes binary, texts array<string>"
+#: Sampled keys for each range of the sort.
+KEYS_A_RANGE = 40
+
+
+def _key(host: str, path: str, page_id: int | None) -> tuple:
+    """The order of the pages; it agrees with Spark's (nulls first, texts by code points)."""
+    return host, path, page_id is not None, page_id or 0
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [url_key(u) for u in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string())], ["page_id", "host", "path"])
+
+
+def range_bounds(pages: DataFrame, parts: int) -> list[tuple]:
+    """At most parts - 1 keys of pages that cut them into ranges of about equal size, from KEYS_A_RANGE sampled keys a range.
+    The html isn't read. A range holds its own bound, so none but the last can be empty; no result depends on the cuts."""
+    if parts < 2:
+        return []
+    keys = pages.select(F.col("page_id").cast("long"), "url").mapInArrow(_keys, "page_id long, host string, path string")
+    sample = sorted(_key(r["host"], r["path"], r["page_id"]) for r in keys.orderBy(F.rand(1)).limit(parts * KEYS_A_RANGE).collect())
+    return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+
+
+def _parse(bounds: list[tuple]):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                found = [lines_of(p) for p in batch.column(2).to_pylist()]
+                keys = [url_key(u) for u in batch.column(1).to_pylist()]
+                parts = [bisect.bisect_left(bounds, _key(host, path, page_id)) for (host, path), page_id in zip(keys, batch.column(0).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(parts, pa.int32()),
+                        batch.column(0),
+                        batch.column(1),
+                        pa.array([k[0] for k in keys], pa.string()),
+                        pa.array([k[1] for k in keys], pa.string()),
+                        pa.array([bytes(role for _, role in lines) for lines in found], pa.binary()),
+                        pa.array([_line_hashes(lines).tobytes() for lines in found], pa.binary()),
+                        pa.array([[line for line, role in lines if role] for lines in found], pa.list_(pa.string())),
+                    ],
+                    ["part", "page_id", "url", "host", "path", "roles", "hashes", "texts"],
+                )
+
+    return parse
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -284,11 +313,11 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[_Page]:
 
 
 def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of all rows of a sorted partition but its first and last, which have a neighbour elsewhere."""
+    """Results of all rows of each sorted range but its first and last, which have a neighbour elsewhere."""
     before = here = None
     out: list[tuple] = []
     for page in _pages(batches):
-        if before is not None:
+        if before is not None and before.row["part"] == here.row["part"] == page.row["part"]:
             out.append(here.result(before, page))
             if len(out) >= 256:
                 yield _emit(out)
@@ -297,41 +326,38 @@ def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _emit(out)
 
 
-_EDGE = "edge boolean, at int, place int, " + _PARSED
+_EDGE = "edge boolean, goes int, place int, " + _PARSED
+_EDGE_ARROW = [pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+_EDGE_NAMES = ["edge", "goes", "place", "part", "page_id", "url", "host", "path", "roles", "hashes", "texts"]
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first two and the last two rows of a sorted partition, the outermost marked."""
-    from pyspark import TaskContext
-
-    first: list[_Page] = []
-    last: list[_Page] = []
-    n = 0
-    for page in _pages(batches):
-        n += 1
-        if len(first) < 2:
-            first.append(page)
-        last = [*last[-1:], page]
-    part = TaskContext.get().partitionId()
-    rows = list({id(p): p for p in [*first, *last]}.values())
-    if not rows:
-        return
-    names = ["page_id", "url", "host", "path", "roles", "hashes", "texts"]
-    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string())]
-    outer = {id(rows[0]), id(rows[-1])}
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([id(p) in outer for p in rows]), pa.array([part] * len(rows), pa.int32()), pa.array(range(len(rows)), pa.int32()), *(pa.array([p.row[n] for p in rows], t) for n, t in zip(names, types, strict=True))],
-        ["edge", "at", "place", *names],
-    )
+    """The first two and the last two rows of each sorted range for its own group, the outermost marked, and those for the
+    groups of the ranges beside it: six rows a group."""
+    for part, pages in groupby(_pages(batches), key=lambda page: page.row["part"]):
+        first: list[_Page] = []
+        last: list[_Page] = []
+        for page in pages:
+            if len(first) < 2:
+                first.append(page)
+            last = [*last[-1:], page]
+        own = list({id(p): p for p in [*first, *last]}.values())
+        rows = [(page in (own[0], own[-1]), part, i, page) for i, page in enumerate(own)] + [(False, part - 1, 0, own[0]), (False, part + 1, 0, own[-1])]
+        columns = [*([r[i] for r in rows] for i in range(3)), *([r[3].row[n] for r in rows] for n in _EDGE_NAMES[3:])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _EDGE_ARROW, strict=True)], _EDGE_NAMES)
 
 
 def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of the marked rows among the partitions' first and last rows, in the order of the partitions; three rows are held."""
+    """Results of the marked rows of each group, in the order of the ranges; three rows are held."""
     before = here = None
     out: list[tuple] = []
+
+    def beside(page: _Page | None) -> _Page | None:
+        return page if page is not None and page.row["goes"] == here.row["goes"] else None
+
     for page in chain(_pages(batches), [None]):
         if here is not None and here.row["edge"]:
-            out.append(here.result(before, page))
+            out.append(here.result(beside(before), beside(page)))
             if len(out) >= 256:
                 yield _emit(out)
                 out = []
@@ -344,14 +370,15 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html gives an empty text; a null or unreadable url has no neighbour; repeated rows are skipped as partners, so a
     copy never deletes its original; further columns are ignored; an empty table gives an empty one. One shuffle: a range
-    sort by host and path, which splits a large host over many tasks. The few rows at the partitions' edges (four for
-    each partition) meet in one more task.
+    sort by host and path, which splits a large host over many tasks. The few rows at the ranges' edges meet the ones
+    beside them in groups, one for each range.
     """
-    parsed = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse, _PARSED)
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = parsed.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "hashes")
+    bounds = range_bounds(pages, parts)
+    parsed = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse(bounds), _PARSED)
+    placed = parsed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "host", "path", "page_id", "hashes")
     inner = placed.mapInArrow(_inner, _RESULT)
-    edges = placed.mapInArrow(_edges, _EDGE).repartition(1).sortWithinPartitions("at", "place").mapInArrow(_join_edges, _RESULT)
+    edges = placed.mapInArrow(_edges, _EDGE).repartition("goes").sortWithinPartitions("goes", "part", "place").mapInArrow(_join_edges, _RESULT)
     return inner.unionByName(edges)
 
 

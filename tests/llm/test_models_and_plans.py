@@ -220,6 +220,21 @@ def test_every_byte_is_read():
     assert b"".join(byte_gru.windows(word)) == b" " + word.encode() + b" "
 
 
+@pytest.mark.parametrize("parts", ["3", "40"])
+def test_extraction_does_not_depend_on_the_ranges(spark, parts):
+    """Cached pages keep Spark from reusing the exchange of the two branches; no row may be lost or lose its neighbour."""
+    pages = table(spark, SF, "pages").limit(150).cache()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        whole = sorted(map(str, html_diff.extract(pages).collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert sorted(map(str, html_diff.extract(pages).collect())) == whole and len(whole) == pages.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        pages.unpersist()
+
+
 # -- packing -------------------------------------------------------------------------------------------------------
 
 
