@@ -242,12 +242,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def range_bounds(pages: DataFrame, parts: int) -> list[tuple]:
-    """At most parts - 1 keys of pages that cut them into ranges of about equal size, from KEYS_A_RANGE sampled keys a range.
+    """At most parts - 1 keys of pages that cut them into ranges of about equal size, from about KEYS_A_RANGE sampled keys a range.
     The html isn't read. A range holds its own bound, so none but the last can be empty; no result depends on the cuts."""
     if parts < 2:
         return []
-    keys = pages.select(F.col("page_id").cast("long"), "url").mapInArrow(_keys, "page_id long, host string, path string")
-    sample = sorted(_key(r["host"], r["path"], r["page_id"]) for r in keys.orderBy(F.rand(1)).limit(parts * KEYS_A_RANGE).collect())
+    share = parts * KEYS_A_RANGE / max(1, pages.count())
+    some = pages.select(F.col("page_id").cast("long"), "url").filter(F.rand(1) < share)  # a task sends its share of the sample only
+    keys = some.mapInArrow(_keys, "page_id long, host string, path string").collect()
+    sample = sorted(_key(r["host"], r["path"], r["page_id"]) for r in keys)
     return sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
 
 
