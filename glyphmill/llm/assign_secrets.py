@@ -42,18 +42,37 @@ HARMLESS = {"name": 0.5, "file": 0.5, "path": 0.5, "type": 0.5, "length": 0.7, "
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|none|null|true|false|undefined|example|changeme|change_me|todo|your[_-].*|<.*>|\$\{.*\}|%\(.*\).*|\{\{.*\}\})$")
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.\-][A-Za-z0-9_$]+)*"
-_TOKEN = re.compile(
-    rf"""
-      (?P<comment>(?://|\#)[^\n]*)
-    | (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)
-    | (?P<op>:=|=>|==|!=|<=|>=|=|:|\+)
-    | (?P<name>{_NAME})
-    | (?P<number>[0-9][A-Za-z0-9+/_.=-]*)
-    | (?P<newline>\n)
-    | (?P<other>[^\s\w])
-    """,
-    re.VERBOSE,
+_WORD_AT = re.compile(_NAME)
+#: Operators; those of the first group assign nothing.
+_OP = re.compile(r"(?P<none>={2,}|[!<>]=|=~|::+)|:=|=>|(?:\+|\?\??|\|\|)?=|:")
+#: What stands before an operator, read backwards: a subscript's end, then a quoted or a bare name.
+_BEFORE = re.compile(r"[ \t]*[?!]?(?:\][^\[\]\"'`\n]*\[|\][ \t]*(?=[\"'`]))?[ \t]*(?:(?P<quote>[\"'`])|(?P<name>[A-Za-z0-9_$]+(?:[.\-][A-Za-z0-9_$]+)*))")
+_TYPED = re.compile(rf"\s*(?:export\s+)?(?:var|const)\s+({_NAME})\s+[*\[\]\w.]+\s*\Z")  # Go: the type stands after the name
+_UNIT = r"[&*]*(?:'\w+[ ]+)?(?:(?:mut|const|dyn)[ ]+)?[A-Za-z_][\w.]*+(?:<[^=\n]{0,200}>|\[[^=\n]{0,200}\])*[?!]?"
+_ANNOTATION = re.compile(rf"[ \t]*{_UNIT}(?:[ \t]*[|&][ \t]*{_UNIT}){{0,20}}(?:[ \t]+=(?![=>~])[ \t]*(?=\S)|=(?=[A-Za-z@$]{{0,2}}[\"'`]))")
+_STRING = re.compile(
+    r"""(?:[A-Za-z]{1,2}|[@$]{1,2})?(?:\"\"\"(?P<t>.*?)\"\"\"|\'\'\'(?P<u>.*?)\'\'\'|"(?P<d>[^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'(?P<s>[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|`(?P<b>[^`\\]*+(?:\\.[^`\\]*+)*+)`)""",
+    re.DOTALL,
 )
+#: A quoted value over several lines; its end is followed by nothing or by a separator.
+_LINES = re.compile(r"""(?:"(?P<d>[^"\\]*+(?:\\.[^"\\]*+)*+)"|'(?P<s>[^'\\]*+(?:\\.[^'\\]*+)*+)')(?=[ \t]*(?:[,;)\]}+\n]|\Z))""", re.DOTALL)
+_BLOCK = re.compile(r"[ \t]*[|>][+\-0-9]{0,2}[ \t]*(?:\#[^\n]*)?\n")
+_GAP = re.compile(r"(?:[ \t]|\\\r?\n)*")
+_NEXT_LINE = re.compile(r"\s*(?:\(\s*)*(?=[A-Za-z@$]{0,2}[\"'`])")
+_NEXT_BARE = re.compile(r"[ \t]*\r?\n([ \t]+)(?=[^\s\"'`#\-][^\s]*[ \t]*(?:\r?\n|\Z))")
+_PLUS = re.compile(r"(?:\s|\\\n)*\+(?:\s|\\\n)*")
+_BESIDE = re.compile(r"(?:\s|\\\n)*(?=[A-Za-z@$]{0,2}[\"'`])")
+_KEY_AFTER = re.compile(r"[ \t]*(?::|=)")
+_RUN_END = re.compile(r"\s|\Z")
+#: What ends an unquoted value within a run: a separator before a space, a quote, a bracket or the next pair; a closing tag.
+_SEPARATOR = re.compile(rf"[,;](?=\s|\Z|[\"'`()\[\]{{}}]|{_NAME}[ ]?[=:])|</")
+_CALL = re.compile(rf"{_NAME}(?:(?:->|::)[\w$]+)*(?:\([^\n]{{0,300}}?\)|\[[^\n]{{0,300}}?\])(?![^\s;,.)\]}}(\[])")
+_NUMBER = re.compile(r"[0-9][A-Za-z0-9+/_.=-]*")
+_REF_END = re.compile(r"[ \t]*(?:\+|[;,)\]}]|\r?\n|\Z|[ \t](?!\S*[=:]))")
+_CHAINED = re.compile(r"[ \t]+(?::=|=(?![=>~]))")
+_PROSE = re.compile(r"[^\W\d_]+[.!?]+")
+_WRAP = re.compile(r"\\?\r?\n[ \t]*")
+_CLOSERS = {")": "(", "]": "[", "}": "{", ">": "<"}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -76,19 +95,6 @@ def literal_score(text: str) -> float:
     return spaced * min(1.0, entropy / 3.5) * min(1.0, 0.4 + 0.3 * (classes - 1) if classes else 0.0)
 
 
-class _Piece(NamedTuple):
-    kind: str
-    text: str
-    start: int
-    end: int
-
-
-def _lex(region: str, at: int) -> Iterator[_Piece]:
-    for m in _TOKEN.finditer(region):
-        if m.lastgroup != "comment":
-            yield _Piece(m.lastgroup or "other", m[0], at + m.start(), at + m.end())
-
-
 class Assignment:
     """A name and what its value is built from: spans of literals, without quotes, and earlier assignments, which aren't copied."""
 
@@ -117,51 +123,204 @@ class Assignment:
 
     @property
     def value(self) -> str:
-        return "".join(self.text[s:e] for s, e in self.literals)
+        """The literals together; where one is wrapped, the line breaks aren't part of it."""
+        return "".join(_WRAP.sub("", self.text[s:e]) for s, e in self.literals)
+
+
+class _Values:
+    """Reads what stands after an operator. Ends that were found are kept, so the values of a text take linear time together."""
+
+    def __init__(self, text: str, known: dict[str, Assignment]) -> None:
+        self.text, self.known = text, known
+        self.run_from = self.run_to = self.cut_from = self.cut_at = -1
+        self.open = dict.fromkeys(('"""', "'''", '"', "'", "`"), len(text))  # from there on a quote isn't closed any more
+
+    def string(self, at: int, lines: bool = False) -> tuple[tuple[int, int], int] | None:
+        """(span without quotes and outer space, end) of the string literal at `at`."""
+        begin = at
+        while begin < len(self.text) and begin < at + 3 and self.text[begin] not in "\"'`":
+            begin += 1
+        mark = self.text[begin : begin + 1]
+        if not mark or mark not in "\"'`":
+            return None
+        if mark * 3 in self.open and self.text.startswith(mark * 3, begin):
+            mark *= 3
+        if lines and begin >= self.open[mark]:
+            return None
+        m = _STRING.match(self.text, at)
+        if m is None and lines and begin == at:
+            m = _LINES.match(self.text, at)
+            if m is None and self.text.find(mark, begin + len(mark)) < 0:
+                self.open[mark] = min(self.open[mark], begin)
+        if m is None:
+            return None
+        s, e = m.span(m.lastgroup)
+        if len(mark) == 3 or "\n" in self.text[s:e]:
+            e -= len(self.text[s:e]) - len(self.text[s:e].rstrip())
+            s += len(self.text[s:e]) - len(self.text[s:e].lstrip())
+        return (s, e), m.end()
+
+    def run(self, at: int) -> int:
+        """Where the unquoted value at `at` ends: at white space, or at a separator that something follows."""
+        if not self.run_from <= at <= self.run_to:
+            self.run_from, self.run_to = at, _RUN_END.search(self.text, at).start()
+        if not self.cut_from <= at <= self.cut_at:
+            m = _SEPARATOR.search(self.text, at, min(len(self.text), self.run_to + 1))
+            self.cut_from, self.cut_at = at, m.start() if m and m.start() < self.run_to else self.run_to
+        return min(self.run_to, self.cut_at)
+
+    def bare(self, at: int, query: bool) -> tuple[int, int] | None:
+        """The span of an unquoted value, without closing quotes and brackets that were opened before it."""
+        s, e = at, self.run(at)
+        if query:  # a parameter of an address
+            e = min(e, *(x if x >= 0 else e for x in (self.text.find(c, s, e) for c in "&#")))
+        if s < e and self.text[s] in "\"'`":  # the quote isn't closed
+            s += 1
+        if _CALL.match(self.text, s):
+            return None
+        value = self.text[s:e]
+        while value and (c := value[-1]) in "\"'`)]}>":
+            if c in _CLOSERS and value.count(c) <= value.count(_CLOSERS[c]) or c not in _CLOSERS and value.count(c) % 2 == 0:
+                break
+            value = value[:-1]
+        if _PROSE.fullmatch(value):
+            value = value.rstrip(".!?")
+        return (s, s + len(value)) if value else None
+
+    def block(self, at: int, indent: int) -> tuple[list[tuple[int, int]], int]:
+        """The lines of a block scalar: those that are indented further than its name."""
+        spans = []
+        while at < len(self.text):
+            e = self.text.find("\n", at)
+            e = e if e >= 0 else len(self.text)
+            line = self.text[at:e]
+            if line.strip():
+                if len(line) - len(line.lstrip(" \t")) <= indent:
+                    break
+                spans.append((at + len(line) - len(line.lstrip()), at + len(line.rstrip())))
+            at = e + 1
+        return spans, at
+
+    def parts(self, at: int, op: str, indent: int, query: bool) -> tuple[list[tuple[int, int] | Assignment], int, int]:
+        """(what the value is built from, where it begins, where it ends)."""
+        text = self.text
+        if op == ":":
+            if m := _BLOCK.match(text, at):
+                spans, end = self.block(m.end(), indent)
+                return spans, m.end(), end
+            if m := _ANNOTATION.match(text, at):
+                at = m.end()
+        at = _GAP.match(text, at).end()
+        within = False
+        if at < len(text) and text[at] in "\r\n(" and (m := _NEXT_LINE.match(text, at)) and m[0].count("\n") < 3:
+            first = self.string(m.end())
+            if "(" in m[0] or first and not _KEY_AFTER.match(text, first[1]):
+                within, at = "(" in m[0], m.end()
+        if op == ":" and (m := _NEXT_BARE.match(text, at)) and len(m[1].expandtabs()) > indent:
+            at = m.end()
+        begin = at
+        spans: list[tuple[int, int] | Assignment] = []
+        while at < len(text):
+            found = self.string(at, lines=not spans)
+            name = None if found else _WORD_AT.match(text, at)
+            if found:
+                spans.append(found[0])
+                at = found[1]
+            elif name and name[0] in self.known and _REF_END.match(text, name.end()):
+                spans.append(self.known[name[0]])
+                at = name.end()
+            elif name and (plus := _PLUS.match(text, name.end())) and (plus[0] != "+" or _STRING.match(text, plus.end())):
+                at = name.end()  # a name without a known value
+            elif at == begin:
+                if text[at].isspace() or name and _CHAINED.match(text, name.end()):
+                    return [], begin, begin
+                bare = self.bare(at, query)
+                if bare is None:
+                    return [], begin, begin
+                spans.append(bare)
+                at = bare[1]
+            elif m := _NUMBER.match(text, at):
+                spans.append(m.span())
+                at = m.end()
+            else:
+                break
+            if m := _PLUS.match(text, at):
+                at = m.end()
+                continue
+            m = _BESIDE.match(text, at) if found else None
+            if m is None or m[0] == "" and not text[at : at + 1] in ("\"", "'"):
+                break
+            if "\n" in m[0] and not within and "\\\n" not in m[0]:
+                if len(m[0].rsplit("\n", 1)[1].expandtabs()) <= indent:
+                    break
+            beside = self.string(m.end())
+            if beside is None or _KEY_AFTER.match(text, beside[1]):
+                break
+            at = m.end()
+        return spans, begin, at
+
+
+def _name_before(text: str, begin: int, end: int) -> tuple[str, int] | None:
+    """(the name that ends before `end`, its first position), looking back to `begin`."""
+    part = text[begin:end]
+    if typed := _TYPED.match(part):
+        return typed[1], begin + typed.start(1)
+    m = _BEFORE.match(part[::-1])
+    if m is None:
+        return None
+    if m["quote"]:
+        close = len(part) - m.end()
+        open_ = part.rfind(m["quote"], 0, close)
+        name = part[open_ + 1 : close] if open_ >= 0 else (re.search(r"[\w$.\-]*\Z", part[:close]) or [""])[0]
+        return (name, begin + close - len(name)) if name else None
+    name = m["name"][::-1]
+    start = _WORD_AT.search(name)
+    return (name[start.start() :], end - m.end() + start.start()) if start else None
 
 
 def assignments(text: str) -> Iterator[Assignment]:
-    """Name-literal pairs of every line that has = or :, in order, with constants and concatenations propagated.
+    """Name-literal pairs in order, in code, configuration, strings and comments, with constants and concatenations propagated.
 
-    A literal that reaches a name on several ways counts once in its value, so a value never outgrows the text however
-    often a name is added to itself; values are put together only when they are asked for, so memory is linear in the text.
+    A value is one or more strings (also triple-quoted, over several lines or continued), names of known values, a block
+    scalar, or an unquoted run up to white space. Type annotations are stepped over. A literal that reaches a name on
+    several ways counts once in its value, so a value never outgrows the text however often a name is added to itself;
+    values are put together only when they are asked for, so memory is linear in the text.
     """
     known: dict[str, Assignment] = {}
-    at = 0
-    for line in text.split("\n"):
-        begin, at = at, at + len(line) + 1
-        if "=" not in line and ":" not in line:
+    values = _Values(text, known)
+    last, resume = 0, 0
+    chained: list[str] = []
+    chained_at = -1
+    line = line_end = 0
+    for m in _OP.finditer(text):
+        if m["none"] or m.start() < resume:
             continue
-        pieces = list(_lex(line, begin))
-        i = 0
-        while i + 2 < len(pieces):
-            name, op = pieces[i], pieces[i + 1]
-            if not (name.kind in ("name", "string") and op.kind == "op" and op.text in ("=", ":", ":=", "=>")):
-                i += 1
-                continue
-            target = name.text.strip("\"'`")
-            spans, j = [], i + 2
-            while j < len(pieces):
-                piece = pieces[j]
-                if piece.kind == "string":
-                    spans.append((piece.start + 1, piece.end - 1))
-                elif piece.kind == "number":
-                    spans.append((piece.start, piece.end))
-                elif piece.kind == "name" and piece.text in known:
-                    spans.append(known[piece.text])
-                elif piece.kind == "name" and j == i + 2 and not (j + 1 < len(pieces) and pieces[j + 1].kind == "op" and pieces[j + 1].text != "+"):
-                    spans.append((piece.start, piece.end))  # an unquoted literal of a configuration file
-                else:
-                    break
-                if j + 1 < len(pieces) and pieces[j + 1].text == "+":
-                    j += 2
-                    continue
-                j += 1
-                break
-            if spans:
-                known[target] = Assignment(target, spans, text)
-                yield known[target]
-            i = max(j, i + 1)
+        if m.start() >= line_end:
+            line = text.rfind("\n", last, m.start()) + 1 or line
+            line_end = text.find("\n", m.start())
+            line_end = line_end if line_end >= 0 else len(text)
+        found = _name_before(text, max(line, last), m.start())
+        last = m.end()
+        if found is None:
+            continue
+        name, at = found
+        indent = len(text[line : line + 200]) - len(text[line : line + 200].lstrip(" \t-"))
+        spans, begin, end = values.parts(m.end(), m[0], indent, text[at - 1 : at] in ("?", "&"))
+        targets = [*chained, name] if at == chained_at else [name]
+        chained, chained_at = [], -1
+        if not spans:
+            if m[0] == "=" and (word := _WORD_AT.match(text, begin)) and _CHAINED.match(text, word.end()):
+                chained, chained_at = targets, begin
+            continue
+        if m[0] == "+=" and name in known:
+            spans = [known[name], *spans]
+        secret = False
+        for target in targets:
+            known[target] = Assignment(target, spans, text)
+            secret = secret or name_score(target) > 0
+            yield known[target]
+        if secret:
+            resume = last = end  # else pairs within the value count as well
 
 
 def method_spans(text: str, threshold: float = 0.5) -> list[Span]:

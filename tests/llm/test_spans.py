@@ -134,6 +134,29 @@ def test_lexer_leaves_harmless_pairs(text):
     assert secrets.method_spans(text) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "AWS_SECRET_ACCESS_KEY=*"),
+        ("DB_PWD=aB3!xY9kLm2pQ # main", "DB_PWD=* # main"),
+        ("client_secret_b64: abcdEFGH1234==", "client_secret_b64: *"),
+        ("{db_pwd: Xk29fjA8qLz0P3vB, user: bob}", "{db_pwd: *, user: bob}"),
+        ("Server=x;Pwd=aB3!xY9kLm2pQ;Database=foo", "Server=x;Pwd=*;Database=foo"),
+        ('password: str = "Xk29fjA8qLz0P3vB"', 'password: str = "*"'),
+        ("val password: Map<String, String>? = 'Xk29fjA8qLz0P3vB'", "val password: Map<String, String>? = '*'"),
+        ('db_pwd = """\nXk29fjA8qLz0P3vB\n"""', 'db_pwd = """\n*\n"""'),
+        ("db_pwd: |\n  Xk29fjA8\n  qLz0P3vB\nother: x", "db_pwd: |\n  *\n  *\nother: x"),
+        ('db_pwd = \\\n  "Xk29fjA8qLz0P3vB"', 'db_pwd = \\\n  "*"'),
+        ('db_pwd = ("Xk29fjA8"\n    "qLz0P3vB")', 'db_pwd = ("*"\n    "*")'),
+        ('# db_pwd = "Xk29fjA8qLz0P3vB"', '# db_pwd = "*"'),
+        ("password: forgotten.", "password: forgotten."),
+        ("db_pwd = getPassword()", "db_pwd = getPassword()"),
+    ],
+)
+def test_lexer_takes_whole_literals(text, clean):
+    assert secrets.redact(text, secrets.scan(text)[1], "*") == clean
+
+
 def test_redaction(spark):
     table = docs(spark, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', None, "clean")
     rows = {r["doc_id"]: r for r in secrets.redact_secrets(table).collect()}
