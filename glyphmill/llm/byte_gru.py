@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm._common import hashed_order, slices, texts
+from glyphmill.llm._common import materialise, slices, texts
 
-#: Most documents the network learns from, and most (language, word) pairs that are collected from them.
-MAX_TRAIN_DOCS, MAX_TRAIN_WORDS = 4_000, 60_000
+#: About how many words are drawn for training, in equal parts for each language, and the least part of a language.
+MAX_TRAIN_WORDS, LEAST_WORDS = 60_000, 500
 WINDOW, HIDDEN, STEPS, BATCH, RATE = 24, 24, 900, 512, 0.01
 MEMO_WORDS = 500_000
 BOUNDARY, PAD = 32, 0
@@ -230,14 +230,21 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_words(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_TRAIN_WORDS) -> list[tuple[str, str, int]]:
-    """(lang, word, count) from at most max_docs documents that have a language and aren't held out: the first in hashed
-    order, by their ids (max_docs rows, broadcast). Of the pairs, the max_words most frequent are collected."""
+def training_words(docs: DataFrame, max_words: int = MAX_TRAIN_WORDS, least: int = LEAST_WORDS) -> list[tuple[str, str, int]]:
+    """(lang, word, draws) from all documents that have a language and aren't held out.
+
+    The words of all of them are counted. Each language has the same quota of draws, max_words in all or `least`, which
+    its words get in proportion to their counts, fractions rounded up or down by a hash. So a language's words are drawn
+    from all its documents, and every language that has a word is there, however small it is and however rare its words.
+    """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ids = usable.select("doc_id").distinct().orderBy(hashed_order("doc_id"), "doc_id").limit(max_docs)
-    chosen = usable.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    words = chosen.select("lang", F.explode(F.split("text", "\\s+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
-    return [tuple(r) for r in words.orderBy(F.desc("count"), "lang", "word").limit(max_words).collect()]
+    words = usable.select("lang", F.explode(F.split("text", "\\s+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
+    words = materialise(words, "words")
+    totals = words.groupBy("lang").agg(F.sum("count").alias("total"))
+    quota = max(least, max_words // max(1, totals.count()))
+    chance = F.pmod(F.xxhash64("lang", "word"), F.lit(1 << 40)) / F.lit(1 << 40)
+    draws = words.join(F.broadcast(totals), "lang").select("lang", "word", F.floor(F.col("count") * quota / F.col("total") + chance).cast("long").alias("draws"))
+    return [tuple(r) for r in draws.filter("draws > 0").collect()]
 
 
 def identify(docs: DataFrame, steps: int = STEPS) -> DataFrame:

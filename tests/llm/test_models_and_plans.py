@@ -193,6 +193,19 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in byte_gru.identify(docs.withColumn("lang", docs["lang"].substr(9, 1)).filter("false")).collect()} == set()
 
 
+def test_no_language_is_lost_before_training(spark):
+    """One document of words that occur once, among many of frequent words."""
+    rows = [(i, " ".join(f"{lang}{(i * 7 + k) % 50}" for k in range(40)), lang) for i in range(200) for lang in ("de", "en")]
+    free = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs = spark.createDataFrame([*rows, (free, "\u6f22\u5b57\u6587\u66f8\u4e00 \u6f22\u5b57\u6587\u66f8\u4e8c", "zh")], "doc_id long, text string, lang string")
+    drawn = byte_gru.training_words(docs, max_words=60)
+    assert {lang for lang, _, _ in drawn} == {"de", "en", "zh"} and "zh" in byte_gru.train(drawn, steps=1).labels
+    few = Counter()
+    for lang, _, n in byte_gru.training_words(docs, max_words=60, least=20):
+        few[lang] += n
+    assert all(10 <= few[lang] <= 30 for lang in ("de", "en", "zh"))
+
+
 def test_gradients_are_right():
     model = byte_gru.ByteGRU(["a", "b", "c"], hidden=4, seed=1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
