@@ -213,8 +213,8 @@ def kept_text(lines: list[tuple[str, int]], own: list[int], partners: list[list[
         shared = set(common_lines(own, other))
         if not neutral or sum(len(lines[i][0]) for i in neutral if i in shared) < COPY_SHARE * sum(len(lines[i][0]) for i in neutral):
             break
-        if len([i for i in neutral if i in shared]) < len(neutral) or any(role == KEEP for _, role in lines):
-            break
+        if any(role == KEEP for _, role in lines):
+            break  # the article is marked, so lines of no role aren't it
         shared = set()
     gone = {i for i in neutral if i in shared}
     return "\n\n".join(line for i, (line, role) in enumerate(lines) if role and i not in gone), len(shared), len(gone)

@@ -53,6 +53,13 @@ def test_differencing_deletes_shared_lines(spark):
     assert found[11] == found[12] == "same\n\ntext"
 
 
+def test_near_copies_delete_nothing_of_each_other(spark):
+    story = [f"sentence {i} of the story" for i in range(20)]
+    rows = [(i, f"http://h.org/a/{i}", "".join(f"<p>{x}</p>" for x in [*story[:-1], f"edition {i}"])) for i in range(2)]
+    found = {r["page_id"]: r["text"] for r in html_diff.op1_html_diff(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: "\n\n".join([*story[:-1], f"edition {i}"]) for i in range(2)}
+
+
 @pytest.mark.parametrize("parts", ["1", "3", "40"])
 def test_extraction_does_not_depend_on_partitions(spark, parts):
     before = spark.conf.get("spark.sql.shuffle.partitions")
