@@ -29,7 +29,9 @@ COPY_SHARE = 0.9
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|select|math|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
+    r"|<(?P<empty>svg)\b(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
+    r"|<(?P<closed>script|style|textarea|title|noscript|template|iframe|select)(?:\s(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+(?<=[\s\"']))?/>"
+    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|select|annotation-xml|annotation)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
@@ -39,7 +41,9 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|d
 _SPACE = re.compile(r"[\s ]+")
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas and the text that stands in for an object are part of the line.
+MATH = "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded menclose mfenced mtable mtr mtd mmultiscripts merror semantics".split()
+INLINE = frozenset("object a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark param q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split() + MATH)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROP_TAGS = frozenset("head nav header footer aside form button dialog menu fieldset".split())
 KEEP_TAGS = frozenset("article main".split())
@@ -87,16 +91,16 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"]:
-                if m["raw"].lower() in ("title", "textarea", "select", "svg", "iframe", "object"):
+            if raw := m["raw"] or m["empty"] or m["closed"]:
+                if raw.lower() in ("title", "textarea", "select", "svg", "iframe"):
                     text.append(" ")
             elif m["cdata"]:
                 text.append(m["cdata"])
             continue
         if tag in INLINE:
-            if tag in ("br", "wbr", "img", "input"):
-                text.append(" " if tag == "br" else "")
-            own = None if m["close"] or tag in VOID else _role(tag, m["attrs"])
+            if tag in ("br", "mtd"):
+                text.append(" ")
+            own = None if m["close"] or tag in VOID or m["attrs"].endswith("/") and tag in ("math", "object") else _role(tag, m["attrs"])
             if m["close"]:
                 if any(name == tag for name, _ in stack):
                     flush()

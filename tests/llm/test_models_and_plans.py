@@ -53,6 +53,21 @@ def test_differencing_deletes_shared_lines(spark):
     assert found[11] == found[12] == "same\n\ntext"
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<p>so <math><mi>x</mi></math> holds</p>", ["so x holds"]),
+        ('<article><p>one <svg class="i"/> two</p><p>three</p></article>', ["one two", "three"]),
+        ('<p>a <object data="x"/> b</p><p>c</p>', ["a b", "c"]),
+        ('<p>a <object data="x"><param name="n">fall <b>back</b></object> b</p>', ["a fall back b"]),
+        ('<p>a <iframe src="x" /> b</p><p>c</p>', ["a b", "c"]),
+        ('<p>a <svg><path d="x"/><text>no</text></svg> b <script src=/a/>no</script></p>', ["a b"]),
+    ],
+)
+def test_formulas_and_closed_elements(page, expected):
+    assert [line for line, _ in html_diff.lines_of(page)] == expected
+
+
 def test_near_copies_delete_nothing_of_each_other(spark):
     story = [f"sentence {i} of the story" for i in range(20)]
     rows = [(i, f"http://h.org/a/{i}", "".join(f"<p>{x}</p>" for x in [*story[:-1], f"edition {i}"])) for i in range(2)]
