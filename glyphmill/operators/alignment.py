@@ -83,9 +83,19 @@ def flat_meta(rows: DataFrame) -> dict[str, Column]:
     return out
 
 
-def resolved_path(path: Column, base: str) -> Column:
-    """Absolute paths as they are, others below base."""
-    return F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.lit(base.rstrip("/")), path))
+def resolved_path(path: Column, base: str, present: Column | None = None, here: str = "") -> Column:
+    """Absolute paths as they are; a path that is present in the working folder `here` is taken there; others lie below base."""
+    found = F.when(path.startswith("/"), path)
+    if present is not None:
+        found = found.when(present, F.concat_ws("/", F.lit(here.rstrip("/")), path))
+    return found.otherwise(F.concat_ws("/", F.lit(base.rstrip("/")), path))
+
+
+def resolve_paths(rows: DataFrame, path: str, base: str, listing: DataFrame, here: str) -> DataFrame:
+    """rows with `path` resolved; listing (path) holds the working folder's relative paths."""
+    known = listing.select(F.col("path").alias(path)).distinct().withColumn("_present", F.lit(True))
+    joined = rows.join(known, path, "left")
+    return joined.withColumn(path, resolved_path(F.col(path), base, F.col("_present").isNotNull(), here)).drop("_present")
 
 
 def last_wins(rows: DataFrame, key: str, position: str) -> DataFrame:
@@ -119,12 +129,23 @@ def align_strict(annotations: DataFrame, predictions: DataFrame, key: str) -> Da
     return checked.filter("_whole").drop("_annotations", "_predictions", "_whole")
 
 
-def positional(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
-    """The n-th row of one side with the n-th of the other, by explicit orders. For plans of bounded size: the ranks take
-    one task each."""
-    a = left.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*left_order)))
-    b = right.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*right_order)))
-    return a.join(b, "_n").drop("_n")
+def numbered(rows: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
+    """rows with `_n`, the 0-based rank by a numeric key (ties in no stated order): the rows of the key ranges before, and a
+    window within the range. Ranges are equal parts of the key's span, so even keys are spread over as many tasks."""
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return rows.withColumn("_n", F.lit(0).cast("long"))
+    width = max((high - low) / buckets, 1e-300)
+    dealt = rows.withColumn("_range", F.least(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(buckets - 1)))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over the counts of the ranges
+    bases = dealt.groupBy("_range").agg(F.count("*").alias("_c")).select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return dealt.join(F.broadcast(bases), "_range").withColumn("_n", F.col("_base") + within).drop("_range", "_base")
+
+
+def positional(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """The n-th row of one side with the n-th of the other, each side by its own numeric key."""
+    return numbered(left, left_key).join(numbered(right, right_key), "_n").drop("_n")
 
 
 def with_default(rows: DataFrame, dimension: DataFrame, key: str, value: str, default: float) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ ADDON_FAMILIES = ("latin_retention", "residual_pair")
 BANNED_OPERATIONS = ("shear", "gamma")
 INK_MODES = ("spread_minfilter", "thinning_maxfilter")
 LAST_OPERATION, CLEAR_PROFILE, HEAVY_PROFILE = "tone_sensor", "clear_print", "heavy"
+MAX_WORKERS = 32
 PAIR_SOURCES = ("tone_arc", "cluster_multifont", "cluster_font_specific", "coverage_floor_multifont_generic")
 
 
@@ -156,3 +158,31 @@ def pinned(path_digests: DataFrame, expected: DataFrame) -> DataFrame:
     """Files (path, digest) whose digest isn't the pinned one."""
     both = expected.withColumnRenamed("digest", "pinned").join(path_digests, "path", "left")
     return both.filter(~F.col("pinned").eqNullSafe(F.col("digest")))
+
+
+def argument_errors(arguments: Mapping[str, object], forbidden: Iterable[str] = ()) -> list[str]:
+    """What is wrong with a build's arguments: names, counts, ratios and shares out of their domains."""
+    out = []
+    name = str(arguments.get("build_id", ""))
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", name):
+        out.append("build_id")
+    out += [f"build_id: {token}" for token in forbidden if token.casefold() in name.casefold()]
+    out += [k for k in ("train_n", "dev_n") if not arguments.get(k, 0) > 0]
+    if not 0 < arguments.get("workers", 1) <= MAX_WORKERS:
+        out.append("workers")
+    ratios = [arguments.get(k, 0.0) for k in ("ratio_yi", "ratio_mixed", "ratio_common")]
+    if min(ratios) < 0 or sum(ratios) <= 0:
+        out.append("ratios")
+    return out + [k for k in ("mixed_yi_frac", "symbol_rate", "heavy_degrade") if not 0.0 <= arguments.get(k, 0.0) <= 1.0]
+
+
+def authorization_errors(authorization: Mapping[str, object] | None, spec_digest: str) -> list[str]:
+    """Why a formal build isn't authorised: no document, the wrong phase, training included, or another specification."""
+    if not isinstance(authorization, Mapping):
+        return ["document"]
+    rules = {
+        "phase": authorization.get("phase") == "formal_build_authorized" and authorization.get("formal_build") is True,
+        "training": authorization.get("training") is False,
+        "spec_sha256": authorization.get("spec_sha256") == spec_digest,
+    }
+    return [name for name, holds in rules.items() if not holds]

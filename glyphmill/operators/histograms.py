@@ -41,8 +41,10 @@ def grouping_sets(rows: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
 
 
 def zero_filled(rows: DataFrame, text: str, domain: DataFrame) -> DataFrame:
-    """(symbol, n) for every symbol of the domain: how often the texts hold it. Texts are reduced to counts on the way in."""
-    found = rows.select(F.explode(F.split(text, "")).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("_n"))
+    """(symbol, n) for every symbol of the domain: how often the texts hold it. The domain, an alphabet, is broadcast, so that
+    only its symbols are counted; counts are summed before the shuffle."""
+    symbols = rows.select(F.explode(F.split(text, "")).alias("symbol")).join(F.broadcast(domain.select("symbol").distinct()), "symbol", "left_semi")
+    found = symbols.groupBy("symbol").agg(F.count("*").alias("_n"))
     return domain.join(found, "symbol", "left").select("symbol", F.coalesce("_n", F.lit(0)).alias("n"))
 
 
@@ -73,9 +75,45 @@ def pair_summary(events: DataFrame, pairs_total: int, repeats: int) -> DataFrame
     )
 
 
+#: Counts of a narrowing round, and the values that may be fetched instead of narrowing further.
+BINS, FETCHED = 4096, 10_000
+
+
+def ranked_value(rows: DataFrame, column: str, rank: int, low: float, high: float) -> float:
+    """The value of the given 0-based rank among the column's non-null values, exactly; low and high are its extremes.
+
+    Each round counts the values of the open range in BINS bins, on the executors, and goes on in the rank's bin, until the
+    bin has one value or few enough rows to be sorted here.
+    """
+    open_ = rows.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    while low < high:
+        inside = open_.filter(F.col("v").between(low, high))
+        width = (high - low) / BINS
+        bin_ = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        found = sorted(inside.groupBy(bin_.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
+        for b in found:
+            if rank < b["n"]:
+                low, high, n = b["low"], b["high"], b["n"]
+                break
+            rank -= b["n"]
+        if low < high and n <= FETCHED:
+            return sorted(r[0] for r in inside.filter(F.col("v").between(low, high)).collect())[rank]
+        if len(found) == 1 and low < high:  # neighbours in floating point
+            below = open_.filter(F.col("v") == low).count()
+            return low if rank < below else ranked_value(open_.filter(F.col("v") > low), "v", rank - below, *open_.filter(F.col("v") > low).agg(F.min("v"), F.max("v")).first())
+    return low
+
+
 def percentiles(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
-    """Linear-interpolated percentiles, one column p<share*100> each."""
-    return rows.agg(*(F.percentile(column, s).alias(f"p{round(s * 100)}") for s in shares))
+    """One row of exact linear-interpolated percentiles, one column p<share*100> each; null without values. Only bin counts
+    are shuffled, not the values."""
+    n, low, high = rows.agg(F.count(column), F.min(F.col(column).cast("double")), F.max(F.col(column).cast("double"))).first()
+    out = []
+    for share in shares:
+        at = share * (n - 1)
+        ranks = {r: ranked_value(rows, column, r, low, high) for r in {int(at), min(n - 1, int(at) + 1)}} if n else {}
+        out.append(ranks[int(at)] + (at - int(at)) * (ranks[min(n - 1, int(at) + 1)] - ranks[int(at)]) if n else None)
+    return rows.sparkSession.createDataFrame([tuple(out)], ", ".join(f"p{round(s * 100)} double" for s in shares))
 
 
 def counters(rows: DataFrame, keys: dict[str, Column], amounts: dict[str, Column] | None = None) -> DataFrame:

@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A block joins a visual row while it is within this share of the lower height, and at least so many pixels, of its anchor.
 ROW_SHARE, ROW_LEAST = 0.35, 3
 LEAST_HEIGHT = 640
 
 
+def _lines(at: dict[str, int]):
+    """The anchor rule over rows that come sorted by page, y, x and id; only the open row's anchor is held."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page: object = None
+        ay = ah = line = -1
+        begun = False
+        for batch in batches:
+            out = []
+            for p, y, h in zip(*(batch.column(at[c]).to_pylist() for c in ("page", "y", "h")), strict=True):
+                if not begun or p != page:
+                    page, ay, ah, line, begun = p, y, h, 0, True
+                elif None in (y, h, ay, ah) or abs(y - ay) > max(ROW_LEAST, int(min(ah, h) * ROW_SHARE)):
+                    ay, ah, line = y, h, line + 1
+                out.append(line)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "line"])
+
+    return fold
+
+
 def visual_rows(blocks: DataFrame, page: str) -> DataFrame:
     """blocks (page, id, x, y, h) with `line`, the 0-based visual row.
 
-    A row is anchored on its first block, not on the block before: a fold over the page's blocks in order of (y, x, id). A
-    page's blocks are a bounded list; pages are independent.
+    A row is anchored on its first block, not on the block before, which no window expresses: sorted blocks run through a
+    fold that holds one anchor, linear in the blocks whatever the size of a page. One shuffle, no join back.
     """
-    ordered = blocks.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("y", "x", "id", "h"))).alias("_b"))
-    start = F.struct(F.lit(None).cast("int").alias("ay"), F.lit(None).cast("int").alias("ah"), F.lit(-1).alias("line"), F.array().cast("array<struct<id:bigint,line:int>>").alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        reach = F.greatest(F.lit(ROW_LEAST), F.floor(F.least(acc["ah"], b["h"]) * ROW_SHARE).cast("int"))
-        same = F.coalesce(F.abs(b["y"] - acc["ay"]) <= reach, F.lit(False))
-        line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
-        return F.struct(
-            F.when(same, acc["ay"]).otherwise(b["y"]).cast("int").alias("ay"),
-            F.when(same, acc["ah"]).otherwise(b["h"]).cast("int").alias("ah"),
-            line.alias("line"),
-            F.concat(acc["out"], F.array(F.struct(b["id"].cast("long").alias("id"), line.alias("line")))).alias("out"),
-        )
-
-    lines = ordered.select(page, F.explode(F.aggregate("_b", start, step, lambda a: a["out"])).alias("_r")).select(page, "_r.id", "_r.line")
-    return blocks.join(lines, [page, "id"])
+    placed = blocks.repartition(page).sortWithinPartitions(page, "y", "x", "id")
+    at = {"page": blocks.columns.index(page), "y": blocks.columns.index("y"), "h": blocks.columns.index("h")}
+    return placed.mapInArrow(_lines(at), T.StructType(list(blocks.schema.fields)).add("line", T.IntegerType()))
 
 
 def char_offsets(placed: DataFrame, page: str, length: Column) -> DataFrame:

@@ -64,10 +64,18 @@ def weights_table(spark: SparkSession, weights: dict[str, float]) -> DataFrame:
     return spark.createDataFrame([(i, k, float(w)) for i, (k, w) in enumerate(weights.items())], "ord int, value string, weight double")
 
 
-def permuted(rows: DataFrame, seed: int, *keys: str, name: str = "place") -> DataFrame:
-    """rows with a 1-based place in an order shuffled by seed and keys; ties by the keys. One window: for plans."""
+def permuted(rows: DataFrame, seed: int, *keys: str, name: str = "place", bits: int = 12) -> DataFrame:
+    """rows with a 1-based place in an order shuffled by seed and keys; ties by the keys.
+
+    A place is the number of rows in the hash buckets before, and the rank within the bucket: a window over the counts of
+    2^bits buckets and one over each bucket, never over all rows.
+    """
     order = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), *(F.col(k).cast("string") for k in keys)).cast("binary"))
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, *keys)))
+    dealt = rows.withColumn("_order", order).withColumn("_bucket", F.shiftright(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long"), 32 - bits))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over 2^bits counts
+    bases = dealt.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_order", *keys))
+    return dealt.join(F.broadcast(bases), "_bucket").withColumn(name, F.col("_base") + within).drop("_order", "_bucket", "_base")
 
 
 def exact_values(spark: SparkSession, weights: dict[str, float], total: int, seed: int) -> DataFrame:
@@ -80,16 +88,20 @@ def exact_values(spark: SparkSession, weights: dict[str, float], total: int, see
 def sample_plan(spark: SparkSession, total: int, ratio: dict[str, float], split: str, seed: int, families: dict[str, float] | None = None) -> DataFrame:
     """(place, plan_index, script_class, granularity, family, profile): families by quota, script classes by quota within
     each but for the mixed-only ones; every fifth row of a stratum of the dev split is clear print."""
-    quotas = largest_remainder(weights_table(spark, families or FAMILY_WEIGHTS), total).collect()  # one row a family
-    rows, at = [], 0
-    for q in sorted(quotas, key=lambda q: q["ord"]):
-        granularity = q["value"].removesuffix("_anchor") if q["value"] in ("line_anchor", "region_anchor") else "page"
-        classes = {"mixed": 1.0} if q["value"] in MIXED_ONLY else ratio
-        for c in sorted(largest_remainder(weights_table(spark, classes), q["quota"]).collect(), key=lambda c: c["ord"]):
-            if c["quota"]:
-                rows.append((at, c["quota"], c["value"], granularity, q["value"]))
-                at += c["quota"]
-    runs = spark.createDataFrame(rows, "first long, n long, script_class string, granularity string, family string")
+    quotas = largest_remainder(weights_table(spark, families or FAMILY_WEIGHTS), total).select(F.col("ord").alias("family_ord"), F.col("value").alias("family"), F.col("quota").alias("family_quota"))
+    classes = weights_table(spark, ratio).select(F.col("ord").alias("class_ord"), F.col("value").alias("script_class"), "weight")
+    only = F.col("family").isin(*MIXED_ONLY)
+    mixed = quotas.filter(only).select("*", F.lit(0).alias("class_ord"), F.lit("mixed").alias("script_class"), F.lit(1.0).alias("weight"))
+    strata = quotas.filter(~only).join(F.broadcast(classes)).unionByName(mixed)  # families times classes, both fixed
+    within = Window.partitionBy("family")
+    share = F.col("weight") / F.sum("weight").over(within) * F.col("family_quota")
+    strata = strata.withColumn("share", share).withColumn("floor", F.floor("share"))
+    left = F.col("family_quota") - F.sum("floor").over(within)
+    rank = F.row_number().over(within.orderBy(F.desc(F.col("share") - F.col("floor")), "class_ord"))
+    strata = strata.withColumn("n", (F.col("floor") + F.when(rank <= left, 1).otherwise(0)).cast("long")).filter("n > 0")
+    before = Window.partitionBy(F.lit(0)).orderBy("family_ord", "class_ord").rowsBetween(Window.unboundedPreceding, -1)  # over the strata
+    granularity = F.when(F.col("family").isin("line_anchor", "region_anchor"), F.replace(F.col("family"), F.lit("_anchor"), F.lit(""))).otherwise(F.lit("page"))
+    runs = strata.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("granularity", granularity)
     plan = runs.select((F.explode(F.sequence("first", F.col("first") + F.col("n") - 1))).alias("plan_index"), "script_class", "granularity", "family")
     tagged = every_nth(plan, ["granularity", "family"], "plan_index", 5, "clear") if split == "dev" else plan.withColumn("clear", F.lit(False))
     return permuted(tagged.withColumn("profile", F.when(F.col("clear"), "clear_print").otherwise("standard")).drop("clear"), seed, "plan_index")

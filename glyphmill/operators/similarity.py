@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions.numeric import cosine
+from glyphmill.session import materialise
+
 
 def _unit_rows(vectors: Iterable) -> np.ndarray:
     m = np.nan_to_num(np.stack([np.asarray(v, np.float64) for v in vectors]), nan=0.0, posinf=0.0, neginf=0.0)
@@ -17,32 +21,63 @@ def _unit_rows(vectors: Iterable) -> np.ndarray:
     return m / np.where(size > 0, size, 1.0)
 
 
-def _ranked(k: int, block: int = 512):
+#: Vectors of a side of a block: a task compares two blocks, whatever the size of a font. Pairs that meet a block together.
+BLOCK, PAIR_BLOCK = 4096, 8192
+ASKS, HELD = 1, 2
+
+
+def _blocked(features: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """features with `_blocks`, how many blocks their group has, and `_own`, the one that a row is dealt to by hash."""
+    sizes = features.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))  # a row a group: a small dimension
+    return features.join(sizes, keys).withColumn("_own", F.pmod(F.xxhash64("i"), F.col("_blocks")).cast("int"))
+
+
+def _ranked(k: int, tile: int = 512):
     def rank(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("i", kind="stable")
-        ids, unit = rows["i"].to_numpy(), _unit_rows(rows["feature"])
-        out_i, out_j, out_s, out_r = [], [], [], []
-        top = min(k, len(ids) - 1)
-        for at in range(0, len(ids), block):
-            sim = unit[at : at + block] @ unit.T
-            own = np.arange(len(sim))
-            sim[own, at + own] = -np.inf
-            order = np.argsort(-sim, axis=1, kind="stable")[:, :top]
-            out_i.append(np.repeat(ids[at : at + block], top))
-            out_j.append(ids[order].ravel())
-            out_s.append(np.take_along_axis(sim, order, 1).ravel())
-            out_r.append(np.tile(np.arange(1, top + 1), len(sim)))
-        joined = [np.concatenate(x) for x in (out_i, out_j, out_s, out_r)]
-        return pd.DataFrame({"font": key[0], "view": key[1], "i": joined[0], "j": joined[1], "sim": joined[2], "rank": joined[3]})
+        held = rows[(rows["_as"] & HELD) > 0].sort_values("i", kind="stable")
+        asks = rows[(rows["_as"] & ASKS) > 0]
+        out_i, out_j, out_s = [], [], []
+        if len(held) and len(asks):
+            ids, unit = held["i"].to_numpy(), _unit_rows(held["feature"])
+            own, own_unit = asks["i"].to_numpy(), _unit_rows(asks["feature"])
+            top = min(k, len(ids))
+            for at in range(0, len(own), tile):
+                sim = own_unit[at : at + tile] @ unit.T
+                sim[own[at : at + tile, None] == ids[None, :]] = -np.inf
+                order = np.argsort(-sim, axis=1, kind="stable")[:, :top]
+                best = np.take_along_axis(sim, order, 1)
+                q, n = np.nonzero(best > -np.inf)
+                out_i.append(own[at + q])
+                out_j.append(ids[order[q, n]])
+                out_s.append(best[q, n])
+        joined = [np.concatenate(x) if x else np.zeros(0) for x in (out_i, out_j, out_s)]
+        return pd.DataFrame({"font": key[0], "view": key[1], "i": joined[0].astype(np.int64), "j": joined[1].astype(np.int64), "sim": joined[2]})
 
     return rank
 
 
-def neighbours(features: DataFrame, k: int) -> DataFrame:
+def neighbours(features: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """features (font, view, i, feature) -> (font, view, i, j, sim, rank): each vector's k nearest in its font and view by
-    cosine, ties to the smaller j. A font's alphabet is bounded; a task holds its vectors and a block of the matrix, and
-    only k rows for each vector leave it."""
-    return features.select("font", "view", "i", "feature").groupBy("font", "view").applyInPandas(_ranked(k), "font int, view int, i long, j long, sim double, rank int")
+    cosine, ties to the smaller j.
+
+    A group is a grid of blocks: a task compares the vectors of one block with those of another and sends on the k best of
+    each, which are ranked together. So no task holds more than two blocks, however large a font is.
+    """
+    dealt = _blocked(features.select("font", "view", "i", "feature"), ["font", "view"], block)
+    cells = F.concat(
+        F.array(F.struct(F.col("_own").alias("a"), F.col("_own").alias("b"), F.lit(ASKS + HELD).alias("_as"))),
+        *(
+            F.transform(F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: x != F.col("_own")), cell)
+            for cell in (
+                lambda x: F.struct(F.col("_own").alias("a"), x.alias("b"), F.lit(ASKS).alias("_as")),
+                lambda x: F.struct(x.alias("a"), F.col("_own").alias("b"), F.lit(HELD).alias("_as")),
+            )
+        ),
+    )
+    dealt = dealt.withColumn("_c", F.explode(cells)).select("font", "view", "i", "feature", "_c.a", "_c.b", "_c._as")
+    local = dealt.groupBy("font", "view", "a", "b").applyInPandas(_ranked(k), "font int, view int, i long, j long, sim double")
+    best = Window.partitionBy("font", "view", "i").orderBy(F.desc("sim"), "j")
+    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def mutual_edges(near: DataFrame) -> DataFrame:
@@ -56,36 +91,49 @@ def view_support(edges: DataFrame, clean_every: int) -> DataFrame:
     return edges.groupBy("font", "i", "j").agg(F.count("*").alias("views"), F.count_if(F.col("view") % clean_every == 0).alias("clean"))
 
 
-def _evidence(key: tuple, rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("i", kind="stable")
-    ids = rows["i"].to_numpy()
-    at = {v: n for n, v in enumerate(ids.tolist())}
-    known = pairs[pairs["i"].isin(at) & pairs["j"].isin(at)]
-    if known.empty:
-        return pd.DataFrame({"font": [], "i": [], "j": [], "sim": [], "mutual_rank": []}).astype({"font": int, "i": int, "j": int, "sim": float, "mutual_rank": int})
-    unit = _unit_rows(rows["feature"])
-    a, b = known["i"].map(at).to_numpy(), known["j"].map(at).to_numpy()
-    position = np.arange(len(ids))
-    ranks, sims = [], []
-    for low in range(0, len(a), 512):
-        p, q = a[low : low + 512], b[low : low + 512]
-        worst = np.zeros(len(p), int)
-        for x, y in ((p, q), (q, p)):
-            sim = unit[x] @ unit.T
-            sim[np.arange(len(x)), x] = -np.inf
-            own = sim[np.arange(len(x)), y][:, None]
-            ahead = (sim > own) | ((sim == own) & (position[None, :] < y[:, None]))
-            worst = np.maximum(worst, ahead.sum(1) + 1)
-        ranks.append(worst)
-        sims.append(np.einsum("nd,nd->n", unit[p], unit[q]))
-    return pd.DataFrame({"font": key[0], "i": known["i"].to_numpy(), "j": known["j"].to_numpy(), "sim": np.concatenate(sims), "mutual_rank": np.concatenate(ranks)})
-
-
-def pair_evidence(features: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(font, i, j, sim, mutual_rank) of the given pairs in every font: a sparse evaluation, never all pairs."""
-    fonts = [r[0] for r in features.select("font").distinct().collect()]  # a small dimension
-    asked = pairs.select("i", "j").distinct().withColumn("font", F.explode(F.array(*(F.lit(f).cast("int") for f in fonts))))
-    return features.select("font", "i", "feature").groupBy("font").cogroup(asked.groupBy("font")).applyInPandas(_evidence, "font int, i long, j long, sim double, mutual_rank int")
+#: Similarities that differ by less are ties; they go to the smaller id.
+TIE = 1e-12
+
+
+def _ahead(rows: pd.DataFrame) -> pd.DataFrame:
+    """How many vectors of a block (rows without fj) are ahead of j as seen from i, and of i as seen from j."""
+    asked = rows["fj"].notna()
+    pairs, held = rows[asked], rows[~asked]
+    a, b = pairs["i"].to_numpy(), pairs["j"].to_numpy()
+    counts = {"n_i": np.zeros(len(pairs), np.int64), "n_j": np.zeros(len(pairs), np.int64)}
+    if len(pairs) and len(held):
+        ids, unit = held["i"].to_numpy(), _unit_rows(held["fi"])
+        left, right = _unit_rows(pairs["fi"]), _unit_rows(pairs["fj"])
+        own = np.einsum("nd,nd->n", left, right)
+        for at in range(0, len(a), 512):
+            part = slice(at, at + 512)
+            for name, x, other, here in (("n_i", left, b, a), ("n_j", right, a, b)):
+                sim = x[part] @ unit.T
+                beyond = sim - own[part, None]
+                ahead = (beyond > TIE) | ((np.abs(beyond) <= TIE) & (ids[None, :] < other[part, None]))
+                ahead &= (ids[None, :] != here[part, None]) & (ids[None, :] != other[part, None])
+                counts[name][part] = ahead.sum(1)
+    return pd.DataFrame({"font": pairs["font"], "i": a, "j": b, **counts})
+
+
+def pair_evidence(features: DataFrame, pairs: DataFrame, block: int = BLOCK, pair_block: int = PAIR_BLOCK) -> DataFrame:
+    """(font, i, j, sim, mutual_rank) of the given pairs in every font that holds both: a sparse evaluation, never all pairs.
+
+    The pairs, dealt to parts of bounded size, meet each block of their font's vectors; the numbers of vectors ahead are
+    summed over the blocks, and the worse of the two ranks counts.
+    """
+    held = _blocked(features.select("font", "i", "feature"), ["font"], block)
+    asked = pairs.select("i", "j").distinct()
+    parts = max(1, -(-asked.count() // pair_block))
+    one = features.select("font", "i", F.col("feature").alias("fi"))
+    two = features.select("font", F.col("i").alias("j"), F.col("feature").alias("fj"))
+    known = asked.join(one, "i").join(two, ["font", "j"]).join(held.select("font", "_blocks").distinct(), "font")
+    known = known.withColumn("part", F.pmod(F.xxhash64("i", "j"), F.lit(parts)).cast("int"))
+    meet = known.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("font", "b", "part", "i", "j", "fi", "fj")
+    spread = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("font", F.col("_own").alias("b"), "part", "i", F.lit(0).cast("long").alias("j"), F.col("feature").alias("fi"))
+    counted = meet.unionByName(spread, allowMissingColumns=True).groupBy("font", "b", "part").applyInPandas(_ahead, "font int, i long, j long, n_i long, n_j long")
+    ranks = counted.groupBy("font", "i", "j").agg((F.greatest(F.sum("n_i"), F.sum("n_j")) + 1).alias("mutual_rank"))
+    return known.select("font", "i", "j", cosine(F.col("fi"), F.col("fj")).alias("sim")).join(ranks, ["font", "i", "j"])
 
 
 def candidate_pairs(whole: DataFrame, views: DataFrame, k: int, least_fonts: int, total_views: int, view_share: float, least_clean: int, clean_every: int) -> DataFrame:
@@ -128,45 +176,41 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("i", "j")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("degree"))
 
 
-def coverage_floor(stable: DataFrame, accepted: DataFrame, max_open: int = 100_000) -> DataFrame:
+def coverage_floor(stable: DataFrame, accepted: DataFrame) -> DataFrame:
     """The edges that greedy cover adds: while a vertex with stable edges has no covered one, take the edge that covers most
     open vertices, then the best supported, most similar, first by key.
 
-    The greedy choice is sequential. Only edges that touch an open vertex matter, so that residual graph, and nothing else,
-    goes to the driver; above max_open edges it raises instead.
+    Edges between two open vertices come first in that order, so what greedy takes of them is a maximal matching by
+    priority: the same edges as those that are, round by round, the first choice of both their ends. Then every vertex left
+    open has no open neighbour and takes its own first edge. Rounds run on the executors; nothing is collected.
     """
-    spark = stable.sparkSession
     covered = stable.join(accepted.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct(), ["i", "j"], "left_semi")
-    open_vertices = degrees(stable).select("vertex").join(degrees(covered).select("vertex"), "vertex", "left_anti")
-    touching = stable.join(open_vertices, stable["i"] == open_vertices["vertex"], "left_semi").union(stable.join(open_vertices, stable["j"] == open_vertices["vertex"], "left_semi")).distinct()
-    rows = touching.limit(max_open + 1).collect()
-    if len(rows) > max_open:
-        raise ValueError(f"more than {max_open} edges touch uncovered vertices")
-    remaining = {r[0] for r in open_vertices.join(touching.select(F.explode(F.array("i", "j")).alias("vertex")).distinct(), "vertex", "left_semi").collect()}
-    added = greedy_cover([(r["i"], r["j"], r["font_support"], r["median_similarity"]) for r in rows], remaining)
-    return spark.createDataFrame(added, "a long, b long, font_support long, median_similarity double")
-
-
-def greedy_cover(edges: list[tuple], remaining: set) -> list[tuple]:
-    """Lazy greedy: an edge's gain only falls, so a heap entry is good while its gain is current."""
-    import heapq
-
-    left = set(remaining)
-    heap = [(-len({i, j} & left), -support, -sim, (i, j), (i, j, support, sim)) for i, j, support, sim in edges if {i, j} & left]
-    heapq.heapify(heap)
-    out = []
-    while left:
-        if not heap:
-            raise ValueError("the coverage rule can't cover an eligible vertex")
-        gain, support, sim, key, edge = heapq.heappop(heap)
-        now = -len({*key} & left)
-        if now != gain:
-            if now:
-                heapq.heappush(heap, (now, support, sim, key, edge))
-            continue
-        out.append(edge)
-        left -= {*key}
-    return out
+    still = materialise(degrees(stable).select("vertex").join(degrees(covered).select("vertex"), "vertex", "left_anti"), "open")
+    edges = materialise(stable.select("i", "j", "font_support", "median_similarity"), "stable")
+    order = F.struct((-F.col("font_support")).alias("s"), (-F.col("median_similarity")).alias("m"), "i", "j")
+    taken = []
+    both = _touching(edges, still)
+    between = materialise(both.filter("oi and oj").drop("oi", "oj"), "between")
+    while not between.isEmpty():
+        ends = between.select(F.explode(F.array("i", "j")).alias("vertex"), order.alias("o"))
+        first = ends.groupBy("vertex").agg(F.min("o").alias("o"))
+        chosen = first.groupBy("o.i", "o.j").agg(F.count("*").alias("n")).filter("n = 2").select("i", "j")
+        won = materialise(between.join(chosen, ["i", "j"], "left_semi"), "won")
+        taken.append(won)
+        still = materialise(still.join(won.select(F.explode(F.array("i", "j")).alias("vertex")), "vertex", "left_anti"), "open")
+        between = materialise(_touching(between, still).filter("oi and oj").drop("oi", "oj"), "between")
+    lone = _touching(edges, still).filter("oi or oj").withColumn("vertex", F.when(F.col("oi"), F.col("i")).otherwise(F.col("j")))
+    last = lone.groupBy("vertex").agg(F.min(order).alias("o"))
+    taken.append(last.select("o.i", "o.j", (-F.col("o.s")).alias("font_support"), (-F.col("o.m")).alias("median_similarity")))
+    out = reduce(DataFrame.unionByName, taken)
+    return out.withColumnsRenamed({"i": "a", "j": "b"})
+
+
+def _touching(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """edges with oi and oj: whether their ends are among the vertices."""
+    one = vertices.select(F.col("vertex").alias("i"), F.lit(True).alias("oi"))
+    two = vertices.select(F.col("vertex").alias("j"), F.lit(True).alias("oj"))
+    return edges.join(one, "i", "left").join(two, "j", "left").fillna(False, ["oi", "oj"])
 
 
 def cosine_pairs(features: DataFrame, key: str, vector: str, k: int) -> DataFrame:

@@ -207,8 +207,11 @@ def padded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second path is absolute; the working folder holds every fifth page."""
     path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/data/"), F.col("page_id").cast("string"))).otherwise(F.col("page_id").cast("string"))
-    return table(spark, sf_dir, "pages").select("page_id", alignment.resolved_path(path, "/base/").alias("path"))
+    pages = table(spark, sf_dir, "pages")
+    listing = pages.filter("page_id % 5 = 0").select(F.col("page_id").cast("string").alias("path"))
+    return alignment.resolve_paths(pages.select("page_id", path.alias("path")), "path", "/base/", listing, "/work/").select("page_id", "path")
 
 
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +294,7 @@ SELECT 'event_type' AS histogram, event_type AS key, count(*) AS n FROM r GROUP
     "canonical_json": """SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS value FROM nation""",
     "html_escape": """SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped FROM pages""",
     "padded_ids": "SELECT p_partkey, 'row_' || lpad(p_partkey::VARCHAR, 6, '0') AS id, 'U+' || lpad(upper(to_hex(unicode(p_name[1]))), 4, '0') AS code FROM part",
-    "resolved_paths": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/data/' || page_id ELSE '/base/' || page_id END AS path FROM pages",
+    "resolved_paths": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/data/' || page_id WHEN page_id % 5 = 0 THEN '/work/' || page_id ELSE '/base/' || page_id END AS path FROM pages",
     "union_sources": "SELECT c_nationkey AS nation, 'c' AS side, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, NULL, count(*) FROM supplier GROUP BY 1",
     "distinct_union": "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier",
     "manifest": "SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, count(DISTINCT text) AS texts, sum(n_chars)::BIGINT AS characters, count(DISTINCT source) AS sources, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents",

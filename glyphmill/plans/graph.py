@@ -67,7 +67,13 @@ def vertex_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.coverage_floor(similarity.stable_edges(whole(spark, sf_dir), K, FONTS), _accepted(spark, sf_dir))
+    return rounded(similarity.coverage_floor(similarity.stable_edges(whole(spark, sf_dir), K, FONTS), _accepted(spark, sf_dir)), 6)
+
+
+def top_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's three nearest over the whole table."""
+    e = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    return rounded(similarity.cosine_pairs(e, "vec_id", "embedding", 3).select("i", "j", "sim", F.col("rank").cast("long").alias("rank")), 6)
 
 
 def suffix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +94,7 @@ def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (cosine_pairs, sim_ranks, mutual_topk, edge_support, stable_edges, candidate_edges, vertex_degree, coverage_floor, suffix_pairs, pair_upsert, top_per_group)
+    f.__name__: f for f in (cosine_pairs, top_cosines, sim_ranks, mutual_topk, edge_support, stable_edges, candidate_edges, vertex_degree, coverage_floor, suffix_pairs, pair_upsert, top_per_group)
 }
 
 _F = """WITH feats AS (SELECT vec_id % 4 AS font, vec_id // 4 AS i, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings),
@@ -104,8 +110,27 @@ support AS (SELECT font, i, j, count(*) AS views, count(*) FILTER (v % 2 = 0) AS
 
 ORACLES: dict[str, str] = {
     "cosine_pairs": "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "top_cosines": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings WHERE embedding IS NOT NULL)
+SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.f, b.f), 6) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.f, b.f) DESC, b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id QUALIFY rank <= 3""",
     "sim_ranks": f"{_F} SELECT font::INT AS font, i, j, round(sim, 6) AS sim, rank FROM ranks WHERE rank <= 6",
-    "mutual_topk": f"{_F} SELECT font::INT AS font, i, j, round(sim, 6) AS sim FROM mutual WHERE mr <= 6",
+    "mutual_topk": """WITH feats AS (SELECT vec_id % 4 AS font, vec_id // 4 AS i, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings),
+near AS MATERIALIZED (SELECT a.font, a.i, b.i AS j, list_cosine_similarity(a.f, b.f) AS sim FROM feats a JOIN feats b ON a.font = b.font AND a.i <> b.i
+  QUALIFY row_number() OVER (PARTITION BY a.font, a.i ORDER BY sim DESC, b.i) <= 6)
+SELECT x.font::INT AS font, x.i, x.j, round(x.sim, 6) AS sim FROM near x JOIN near y ON x.font = y.font AND x.i = y.j AND x.j = y.i WHERE x.i < x.j""",
+    "coverage_floor": f"""{_F.replace("WITH feats", "WITH RECURSIVE feats", 1)}{_V}, sp AS (SELECT * FROM support WHERE views >= 3 AND clean >= 2), c AS (SELECT i, j FROM stable UNION SELECT i, j FROM sp),
+accepted AS (SELECT i, j FROM c JOIN mutual m USING (i, j) GROUP BY i, j HAVING count(*) FILTER (mr <= 6) >= 3),
+covered AS (SELECT unnest([i, j]) AS v FROM stable SEMI JOIN accepted USING (i, j)),
+open AS (SELECT DISTINCT v FROM (SELECT unnest([i, j]) AS v FROM stable) WHERE v NOT IN (SELECT v FROM covered)),
+ranked AS (SELECT *, i IN (SELECT v FROM open) AS oi, j IN (SELECT v FROM open) AS oj, row_number() OVER (ORDER BY font_support DESC, median_similarity DESC, i, j) AS n FROM stable),
+lists AS (SELECT list(i ORDER BY n) AS li, list(j ORDER BY n) AS lj, count(*) AS total FROM ranked WHERE oi AND oj),
+greedy AS (SELECT 0 AS k, []::BIGINT[] AS used, []::BIGINT[] AS won
+  UNION ALL SELECT k + 1, CASE WHEN list_contains(used, li[k + 1]) OR list_contains(used, lj[k + 1]) THEN used ELSE used || [li[k + 1], lj[k + 1]] END,
+    CASE WHEN list_contains(used, li[k + 1]) OR list_contains(used, lj[k + 1]) THEN won ELSE won || [k + 1] END FROM greedy, lists WHERE k < total),
+done AS (SELECT used, won FROM greedy ORDER BY k DESC LIMIT 1),
+numbered AS (SELECT *, row_number() OVER (ORDER BY n) AS m FROM ranked WHERE oi AND oj),
+lone AS (SELECT * FROM (SELECT r.*, unnest([i, j]) AS v FROM ranked r) WHERE v IN (SELECT v FROM open) AND NOT list_contains((SELECT used FROM done), v) QUALIFY row_number() OVER (PARTITION BY v ORDER BY n) = 1)
+SELECT i AS a, j AS b, font_support, round(median_similarity, 6) AS median_similarity FROM numbered WHERE list_contains((SELECT won FROM done), m)
+UNION ALL SELECT i, j, font_support, round(median_similarity, 6) FROM lone""",
     "edge_support": f"{_F}{_V} SELECT font::INT AS font, i, j, views, clean FROM support",
     "stable_edges": f"{_F} SELECT i, j, font_support, round(median_similarity, 6) AS median_similarity FROM stable",
     "candidate_edges": f"""{_F}{_V}, sp AS (SELECT * FROM support WHERE views >= 3 AND clean >= 2), c AS (SELECT i, j FROM stable UNION SELECT i, j FROM sp),

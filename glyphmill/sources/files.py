@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -63,6 +64,10 @@ def write_canonical_lines(rows: DataFrame, path: str) -> None:
     canonical_lines(rows).write.mode("errorifexists").text(path)
 
 
+def write_list(rows: DataFrame, column: str, path: str) -> None:
+    rows.select(F.col(column).cast("string")).write.mode("errorifexists").text(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").option("header", True).csv(path)
 
@@ -80,7 +85,7 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def write_document(spark: SparkSession, document: Mapping[str, Any], path: str) -> None:
+def write_document(spark: SparkSession, document: Mapping[str, Any] | list, path: str) -> None:
     """An indented JSON document with sorted keys, through the cluster's file system."""
     system, where = _file_system(spark, path)
     out = system.create(where, False)
@@ -117,6 +122,29 @@ def publish(spark: SparkSession, tables: Mapping[str, DataFrame], target: str, m
         raise
 
 
+def write_ranked_parts(rows: DataFrame, rank: str, path: str) -> None:
+    """JSON lines in a folder for each rank, as that many writers would leave them."""
+    rows.write.mode("errorifexists").partitionBy(rank).json(path)
+
+
+def read_ranked_parts(spark: SparkSession, path: str, schema: StructType | str, rank: str, order: str) -> DataFrame:
+    """The parts merged, with `position`: rows in the order of ranks, and of `order` within a rank.
+
+    A position is the number of rows of the ranks before (one count a rank, a small dimension) and the place within.
+    """
+    parts = spark.read.schema(schema).json(path)
+    before = Window.partitionBy(F.lit(0)).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.groupBy(rank).agg(F.count("*").alias("_n")).select(rank, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy(rank).orderBy(order)) - 1
+    return parts.join(F.broadcast(bases), rank).withColumn("position", (F.col("_base") + within).cast("long")).drop("_base")
+
+
+def pair_bank_digest(pairs: DataFrame, order: list[str]) -> str:
+    """SHA-256 of the bank as one indented JSON array in the given order. A bank is a small dimension."""
+    rows = [{c: r[c] for c in pairs.columns} for r in pairs.orderBy(*order).toLocalIterator()]
+    return hashlib.sha256((json.dumps(rows, ensure_ascii=False, indent=2) + "\n").encode()).hexdigest()
+
+
 def review_page(rows: DataFrame, columns: list[str], title: str, limit: int) -> str:
     """An HTML table of the first rows in their order: a bounded report."""
     cells: Column = F.concat(*(F.concat(F.lit("<td>"), t.escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in columns))

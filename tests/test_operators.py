@@ -223,12 +223,50 @@ def test_visual_rows_use_the_anchor(spark):
     assert layout.canvas_heights(blocks, "page", 10).first()["canvas_height"] == 640
 
 
-def test_greedy_cover_leaves_no_open_vertex():
-    edges = [(1, 2, 2, 0.9), (2, 3, 3, 0.8), (3, 4, 2, 0.7), (5, 6, 2, 0.5)]
-    added = similarity.greedy_cover(edges, {1, 2, 3, 4, 5})
-    assert [e[:2] for e in added] == [(2, 3), (1, 2), (3, 4), (5, 6)]
-    with pytest.raises(ValueError):
-        similarity.greedy_cover([(1, 2, 1, 0.1)], {1, 9})
+def greedy_cover(edges, remaining):
+    """The rule itself, one edge after the other."""
+    left, out = set(remaining), []
+    while left:
+        best = min(edges, key=lambda e: (-len({e[0], e[1]} & left), -e[2], -e[3], e[0], e[1]))
+        assert {best[0], best[1]} & left
+        out.append(best)
+        left -= {best[0], best[1]}
+    return out
+
+
+@settings(QUICK, max_examples=4)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12), st.integers(2, 3), st.integers(0, 3)), min_size=1, max_size=25), st.integers(0, 3))
+def test_coverage_floor_is_the_sequential_greedy_cover(spark, drawn, n_accepted):
+    edges = list({(min(a, b), max(a, b)): (min(a, b), max(a, b), s, m / 4) for a, b, s, m in drawn if a != b}.values())
+    if not edges:
+        return
+    stable = spark.createDataFrame(edges, "i long, j long, font_support long, median_similarity double")
+    accepted = spark.createDataFrame([(e[1], e[0]) for e in edges[:n_accepted]], "a long, b long")
+    open_ = {v for e in edges for v in e[:2]} - {v for e in edges[:n_accepted] for v in e[:2]}
+    assert sorted(tuple(r) for r in similarity.coverage_floor(stable, accepted).collect()) == sorted(greedy_cover(edges, open_))
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_blocks_change_no_neighbour(spark, block):
+    rows = spark.createDataFrame([(i % 2, 0, i, [float((i * k) % 7) + 0.1 * k for k in range(1, 6)]) for i in range(24)], "font int, view int, i long, feature array<double>")
+    near = {tuple(r)[:4] + (r["rank"],) for r in similarity.neighbours(rows, 3, block).collect()}
+    assert near == {tuple(r)[:4] + (r["rank"],) for r in similarity.neighbours(rows, 3).collect()}
+    pairs = rows.filter("font = 0").select(F.col("i"), (F.col("i") + 2).alias("j")).filter("j < 24")
+    got = {(r["i"], r["j"]): r["mutual_rank"] for r in similarity.pair_evidence(rows, pairs, block, 4).collect()}
+    every = {(r["i"], r["j"]): r["rank"] for r in similarity.neighbours(rows, 24).collect()}
+    assert got == {k: max(every[k], every[k[::-1]]) for k in got} and len(got) == 11
+
+
+def test_large_pages_and_percentiles(spark):
+    blocks = spark.createDataFrame([(1, i, 0, 10 * i, 5) for i in range(3000)], "page long, id long, x int, y int, h int")
+    assert [r["line"] for r in layout.visual_rows(blocks, "page").orderBy("id").collect()] == list(range(3000))
+    values = [float((i * 7919) % 10007) ** 1.5 for i in range(12_000)] + [None, 5.0, 5.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    known = sorted(v for v in values if v is not None)
+    got = histograms.percentiles(rows, "v", [0.0, 0.25, 0.5, 1.0]).first()
+    want = rows.agg(*(F.percentile("v", s) for s in (0.0, 0.25, 0.5, 1.0))).first()
+    assert list(got) == pytest.approx(list(want)) and got[0] == known[0]
+    assert histograms.percentiles(rows.filter("v is null"), "v", [0.5]).first()[0] is None
 
 
 def test_neighbours_break_ties_by_id(spark):
