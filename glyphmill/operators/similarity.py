@@ -184,12 +184,12 @@ def coverage_floor(stable: DataFrame, accepted: DataFrame) -> DataFrame:
     priority: the same edges as those that are, round by round, the first choice of both their ends. Then every vertex left
     open has no open neighbour and takes its own first edge. Rounds run on the executors; nothing is collected.
     """
+    stable = materialise(stable.select("i", "j", "font_support", "median_similarity"), "stable")
     covered = stable.join(accepted.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct(), ["i", "j"], "left_semi")
     still = materialise(degrees(stable).select("vertex").join(degrees(covered).select("vertex"), "vertex", "left_anti"), "open")
-    edges = materialise(stable.select("i", "j", "font_support", "median_similarity"), "stable")
     order = F.struct((-F.col("font_support")).alias("s"), (-F.col("median_similarity")).alias("m"), "i", "j")
     taken = []
-    both = _touching(edges, still)
+    both = _touching(stable, still)
     between = materialise(both.filter("oi and oj").drop("oi", "oj"), "between")
     while not between.isEmpty():
         ends = between.select(F.explode(F.array("i", "j")).alias("vertex"), order.alias("o"))
@@ -199,7 +199,7 @@ def coverage_floor(stable: DataFrame, accepted: DataFrame) -> DataFrame:
         taken.append(won)
         still = materialise(still.join(won.select(F.explode(F.array("i", "j")).alias("vertex")), "vertex", "left_anti"), "open")
         between = materialise(_touching(between, still).filter("oi and oj").drop("oi", "oj"), "between")
-    lone = _touching(edges, still).filter("oi or oj").withColumn("vertex", F.when(F.col("oi"), F.col("i")).otherwise(F.col("j")))
+    lone = _touching(stable, still).filter("oi or oj").withColumn("vertex", F.when(F.col("oi"), F.col("i")).otherwise(F.col("j")))
     last = lone.groupBy("vertex").agg(F.min(order).alias("o"))
     taken.append(last.select("o.i", "o.j", (-F.col("o.s")).alias("font_support"), (-F.col("o.m")).alias("median_similarity")))
     out = reduce(DataFrame.unionByName, taken)
