@@ -1,16 +1,21 @@
-"""SimHash near-duplicates (operator 10): sharded vantage-point trees over 64-bit fingerprints.
-
-A radius of 4 in 64 bits is too wide for vantage points on whole fingerprints: distances concentrate at 32 +- 4, so a
-ball crosses two thirds of all boundaries. The fingerprint is therefore cut into `blocks` bit blocks; two fingerprints
-within `radius` agree on some block up to radius // blocks bits. Each block has its own vantage-point tree that
-partitions by Hamming distance on the block, and a fingerprint is sent to every shard that its small ball overlaps (for
-5 blocks and radius 4 the ball has radius 0 and meets just one). Inside a shard a second level of vantage points on the
-whole fingerprint prunes by the triangle bound |d(x, v) - d(y, v)| <= d(x, y) before the exact distance is taken.
+"""SimHash near-duplicates (operator 10): vantage-point trees over 64-bit fingerprints.
+
+One tree on whole fingerprints can't prune at a radius of 4: distances between unrelated fingerprints concentrate at 32 +- 4,
+so a ball crosses two thirds of all boundaries. The fingerprint is therefore cut into three bit blocks; of two fingerprints
+within 4 bits one block at least is within 4 // 3 = 1 bit. Each block has a vantage-point tree: a level splits by the Hamming
+distance to its vantage point, one branch a distance, and a leaf is a shard. A fingerprint is held by the one shard of its
+own path and asks in every other shard that its ball of radius 1 overlaps; all other branches are pruned by the triangle
+bound, as no member of the ball has their distance. The tree is as deep as the rows need.
+
+Inside a shard with many rows a second tree grows on whole fingerprints, whose vantage points are rows of the shard: asking
+rows go down every side of a boundary that lies within 4 bits. Pairs are linked by their exact distance.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +26,11 @@ from pyspark.sql import functions as F
 from glyphmill.llm._common import materialise, slices, texts
 from glyphmill.llm.components import connected_components, star_forest
 
-SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 5
-#: Rows that a task links, about; shards up to so many rows are compared together, in tables of so many cells.
-TASK_ROWS, SMALL_SHARD, TABLE_CELLS = 50_000, 128, 1 << 22
-#: A shard of more rows is dealt once more, by blocks of the bits that its rows needn't share.
-LARGE_SHARD = 8192
+SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 3
+#: Rows of a shard that the depth of the trees aims at, the most levels, and dealt rows of a task, about.
+LEAF_ROWS, MOST_LEVELS, TASK_ROWS = 16, 10, 400_000
+#: Pairs that are compared at once; a shard of more pairs grows a tree of its own.
+PAIRS = 1 << 21
 
 
 def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
@@ -73,41 +78,56 @@ def block_bounds(blocks: int) -> list[tuple[int, int]]:
     return [(low, high - low) for low, high in zip(cuts, cuts[1:], strict=False)]
 
 
-def vantage_points(width: int, depth: int) -> list[int]:
-    """`depth` vantage points over `width` bits: alternating masks of growing runs, so that they cut along different bits."""
-    full = (1 << width) - 1
-    return [sum(1 << i for i in range(width) if (i >> level) & 1) & full for level in range(depth)]
+def vantage_points(width: int, levels: int) -> list[int]:
+    """One vantage point a level. They are rows of a Hadamard matrix as bits, so the distances to them are uncorrelated: a
+    branch of one level says as little as possible about the next one's. Rows of one bit come first, which tell bits apart."""
+    rows = sorted(range(1 << max(1, (width - 1).bit_length())), key=lambda r: (r.bit_count(), r))
+    return [sum(((i & r).bit_count() & 1) << i for i in range(width)) for r in rows[:levels]]
 
 
-def shard_keys(fps: np.ndarray, block: int, blocks: int = BLOCKS, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shard) of every shard of the block's tree that a fingerprint's ball overlaps.
+def depth(rows: int, width: int) -> int:
+    """Levels that bring a shard to about LEAF_ROWS rows: a first level has about sqrt(2 pi e width / 4) branches, a further
+    one half of that, as all distances of a value share their parity."""
+    branches = math.sqrt(2 * math.pi * math.e * width / 4)
+    return min(MOST_LEVELS, 1 + max(1, math.ceil(math.log(max(1.0, rows / LEAF_ROWS / branches)) / math.log(branches / 2))))
 
-    A node splits by the distance to its vantage point; a ball of radius b overlaps the rings d - b .. d + b. Leaves are
-    split by the block's bits themselves when b is 0, so that a shard holds fingerprints that agree on the block.
-    """
-    shift, width = block_bounds(blocks)[block]
-    ball = radius // blocks
-    values = (fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-    points = vantage_points(width, 4)
-    rows, shard = np.arange(len(fps)), np.zeros(len(fps), np.int64)
+
+def paths(values: np.ndarray, width: int, points: list[int]) -> np.ndarray:
+    """The leaf of each value: its distances to the vantage points, as the digits of a number."""
+    out = np.zeros(values.shape, np.int64)
     for point in points:
-        distance = np.bitwise_count(values[rows] ^ np.uint64(point)).astype(np.int64)
-        rings = np.concatenate([distance + step for step in range(-ball, ball + 1)])
-        rows, shard = np.tile(rows, 2 * ball + 1), np.tile(shard, 2 * ball + 1) * (width + 1) + rings
-        inside = (rings >= 0) & (rings <= width)
-        rows, shard = rows[inside], shard[inside]
-    if ball == 0:
-        shard = shard * (1 << width) + values[rows].astype(np.int64)
-    return rows, shard * blocks + block
+        out = out * (width + 1) + np.bitwise_count(values ^ np.uint64(point))
+    return out
 
 
-def _deal(blocks: int, radius: int):
+def shard_keys(fps: np.ndarray, block: int, levels: int, blocks: int = BLOCKS, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, held): the shard that holds each fingerprint, and the later ones that its ball in the block overlaps.
+
+    Overlap is mutual, so of two shards that the balls of two rows overlap only the later one is asked.
+    """
+    shift, width = block_bounds(blocks)[block]
+    values = (fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+    points = vantage_points(width, levels)
+    own = paths(values, width, points)
+    flips = [sum(1 << i for i in bits) for n in range(1, radius // blocks + 1) for bits in combinations(range(width), n)]
+    if not flips:
+        return np.arange(len(fps)), own * blocks + block, np.ones(len(fps), bool)
+    ball = np.sort(paths(values[:, None] ^ np.array(flips, np.uint64)[None, :], width, points), axis=1)
+    fresh = ball > own[:, None]
+    fresh[:, 1:] &= ball[:, 1:] != ball[:, :-1]
+    row, at = np.nonzero(fresh)
+    rows = np.concatenate([np.arange(len(fps)), row])
+    shard = np.concatenate([own, ball[row, at]]) * blocks + block
+    return rows, shard, np.arange(len(rows)) < len(fps)
+
+
+def _deal(levels: int, blocks: int, radius: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             signed = np.asarray(batch.column(0))
             for block in range(blocks):
-                rows, shard = shard_keys(signed.view(np.uint64), block, blocks, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(signed[rows])], ["shard", "fp"])
+                rows, shard, held = shard_keys(signed.view(np.uint64), block, levels, blocks, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(signed[rows]), pa.array(held)], ["shard", "fp", "held"])
 
     return deal
 
@@ -115,119 +135,80 @@ def _deal(blocks: int, radius: int):
 # -- inside a shard ------------------------------------------------------------------------------------------------
 
 
-def _root(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
-def shard_links(fps: np.ndarray, radius: int = RADIUS, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints: (member, smallest of its tree), members only.
+def tree_links(held: np.ndarray, asks: np.ndarray, radius: int = RADIUS, pairs: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Forests of the links between held and asking fingerprints (uint64), by a vantage-point tree over the held ones.
 
-    Sorted by the distance to a vantage point, each tile is compared with the following ones while the triangle bound
-    allows; a pair is linked by its exact distance. Memory is tile x tile; no list of pairs is kept.
+    A node splits its rows at the median distance to the vantage point that spreads them most; the asking rows go to both
+    sides where the boundary is within the radius. A node is compared, in pieces, when it is small or can't be split.
     """
-    n = len(fps)
-    parent = np.arange(n)
-    if n < 2:
-        return fps[:0], fps[:0]
-    point = fps[0]
-    distance = np.bitwise_count(fps ^ point).astype(np.int64)
-    order = np.argsort(distance, kind="stable")
-    f, d = fps[order], distance[order]
-    other = np.bitwise_count(f ^ f[n // 2]).astype(np.int8)
-    for low in range(0, n, tile):
-        high = min(n, low + tile)
-        end = int(np.searchsorted(d, d[high - 1] + radius, "right"))
-        for left in range(low, end, tile):
-            right = min(end, left + tile)
-            near = np.abs(other[low:high, None] - other[None, left:right]) <= radius
-            a, b = np.nonzero(near) if near.mean() < 0.2 else (None, None)
-            if a is None:
-                a, b = np.nonzero(np.bitwise_count(f[low:high, None] ^ f[None, left:right]) <= radius)
-            else:
-                keep = np.bitwise_count(f[low + a] ^ f[left + b]) <= radius
-                a, b = a[keep], b[keep]
-            a, b = a + low, b + left
-            ahead = b > a
-            a, b = a[ahead], b[ahead]
-            # most pairs of a dense group are already joined: contract by labels first, then join the rest one by one
-            while len(a):
-                label = _labels(parent)
-                fresh = label[a] != label[b]
-                a, b = a[fresh], b[fresh]
-                for x, y in zip(a[:4096].tolist(), b[:4096].tolist(), strict=True):
-                    rx, ry = _root(parent, x), _root(parent, y)
-                    if rx != ry:
-                        parent[max(rx, ry)] = min(rx, ry)
-                a, b = a[4096:], b[4096:]
-    label = _labels(parent)
-    least = np.full(n, np.iinfo(np.int64).max)
-    signed = f.view(np.int64)
-    np.minimum.at(least, label, signed)
-    root = least[label]
-    linked = root != signed
-    return signed[linked], root[linked]
-
-
-def _labels(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if np.array_equal(up, parent):
-            return up
-        parent[:] = up
-
-
-def sub_blocks(fps: np.ndarray, block: int, blocks: int = BLOCKS, radius: int = RADIUS) -> Iterator[np.ndarray]:
-    """For fingerprints that agree on the block: the values of radius + 1 blocks of their other bits. Two within the radius
-    differ in radius of those bits at most, so they agree on one of these blocks too."""
-    shift, width = block_bounds(blocks)[block]
-    above = fps >> np.uint64(shift + width) if shift + width < 64 else np.zeros_like(fps)
-    rest = (fps & np.uint64((1 << shift) - 1)) | (above << np.uint64(shift))
-    cuts = [(64 - width) * i // (radius + 1) for i in range(radius + 2)]
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        yield ((rest >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.int64)
-
-
-def partition_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS, deal_again: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The spanning forest of all shards of a partition. Small shards of like size are compared as one array of tables; a
-    larger one goes through its vantage points by itself, and a very large one, whose rows agree on a block, is first dealt
-    by the blocks of its other bits: comparisons grow with its square over about a thousand."""
-    order = np.lexsort((fp, shard))
-    shard, fp = shard[order], fp[order]
-    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))[: len(shard)]
-    sizes = np.diff(np.append(starts, len(shard)))
+    stack = [(held, asks)]
+    while stack:
+        held, asks = stack.pop()
+        if not len(held) or not len(asks):
+            continue
+        if len(held) * len(asks) > pairs and len(held) > 1:
+            spread = [np.bitwise_count(held ^ held[at]).astype(np.int16) for at in (0, len(held) // 2, len(held) - 1)]
+            best = int(np.argmax([d.std() for d in spread]))
+            point, d = held[(0, len(held) // 2, len(held) - 1)[best]], spread[best]
+            middle = int(np.median(d))
+            if middle == d.max():
+                middle -= 1
+            near = d <= middle
+            far_asks = np.bitwise_count(asks ^ point).astype(np.int16)
+            low, high = far_asks <= middle + radius, far_asks > middle - radius
+            work = int(near.sum()) * int(low.sum()) + int((~near).sum()) * int(high.sum())
+            if 0 < near.sum() < len(held) and work < 0.95 * len(held) * len(asks):
+                stack += [(held[near], asks[low]), (held[~near], asks[high])]
+                continue
+        step = max(1, pairs // len(held))
+        for at in range(0, len(asks), step):
+            part = asks[at : at + step]
+            a, b = np.nonzero(np.bitwise_count(part[:, None] ^ held[None, :]) <= radius)
+            u, v = part[a].view(np.int64), held[b].view(np.int64)
+            apart = u != v
+            if apart.any():
+                yield star_forest(u[apart], v[apart])
+
+
+def partition_links(shard: np.ndarray, fp: np.ndarray, held: np.ndarray, radius: int = RADIUS, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest of all shards of a partition: each row against the held rows of its shard before it."""
+    order = np.lexsort((fp, ~held, shard))
+    shard, fp, held = shard[order], fp[order], held[order]
+    n = len(shard)
+    if not n:
+        return fp, fp
+    first = np.concatenate([[True], shard[1:] != shard[:-1]])
+    starts = np.flatnonzero(first)
+    number = np.cumsum(first) - 1
+    rows_held = np.bincount(number, held, len(starts)).astype(np.int64)
+    sizes = np.diff(np.append(starts, n))
+    partners = np.minimum(np.arange(n) - starts[number], rows_held[number])
+    large = np.bincount(number, partners, len(starts)) > pairs
     found = []
-    width = 2
-    while width <= SMALL_SHARD:
-        pick = np.flatnonzero((sizes > width // 2) & (sizes <= width) & (sizes > 1))
-        step = max(1, TABLE_CELLS // width**2)
-        ahead = np.triu(np.ones((width, width), bool), 1)
-        for low in range(0, len(pick), step):
-            own = pick[low : low + step]
-            at = starts[own][:, None] + np.arange(width)
-            real = np.arange(width) < sizes[own][:, None]
-            f = fp[np.minimum(at, len(fp) - 1)].view(np.uint64)
-            near = (np.bitwise_count(f[:, :, None] ^ f[:, None, :]) <= radius) & ahead & real[:, None, :]
-            g, i, j = np.nonzero(near)
-            found.append(star_forest(fp[at[g, i]], fp[at[g, j]]))
-        width *= 2
-    for own in np.flatnonzero(sizes > SMALL_SHARD).tolist():
-        rows = fp[starts[own] : starts[own] + sizes[own]]
-        if deal_again and len(rows) > LARGE_SHARD and radius < blocks:
-            found += [partition_links(values, rows, radius, blocks, False) for values in sub_blocks(rows.view(np.uint64), int(shard[starts[own]]) % blocks, blocks, radius)]
-        else:
-            found.append(shard_links(rows.view(np.uint64), radius))
-    u, v = (np.concatenate([x[n] for x in found]) if found else fp[:0] for n in (0, 1))
+    for own in np.flatnonzero(large).tolist():
+        rows = fp[starts[own] : starts[own] + sizes[own]].view(np.uint64)
+        found += tree_links(rows[: rows_held[own]], rows, radius, pairs)
+    partners[large[number]] = 0
+    ends = np.cumsum(partners)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + pairs, "right")))
+        times = partners[at:to]
+        a = np.repeat(np.arange(at, to), times)
+        b = starts[number[a]] + np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
+        near = np.bitwise_count(fp[a].view(np.uint64) ^ fp[b].view(np.uint64)) <= radius
+        if near.any():
+            found.append(star_forest(fp[a[near]], fp[b[near]]))
+        at = to
+    u, v = (np.concatenate([x[i] for x in found]) if found else fp[:0] for i in (0, 1))
     return star_forest(u, v)
 
 
-def _link(radius: int, blocks: int):
+def _link(radius: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
-        if held:
-            u, v = partition_links(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), radius, blocks)
+        parts = [tuple(np.asarray(b.column(i).to_numpy(zero_copy_only=False)) for i in range(3)) for b in batches if b.num_rows]
+        if parts:
+            u, v = partition_links(*(np.concatenate([x[i] for x in parts]) for i in range(3)), radius)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return link
@@ -235,10 +216,13 @@ def _link(radius: int, blocks: int):
 
 def fingerprint_components(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(fp, root) for every distinct fingerprint that links with another one; root names its component."""
-    shards = sum(1 << width for _, width in block_bounds(blocks)) if radius < blocks else 1 << 30
-    parts = min(shards, max(1, -(-blocks * fps.count() // TASK_ROWS)))
-    dealt = fps.select("fp").distinct().mapInArrow(_deal(blocks, radius), "shard long, fp long")
-    edges = dealt.repartition(parts, "shard").mapInArrow(_link(radius, blocks), "u long, v long")
+    rows = fps.count()
+    width = 64 // blocks
+    levels = depth(rows, width)
+    dealt_rows = rows * blocks * (1 + (width // 2 if radius >= blocks else 0))
+    parts = max(1, -(-dealt_rows // TASK_ROWS))
+    dealt = fps.select("fp").distinct().mapInArrow(_deal(levels, blocks, radius), "shard long, fp long, held boolean")
+    edges = dealt.repartition(parts, "shard").mapInArrow(_link(radius), "u long, v long")
     return connected_components(edges).select(F.col("node").alias("fp"), "root")
 
 
@@ -267,11 +251,15 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOC
 
 
 def simhash_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that represent their component: one document of each group, columns as they came."""
-    keep = simhash_components(docs, radius).filter("survivor").select(F.col("doc_id").alias("__gm_id"), F.col("text_hash").alias("__gm_h")).distinct()
-    hashed = docs.withColumn("__gm_hash", F.xxhash64("text"))
-    kept = hashed.join(keep, hashed["doc_id"].eqNullSafe(keep["__gm_id"]) & (hashed["__gm_hash"] == keep["__gm_h"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__gm_hash"]).drop("__gm_hash")
+    """The rows of docs that represent their component: one document of each group, columns as they came.
+
+    Texts are shuffled once: the join and the removal of repeated rows share their key, a row's 128-bit hash.
+    """
+    key = {"__gm_a": F.xxhash64("doc_id", F.col("doc_id").isNull(), "text_hash"), "__gm_b": F.xxhash64(F.lit(7), "text_hash", "doc_id")}
+    keep = simhash_components(docs, radius).filter("survivor").select(*(k.alias(n) for n, k in key.items())).distinct()
+    hashed = docs.withColumn("__gm_h", F.xxhash64("text"))
+    hashed = hashed.withColumns({"__gm_a": F.xxhash64("doc_id", F.col("doc_id").isNull(), "__gm_h"), "__gm_b": F.xxhash64(F.lit(7), "__gm_h", "doc_id")}).drop("__gm_h")
+    return hashed.join(keep, ["__gm_a", "__gm_b"], "left_semi").dropDuplicates(["__gm_a", "__gm_b"]).select(*docs.columns)
 
 
 def op10_simhash_vp(docs: DataFrame) -> DataFrame:

@@ -76,32 +76,53 @@ def test_simhash(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({x * 3 + 1 for x in roots})
 
 
-@pytest.mark.parametrize("blocks", [1, 2, 3, 5])
-def test_shards_lose_no_pair(blocks):
+@pytest.mark.parametrize("blocks", [2, 3, 5])
+@pytest.mark.parametrize("levels", [1, 4, 8])
+def test_shards_lose_no_pair(blocks, levels):
+    """Of two fingerprints within the radius, one is held where the other is held or asks; each is held once a block."""
     rng = np.random.default_rng(blocks)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
     near = np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) for _ in range(3)])
     near = np.unique(near)
-    shards = [set() for _ in near]
+    visited, home = [set() for _ in near], [set() for _ in near]
     for block in range(blocks):
-        for row, shard in zip(*(x.tolist() for x in simhash_vp.shard_keys(near, block, blocks)), strict=True):
-            shards[row].add(shard)
+        for row, shard, held in zip(*(x.tolist() for x in simhash_vp.shard_keys(near, block, levels, blocks)), strict=True):
+            visited[row].add(shard)
+            if held:
+                home[row].add(shard)
+    assert all(len(h) == blocks for h in home)
     for i in range(len(near)):
         for j in range(i):
             if (int(near[i]) ^ int(near[j])).bit_count() <= 4:
-                assert shards[i] & shards[j]
+                assert visited[i] & home[j] or visited[j] & home[i]
 
 
-def test_shard_links_equal_brute_force():
+def test_trees_prune_branches():
+    """Of unrelated fingerprints, a ball meets few of the tree's occupied shards, and the deeper the tree, the fewer rows."""
+    fps = np.random.default_rng(6).integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    compared = []
+    for levels in (2, 4, simhash_vp.depth(len(fps), 21)):
+        row, shard, held = simhash_vp.shard_keys(fps, 1, levels)
+        occupied = len(np.unique(shard[held]))
+        sizes = dict(zip(*(x.tolist() for x in np.unique(shard[held], return_counts=True)), strict=True))
+        compared.append(sum(sizes.get(s, 0) for s in shard.tolist()))
+        assert len(row) / len(fps) <= 1 + 22 / 2 + 0.5 and (levels < 4 or np.bincount(row).max() < 0.2 * occupied)
+    assert compared[0] > 4 * compared[1] > 8 * compared[2]
+
+
+def test_tree_links_equal_brute_force():
     rng = np.random.default_rng(2)
     fps = np.unique(np.concatenate([rng.integers(0, 1 << 63, 200, dtype=np.uint64), np.uint64(77) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)), np.arange(3000, dtype=np.uint64)]))
-    u, v = simhash_vp.shard_links(fps, 4, tile=256)
+    forests = list(simhash_vp.tree_links(fps, fps, 4, pairs=2000))
+    u, v = simhash_vp.star_forest(*(np.concatenate([f[i] for f in forests]) for i in (0, 1)))
     roots = dict(zip(u.tolist(), v.tolist(), strict=True))
     linked = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
     for i in range(0, len(fps), 7):
         for j in np.flatnonzero(linked[i]).tolist():
             a, b = int(fps[i].view(np.int64)), int(fps[j].view(np.int64))
             assert roots.get(a, a) == roots.get(b, b)
+    far = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    assert not [f for f in simhash_vp.tree_links(far[:1500], far[1500:], 4, pairs=2000) if len(f[0])]
 
 
 def test_simhash_rows(spark):
@@ -115,27 +136,10 @@ def test_simhash_rows(spark):
     assert {r["component_id"] for r in simhash_vp.op10_simhash_vp(long).collect()} == {1, 2}
 
 
-@pytest.mark.parametrize("block", range(5))
-def test_very_large_shards_lose_no_link(block):
-    rng = np.random.default_rng(block)
-    shift, width = simhash_vp.block_bounds(5)[block]
-    base = rng.integers(0, 1 << 63, 9000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 9000, dtype=np.uint64)
-    free = [b for b in range(64) if not shift <= b < shift + width]
-    near = base[:1500].copy()
-    for i, n in enumerate(rng.integers(1, 6, len(near)).tolist()):
-        for b in rng.choice(free, n, replace=False).tolist():
-            near[i] ^= np.uint64(1 << b)
-    fps = np.concatenate([base, near])
-    mask = np.uint64(((1 << width) - 1) << shift)
-    fps = np.unique((fps & ~mask) | (np.uint64(5 << shift) & mask))
-    assert len(fps) > simhash_vp.LARGE_SHARD
-    again = simhash_vp.partition_links(np.full(len(fps), 35 + block), fps.view(np.int64))
-    plain = simhash_vp.shard_links(fps)
-    assert len(again[0]) > 1000 and {*zip(*(x.tolist() for x in again), strict=True)} == {*zip(*(x.tolist() for x in plain), strict=True)}
-
-
-def test_partition_links_equal_brute_force():
-    """Shards of 1 to 300 rows in one partition: the forest joins what brute force joins within shards."""
+@pytest.mark.parametrize("pairs", [50, 1 << 21])
+def test_partition_links_equal_brute_force(pairs):
+    """Shards of 1 to 300 rows in one partition: the forest joins what brute force joins within shards, but for two rows that
+    both only ask."""
     rng = np.random.default_rng(12)
     shard = np.repeat(np.arange(40), [1, 2, 3, 4, 5, 8, 9, 17, 33, 64, 65, 128, 129, 300, *rng.integers(1, 40, 26)])
     fp = np.unique(rng.integers(0, 1 << 11, 4 * len(shard)))[: len(shard)]
@@ -143,9 +147,11 @@ def test_partition_links_equal_brute_force():
     rows = sorted({(int(s), int(f)) for s, f in zip(shard, fp, strict=True)})
     ids = sorted({f for _, f in rows})
     at = {f: n for n, f in enumerate(ids)}
-    linked = {(at[a], at[b]) for s, a in rows for t, b in rows if s == t and a != b and (a ^ b).bit_count() <= 4}
+    held = {r: (r[0] * 7 + r[1] // (1 << 20)) % 3 > 0 for r in rows}
+    linked = {(at[a], at[b]) for s, a in rows for t, b in rows if s == t and a != b and (a ^ b).bit_count() <= 4 and (held[s, a] or held[t, b])}
+    linked |= {(j, i) for i, j in linked}
     expected = brute_components(len(ids), lambda i, j: (i, j) in linked)
-    u, v = simhash_vp.partition_links(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    u, v = simhash_vp.partition_links(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([held[r] for r in rows]), pairs=pairs)
     root = dict(zip(u.tolist(), v.tolist(), strict=True))
     assert [root.get(f, f) for f in ids] == [ids[r] for r in expected]
 
