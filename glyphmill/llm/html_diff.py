@@ -1,10 +1,10 @@
-"""HTML extraction (operator 1): nearest-URL page differencing with element roles.
+"""HTML extraction (operator 1): nearest-URL page differencing, confirmed by element roles.
 
-Pages are sorted by host and URL path; each page is compared with its neighbour of the longest common path, their lines
-are aligned by a longest common subsequence, and lines of no known role that both share are deleted. Differencing alone
-can't meet the contract: an article that is published twice on a host would vanish, and a notice that differs on every
-page would stay. Lines inside an article or main element are therefore kept whatever they share, and lines inside
-navigation, headers, footers, sidebars, adverts, forms, scripts, styles and comments go even where they are unique.
+Pages are sorted by host and URL path; each page is compared with its neighbour of the longest common path and their lines
+are aligned by a longest common subsequence. Lines that both share are deleted, unless they stand in an article or main
+element: an article that is published twice on a host would vanish otherwise. What differencing leaves outside the article
+goes where an element of a known role holds it (navigation, footers, adverts ...): a notice that differs on every page is
+shared by none. n_deleted counts the first, n_role the second.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, groupby
 from urllib.parse import urlsplit
@@ -26,17 +27,23 @@ KEEP, NEUTRAL, DROP = 2, 1, 0
 #: Two neighbours that share this much of their lines of no role are copies, not one template: nothing is deleted.
 COPY_SHARE = 0.9
 
+#: A tag's quotes count only after an equals sign, so an unpaired one can't swallow the page; all repeats are possessive, so
+#: the tokenizer only moves forward.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)"
-    r"|<(?P<empty>svg)\b(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>"
-    r"|<(?P<closed>script|style|textarea|title|noscript|template|iframe|select)(?:\s(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+(?<=[\s\"']))?/>"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|select|annotation-xml|annotation)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
-    r"|<[!?/][^>]*(?:>|\Z)",
-    re.DOTALL | re.IGNORECASE,
+    r"|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
+    re.DOTALL,
 )
-_ATTR = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
+#: Elements whose content isn't text of the page. Without an end tag the first ones last to the page's end; of the others
+#: only the tag goes.
+TO_THE_END = frozenset("script style textarea title noscript iframe".split())
+RAW = TO_THE_END | frozenset("template svg select annotation annotation-xml".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.IGNORECASE) for name in RAW}
+#: Raw elements that stand between words.
+_SPACED = frozenset("title textarea select svg iframe".split())
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|aria-label|itemprop)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 _SPACE = re.compile(r"[\s ]+")
 _NAME_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -52,18 +59,36 @@ DROP_PARTS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices"
     " newsletter subscribe subscription signup login comment comments disqus respond replies share sharing social related recommended popup modal overlay pagination pager toolbar widget complementary contentinfo search copyright".split()
 )
-CONTENT_PARTS = frozenset("article post entry content story body main text".split())
+#: Parts that may stand beside them in such a name: a box, or where it stands. Any other part makes it a name of something else.
+BESIDE_PARTS = frozenset(
+    "article post entry content story body main page site top bottom left right global list box container wrapper wrap inner outer block section area bar buttons button links link posts articles slot unit form"
+    " thread item items message panel row col column text js sticky fixed primary secondary fluid google".split()
+)
+#: Elements that can be a box of another role within an article; headings and paragraphs there are the article's own.
+BOXES = frozenset("div section ul ol dl table details figure center".split())
+#: What an id says of a box in an article; other ids there are anchors of its own sections.
+ID_PARTS = frozenset("ad ads advert adverts advertisement comment comments disqus newsletter related replies respond share sharing sidebar".split())
+
+
+def _closed(attrs: str) -> bool:
+    """Whether a tag closes itself; the slash that ends an unquoted value doesn't."""
+    return attrs.endswith("/") and (attrs[-2:-1] in ("", '"', "'") or attrs[-2:-1].isspace() or "=" not in attrs[-200:].split()[-1])
 
 
-def _role(tag: str, attrs: str) -> int | None:
-    """DROP, KEEP, or None for the role of what stands around the element."""
+def _names_a_role(name: str, known: frozenset[str] = DROP_PARTS) -> bool:
+    parts = [p.lower() for p in _NAME_PARTS.findall(name) if len(p) > 1]
+    return any(p in known for p in parts) and all(p in known or p in BESIDE_PARTS for p in parts)
+
+
+def _role(tag: str, attrs: str, within: int = 1) -> int | None:
+    """DROP, KEEP, or None for the role of what stands around the element, `within`. In an article only boxes are told by
+    name, and by few ids."""
     if tag in DROP_TAGS or attrs and _HIDDEN.search(attrs):
         return DROP
     if attrs and tag not in ("body", "html"):
-        for found in _ATTR.findall(attrs):
-            for word in "".join(found).split():
-                parts = [p.lower() for p in _NAME_PARTS.findall(word)]
-                if parts and any(p in DROP_PARTS for p in parts) and not (parts[-1] in CONTENT_PARTS and parts[0] in CONTENT_PARTS):
+        for kind, *values in _ATTR.findall(attrs):
+            for word in "".join(values).split():
+                if (within != KEEP or tag in BOXES) and _names_a_role(word, ID_PARTS if within == KEEP and kind.lower() == "id" else DROP_PARTS):
                     return DROP
                 if word.lower() in ("main", "articlebody", "article"):
                     return KEEP
@@ -71,12 +96,15 @@ def _role(tag: str, attrs: str) -> int | None:
 
 
 def lines_of(page: str | None) -> list[tuple[str, int]]:
-    """The page's text blocks in order, each with its role: a block ends where a block element begins or ends."""
+    """The page's text blocks in order, each with its role: a block ends where a block element begins or ends. Linear in the
+    page, whatever its markup."""
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()  # how often a name is on the stack
     text: list[str] = []
     role, at = NEUTRAL, 0
     page = page or ""
+    endless: set[str] = set()  # raw elements that have no end tag from here on
 
     def flush() -> None:
         if text:
@@ -85,49 +113,61 @@ def lines_of(page: str | None) -> list[tuple[str, int]]:
                 out.append((line, role))
             text.clear()
 
-    for m in _TOKEN.finditer(page):
+    def push(tag: str) -> None:
+        stack.append((tag, role))
+        opened[tag] += 1
+
+    def pop_to(tag: str) -> int:
+        while True:
+            name, before = stack.pop()
+            opened[name] -= 1
+            if name == tag:
+                return before
+
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text.append(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if raw := m["raw"] or m["empty"] or m["closed"]:
-                if raw.lower() in ("title", "textarea", "select", "svg", "iframe"):
-                    text.append(" ")
-            elif m["cdata"]:
+            if m["cdata"]:
                 text.append(m["cdata"])
             continue
+        attrs, ends = m["attrs"], m["close"] == "/"
+        if tag in RAW:
+            if tag in _SPACED:
+                text.append(" ")
+            if not ends and not _closed(attrs):
+                end = None if tag in endless else _RAW_END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in TO_THE_END:
+                    at = len(page)
+                else:
+                    endless.add(tag)
+            continue
         if tag in INLINE:
             if tag in ("br", "mtd"):
                 text.append(" ")
-            own = None if m["close"] or tag in VOID or m["attrs"].endswith("/") and tag in ("math", "object") else _role(tag, m["attrs"])
-            if m["close"]:
-                if any(name == tag for name, _ in stack):
+            if ends:
+                if opened[tag]:
                     flush()
-                    while stack:
-                        name, role_before = stack.pop()
-                        role = role_before
-                        if name == tag:
-                            break
-            elif own == DROP:
+                    role = pop_to(tag)
+            elif attrs and tag not in VOID and not (tag in ("math", "object") and _closed(attrs)) and _role(tag, attrs, role) == DROP:
                 flush()
-                stack.append((tag, role))
+                push(tag)
                 role = DROP
             continue
         flush()
-        if m["close"]:
-            if any(name == tag for name, _ in stack):
-                while stack:
-                    name, role_before = stack.pop()
-                    role = role_before
-                    if name == tag:
-                        break
-        elif tag not in VOID and not m["attrs"].endswith("/"):
+        if ends:
+            if opened[tag]:
+                role = pop_to(tag)
+        elif tag not in VOID and not _closed(attrs):
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
                 while stack and stack[-1][0] == tag:  # their end tags may be left out
-                    role = stack.pop()[1]
-            stack.append((tag, role))
-            own = _role(tag, m["attrs"])
+                    role = pop_to(tag)
+            own = _role(tag, attrs, role)
+            push(tag)
             if own == DROP or role == DROP:
                 role = DROP
             elif own == KEEP:
@@ -207,21 +247,28 @@ def _align(a: list[int], b: list[int], most_bytes: int) -> list[int]:
     return out[::-1]
 
 
-def kept_text(lines: list[tuple[str, int]], own: list[int], partners: list[list[int]]) -> tuple[str, int, int]:
-    """(text, shared lines, deleted lines): what is left after the first partner that isn't a copy of the page."""
+def kept_text(lines: list[tuple[str, int]], own: list[int], partners: list[list[int]]) -> tuple[str, int, int, int]:
+    """(text, shared lines, lines that differencing deletes, lines that a role deletes): what is left after the first partner
+    that isn't a copy of the page.
+
+    A page that shares nearly all its text of no known role, and marks no article, is a copy of its partner, not one of its
+    template: the next partner tells them apart, and without one the shared lines of no role stay.
+    """
     neutral = [i for i, (_, role) in enumerate(lines) if role == NEUTRAL]
+    marked = any(role == KEEP for _, role in lines)
+    size = sum(len(lines[i][0]) for i in neutral)
     shared: set[int] = set()
+    copied = False
     for other in partners:
         if other == own:
             continue
         shared = set(common_lines(own, other))
-        if not neutral or sum(len(lines[i][0]) for i in neutral if i in shared) < COPY_SHARE * sum(len(lines[i][0]) for i in neutral):
+        copied = not marked and size > 0 and sum(len(lines[i][0]) for i in neutral if i in shared) >= COPY_SHARE * size
+        if not copied:
             break
-        if any(role == KEEP for _, role in lines):
-            break  # the article is marked, so lines of no role aren't it
-        shared = set()
-    gone = {i for i in neutral if i in shared}
-    return "\n\n".join(line for i, (line, role) in enumerate(lines) if role and i not in gone), len(shared), len(gone)
+    gone = {i for i in shared if lines[i][1] == DROP or lines[i][1] == NEUTRAL and not copied}
+    named = {i for i, (_, role) in enumerate(lines) if role == DROP and i not in gone}
+    return "\n\n".join(line for i, (line, _) in enumerate(lines) if i not in gone and i not in named), len(shared), len(gone), len(named)
 
 
 def _line_hashes(lines: list[tuple[str, int]]) -> np.ndarray:
@@ -230,7 +277,8 @@ def _line_hashes(lines: list[tuple[str, int]]) -> np.ndarray:
 
 #: What a page sends on: its lines that may stay (roles, texts) and the hashes of all its lines, not its markup.
 _PARSED = "part int, page_id long, url string, host string, path string, roles binary, hashes binary, texts array<string>"
-#: Sampled keys for each range of the sort.
+#: Pages of a range of the sort, at most about, and sampled keys for each range.
+RANGE_ROWS = 20_000
 KEYS_A_RANGE = 40
 
 
@@ -250,7 +298,7 @@ def range_bounds(pages: DataFrame, parts: int) -> list[tuple]:
     The html isn't read. A range holds its own bound, so none but the last can be empty; no result depends on the cuts."""
     if parts < 2:
         return []
-    share = parts * KEYS_A_RANGE / max(1, pages.count())
+    share = parts * KEYS_A_RANGE / max(1, pages.count())  # counts come from the files' footers
     some = pages.select(F.col("page_id").cast("long"), "url").filter(F.rand(1) < share)  # a task sends its share of the sample only
     keys = some.mapInArrow(_keys, "page_id long, host string, path string").collect()
     sample = sorted(_key(r["host"], r["path"], r["page_id"]) for r in keys)
@@ -299,12 +347,12 @@ class _Page:
         near.sort(key=lambda p: -_common_prefix(p.key[1], self.key[1]))  # stable: the page before it first
         left = iter(self.row["texts"])
         lines = [(next(left) if role else "", role) for role in self.row["roles"]]
-        text, shared, gone = kept_text(lines, self.hashes, [p.hashes for p in near])
-        return (self.row["page_id"], self.row["url"], text, len(text), shared, gone)
+        text, *counts = kept_text(lines, self.hashes, [p.hashes for p in near])
+        return (self.row["page_id"], self.row["url"], text, len(text), *counts)
 
 
-_RESULT = "page_id long, url string, text string, n_chars long, n_shared long, n_deleted long"
-_RESULT_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64()), ("n_deleted", pa.int64())])
+_RESULT = "page_id long, url string, text string, n_chars long, n_shared long, n_deleted long, n_role long"
+_RESULT_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64()), ("n_deleted", pa.int64()), ("n_role", pa.int64())])
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
@@ -372,14 +420,15 @@ def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_shared (lines shared with the neighbour), n_deleted of every page.
+    """page_id, url, text, n_chars, n_shared (lines shared with the neighbour), n_deleted (by differencing), n_role (by their
+    role alone) of every page. A header within an article counts as a header and goes.
 
     Null html gives an empty text; a null or unreadable url has no neighbour; repeated rows are skipped as partners, so a
     copy never deletes its original; further columns are ignored; an empty table gives an empty one. One shuffle: a range
     sort by host and path, which splits a large host over many tasks. The few rows at the ranges' edges meet the ones
     beside them in groups, one for each range.
     """
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // RANGE_ROWS))
     bounds = range_bounds(pages, parts)
     parsed = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse(bounds), _PARSED)
     placed = parsed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "host", "path", "page_id", "hashes")

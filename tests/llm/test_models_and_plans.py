@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -68,6 +69,37 @@ def test_formulas_and_closed_elements(page, expected):
     assert [line for line, _ in html_diff.lines_of(page)] == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<article><ul class='related-work'><li>kept</li></ul><section id='search-algorithms'><p>a</p></section><p class='share-price'>b</p><h2 id='navigation'>c</h2></article>", ["kept", "a", "b", "c"]),
+        ("<article><p>in</p><div class='comment-list'><p>first!</p></div><div class=ad-300x250>buy</div><div id=comments>no</div></article>", ["in"]),
+        ("<p>He said <b title='it's'>this</b> thing</p><p>Next's</p>", ["He said this thing", "Next's"]),
+        ('<p title="5" wide">x</p><p>y</p>', ["x", "y"]),
+        ("<p>a <= b <3 c</p><p>d", ["a <= b <3 c", "d"]),
+        ("<div class='main-header'>site</div><div class='sidebar left'>s</div><p>text</p><svg>", ["text"]),
+    ],
+)
+def test_names_and_quotes(page, expected):
+    assert [line for line, role in html_diff.lines_of(page) if role] == expected
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a ="', "<svg>", "</script", "<script", "<p><b>", "<!--", "<div class=", "<x ='y\" "])
+def test_long_pages_take_linear_time(piece):
+    page = piece * (1_000_000 // len(piece)) + '"'
+    began = time.process_time()
+    html_diff.lines_of(page)
+    assert time.process_time() - began < 20
+
+
+def test_differencing_comes_before_roles(spark):
+    def page(i):
+        return f"<nav><a>Home</a></nav><article><p>shared quote</p><p>own {i}</p></article><footer>Terms</footer><footer>visit {i}</footer>"
+
+    rows = html_diff.extract(spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(4)], "page_id long, url string, html string")).collect()
+    assert {(r["text"], r["n_shared"], r["n_deleted"], r["n_role"]) for r in rows} == {(f"shared quote\n\nown {i}", 3, 2, 1) for i in range(4)}
+
+
 def test_near_copies_delete_nothing_of_each_other(spark):
     story = [f"sentence {i} of the story" for i in range(20)]
     rows = [(i, f"http://h.org/a/{i}", "".join(f"<p>{x}</p>" for x in [*story[:-1], f"edition {i}"])) for i in range(2)]
