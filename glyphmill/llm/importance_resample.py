@@ -1,8 +1,10 @@
 """Quality classifier by importance resampling (operator 8).
 
 Two generative models over hashed n-grams: the target model is fitted on a bounded sample of documents labelled good, the
-raw model counts every document. A document's importance weight is the ratio of the two likelihoods of its n-grams;
-Gumbel top-k on the log weights draws the sample without replacement, with probability in proportion to the weights.
+raw model counts every document. A document's log ratio of the two, for each of its n-grams, is calibrated on the labelled
+sample to log odds of being target text: n-grams aren't independent, so their plain sum would be overconfident by a factor
+that grows with the length, and short documents would weigh nothing. The odds are the importance weights. Gumbel top-k with
+noise of scale 1 on the log weights draws the sample without replacement, with probability in proportion to the weights.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ BUCKETS = 1 << 14
 MAX_LABELLED = 20_000
 SMOOTHING = 0.5
 MEMO_WORDS = 400_000
+#: Weight of the prior on the calibration's slope; the columns that scored rows carry.
+PRIOR, WEIGHT, KEY = 0.01, "__gm_weight", "__gm_key"
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - 14)
 
@@ -97,9 +101,12 @@ class NGrams:
         return tuple(((x * _MULTIPLY) >> _SHIFT).astype(np.int32) for x in (hashes, pairs, triples)), owner
 
     def weights(self, batch: list[str], ratio: np.ndarray) -> np.ndarray:
-        """The sum of ratio over each text's n-grams."""
+        """The mean of ratio over each text's n-grams; 0 where there is none."""
         buckets, owner = self(batch)
-        return np.bincount(owner, ratio[buckets[0]] + ratio[buckets[1]] + ratio[buckets[2]], len(batch)) if len(owner) else np.zeros(len(batch))
+        if not len(owner):
+            return np.zeros(len(batch))
+        total = np.bincount(owner, ratio[buckets[0]] + ratio[buckets[1]] + ratio[buckets[2]], len(batch))
+        return total / np.maximum(1, 3 * np.bincount(owner, minlength=len(batch)))
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,22 +136,37 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smoothing: float = SMOOTHING)
     return np.log((target + prior * share) / (target.sum() + prior)) - np.log(share)
 
 
-def _scored(ratio: np.ndarray):
+def calibrate(means: np.ndarray, good: np.ndarray, prior: float = PRIOR) -> tuple[float, float]:
+    """(intercept, slope) of the log odds of good given the mean log ratio: a logistic regression with a weak prior on the
+    slope. Without both kinds of labels the slope is 1."""
+    y = good.astype(float)
+    if not len(y) or y.min() == y.max():
+        return 0.0, 1.0
+    centre, scale = means.mean(), means.std() or 1.0
+    x = np.stack([np.ones(len(y)), (means - centre) / scale], 1)
+    fit = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ fit, -30, 30)))
+        slope = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-9, prior])
+        fit = fit + np.linalg.solve(slope, x.T @ (y - p) - np.array([0, prior * fit[1]]))
+    return float(fit[0] - fit[1] * centre / scale), float(fit[1] / scale)
+
+
+def _scored(ratio: np.ndarray, line: tuple[float, float], whole: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NGrams()
-        for whole in batches:
-            for batch in slices(whole, 2 << 20):
-                values = grams.weights(texts(batch.column(batch.schema.get_field_index("text"))), ratio)
-                keep = [i for i, f in enumerate(batch.schema) if f.name != "text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(values, pa.float64())], [*(batch.schema.names[i] for i in keep), "log_weight"])
+        for batch in (part for every in batches for part in slices(every, 2 << 20)):
+            values = line[0] + line[1] * grams.weights(texts(batch.column(batch.schema.get_field_index("text"))), ratio)
+            keep = [i for i, f in enumerate(batch.schema) if whole or f.name != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(values, pa.float64())], [*(batch.schema.names[i] for i in keep), WEIGHT])
 
     return score
 
 
-def score_rows(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """rows with log_weight in place of text."""
-    schema = T.StructType([f for f in rows.schema if f.name != "text"]).add("log_weight", T.DoubleType())
-    return rows.mapInArrow(_scored(ratio), schema)
+def score_rows(rows: DataFrame, ratio: np.ndarray, line: tuple[float, float] = (0.0, 1.0), whole: bool = False) -> DataFrame:
+    """rows with their log weight in place of text, or beside it if the whole rows are wanted."""
+    schema = T.StructType([f for f in rows.schema if whole or f.name != "text"]).add(WEIGHT, T.DoubleType())
+    return rows.mapInArrow(_scored(ratio, line, whole), schema)
 
 
 def gumbel(column: str, seed: int = 8) -> F.Column:
@@ -200,60 +222,45 @@ def best_threshold(weights: np.ndarray, good: np.ndarray, loss_of_good: float =
 
 
 class Resampler:
-    """The fitted models and the drawn threshold. fit() reads all documents; keep() and table() apply it."""
-
-    def __init__(self, ratio: np.ndarray, noise: float, share: float, cut: int | None, rows: DataFrame) -> None:
-        self.ratio, self.noise, self.share, self.cut, self.rows = ratio, noise, share, cut, rows
+    """The scored rows and the drawn threshold."""
 
-    def kept(self, key: str = "key") -> F.Column:
-        return F.lit(False) if self.cut is None else _ordered_bits(key) >= F.lit(self.cut)
+    def __init__(self, rows: DataFrame, cut: int | None, k: int) -> None:
+        self.rows, self.cut, self.k = rows, cut, k
 
-    def table(self) -> DataFrame:
-        """doc_id, log_weight, key, kept of every row."""
-        return self.rows.select("doc_id", "log_weight", "key", self.kept().alias("kept"))
+    def kept(self) -> F.Column:
+        return F.lit(False) if self.cut is None else _ordered_bits(KEY) >= F.lit(self.cut)
 
 
-def _with_key(rows: DataFrame, noise: float, weight: str = "log_weight", key: str = "key") -> DataFrame:
-    """The Gumbel key. Noise acts on the weights to the power 1 / noise; it is below 1 so that short texts, whose weights
-    are all near 1, aren't dealt out by chance alone."""
-    return rows.withColumn(key, F.col(weight) + F.lit(noise) * gumbel("doc_id"))
+def with_key(rows: DataFrame, seed: int = 8) -> DataFrame:
+    return rows.withColumn(KEY, F.col(WEIGHT) + gumbel("doc_id", seed))
 
 
-def fit(docs: DataFrame, labels: DataFrame, noise: float = 0.05) -> Resampler:
+def fit(docs: DataFrame, labels: DataFrame, whole: bool = False) -> Resampler:
     """Count, weigh and draw. k is the number of documents whose weight is target-like, by the labelled sample's threshold.
 
-    Null texts count as empty and weigh 1 (log 0); repeated rows draw the same noise and stay or go together, so ties at
-    the k-th key are all kept; labels of unknown documents do nothing; without labels all documents are kept.
+    Null texts count as empty and have a mean log ratio of 0; repeated rows draw the same noise and stay or go together, so
+    ties at the k-th key are all kept; labels of unknown documents do nothing; without labels all documents are kept; an
+    empty table gives an empty one; texts of any length are read whole, in batches. The scored rows are written once.
     """
-    sample = labelled_sample(docs, labels)
+    sample = materialise(labelled_sample(docs, labels), "labelled")  # MAX_LABELLED ids at most
     raw = count_buckets(docs)
     target = count_buckets(sample.filter("quality = 1"))
     ratio = log_ratio(target, raw) if target.sum() else np.zeros(BUCKETS)
-    seen = score_rows(sample.select("quality", "text"), ratio).collect()  # MAX_LABELLED pairs of numbers at most
-    threshold = best_threshold(np.array([r["log_weight"] for r in seen]), np.array([r["quality"] == 1 for r in seen], bool))
-    rows = materialise(_with_key(score_rows(docs.select("doc_id", "text"), ratio), noise), "weights")
-    k = rows.filter(F.col("log_weight") >= threshold).count()
-    share = k / max(1, rows.count())
-    cut = kth_largest(rows.select(_ordered_bits("key").alias("v")), "v", k)
-    return Resampler(ratio, noise, share, cut, rows)
-
-
-def resample(docs: DataFrame, labels: DataFrame, noise: float = 0.05) -> DataFrame:
-    """The rows of docs that the sample holds, columns as they came. Whole rows are scored again rather than shuffled."""
-    model = fit(docs, labels, noise)
-    if model.cut is None:
-        return docs.limit(0)
-    ratio, at = model.ratio, docs.columns.index("text")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = NGrams()
-        for batch in (part for whole in batches for part in slices(whole, 2 << 20)):
-            values = grams.weights(texts(batch.column(at)), ratio)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, "__gm_weight"])
+    seen = score_rows(sample.select("quality", "text"), ratio).collect()  # pairs of numbers
+    means, good = np.array([r[WEIGHT] for r in seen]), np.array([r["quality"] == 1 for r in seen], bool)
+    line = calibrate(means, good)
+    threshold = best_threshold(line[0] + line[1] * means, good)
+    rows = materialise(with_key(score_rows(docs if whole else docs.select("doc_id", "text"), ratio, line, whole)), "weights")
+    k = rows.filter(F.col(WEIGHT) >= threshold).count()
+    return Resampler(rows, kth_largest(rows.select(_ordered_bits(KEY).alias("v")), "v", k), k)
+
 
-    schema = T.StructType(list(docs.schema.fields)).add("__gm_weight", T.DoubleType())
-    return _with_key(docs.mapInArrow(add, schema), noise, "__gm_weight", "__gm_key").filter(model.kept("__gm_key")).select(*docs.columns)
+def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the sample holds, columns as they came."""
+    model = fit(docs, labels, whole=True)
+    return model.rows.filter(model.kept()).select(*docs.columns)
 
 
 def op8_importance_resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return fit(docs, labels).table()
+    model = fit(docs, labels)
+    return model.rows.select("doc_id", F.col(WEIGHT).alias("log_weight"), F.col(KEY).alias("key"), model.kept().alias("kept"))

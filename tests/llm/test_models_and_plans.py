@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glyphmill.llm import bestfit_pack, byte_gru, curriculum_mix, html_diff, importance_resample, queries, simhash_vp
@@ -391,6 +393,42 @@ def test_gumbel_draws_in_proportion_to_weights(spark):
     assert u.filter("a > b").count() / 4000 == pytest.approx(0.75, abs=0.03)
 
 
+def test_inclusion_follows_the_weights(spark):
+    """The query's own draw over many seeds: each document is in the top k as often as an exact draw without replacement,
+    one after the other in proportion to the weights, says."""
+    weights = [8.0, 4.0, 2.0, 1.0, 1.0]
+    rows = spark.createDataFrame([(i, float(np.log(w))) for i, w in enumerate(weights)], f"doc_id long, {importance_resample.WEIGHT} double")
+    seeds, k = 400, 2
+    runs = spark.range(seeds).withColumnRenamed("id", "seed").crossJoin(rows)
+    u = (F.shiftrightunsigned(F.xxhash64(F.col("seed"), F.col("doc_id")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    assert str(importance_resample.gumbel("doc_id", 8)) == str(importance_resample.gumbel("doc_id", 8)) != str(importance_resample.gumbel("doc_id", 9))
+    drawn = runs.withColumn("key", F.col(importance_resample.WEIGHT) - F.log(-F.log(u)))
+    best = drawn.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("key")))).filter(F.col("n") <= k).groupBy("doc_id").count()
+    found = {r["doc_id"]: r["count"] / seeds for r in best.collect()}
+    total = sum(weights)
+    for i, w in enumerate(weights):
+        exact = w / total + sum(v / total * w / (total - v) for j, v in enumerate(weights) if j != i)
+        assert found[i] == pytest.approx(exact, abs=0.09)
+    # one seed of the operator itself: its key is the log weight and noise of scale 1
+    keyed = importance_resample.with_key(spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0.0).alias(importance_resample.WEIGHT)))
+    mean, spread = keyed.agg(F.avg(importance_resample.KEY), F.stddev(importance_resample.KEY)).first()
+    assert mean == pytest.approx(0.5772, abs=0.08) and spread == pytest.approx(np.pi / np.sqrt(6), abs=0.08)
+
+
+def test_draw_and_calibration(spark):
+    """The sample is the top k by weight and noise, and the weights are calibrated odds."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    rows = importance_resample.op8_importance_resample(docs, labels).collect()
+    k = sum(r["kept"] for r in rows)
+    noise = [r["key"] - r["log_weight"] for r in rows]
+    assert 0 < k < len(rows) and min(r["key"] for r in rows if r["kept"]) > max(r["key"] for r in rows if not r["kept"])
+    assert np.mean(noise) == pytest.approx(0.5772, abs=0.15) and np.std(noise) > 1
+    means, good = np.array([-2.0, -1.0, -0.5, 0.1, 0.2, 0.3]), np.array([False, False, True, False, True, True])
+    line = importance_resample.calibrate(means, good, prior=1e-9)
+    p = 1 / (1 + np.exp(-(line[0] + line[1] * means)))
+    assert p.sum() == pytest.approx(good.sum(), abs=1e-4) and (p * means).sum() == pytest.approx(means[good].sum(), abs=1e-4)
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------------
 
 
