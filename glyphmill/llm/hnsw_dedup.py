@@ -2,8 +2,10 @@
 
 Vectors are dealt to shards by a hash; each shard builds one graph. Every distinct vector queries every shard's graph. A
 beam is widened for a query until its worst member is below the threshold, so that a dense group is walked to its edge, and
-the beam's base width is doubled until an audit against brute force passes. Links are verified in double precision. A task
-keeps a spanning forest of its links, not the pairs; components are united over all tasks.
+the beam's base width is doubled until audits against brute force pass; past the widest beam the shards are compared in
+blocks. Links are verified in double precision. A task keeps a spanning forest of its links, not the pairs; components are
+united over all tasks. Within a component links are counted exactly, in blocks, so a link that only one end found, or none,
+counts at both.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm._common import materialise
@@ -23,9 +25,13 @@ from glyphmill.llm.components import connected_components, star_forest
 THRESHOLD = 0.9
 #: Links of a node above the ground layer and on it; width of the beam while building; least shards; rows of a shard.
 M, M_GROUND, EF_BUILD, SHARDS, SHARD_ROWS = 12, 24, 48, 4, 50_000
-#: Base width of a query's beam, its audited recall, audited queries (the first in hashed order), rows of a query block and
-#: blocks that meet a copy of a graph.
-EF_SEARCH, RECALL, AUDITED, QUERY_ROWS, BLOCKS_PER_TASK = 32, 0.99, 200, 2048, 4
+#: Base width of a query's beam, its audited recall, rows of a query block and blocks that meet a copy of a graph.
+EF_SEARCH, RECALL, QUERY_ROWS, BLOCKS_PER_TASK = 32, 0.99, 2048, 16
+#: Audited queries of each length of vectors (the first in hashed order), at first and at most, and the true links that they
+#: should have together.
+AUDITED, MOST_AUDITED, TRUE_LINKS = 200, 3200, 200
+#: Rows of a side of a block in which a component's links are counted, and rows that a counting task holds, about.
+COUNT_ROWS, COUNT_TASK = 2048, 20_000
 _FLOAT_SLACK = 1e-3
 
 
@@ -158,13 +164,13 @@ class Graph:
             live = live[(~opened[live]).any(1)]
         return keep
 
-    def packed(self, copies: np.ndarray) -> bytes:
+    def packed(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, ids=self.ids, exact=self.exact, copies=copies, **{f"m{i}": m.astype(np.int32) for i, (m, _, _) in enumerate(self.layers)}, **{f"l{i}": x.astype(np.int32) for i, (_, x, _) in enumerate(self.layers)})
+        np.savez(out, ids=self.ids, exact=self.exact, **{f"m{i}": m.astype(np.int32) for i, (m, _, _) in enumerate(self.layers)}, **{f"l{i}": x.astype(np.int32) for i, (_, x, _) in enumerate(self.layers)})
         return out.getvalue()
 
     @classmethod
-    def unpacked(cls, blob: bytes) -> tuple[Graph, np.ndarray]:
+    def unpacked(cls, blob: bytes) -> Graph:
         held = np.load(io.BytesIO(blob))
         self = cls.__new__(cls)
         self.ids, self.exact = held["ids"], held["exact"]
@@ -175,7 +181,7 @@ class Graph:
             place = np.full(len(self.ids), -1, np.int64)
             place[members] = np.arange(len(members))
             self.layers.append((members, held[f"l{i}"].astype(np.int64), place))
-        return self, held["copies"]
+        return self
 
     # -- range queries ---------------------------------------------------------------------------------------------
 
@@ -226,34 +232,40 @@ def _unit(column: pd.Series) -> np.ndarray:
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
     graph = Graph(rows["rep"].to_numpy(), _unit(rows["embedding"]))
-    copies = rows.set_index("rep")["copies"].reindex(graph.ids).to_numpy()
-    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "graph": [graph.packed(copies)]})
+    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "graph": [graph.packed()]})
 
 
-def _answers(blob: bytes, ids: np.ndarray, vectors: np.ndarray, width: int, threshold: float) -> tuple[list, list, list]:
-    """Counts (u, n, null) and forest edges (u, null, v) of a query block against a shard's graph."""
-    graph, copies = Graph.unpacked(blob)
+def _found(graph: Graph, ids: np.ndarray, vectors: np.ndarray, width: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, linked id) against a shard's graph; without a width, by comparing the whole shard in blocks."""
     if vectors.shape[1] != graph.exact.shape[1]:
-        return [], [], []  # vectors of unequal length link with nothing
-    q, node = graph.links_of(vectors, threshold, width)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)  # vectors of unequal length link with nothing
+    if width is None:
+        hits = [np.nonzero(vectors[at : at + 256] @ graph.exact.T >= threshold) for at in range(0, len(vectors), 256)]
+        q = np.concatenate([h[0] + 256 * n for n, h in enumerate(hits)])
+        node = np.concatenate([h[1] for h in hits])
+    else:
+        q, node = graph.links_of(vectors, threshold, width)
     other = graph.ids[node]
     apart = other != ids[q]
-    q, node, other = q[apart], node[apart], other[apart]
-    n = np.bincount(q, copies[node], len(ids)).astype(np.int64)
-    some = np.flatnonzero(n)
-    u, v = star_forest(ids[q], other) if len(q) else (ids[:0], ids[:0])
-    return [*ids[some].tolist(), *u.tolist()], [*n[some].tolist(), *[None] * len(u)], [*[None] * len(some), *v.tolist()]
+    return q[apart], other[apart]
 
 
-def _query(width: int, threshold: float):
+def _query(width: int | None, threshold: float):
     def run(graphs: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        out: tuple[list, list, list] = ([], [], [])
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for blob in graphs["graph"]:
+            graph = Graph.unpacked(blob)
             for raw_ids, raw in zip(blocks["ids"], blocks["vectors"], strict=True):
                 ids = np.frombuffer(raw_ids, np.int64)
-                for column, more in zip(out, _answers(blob, ids, np.frombuffer(raw, np.float64).reshape(len(ids), -1), width, threshold), strict=True):
-                    column += more
-        return pd.DataFrame({c: pd.array(x, "Int64") for c, x in zip("unv", out, strict=True)})
+                q, other = _found(graph, ids, np.frombuffer(raw, np.float64).reshape(len(ids), -1), width, threshold)
+                if len(q):
+                    a, b = star_forest(ids[q], other)
+                    u.append(a)
+                    v.append(b)
+        a, b = np.concatenate(u), np.concatenate(v)
+        if len(a):
+            a, b = star_forest(a, b)  # one forest a task
+        return pd.DataFrame({"u": a, "v": b})
 
     return run
 
@@ -269,21 +281,24 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit = _unit(pd.Series(list(np.asarray(vectors.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), d))))
             for at in range(0, len(rows), QUERY_ROWS):
                 own = slice(at, at + QUERY_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[rows[own]].tobytes()], pa.binary()), pa.array([unit[own].tobytes()], pa.binary())], ["ids", "vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[rows[own]].tobytes()], pa.binary()), pa.array([unit[own].tobytes()], pa.binary()), pa.array([d], pa.int64())], ["ids", "vectors", "width"])
 
 
-def _audit(sample: list, rows: DataFrame, graphs: DataFrame, width: int, threshold: float) -> float:
-    """Recall of the audited queries' links against brute force over all distinct vectors, in blocks."""
+def _audit(sample: list, rows: DataFrame, graphs: DataFrame, width: int, threshold: float) -> tuple[float, int]:
+    """(mean recall over the audited queries that have links, their true links) against brute force over all distinct
+    vectors, in blocks; a link counts once, whatever its copies."""
     ids = np.array([r["rep"] for r in sample], np.int64)
     vectors = _unit(pd.Series([r["embedding"] for r in sample]))
 
+    def counts(n: np.ndarray, kind: str) -> pa.RecordBatch:
+        some = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([kind] * len(some), pa.string()), pa.array(n[some].astype(np.int64))], ["q", "kind", "n"])
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                _, n, _ = _answers(batch.column(0)[row].as_py(), ids, vectors, width, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array([sum(x or 0 for x in n)], pa.int64())], ["n"])
-
-    found = graphs.select("graph").mapInArrow(ask, "n long").agg(F.sum("n")).first()[0] or 0
+                q, _ = _found(Graph.unpacked(batch.column(0)[row].as_py()), ids, vectors, width, threshold)
+                yield counts(np.bincount(q, minlength=len(ids)), "found")
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,48 +309,104 @@ def _audit(sample: list, rows: DataFrame, graphs: DataFrame, width: int, thresho
             if len(fit):
                 own = _unit(pd.Series(list(np.asarray(batch.column(1).take(pa.array(fit)).flatten(), np.float64).reshape(len(fit), -1))))
                 hit = (own @ vectors.T >= threshold) & (np.asarray(batch.column(0))[fit][:, None] != ids[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array([int((hit.sum(1) * np.asarray(batch.column(2))[fit]).sum())], pa.int64())], ["n"])
-
-    true = rows.select("rep", "embedding", "copies").mapInArrow(brute, "n long").agg(F.sum("n")).first()[0] or 0
-    return found / true if true else 1.0
+                yield counts(hit.sum(0), "true")
+
+    kind = "q long, kind string, n long"
+    every = graphs.select("graph").mapInArrow(ask, kind).unionByName(rows.select("rep", "embedding").mapInArrow(brute, kind))
+    held = {(r["kind"], r["q"]): r["n"] for r in every.groupBy("kind", "q").agg(F.sum("n").alias("n")).collect()}  # two numbers an audited query
+    true = {q: n for (k, q), n in held.items() if k == "true"}
+    return (float(np.mean([held.get(("found", q), 0) / n for q, n in true.items()])) if true else 1.0), sum(true.values())
+
+
+def _audited_width(distinct: DataFrame, graphs: DataFrame, width: int, threshold: float, recall: float, rows_of_shard: int) -> int | None:
+    """The base width at which the audits of all lengths pass; None if none does up to the size of a shard."""
+    order = Window.partitionBy(F.size("embedding")).orderBy(F.xxhash64("rep"), "rep")
+    numbered = distinct.select("rep", "embedding").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MOST_AUDITED)
+    by_length: dict[int, list] = {}
+    for r in numbered.orderBy("n").collect():  # MOST_AUDITED vectors a length at most
+        by_length.setdefault(len(r["embedding"]), []).append(r)
+    for sample in by_length.values():
+        size = AUDITED
+        while True:
+            reached, true = _audit(sample[:size], distinct, graphs, width, threshold)
+            if true < TRUE_LINKS and size < len(sample):
+                size *= 4
+            elif reached >= recall:
+                break
+            elif width >= rows_of_shard:
+                return None
+            else:
+                width *= 2
+    return width
+
+
+def _linked_within(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """For each asking row of the blocks that a task holds, the copies of the held rows of its block that it links with."""
+    ids, sums = [], []
+    for _, block in rows.groupby(["root", "a", "b", "width"]):
+        held, asks = block[block["held"]], block[~block["held"]]
+        if held.empty or asks.empty:
+            continue
+        x, copies, keys = _unit(held["embedding"]), held["copies"].to_numpy(), held["rep"].to_numpy()
+        own = asks["rep"].to_numpy()
+        y = _unit(asks["embedding"])
+        for at in range(0, len(own), 256):
+            near = (y[at : at + 256] @ x.T >= threshold) & (keys[None, :] != own[at : at + 256, None])
+            ids.append(own[at : at + 256])
+            sums.append((near * copies[None, :]).sum(1))
+    return pd.DataFrame({"rep": np.concatenate(ids) if ids else [], "n": np.concatenate(sums) if sums else []}).astype("int64")
+
+
+def component_links(distinct: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(rep, n): the rows that each vector of a component links with, counted exactly. A component is a grid of blocks of
+    COUNT_ROWS vectors, and a task takes as many small ones as its share of rows allows."""
+    blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / COUNT_ROWS).cast("int").alias("blocks"))
+    own = roots.join(blocks, "root").withColumnRenamed("node", "rep").join(distinct, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cells = F.concat(
+        F.transform(every, lambda x: F.struct(F.col("own").alias("a"), x.alias("b"), F.lit(False).alias("held"))),
+        F.transform(every, lambda x: F.struct(x.alias("a"), F.col("own").alias("b"), F.lit(True).alias("held"))),
+    )
+    dealt = own.select("rep", "embedding", "copies", "root", F.size("embedding").alias("width"), F.explode(cells).alias("c")).select("rep", "embedding", "copies", "root", "width", "c.*")
+    parts = max(1, -(-2 * own.agg(F.sum("blocks")).first()[0] // COUNT_TASK))
+    task = F.pmod(F.xxhash64("root", "a", "b"), F.lit(parts)).alias("task")
+    found = dealt.select("*", task).groupBy("task").applyInPandas(lambda rows: _linked_within(rows, threshold), "rep long, n long")
+    return found.groupBy("rep").agg(F.sum("n").alias("n"))
 
 
 def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, width: int = EF_SEARCH, recall: float = RECALL, shards: int = SHARDS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
-    Equal vectors meet in one representative (their smallest vec_id) before any search, so a group of copies costs one
-    query; its size counts in n_links. Unusable vectors and null vec_ids link with nothing. Repeated rows are vectors of
-    their own and link. An empty table gives an empty one; further columns are ignored. To the driver go AUDITED vectors
-    and their numbers of links.
+    Equal vectors meet in one representative before any search, whatever their vec_ids, so a group of copies costs one
+    query; its size counts in n_links. Unusable vectors and null vec_ids link with nothing, vectors of unequal length not
+    with each other; very long ones are read whole. Repeated rows, and rows of one vec_id, are vectors of their own and
+    link. An empty table gives an empty one; further columns are ignored. To the driver go the audited vectors and two
+    numbers for each.
     """
     spark = rows.sparkSession
     good = rows.filter(usable()).select("vec_id", "embedding")
-    distinct = good.groupBy("embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("copies"))
-    distinct = materialise(distinct.select("rep", "embedding", "copies"), "vectors")
+    grouped = good.groupBy("embedding").agg(F.min("vec_id").cast("long").alias("first_id"), F.count("*").alias("copies"))
+    distinct = materialise(grouped.select(F.monotonically_increasing_id().alias("rep"), "first_id", "embedding", "copies"), "vectors")
     total = distinct.count()
-    found = spark.createDataFrame([], "u long, n long, v long")
+    found = spark.createDataFrame([], "u long, v long")
     if total:
         shards = max(shards, -(-total // SHARD_ROWS))
-        dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)))
-        sizes = dealt.withColumn("width", F.size("embedding"))
-        if sizes.agg(F.min("width"), F.max("width")).first()[0] != sizes.agg(F.max("width")).first()[0]:
-            dealt = sizes.withColumn("shard", F.col("width") * shards + F.col("shard")).drop("width")  # a graph for each length
+        dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)) + F.size("embedding").cast("long") * shards)  # a graph for each length
         graphs = materialise(dealt.groupBy("shard").applyInPandas(_build, "shard long, graph binary"), "graphs")
-        sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(AUDITED).collect()
-        sample = [r for r in sample if len(r["embedding"]) == len(sample[0]["embedding"])]
-        while _audit(sample, distinct, graphs, width, threshold) < recall and width < total:
-            width *= 2
+        beam = _audited_width(distinct, graphs, width, threshold, recall, min(total, SHARD_ROWS))
         parts = max(1, -(-total // (QUERY_ROWS * BLOCKS_PER_TASK)))
-        blocks = distinct.select("rep", "embedding").repartition(parts * 2, "rep").mapInArrow(_pack, "ids binary, vectors binary")
-        keys = [r["shard"] for r in graphs.select("shard").collect()]
-        asked = blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts))).withColumn("shard", F.explode(F.array(*(F.lit(k).cast("long") for k in keys))))
+        blocks = distinct.select("rep", "embedding").repartition(parts * 2, "rep").mapInArrow(_pack, "ids binary, vectors binary, width long")
         spread = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        answered = spread.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(_query(width, threshold), "u long, n long, v long")
+        own_shards = F.sequence(F.col("width") * shards, F.col("width") * shards + shards - 1)  # a block asks all shards of its length
+        asked = blocks.select("ids", "vectors", F.pmod(F.xxhash64("ids"), F.lit(parts)).alias("part"), F.explode(own_shards).alias("shard"))
+        answered = spread.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(_query(beam, threshold), "u long, v long")
         found = materialise(answered, "links")
-    counts = found.filter("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-    roots = connected_components(found.filter("v is not null").select("u", "v"))
-    groups = distinct.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    groups = groups.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    roots = materialise(connected_components(found), "roots")
+    counts = component_links(distinct, roots, threshold) if total and not roots.isEmpty() else spark.createDataFrame([], "rep long, n long")
+    joined = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    groups = joined.join(least, "root").join(counts, "rep", "left")
+    groups = groups.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = good.join(groups, "embedding").select("vec_id", "n_links", "component_id")
     lone = rows.filter(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return linked.unionByName(lone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
@@ -347,14 +418,15 @@ def op4_hnsw_dedup(embeddings: DataFrame) -> DataFrame:
 
 #: DuckDB's SQL for the whole result: all pairs, then the transitive closure.
 SQL = """
-WITH RECURSIVE good AS (
-  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+WITH RECURSIVE every AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+good AS (
+  SELECT r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM every
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-link AS (SELECT a.r AS ra, a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.9),
-counted AS (SELECT ra, count(*) AS n FROM link GROUP BY ra),
+link AS (SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.9),
+counted AS (SELECT a, count(*) AS n FROM link GROUP BY a),
 reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
-least AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+least AS (SELECT a, least(min(x.vec_id), min(y.vec_id)) AS c FROM reach JOIN good x ON x.r = a JOIN good y ON y.r = b GROUP BY a)
 SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(m.c, e.vec_id)::BIGINT AS component_id, coalesce(m.c, e.vec_id) = e.vec_id AS kept
-FROM embeddings e LEFT JOIN good g ON e.vec_id = g.vec_id LEFT JOIN counted c ON c.ra = g.r LEFT JOIN least m ON m.a = e.vec_id
+FROM every e LEFT JOIN counted c ON c.a = e.r LEFT JOIN least m ON m.a = e.r
 """
