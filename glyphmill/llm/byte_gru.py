@@ -1,37 +1,45 @@
 """Language identification (operator 5): a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads byte sequences in both directions and labels every position; a document's probabilities pool the
-log probabilities of all its positions. A sequence is a word with a boundary byte on either side (long words are cut into
-windows), so equal words have equal labels and a task runs the network once for each distinct word.
+A text's bytes are cut into windows that run over words and lines; the network reads each window in both directions and
+labels every position. A document's probabilities pool the log probabilities of all its positions. Training is by
+backpropagation through time on windows of a bounded sample of documents, which has a quota for each language.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm._common import materialise, slices, texts
+from glyphmill.llm._common import hashed_order, slices, texts
 
-#: About how many words are drawn for training, in equal parts for each language, and the least part of a language.
-MAX_TRAIN_WORDS, LEAST_WORDS = 60_000, 500
-WINDOW, HIDDEN, STEPS, BATCH, RATE = 24, 24, 900, 512, 0.01
-MEMO_WORDS = 500_000
-BOUNDARY, PAD = 32, 0
+#: Training documents in all, in equal parts for each language, but so many of each language at least; windows of each,
+#: spread over its whole text. These bound what the driver holds.
+MAX_TRAIN_DOCS, LEAST_DOCS, DOC_WINDOWS = 4000, 200, 12
+#: Bytes of a window, units of each direction, most steps, windows of a step, learning rate, and the loss (nats a position,
+#: a running mean) at which training ends.
+WINDOW, HIDDEN, STEPS, BATCH, RATE, ENOUGH = 48, 12, 300, 256, 0.02, 0.05
+#: Windows that are read together.
+CHUNK = 4096
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def windows(word: str) -> list[bytes]:
-    """The byte sequences of a word: all its bytes in order, WINDOW at most in each, a boundary at both ends of the word."""
-    raw = word.encode("utf-8", "surrogatepass")
-    parts = [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)] or [b""]
-    parts[0], parts[-1] = b" " + parts[0], parts[-1] + b" "
-    return parts
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; superscripts and fractions, which count as word characters, aren't."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+def windows(raw: bytes) -> list[bytes]:
+    """All bytes in order, WINDOW in each but the last."""
+    return [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)]
+
+
+def encoded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 def pack(sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +51,20 @@ def pack(sequences: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    np.negative(x, out=x)
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """Through the exponential, which numpy has as vector code on every machine."""
+    x *= 2
+    x = _sigmoid(x)
+    x *= 2
+    x -= 1
+    return x
 
 
 class ByteGRU:
@@ -62,13 +83,20 @@ class ByteGRU:
     def _run(self, way: str, data: np.ndarray, live: np.ndarray, keep: list | None = None) -> np.ndarray:
         n, h = self.hidden, np.zeros((data.shape[1], self.hidden), np.float32)
         wx, wh = self.p[f"x{way}"], self.p[f"h{way}"]
+        gate, own = np.ascontiguousarray(wh[:, : 2 * n]), np.ascontiguousarray(wh[:, 2 * n :])
         states = np.zeros((*data.shape, n), np.float32)
         for t in range(len(data)) if way == "f" else range(len(data) - 1, -1, -1):
             x = wx[data[t]]
-            gates = _sigmoid(x[:, : 2 * n] + h @ wh[:, : 2 * n])
+            gates = h @ gate
+            gates += x[:, : 2 * n]
+            gates = _sigmoid(gates)
             z, r = gates[:, :n], gates[:, n:]
-            c = np.tanh(x[:, 2 * n :] + (r * h) @ wh[:, 2 * n :])
-            new = np.where(live[t][:, None], (1 - z) * h + z * c, h)
+            c = (r * h) @ own
+            c += x[:, 2 * n :]
+            c = _tanh(c)
+            new = h + z * (c - h)
+            if not live[t].all():
+                new = np.where(live[t][:, None], new, h)
             if keep is not None:
                 keep.append((t, h, z, r, c))
             h = states[t] = new
@@ -77,27 +105,37 @@ class ByteGRU:
     def log_probabilities(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """time x sequence x label."""
         live = np.arange(len(data))[:, None] < lengths[None, :]
-        logits = np.concatenate([self._run("f", data, live), self._run("b", data, live)], 2) @ self.p["out"] + self.p["bias"]
+        n = self.hidden
+        logits = self._run("f", data, live) @ self.p["out"][:n] + self._run("b", data, live) @ self.p["out"][n:] + self.p["bias"]
         logits -= logits.max(2, keepdims=True)
         return logits - np.log(np.exp(logits).sum(2, keepdims=True))
 
-    def word_scores(self, words: list[str], chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's summed log probabilities over its positions, and the number of positions."""
-        sequences, owner = [], []
-        for i, word in enumerate(words):
-            for part in windows(word):
-                sequences.append(part)
-                owner.append(i)
-        own = np.array(owner, np.int64)
-        total, positions = np.zeros((len(words), len(self.labels))), np.zeros(len(words))
-        order = np.argsort([len(s) for s in sequences], kind="stable")
-        for at in range(0, len(order), chunk):
-            rows = order[at : at + chunk]
-            data, lengths = pack([sequences[i] for i in rows.tolist()])
+    def document_scores(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's summed log probabilities over all its bytes, and their number. CHUNK windows are read together, full
+        ones apart from the texts' last ones, so memory doesn't depend on the texts."""
+        total, positions = np.zeros((len(raw), len(self.labels))), np.array([len(r) for r in raw], float)
+
+        def read(sequences: list[bytes], owner: list[int]) -> None:
+            data, lengths = pack(sequences)
             found = self.log_probabilities(data, lengths)
-            found[np.arange(len(data))[:, None] >= lengths[None, :]] = 0
-            np.add.at(total, own[rows], found.sum(0))
-            np.add.at(positions, own[rows], lengths)
+            if lengths.min() < len(data):
+                found[np.arange(len(data))[:, None] >= lengths[None, :]] = 0
+            np.add.at(total, np.array(owner), found.sum(0))
+
+        full: tuple[list[bytes], list[int]] = ([], [])
+        tails = sorted((i for i, r in enumerate(raw) if len(r) % WINDOW), key=lambda i: len(raw[i]) % WINDOW)
+        for i, r in enumerate(raw):
+            for at in range(0, len(r) - WINDOW + 1, WINDOW):
+                full[0].append(r[at : at + WINDOW])
+                full[1].append(i)
+                if len(full[0]) == CHUNK:
+                    read(*full)
+                    full = ([], [])
+        if full[0]:
+            read(*full)
+        for at in range(0, len(tails), CHUNK):
+            own = tails[at : at + CHUNK]
+            read([raw[i][len(raw[i]) - len(raw[i]) % WINDOW :] for i in own], own)
         return total, positions
 
     def gradients(self, data: np.ndarray, lengths: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -142,27 +180,27 @@ class ByteGRU:
         return loss, grads
 
 
-def train(pairs: list[tuple[str, str, int]], seed: int = 5, steps: int = STEPS, hidden: int = HIDDEN) -> ByteGRU | None:
-    """Fit on (label, word, count): languages equally often, words within them by count. None without any pair."""
-    pairs = [(str(lab), word, int(n)) for lab, word, n in pairs if lab is not None and word and n > 0]
-    if not pairs:
+def train(sample: list[tuple[str, bytes]], seed: int = 5, steps: int = STEPS, hidden: int = HIDDEN, enough: float = ENOUGH) -> ByteGRU | None:
+    """Fit on (label, window), languages equally often, until the running loss is `enough` or the steps end. None without a
+    window."""
+    by_label: dict[str, list[bytes]] = {}
+    for lab, window in sorted(sample):
+        if window:
+            by_label.setdefault(lab, []).append(window)
+    if not by_label:
         return None
-    labels = sorted({lab for lab, _, _ in pairs})
+    labels = sorted(by_label)
     model, rng = ByteGRU(labels, hidden, seed), np.random.default_rng(seed)
-    by_label = []
-    for lab in labels:
-        own = sorted((word, n) for at, word, n in pairs if at == lab)
-        weight = np.array([n for _, n in own], float)
-        by_label.append((own, np.cumsum(weight / weight.sum())))
+    if len(labels) == 1:
+        return model
     first = {k: np.zeros_like(v) for k, v in model.p.items()}
     second = {k: np.zeros_like(v) for k, v in model.p.items()}
+    running = np.log(len(labels))
     for step in range(1, steps + 1):
         target = rng.integers(0, len(labels), BATCH)
-        drawn = rng.random(BATCH)
-        words = [by_label[k][0][min(int(np.searchsorted(by_label[k][1], u)), len(by_label[k][0]) - 1)][0] for k, u in zip(target.tolist(), drawn.tolist(), strict=True)]
-        parts = [windows(w) for w in words]
-        data, lengths = pack([p[int(rng.integers(len(p)))] for p in parts])
-        _, grads = model.gradients(data, lengths, target)
+        drawn = [by_label[labels[k]][int(u * len(by_label[labels[k]]))] for k, u in zip(target.tolist(), rng.random(BATCH).tolist(), strict=True)]
+        loss, grads = model.gradients(*pack(drawn), target)
+        running = 0.9 * running + 0.1 * loss
         size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         rate = RATE * min(1.0, 2.0 * (1 - step / (steps + 1)))
         for k, g in grads.items():
@@ -170,57 +208,30 @@ def train(pairs: list[tuple[str, str, int]], seed: int = 5, steps: int = STEPS,
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             model.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        if running < enough:
+            break
     return model
 
 
-class Reader:
-    """Labels documents; remembers the scores of words that it has met."""
-
-    def __init__(self, model: ByteGRU | None) -> None:
-        self.model = model
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.total = np.zeros((0, len(self.model.labels) if self.model else 0))
-        self.positions = np.zeros(0)
-
-    def _learn(self, counted: list[Counter]) -> None:
-        if len(self.known) > MEMO_WORDS:
-            self._forget()
-        fresh = list({w: None for c in counted for w in c if w not in self.known})
-        if fresh and self.model:
-            total, positions = self.model.word_scores(fresh)
-            base = len(self.known)
-            self.known.update((w, base + i) for i, w in enumerate(fresh))
-            self.total = np.concatenate([self.total, total])
-            self.positions = np.concatenate([self.positions, positions])
-
-    def predict(self, batch: list[str]) -> tuple[list[str], list[float]]:
-        counted = [Counter(t.split()) for t in batch]
-        self._learn(counted)
-        names, scores = [], []
-        for text, words in zip(batch, counted, strict=True):
-            if self.model is None or not _LETTER.search(text):
-                names.append("und")
-                scores.append(0.0)
-                continue
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            n = np.fromiter(words.values(), np.float64, len(words))
-            mean = (n @ self.total[at]) / (n @ self.positions[at])
-            share = np.exp(mean - mean.max())
-            best = int(np.argmax(mean))
-            names.append(self.model.labels[best])
-            scores.append(float(min(1.0, share[best] / share.sum())))
-        return names, scores
+def predict(model: ByteGRU | None, batch: list[str]) -> tuple[list[str], list[float]]:
+    """Labels and scores of texts."""
+    names, scores = ["und"] * len(batch), [0.0] * len(batch)
+    known = [i for i, t in enumerate(batch) if model is not None and has_letter(t)]
+    if known:
+        total, positions = model.document_scores([encoded(batch[i]) for i in known])
+        mean = total / positions[:, None]
+        share = np.exp(mean - mean.max(1, keepdims=True))
+        best = mean.argmax(1)
+        for i, k, s in zip(known, best.tolist(), (share.max(1) / share.sum(1)).tolist(), strict=True):
+            names[i], scores[i] = model.labels[k], float(min(1.0, s))
+    return names, scores
 
 
 def _predict_rows(model: ByteGRU | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model)
         for whole in batches:
-            for batch in slices(whole):
-                names, scores = reader.predict(texts(batch.column(2)))
+            for batch in slices(whole, 2 << 20):
+                names, scores = predict(model, texts(batch.column(2)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return rows
@@ -230,30 +241,45 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_words(docs: DataFrame, max_words: int = MAX_TRAIN_WORDS, least: int = LEAST_WORDS) -> list[tuple[str, str, int]]:
-    """(lang, word, draws) from all documents that have a language and aren't held out.
+def _cut(most: int):
+    """(lang, window): at most `most` windows of each text, evenly spread over the whole of it."""
 
-    The words of all of them are counted. Each language has the same quota of draws, max_words in all or `least`, which
-    its words get in proportion to their counts, fractions rounded up or down by a hash. So a language's words are drawn
-    from all its documents, and every language that has a word is there, however small it is and however rare its words.
-    """
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    words = usable.select("lang", F.explode(F.split("text", "\\s+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
-    words = materialise(words, "words")
-    totals = words.groupBy("lang").agg(F.sum("count").alias("total"))
-    quota = max(least, max_words // max(1, totals.count()))
-    chance = F.pmod(F.xxhash64("lang", "word"), F.lit(1 << 40)) / F.lit(1 << 40)
-    draws = words.join(F.broadcast(totals), "lang").select("lang", "word", F.floor(F.col("count") * quota / F.col("total") + chance).cast("long").alias("draws"))
-    return [tuple(r) for r in draws.filter("draws > 0").collect()]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, found = [], []
+            for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                raw = encoded(text)
+                last = max(0, len(raw) - WINDOW)
+                places = sorted({round(last * i / max(1, most - 1)) for i in range(most)}) if last >= most else range(0, last + 1, WINDOW)
+                for at in places:
+                    langs.append(lang)
+                    found.append(raw[at : at + WINDOW])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "window"])
+
+    return cut
+
+
+def training_sample(docs: DataFrame, most: int = MAX_TRAIN_DOCS, least: int = LEAST_DOCS) -> list[tuple[str, bytes]]:
+    """(lang, window) of a bounded sample of the documents that have a language and a text and aren't held out: each language
+    has the same quota, the first of its own documents in hashed order, so none is left out however small it is."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & F.col("doc_id").isNotNull() & ~held_out())
+    usable = usable.select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
+    languages = usable.select("lang").distinct().count()
+    quota = max(least, most // max(1, languages))
+    order = Window.partitionBy("lang").orderBy(hashed_order("doc_id"), "doc_id")
+    ids = usable.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= quota).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    picked = usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))  # quota ids a language
+    return [(r["lang"], bytes(r["window"])) for r in picked.select("lang", "text").mapInArrow(_cut(DOC_WINDOWS), "lang string, window binary").collect()]
 
 
 def identify(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row.
 
     `und` with score 0 for null texts, texts without a letter, and where there was nothing to learn from. Null doc_ids
-    are predicted, not learned from and not held out; repeated rows give repeated results; further columns are ignored.
+    are predicted, not learned from and not held out; repeated rows give repeated results; further columns are ignored; an
+    empty table gives an empty one. Texts are read whole, in chunks of windows, so a very long one needs no more memory.
     """
-    model = train(training_words(docs), steps=steps)
+    model = train(training_sample(docs), steps=steps)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(_predict_rows(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 

@@ -250,16 +250,15 @@ def test_language_edges(spark):
 
 
 def test_no_language_is_lost_before_training(spark):
-    """One document of words that occur once, among many of frequent words."""
-    rows = [(i, " ".join(f"{lang}{(i * 7 + k) % 50}" for k in range(40)), lang) for i in range(200) for lang in ("de", "en")]
+    """One document among many of two other languages; each language has the same quota of documents at most."""
+    rows = [(i, " ".join(f"{lang}{(i * 7 + k) % 50}" for k in range(400)), lang) for i in range(200) for lang in ("de", "en")]
     free = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 != 2)
     docs = spark.createDataFrame([*rows, (free, "\u6f22\u5b57\u6587\u66f8\u4e00 \u6f22\u5b57\u6587\u66f8\u4e8c", "zh")], "doc_id long, text string, lang string")
-    drawn = byte_gru.training_words(docs, max_words=60)
-    assert {lang for lang, _, _ in drawn} == {"de", "en", "zh"} and "zh" in byte_gru.train(drawn, steps=1).labels
-    few = Counter()
-    for lang, _, n in byte_gru.training_words(docs, max_words=60, least=20):
-        few[lang] += n
-    assert all(10 <= few[lang] <= 30 for lang in ("de", "en", "zh"))
+    drawn = byte_gru.training_sample(docs, most=30, least=5)
+    counts = Counter(lang for lang, _ in drawn)
+    assert set(counts) == {"de", "en", "zh"} and "zh" in byte_gru.train(drawn, steps=1).labels
+    assert counts["de"] == counts["en"] == 10 * byte_gru.DOC_WINDOWS and all(len(w) <= byte_gru.WINDOW for _, w in drawn)
+    assert len({w for lang, w in drawn if lang == "de"}) > 60  # windows are spread over whole texts
 
 
 def test_gradients_are_right():
@@ -284,9 +283,25 @@ def test_gradients_are_right():
     assert loss > 0
 
 
-def test_every_byte_is_read():
-    word = "é" * 100 + "x"
-    assert b"".join(byte_gru.windows(word)) == b" " + word.encode() + b" "
+def test_every_byte_is_read_across_words():
+    """Scores of texts of all lengths, read together in chunks, equal those of each text's windows by themselves."""
+    rng = np.random.default_rng(3)
+    model = byte_gru.ByteGRU(["a", "b", "c"], hidden=5, seed=2)
+    raw = [bytes(rng.integers(1, 256, n).tolist()) for n in (1, 47, 48, 49, 96, 500, 7)]
+    assert all(b"".join(byte_gru.windows(r)) == r for r in raw)
+    total, positions = model.document_scores(raw)
+    assert positions.tolist() == [len(r) for r in raw]
+    for r, got in zip(raw, total, strict=True):
+        own = np.zeros(3)
+        for window in byte_gru.windows(r):
+            own += model.log_probabilities(*byte_gru.pack([window]))[:, 0].sum(0)
+        assert got == pytest.approx(own, rel=1e-4)
+    one, two = (model.log_probabilities(*byte_gru.pack([t])) for t in (b"ab cd", b"ab xy"))
+    assert not np.allclose(one[1, 0], two[1, 0])  # a position hears of the next word
+
+
+def test_letters():
+    assert byte_gru.has_letter("1 x") and byte_gru.has_letter("\u6f22") and not byte_gru.has_letter("12 \u00b2 \u00bd !_")
 
 
 @pytest.mark.parametrize("parts", ["3", "40"])
