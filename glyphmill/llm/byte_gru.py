@@ -264,10 +264,12 @@ def training_sample(docs: DataFrame, most: int = MAX_TRAIN_DOCS, least: int = LE
     has the same quota, the first of its own documents in hashed order, so none is left out however small it is."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & F.col("doc_id").isNotNull() & ~held_out())
     usable = usable.select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
-    languages = usable.select("lang").distinct().count()
-    quota = max(least, most // max(1, languages))
-    order = Window.partitionBy("lang").orderBy(hashed_order("doc_id"), "doc_id")
-    ids = usable.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= quota).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("size"))
+    quota = max(least, most // max(1, sizes.count()))
+    # a frequent language's rows are thinned by the hash before they are ranked: three quotas of them are expected to be left
+    early = usable.select("lang", "doc_id", hashed_order("doc_id").alias("u")).join(F.broadcast(sizes), "lang").filter(F.col("u") < F.lit(float(1 << 60)) * 3 * (quota + 10) / F.col("size"))
+    order = Window.partitionBy("lang").orderBy("u", "doc_id")
+    ids = early.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= quota).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     picked = usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))  # quota ids a language
     return [(r["lang"], bytes(r["window"])) for r in picked.select("lang", "text").mapInArrow(_cut(DOC_WINDOWS), "lang string, window binary").collect()]
 
