@@ -7,7 +7,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -86,23 +86,30 @@ def name_score(name: str) -> float:
 
 def literal_score(text: str) -> float:
     """0 to 1: how much a literal looks like generated key material."""
-    if len(text) < 8 or PLACEHOLDER.match(text):
-        return 0.0
-    n = len(text)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
-    classes = sum(any(test(c) for c in text) for test in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in text)
-    spaced = 0.5 if any(c.isspace() for c in text) else 1.0
+    return 0.0 if len(text) < 8 or PLACEHOLDER.match(text) else _counts_score(Counter(text))
+
+
+def _counts_score(counts: Mapping[str, float]) -> float:
+    """The score of a text by its characters' counts: entropy, classes of characters, and whether there is white space."""
+    n = sum(counts.values())
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    classes = sum(any(map(test, counts)) for test in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
+    spaced = 0.5 if any(map(str.isspace, counts)) else 1.0
     return spaced * min(1.0, entropy / 3.5) * min(1.0, 0.4 + 0.3 * (classes - 1) if classes else 0.0)
 
 
+#: Values up to this length are held against placeholders.
+SHORT = 256
+
+
 class Assignment:
     """A name and what its value is built from: spans of literals, without quotes, and earlier assignments, which aren't copied."""
 
-    __slots__ = ("name", "parts", "text")
+    __slots__ = ("name", "parts", "text", "_measure")
 
     def __init__(self, name: str, parts: list[tuple[int, int] | Assignment], text: str) -> None:
         parts = tuple(dict.fromkeys(parts))
-        self.name, self.text = name, text
+        self.name, self.text, self._measure = name, text, None
         self.parts = parts[0].parts if len(parts) == 1 and isinstance(parts[0], Assignment) else parts
 
     @property
@@ -121,6 +128,35 @@ class Assignment:
                 open_parts.append(iter(part.parts))
         return tuple(found)
 
+    def score(self) -> float:
+        """How much the value looks like key material. Characters' counts are added up along the references and kept, so
+        that a chain of names takes linear time; only a short value is put together, to be held against placeholders."""
+        open_: list[Assignment] = [self]
+        while open_:
+            one = open_[-1]
+            todo = [p for p in one.parts if isinstance(p, Assignment) and p._measure is None] if one._measure is None else []
+            if todo:
+                open_ += todo
+                continue
+            open_.pop()
+            if one._measure is None:
+                counts: Counter[str] = Counter()
+                short = ""
+                for part in one.parts:
+                    if isinstance(part, Assignment):
+                        counts.update(part._measure[0])
+                        short = short + part._measure[1] if short is not None and part._measure[1] is not None else None
+                    else:
+                        literal = _WRAP.sub("", one.text[part[0] : part[1]])
+                        counts.update(literal)
+                        short = short + literal if short is not None else None
+                    short = None if short is not None and len(short) > SHORT else short
+                if sum(counts.values()) > 1e12:  # a value that is added to itself again and again: only shares count
+                    counts = Counter({c: max(1.0, n * 1e-6) for c, n in counts.items()})
+                one._measure = (counts, short)
+        counts, short = self._measure
+        return literal_score(short) if short is not None else _counts_score(counts)
+
     @property
     def value(self) -> str:
         """The literals together; where one is wrapped, the line breaks aren't part of it."""
@@ -323,15 +359,58 @@ def assignments(text: str) -> Iterator[Assignment]:
             resume = last = end  # else pairs within the value count as well
 
 
+_QUOTED = r"""(?:"(?P<d>[^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'(?P<s>[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)')"""
+_LABEL = r"""["'](?P<name>[\w$.\-]{1,100})["']"""
+#: Pairs without an assignment operator, by what stands around them, and the name where the form itself is the name.
+_FORMS = (
+    (re.compile(rf"(?P<name>[A-Za-z_$][\w$]{{2,99}}+)\(\s{{0,20}}{_QUOTED}\s{{0,20}}\)"), None),  # setPassphrase("...")
+    (re.compile(rf"\(\s{{0,20}}{_LABEL}\s{{0,20}},\s{{0,20}}{_QUOTED}"), None),  # set("name", "..."), getenv("NAME", "...")
+    (re.compile(rf"\b(?:key|name|id)\s{{0,5}}=\s{{0,5}}{_LABEL}\s{{1,20}}value\s{{0,5}}=\s{{0,5}}{_QUOTED}"), None),  # <add key="name" value="..."/>
+    (re.compile(r"<(?P<name>[A-Za-z_][\w.:\-]{0,99}+)(?:\s[^<>\n]{0,300})?>\s{0,20}(?P<d>[^<>\s][^<>\n]{0,1000}?)\s{0,20}</(?P=name)\s{0,5}>"), None),  # <password>...</password>
+    (re.compile(rf"\#[ \t]{{0,5}}define[ \t]{{1,9}}(?P<name>\w{{1,100}})[ \t]{{1,40}}(?:{_QUOTED}|(?P<b>[^\s\"'()]+))"), None),  # #define NAME "..."
+    (re.compile(rf"(?P<name>[A-Za-z_$][\w$.\-]{{0,99}}+)[ \t]{{0,20}}(?::=|=(?!=)|:(?!:))[^\"'\n=]{{1,200}}?(?:\bor\b|\|\||\?\?|\?:)\s{{0,20}}{_QUOTED}"), None),  # name = f(x) or "..."
+    (re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{0,20}+://[^\s/:@\"'<>]{0,200}+:(?P<d>[^\s/@\"'<>]{1,500}+)@"), "password"),  # scheme://user:...@host
+    (re.compile(r"(?i:authorization)[\"']?[ \t]{0,5}[:=,][ \t]{0,5}[\"']?(?i:bearer|basic|token)[ \t]{1,5}(?P<d>[A-Za-z0-9+/_.=~\-]++)"), "authorization"),
+)
+
+
+def formed_pairs(text: str) -> Iterator[tuple[str, tuple[int, int]]]:
+    """(name, span of the literal) of calls, labelled arguments, elements, attributes, macros, defaults, addresses, headers."""
+    for pattern, fixed in _FORMS:
+        for m in pattern.finditer(text):
+            groups = m.groupdict()
+            kind = next((g for g in ("d", "s", "b") if groups.get(g) is not None), None)
+            if kind:
+                yield fixed or m["name"], m.span(kind)
+
+
 def method_spans(text: str, threshold: float = 0.5) -> list[Span]:
     """Literals that reach a sensitive name and look like a secret: name score times literal score at the threshold or over."""
-    if "=" not in text and ":" not in text:
-        return []
     spans = set()
-    for one in assignments(text):
-        weight = name_score(one.name)
-        if weight and weight * literal_score(one.value) >= threshold:
-            spans |= {Span("literal", s, e, s, e) for s, e in one.literals if e > s}
+    if "=" in text or ":" in text:
+        told: set[int] = set()  # assignments whose literals are all there
+        held = []
+        for one in assignments(text):
+            held.append(one)  # keeps the identities apart
+            weight = name_score(one.name)
+            if not weight or weight * one.score() < threshold:
+                continue
+            open_: list[Assignment] = [one]
+            while open_:
+                now = open_.pop()
+                if id(now) in told:
+                    continue
+                told.add(id(now))
+                for part in now.parts:
+                    if isinstance(part, Assignment):
+                        open_.append(part)
+                    elif part[1] > part[0]:
+                        spans.add(Span("literal", *part, *part))
+    if "(" in text or "</" in text or "//" in text or "#" in text or "value" in text or ":" in text or "=" in text:
+        for name, (s, e) in formed_pairs(text):
+            weight = name_score(name)
+            if weight and weight * literal_score(text[s:e]) >= threshold:
+                spans.add(Span("literal", s, e, s, e))
     return sorted(spans, key=lambda s: (s.start, s.end))
 
 
@@ -397,7 +476,8 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts, digest and spans of every row. Null texts count as empty; repeated rows give repeated results;
-    further columns are ignored; an empty table gives an empty one. Work is linear in the text, a row at a time."""
+    further columns are ignored; an empty table gives an empty one. Very long texts are read whole, a row at a time; work is
+    linear in the text, chains of names included, as what a name holds is added up once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_digest_rows, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
 

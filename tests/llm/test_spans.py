@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -182,3 +183,35 @@ def test_chains_of_names_stay_linear():
     text = "\n".join(lines)
     found = secrets.method_spans(text)
     assert len(found) == 20_000 and text[found[0].start : found[0].end] == "Xq7Zt9Lm2"
+
+
+KEY = "Xk29fjA8qLz0P3vB"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'os.environ["DB_PWD"] = "{KEY}"', f'setPassphrase("{KEY}")', f'db_pwd = """{KEY}"""', f"db_pwd: |\n  {KEY}\n", f"<db_pwd>{KEY}</db_pwd>", f'<add key="db_pwd" value="{KEY}"/>', f'db_pwd = ("{KEY}")',
+        f'db_pwd = f(x) or "{KEY}"', f'db_pwd = os.getenv("DB_PWD", "{KEY}")', f"DATABASE_URL=postgres://user:{KEY}@host:5432/db", f'config.set("db_pwd", "{KEY}")', f'#define DB_PASSPHRASE "{KEY}"',
+        f"define('DB_PASSPHRASE', '{KEY}');", f"Authorization: Bearer {KEY}", f"export DB_PWD={KEY}", f'X = "{KEY}"\ndb_pwd = X\n',
+    ],
+)
+def test_syntax_forms(text):
+    assert KEY in {text[s.literal_start : s.literal_end] for s in secrets.scan(text)[1]}
+    assert KEY not in secrets.redact(text, secrets.scan(text)[1])
+
+
+@pytest.mark.parametrize("text", ['print("hello, world")', "<p>A secret garden</p>", 'config.set("colour", "Xk29fjA8qLz0P3vB")', "see http://example.com:8080/a@b", "the password is or was unknown"])
+def test_forms_leave_other_text_alone(text):
+    assert secrets.scan(text)[1] == secrets.scan(text)[0]
+
+
+def test_chains_of_sensitive_names_take_linear_time():
+    def seconds(n):
+        text = f'secret_0 = "{KEY}"\n' + "".join(f'secret_{i} = secret_{i - 1} + "a{i}"\n' for i in range(1, n))
+        began = time.process_time()
+        found = secrets.scan(text)[1]
+        assert len(found) == n
+        return time.process_time() - began
+
+    assert seconds(8000) < 10 * max(0.05, seconds(2000))
