@@ -1,9 +1,10 @@
 """Personal data and what gives it away (operator 2), in DataFrame and SQL functions only.
 
-Base spans are the stated patterns. The information-theoretic part protects every personal value that several documents
-hold: for a term that stands beside the value, corpus counts give the pointwise mutual information of term and value; as
-a share of the value's own information content this is the part of the value that the term discloses. Terms over the
-lower threshold are generalised, terms over the upper one removed.
+Base spans are the stated patterns. The information-theoretic part counts over whole documents: for each personal value v
+and each term t of the documents that hold v, corpus counts estimate p(v | t), smoothed towards p(v) by SMOOTHING documents
+so that a single common document proves little. Its negative logarithm is what is still hidden of v from one who knows t.
+Where that is at most GENERALISE_BITS the term is generalised, at most REMOVE_BITS removed, wherever it stands in the
+documents of v.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ PATTERNS = {
 }
 #: What a text must hold before its pattern is worth a search.
 HINTS = {"email": "text like '%@%'", "ip": r"text rlike '[0-9]\\.[0-9]++\\.[0-9]'", "card": "text rlike '[0-9](?:[ -]?[0-9]){12}'", "phone": "text like '%+%'"}
-#: A term: three or more letters. Context: so many code points on either side of a value.
-TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}(?![\p{L}\p{N}@])"
-CONTEXT = 40
-#: A value is protected from so many documents on; a term counts from so many of them on.
-LEAST_DOCS, LEAST_TOGETHER = 3, 3
-GENERALISE_AT, REMOVE_AT = 0.6, 0.85
+#: A term: three or more letters that aren't part of an address.
+TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}@])(?![A-Za-z0-9._%+-]{0,64}+@)"
+#: Addresses are found on the way to the terms, so that no term is taken from within one.
+TERM_OR_ADDRESS = f"(?:{PATTERNS['email']})|(?:{TERM})"
+#: Documents' worth of the prior in p(value | term); hidden bits from which a term is generalised, and removed.
+SMOOTHING, GENERALISE_BITS, REMOVE_BITS = 2.0, 2.0, 1.0
+#: Matches whose offsets one fold adds up; longer lists are folded in chunks, so work is linear but for n / FOLD chunk sums.
+FOLD = 256
 
 _DIGITS = "regexp_replace(x.f, '[^0-9]', '')"
 _LUHN = (
@@ -48,19 +51,28 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for body with value bound to name: evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def spans_sql(text: str, pattern: str, valid: str = "true", hint: str = "true") -> str:
     """SQL for array<struct<s int, e int, f string>>: the valid matches with their code point offsets.
 
-    The texts between matches and the matches alternate; running lengths are offsets. Only valid matches are appended.
+    The texts between matches and the matches alternate; running lengths are offsets. Matches are folded in chunks of FOLD,
+    whose lengths are then added up: appending to one array match by match would copy it each time.
     """
-    found, pieces = f"regexp_extract_all({text}, {_quoted(pattern)}, 0)", f"split({text}, {_quoted(pattern)}, -1)"
     none = "cast(array() as array<struct<s: int, e: int, f: string>>)"
+    # arrays_zip pads the matches with a null beside the text after the last one
+    zipped = f"filter(arrays_zip(split({text}, {_quoted(pattern)}, -1), regexp_extract_all({text}, {_quoted(pattern)}, 0)), z -> z.`1` is not null)"
     span = "named_struct('s', a.pos + length(x.p), 'e', a.pos + length(x.p) + length(x.f), 'f', x.f)"
     step = f"(a, x) -> named_struct('pos', a.pos + length(x.p) + length(x.f), 'out', case when {valid} then concat(a.out, array({span})) else a.out end)"
-    # arrays_zip pads the matches with a null beside the text after the last one
-    zipped = f"filter(arrays_zip({pieces} as p, {found} as f), x -> x.f is not null)".replace(" as p", "").replace(" as f", "")
-    named = f"transform({zipped}, x -> named_struct('p', x.`0`, 'f', x.`1`))".replace("x -> x.f is", "x -> x.`1` is")
-    return f"case when {hint} then aggregate({named}, named_struct('pos', 0, 'out', {none}), {step}, a -> a.out) else {none} end"
+    chunks = f"transform(sequence(0, (size(m) - 1) div {FOLD}), i -> aggregate(slice(m, i * {FOLD} + 1, {FOLD}), named_struct('pos', 0, 'out', {none}), {step}))"
+    bases = "aggregate(c, named_struct('pos', 0, 'out', cast(array() as array<int>)), (a, x) -> named_struct('pos', a.pos + x.pos, 'out', concat(a.out, array(a.pos)))).out"
+    moved = "flatten(zip_with(c, o, (x, b) -> transform(x.out, y -> named_struct('s', y.s + b, 'e', y.e + b, 'f', y.f))))"
+    whole = _let("c", chunks, _let("o", bases, moved))
+    named = f"transform({zipped}, z -> named_struct('p', z.`0`, 'f', z.`1`))"
+    return f"case when {hint} then {_let('m', named, f'case when size(m) = 0 then {none} else {whole} end')} else {none} end"
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -69,52 +81,61 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", *(F.expr(spans_sql("text", PATTERNS[k], _VALID[k], HINTS[k])).alias(k) for k in KINDS))
 
 
-def _with_contexts(base: DataFrame) -> DataFrame:
-    """The spans and, for each value, what stands before and after it, without the text."""
-    sides = (
-        "array(named_struct('at', greatest(0, v.s - {c}), 't', substring(text, greatest(0, v.s - {c}) + 1, least(v.s, {c}))), named_struct('at', v.e, 't', substring(text, v.e + 1, {c})))"
-    ).format(c=CONTEXT)
-    windows = [f"transform({k}, v -> named_struct('value', xxhash64('{k}', v.f), 'sides', {sides}))" for k in KINDS]
-    return base.select("doc_id", "text_hash", *KINDS, F.expr(f"concat({', '.join(windows)})").alias("contexts"))
+def _classes(pairs: DataFrame, what: str, *more: str) -> DataFrame:
+    """pairs (rid, what, more...) with `set`, which names the set of rows that hold `what`: values, or terms, of one set
+    behave alike and are counted together, so a document of many unique ones forms no product of them."""
+    sets = pairs.groupBy(what).agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("rid")).alias("_a"), F.bit_xor(F.xxhash64(F.lit(7), "rid")).alias("_b"))
+    return pairs.join(sets.select(what, F.struct("_n", "_a", "_b").alias("set")), what).select("rid", what, "set", *more)
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, least_docs: int = LEAST_DOCS, least_together: int = LEAST_TOGETHER) -> DataFrame:
-    """(value, term, disclosure): PMI(term; value) / IC(value) from document frequencies over the whole corpus.
+def disclosing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(rid, term, action) of the rows in `held` (rid, text, values): what the terms of a row disclose of its values.
 
-    A term's documents are counted over all texts, a value's over all its mentions; together they count where the term
-    stands within CONTEXT of the value.
+    A term's documents are counted over all texts. p(v | t) = (together + SMOOTHING p(v)) / (term_docs + SMOOTHING), so at
+    GENERALISE_BITS a term of over 2^bits (value_docs + SMOOTHING) documents can't disclose the value: such terms are left
+    out before they meet a value, which loses none.
     """
-    pairs = contexts.select("doc_id", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= least_together)
-    values = contexts.select("doc_id", "value").distinct().groupBy("value").agg(F.count("*").alias("value_docs")).filter(F.col("value_docs") >= least_docs)
-    candidates = pairs.join(values, "value")
-    terms = docs.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(text), {_quoted(TERM)}, 0)"))).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
-    known = candidates.join(terms, "term").withColumn("n", F.lit(docs.count()))
-    content = F.log(F.col("n") / F.col("value_docs"))
-    shared = F.log(F.col("together") * F.col("n") / (F.col("value_docs") * F.col("term_docs")))
-    return known.withColumn("disclosure", F.when(content > 0, shared / content).otherwise(F.lit(0.0))).select("value", "term", "disclosure")
-
-
-def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+    bits = 2.0**GENERALISE_BITS
+    total = F.lit(float(max(1, docs.count())))
+    values = held.select("rid", F.explode("values").alias("value")).distinct()
+    sized = _classes(values, "value").select("rid", "set").distinct().withColumn("value_docs", F.col("set._n"))
+    most = sized.groupBy("rid").agg(F.max("value_docs").alias("most"))
+    words = F.array_distinct(F.expr(f"regexp_extract_all(lower(text), {_quoted(TERM)}, 0)"))
+    own = held.select("rid", F.explode(words).alias("term"))
+    known = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
+    rare = own.join(known, "term").join(most, "rid").filter(F.col("term_docs") <= bits * (F.col("most") + SMOOTHING))
+    terms = materialise(_classes(rare.select("rid", "term", "term_docs"), "term", "term_docs").withColumn("set", F.struct("set", "term_docs")), "terms")
+    term_sets = terms.select("rid", F.col("set").alias("term_set")).distinct()
+    value_sets = sized.select("rid", F.col("set").alias("value_set"), "value_docs")
+    met = value_sets.join(term_sets, "rid").groupBy("value_set", "term_set", "value_docs").agg(F.count("*").alias("together"))
+    chance = (F.col("together") + SMOOTHING * F.col("value_docs") / total) / (F.col("term_set.term_docs") + SMOOTHING)
+    hidden = -F.log2(chance)
+    telling = met.select("value_set", "term_set", hidden.alias("hidden")).filter(F.col("hidden") <= GENERALISE_BITS)
+    reached = value_sets.join(telling, "value_set").groupBy("rid", "term_set").agg(F.min("hidden").alias("hidden"))
+    action = F.when(F.col("hidden") <= REMOVE_BITS, F.lit("remove")).otherwise(F.lit("generalise"))
+    return terms.join(reached, (terms["rid"] == reached["rid"]) & (terms["set"] == reached["term_set"])).select(terms["rid"], "term", action.alias("action"))
+
+
+def find(docs: DataFrame) -> DataFrame:
     """A row for each input row: doc_id, text_hash, an array of base spans for each kind, and `terms`: array of
     struct<s, e, action>, where action is 'generalise' or 'remove'.
 
-    Null texts count as empty; repeated rows (doc_id and text) have equal results; null doc_ids are rows like others;
-    further columns are ignored; an empty table gives an empty one. Very frequent values and terms are counted with
-    map-side sums, and no list of a value's documents is built.
+    Null texts count as empty and hold nothing; repeated rows are documents of their own, in all counts alike, and have equal
+    results; null doc_ids are rows like others; further columns are ignored; an empty table gives an empty one. Very long
+    texts are read whole, in linear work. Only documents with personal data are written with their texts; very frequent
+    values and terms are counted with map-side sums, and no list of a value's documents is built.
     """
-    base = materialise(_with_contexts(base_spans(docs)), "personal-data")
-    sides = base.select("doc_id", "text_hash", F.explode("contexts").alias("c")).select("doc_id", "text_hash", "c.value", F.explode("c.sides").alias("w"))
-    beside = sides.select("doc_id", "text_hash", "value", "w.at", F.explode(F.expr(spans_sql("w.t", TERM))).alias("x"))
-    beside = beside.select("doc_id", "text_hash", "value", F.lower("x.f").alias("term"), (F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e"))
-    beside = materialise(beside, "beside-personal-data")
-    telling = disclosing_terms(docs, beside).filter(F.col("disclosure") >= generalise_at)
-    action = F.when(F.max("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
-    marked = beside.join(telling, ["value", "term"]).groupBy("doc_id", "text_hash", "s", "e").agg(action.alias("action"))
-    per_doc = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct("s", "e", "action"))).alias("near"))
-    joined = base.join(per_doc, base["doc_id"].eqNullSafe(per_doc["_id"]) & (base["text_hash"] == per_doc["_hash"]), "left")
-    every = f"concat({', '.join(KINDS)})"
-    clear = f"filter(coalesce(near, array()), t -> not exists({every}, b -> t.s < b.e and b.s < t.e))"
-    return joined.select("doc_id", "text_hash", *KINDS, F.expr(clear).alias("terms"))
+    values = ", ".join(f"transform({k}, v -> xxhash64('{k}', v.f))" for k in KINDS)
+    holds = " or ".join(f"size({k}) > 0" for k in KINDS)
+    found = base_spans(docs).withColumn("values", F.expr(f"array_distinct(concat({values}))")).withColumn("text", F.expr(f"case when {holds} then text end"))
+    base = materialise(found.withColumn("rid", F.monotonically_increasing_id()), "personal-data")  # a row's number holds once it is written
+    held = base.filter("text is not null").select("rid", "text", "values")
+    telling = disclosing_terms(docs, held)
+    places = held.select("rid", F.explode(F.expr(spans_sql("text", TERM_OR_ADDRESS))).alias("x")).filter(~F.contains(F.col("x.f"), F.lit("@")))
+    places = places.select("rid", F.lower("x.f").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    near = places.join(telling, ["rid", "term"]).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e", "action"))).alias("terms"))  # within one text
+    none = "cast(array() as array<struct<s: int, e: int, action: string>>)"
+    return base.join(near, "rid", "left").select("doc_id", "text_hash", *KINDS, F.expr(f"coalesce(terms, {none})").alias("terms"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

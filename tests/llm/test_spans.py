@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 import time
 
@@ -76,6 +78,51 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in clean[0] and "Zelkova" not in clean[0] and clean[5] == rest[1]
 
 
+def brute_terms(texts):
+    """The terms that disclose a value of their text, from counts by hand."""
+    term = re.compile(r"(?<![^\W_])[^\W\d_]{3,}(?![^\W_]|@)(?![A-Za-z0-9._%+-]{0,64}@)")
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    values = [{m[0] for m in email.finditer(t or "")} for t in texts]
+    terms = [{m[0].lower() for m in term.finditer(t or "")} for t in texts]
+    out = []
+    for i, t in enumerate(texts):
+        told = {}
+        for w in terms[i]:
+            for v in values[i]:
+                together = sum(v in values[j] and w in terms[j] for j in range(len(texts)))
+                p = (together + 2 * sum(v in x for x in values) / len(texts)) / (sum(w in x for x in terms) + 2)
+                if -math.log2(p) <= 2:
+                    told[w] = "remove" if -math.log2(p) <= 1 or told.get(w) == "remove" else "generalise"
+        taken = [m.span() for m in email.finditer(t or "")]
+        out.append(sorted((m.start(), m.end(), told[m[0].lower()]) for m in term.finditer(t or "") if m[0].lower() in told and not any(a < m.end() and m.start() < b for a, b in taken)))
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "Gamma", "delta", "eps", "Zeta", "étage", "theta", "iota", "kappa", "of", "x1y"]
+    rare = [f"rare{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    people = ["ann.lee@x.org", "bob@mail.example.com", "eve@y.net"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 9)) + rng.choices(rare, k=2) + rng.choices(people, k=rng.choice([0, 0, 1, 2]))) for _ in range(60)]
+    texts += [texts[0], texts[0], "", None, "solo unique Name jo@z.io Name", "far " + "word " * 60 + "pat@q.org " + "word " * 60 + "Signature"]
+    found = {r["doc_id"]: [tuple(t) for t in r["terms"]] for r in pii.find(docs(spark, *texts)).collect()}
+    expected = brute_terms(texts)
+    assert [found[i] for i in range(len(texts))] == expected
+    assert any(e for e in expected[-2]) and ("signature" in {texts[-1][s:e].lower() for s, e, _ in expected[-1]})
+
+
+def test_many_values_take_linear_time(spark):
+    def seconds(n):
+        long = docs(spark, " ".join(f"user{i}@mail{i}.org" for i in range(n)))
+        began = time.time()
+        row = pii.op2_pii_disclosure(long).select("n_email", "spans").first()
+        assert row["n_email"] == n and row["spans"].endswith(f":{len(long.first()['text'])}")
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 5 * seconds(10_000) + 5
+
+
 def test_personal_data_rows(spark):
     table = spark.createDataFrame([(None, "a@b.c", "x"), (1, "a@b.c", "y"), (1, "a@b.c", "y"), (2, None, None)], "doc_id long, text string, email string")
     rows = pii.op2_pii_disclosure(table).collect()
