@@ -14,15 +14,17 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby, islice
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.llm._common import materialise
+
 KEEP, NEUTRAL, DROP = 2, 1, 0
 #: Two neighbours that share this much of their lines of no role are copies, not one template: nothing is deleted.
 COPY_SHARE = 0.9
@@ -336,27 +338,60 @@ def _common_prefix(a: str, b: str) -> int:
 
 
 class _Page:
-    __slots__ = ("row", "key", "hashes")
+    """A page of the sorted stream; pages in a row of equal run (host and lines) are copies of each other."""
+
+    __slots__ = ("row", "key", "hashes", "run")
 
     def __init__(self, row: dict) -> None:
         self.row, self.key = row, (row["host"], row["path"])
         self.hashes = np.frombuffer(row["hashes"], np.uint64).tolist()
-
-    def result(self, before: _Page | None, after: _Page | None) -> tuple:
-        near = [p for p in (before, after) if p is not None and p.key[0] == self.key[0] and self.key[0]]
-        near.sort(key=lambda p: -_common_prefix(p.key[1], self.key[1]))  # stable: the page before it first
-        left = iter(self.row["texts"])
-        lines = [(next(left) if role else "", role) for role in self.row["roles"]]
-        text, *counts = kept_text(lines, self.hashes, [p.hashes for p in near])
-        return (self.row["page_id"], self.row["url"], text, len(text), *counts)
+        self.run = xxhash.xxh64_intdigest(row["host"].encode("utf-8", "surrogatepass") + b"\0" + row["hashes"]) - (1 << 63)
+
+
+class _Run:
+    """A run of copies: its first page whole, one list of texts for each distinct list of roles, and the names of its pages."""
+
+    def __init__(self) -> None:
+        self.texts: dict[bytes, list[str]] = {}
+        self.names: list[tuple] = []
+        self.head: _Page | None = None
+
+    def add(self, page: _Page) -> None:
+        self.head = self.head or page
+        self.texts.setdefault(page.row["roles"], page.row["texts"])
+        self.names.append((page.row["page_id"], page.row["url"], page.key[1], page.row["roles"]))
+
+    def results(self, before: _Page | None, after: _Page | None) -> Iterator[dict]:
+        """The pages' results against the nearest pages before and after the run; copies with equal roles and the same first
+        partner are worked out once."""
+        host = self.head.key[0]
+        near = [p for p in (before, after) if p is not None and p.key[0] == host and host]
+        done: dict[tuple, tuple] = {}
+        for page_id, url, path, roles in self.names:
+            order = sorted(near, key=lambda p: -_common_prefix(p.key[1], path))  # stable: the page before it first
+            known = roles, bool(order) and order[0] is near[0]
+            if known not in done:
+                left = iter(self.texts[roles])
+                done[known] = kept_text([(next(left) if role else "", role) for role in roles], self.head.hashes, [p.hashes for p in order])
+            text, shared, deleted, named = done[known]
+            yield {"page_id": page_id, "url": url, "text": text, "n_chars": len(text), "n_shared": shared, "n_deleted": deleted, "n_role": named}
 
 
 _RESULT = "page_id long, url string, text string, n_chars long, n_shared long, n_deleted long, n_role long"
 _RESULT_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64()), ("n_deleted", pa.int64()), ("n_role", pa.int64())])
 
+#: What a swept range gives: results, pages of its first and last run, which may go on in other ranges, and the lines of the
+#: pages that can be partners of those: its first page, the first after its first run, the last before its last run, its last.
+DONE, OF_FIRST, OF_LAST, FIRST, SECOND, PREVIOUS, LAST = range(7)
+_SWEPT = "kind int, part int, run long, host string, path string, roles binary, hashes binary, texts array<string>, " + _RESULT
+_SWEPT_ARROW = pa.schema(
+    [("kind", pa.int32()), ("part", pa.int32()), ("run", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("roles", pa.binary()), ("hashes", pa.binary()), ("texts", pa.list_(pa.string())), *_RESULT_ARROW]
+)
+
 
-def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RESULT_ARROW.types, strict=True)] if rows else [pa.array([], t) for t in _RESULT_ARROW.types], schema=_RESULT_ARROW)
+def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 256)):
+        yield pa.RecordBatch.from_pylist(some, schema)
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[_Page]:
@@ -366,75 +401,119 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[_Page]:
                 yield _Page(row)
 
 
-def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of all rows of each sorted range but its first and last, which have a neighbour elsewhere."""
-    before = here = None
-    out: list[tuple] = []
-    for page in _pages(batches):
-        if before is not None and before.row["part"] == here.row["part"] == page.row["part"]:
-            out.append(here.result(before, page))
-            if len(out) >= 256:
-                yield _emit(out)
-                out = []
-        before, here = here, page
-    yield _emit(out)
-
-
-_EDGE = "edge boolean, goes int, place int, " + _PARSED
-_EDGE_ARROW = [pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string())]
-_EDGE_NAMES = ["edge", "goes", "place", "part", "page_id", "url", "host", "path", "roles", "hashes", "texts"]
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first two and the last two rows of each sorted range for its own group, the outermost marked, and those for the
-    groups of the ranges beside it: six rows a group."""
-    for part, pages in groupby(_pages(batches), key=lambda page: page.row["part"]):
-        first: list[_Page] = []
-        last: list[_Page] = []
-        for page in pages:
-            if len(first) < 2:
-                first.append(page)
-            last = [*last[-1:], page]
-        own = list({id(p): p for p in [*first, *last]}.values())
-        rows = [(page in (own[0], own[-1]), part, i, page) for i, page in enumerate(own)] + [(False, part - 1, 0, own[0]), (False, part + 1, 0, own[-1])]
-        columns = [*([r[i] for r in rows] for i in range(3)), *([r[3].row[n] for r in rows] for n in _EDGE_NAMES[3:])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _EDGE_ARROW, strict=True)], _EDGE_NAMES)
-
-
-def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of the marked rows of each group, in the order of the ranges; three rows are held."""
-    before = here = None
-    out: list[tuple] = []
-
-    def beside(page: _Page | None) -> _Page | None:
-        return page if page is not None and page.row["goes"] == here.row["goes"] else None
-
-    for page in chain(_pages(batches), [None]):
-        if here is not None and here.row["edge"]:
-            out.append(here.result(beside(before), beside(page)))
-            if len(out) >= 256:
-                yield _emit(out)
-                out = []
-        before, here = here, page
-    yield _emit(out)
+def _partner(kind: int, page: _Page) -> dict:
+    return {"kind": kind, "part": page.row["part"], "run": page.run, "host": page.key[0], "path": page.key[1], "hashes": page.row["hashes"]}
+
+
+def _open(kind: int, page: _Page) -> dict:
+    return {"kind": kind, "run": page.run, **{c: page.row[c] for c in ("part", "page_id", "url", "host", "path", "roles", "hashes", "texts")}}
+
+
+def _swept_rows(pages: Iterator[_Page]) -> Iterator[dict]:
+    """Each sorted range, run by run. Pages of the first run pass through; of a later run its copies' names are held until
+    the page after it comes; the last run's pages are open like the first one's."""
+    for part, own in groupby(pages, key=lambda page: page.row["part"]):
+        held: _Run | None = None
+        before = here = None
+        for page in own:
+            if here is None:
+                yield _partner(FIRST, page)
+            elif page.run != here.run:
+                if held is None:
+                    yield _partner(SECOND, page)
+                else:
+                    yield from ({"kind": DONE, "part": part, **r} for r in held.results(before, page))
+                before, held = here, _Run()
+            if held is None:
+                yield _open(OF_FIRST, page)
+            else:
+                held.add(page)
+            here = page
+        yield _partner(LAST, here)
+        if held is not None:
+            yield _partner(PREVIOUS, before)
+            head = held.head.row
+            for page_id, url, path, roles in held.names:
+                yield {"kind": OF_LAST, "part": part, "run": held.head.run, "page_id": page_id, "url": url, "host": head["host"], "path": path, "roles": roles, "hashes": head["hashes"], "texts": held.texts[roles]}
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _batched(_swept_rows(_pages(batches)), _SWEPT_ARROW)
+
+
+def _needs(partners: DataFrame) -> DataFrame:
+    """goes, side, place, part, kind: which partner stands before (place 0) and after (place 1) the first (side 0) and the
+    last run (side 1) of each range. A run that fills ranges has the partners of all of it.
+
+    The windows run over a row of a few numbers for each range of RANGE_ROWS pages.
+    """
+
+    def run(kind: int) -> F.Column:
+        return F.max(F.when(F.col("kind") == kind, F.col("run")))
+
+    ranges = partners.groupBy("part").agg(run(FIRST).alias("first"), run(LAST).alias("last"), (F.count_if(F.col("kind") == SECOND) == 0).alias("single"))
+
+    def at(part: F.Column, kind: int) -> F.Column:
+        return F.struct(part.alias("part"), F.lit(kind).alias("kind"))
+
+    def beyond(order: F.Column, near: str, far: str, nearest: int, next_run: int) -> F.Column:
+        w = Window.orderBy(order)
+        beside = F.lag("part").over(w)
+        found = F.when(beside.isNull(), at(F.lit(-1), nearest)).when(F.lag(near).over(w) != F.col(far), at(beside, nearest)).when(~F.lag("single").over(w), at(beside, next_run))
+        return found
+
+    ranges = ranges.withColumn("before", beyond(F.asc("part"), "last", "first", LAST, PREVIOUS)).withColumn("after", beyond(F.desc("part"), "first", "last", FIRST, SECOND))
+    so_far = Window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = ranges.withColumn("before", F.last("before", True).over(so_far.orderBy("part"))).withColumn("after", F.last("after", True).over(so_far.orderBy(F.desc("part"))))
+
+    def need(side: int, place: int, who: F.Column) -> F.Column:
+        return F.struct(F.lit(side).alias("side"), F.lit(place).alias("place"), who["part"].alias("part"), who["kind"].alias("kind"))
+
+    first = F.array(need(0, 0, F.col("before")), need(0, 1, F.when(F.col("single"), F.col("after")).otherwise(at(F.col("part"), SECOND))))
+    last = F.array(need(1, 0, at(F.col("part"), PREVIOUS)), need(1, 1, F.col("after")))
+    wanted = F.explode(F.when(F.col("single"), first).otherwise(F.concat(first, last)))
+    return ranges.select(F.col("part").alias("goes"), wanted.alias("n")).select("goes", "n.*")
+
+
+def _closed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Results of the open pages of each group, whose partners come first: three pages are held."""
+    for _, rows in groupby(_pages(batches), key=lambda page: (page.row["goes"], page.row["side"])):
+        beside: list[_Page | None] = [None, None]
+        for page in rows:
+            if page.row["place"] < 2:
+                beside[page.row["place"]] = page
+                continue
+            one = _Run()
+            one.add(page)
+            yield from one.results(*beside)
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _batched(_closed_rows(batches), _RESULT_ARROW)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared (lines shared with the neighbour), n_deleted (by differencing), n_role (by their
     role alone) of every page. A header within an article counts as a header and goes.
 
-    Null html gives an empty text; a null or unreadable url has no neighbour; repeated rows are skipped as partners, so a
-    copy never deletes its original; further columns are ignored; an empty table gives an empty one. One shuffle: a range
-    sort by host and path, which splits a large host over many tasks. The few rows at the ranges' edges meet the ones
-    beside them in groups, one for each range.
+    Null html gives an empty text; a null or unreadable url has no neighbour; a run of pages with equal lines is compared
+    with the pages before and after it, so a copy never deletes its original and copies keep the same; further columns are
+    ignored; an empty table gives an empty one. One shuffle of all lines: a range sort by host and path, which splits a large
+    host over many tasks. The first and last run of each range, a page each as a rule, are written with the results and
+    meet their partners, which may be ranges away, in a second pass.
     """
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // RANGE_ROWS))
     bounds = range_bounds(pages, parts)
     parsed = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse(bounds), _PARSED)
     placed = parsed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "host", "path", "page_id", "hashes")
-    inner = placed.mapInArrow(_inner, _RESULT)
-    edges = placed.mapInArrow(_edges, _EDGE).repartition("goes").sortWithinPartitions("goes", "part", "place").mapInArrow(_join_edges, _RESULT)
-    return inner.unionByName(edges)
+    swept = materialise(placed.mapInArrow(_sweep, _SWEPT), "swept")
+    partners = swept.filter(F.col("kind") >= FIRST)
+    lines = ("host", "path", "hashes")
+    near = _needs(partners).join(partners.select("part", "kind", *lines), ["part", "kind"]).select("goes", "side", "place", *lines)
+    runs = swept.filter(F.col("kind").isin(OF_FIRST, OF_LAST))
+    runs = runs.select(F.col("part").alias("goes"), (F.col("kind") - OF_FIRST).alias("side"), F.lit(2).alias("place"), *lines, "page_id", "url", "roles", "texts")
+    met = runs.unionByName(near, allowMissingColumns=True).repartition("goes", "side").sortWithinPartitions("goes", "side", "place")
+    return swept.filter(F.col("kind") == DONE).select(*_RESULT_ARROW.names).unionByName(met.mapInArrow(_close, _RESULT))
 
 
 def op1_html_diff(pages: DataFrame) -> DataFrame:

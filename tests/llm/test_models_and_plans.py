@@ -109,6 +109,28 @@ def test_near_copies_delete_nothing_of_each_other(spark):
     assert found == {i: "\n\n".join([*story[:-1], f"edition {i}"]) for i in range(2)}
 
 
+@pytest.mark.parametrize("parts", ["1", "4", "40"])
+def test_copies_in_a_row_keep_the_same(spark, parts):
+    """The inner pages of a run have only equal neighbours; the pages before and after the run stand for them, also where the
+    run fills several ranges."""
+
+    def page(own):
+        return f"<p>menu of the site</p><p>{own}, which is long enough to be no copy of the others</p><p>terms of use</p>"
+
+    rows = [(0, "http://h.org/a", page("first"))] + [(i, f"http://h.org/b?p={i}", page("again")) for i in range(1, 41)] + [(41, "http://h.org/c", page("last"))]
+    rows += [(42 + i, f"http://lone.org/{i}", page("alone")) for i in range(5)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = {r["page_id"]: r["text"] for r in html_diff.op1_html_diff(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    names = ["first", *["again"] * 40, "last"]
+    expected = {i: f"{name}, which is long enough to be no copy of the others" for i, name in enumerate(names)}
+    expected |= {42 + i: "menu of the site\n\nalone, which is long enough to be no copy of the others\n\nterms of use" for i in range(5)}
+    assert found == expected
+
+
 @pytest.mark.parametrize("parts", ["1", "3", "40"])
 def test_extraction_does_not_depend_on_partitions(spark, parts):
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -306,7 +328,7 @@ def test_letters():
 
 @pytest.mark.parametrize("parts", ["3", "40"])
 def test_extraction_does_not_depend_on_the_ranges(spark, parts):
-    """Cached pages keep Spark from reusing the exchange of the two branches; no row may be lost or lose its neighbour."""
+    """No row may be lost or lose its neighbour at a range's edge."""
     pages = table(spark, SF, "pages").limit(150).cache()
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
