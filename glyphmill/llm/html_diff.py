@@ -23,8 +23,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm._common import materialise
-
 KEEP, NEUTRAL, DROP = 2, 1, 0
 #: Two neighbours that share this much of their lines of no role are copies, not one template: nothing is deleted.
 COPY_SHARE = 0.9
@@ -355,6 +353,7 @@ class _Run:
         self.texts: dict[bytes, list[str]] = {}
         self.names: list[tuple] = []
         self.head: _Page | None = None
+        self.done: dict[tuple, tuple] = {}
 
     def add(self, page: _Page) -> None:
         self.head = self.head or page
@@ -366,26 +365,25 @@ class _Run:
         partner are worked out once."""
         host = self.head.key[0]
         near = [p for p in (before, after) if p is not None and p.key[0] == host and host]
-        done: dict[tuple, tuple] = {}
         for page_id, url, path, roles in self.names:
             order = sorted(near, key=lambda p: -_common_prefix(p.key[1], path))  # stable: the page before it first
             known = roles, bool(order) and order[0] is near[0]
-            if known not in done:
+            if known not in self.done:
                 left = iter(self.texts[roles])
-                done[known] = kept_text([(next(left) if role else "", role) for role in roles], self.head.hashes, [p.hashes for p in order])
-            text, shared, deleted, named = done[known]
+                self.done[known] = kept_text([(next(left) if role else "", role) for role in roles], self.head.hashes, [p.hashes for p in order])
+            text, shared, deleted, named = self.done[known]
             yield {"page_id": page_id, "url": url, "text": text, "n_chars": len(text), "n_shared": shared, "n_deleted": deleted, "n_role": named}
 
 
 _RESULT = "page_id long, url string, text string, n_chars long, n_shared long, n_deleted long, n_role long"
 _RESULT_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64()), ("n_deleted", pa.int64()), ("n_role", pa.int64())])
 
-#: What a swept range gives: results, pages of its first and last run, which may go on in other ranges, and the lines of the
-#: pages that can be partners of those: its first page, the first after its first run, the last before its last run, its last.
-DONE, OF_FIRST, OF_LAST, FIRST, SECOND, PREVIOUS, LAST = range(7)
-_SWEPT = "kind int, part int, run long, host string, path string, roles binary, hashes binary, texts array<string>, " + _RESULT
-_SWEPT_ARROW = pa.schema(
-    [("kind", pa.int32()), ("part", pa.int32()), ("run", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("roles", pa.binary()), ("hashes", pa.binary()), ("texts", pa.list_(pa.string())), *_RESULT_ARROW]
+#: What a range's ends are: pages of its first and last run, which may go on in other ranges, and the lines of the pages that
+#: can be partners of those: its first page, the first after its first run, the last before its last run, its last.
+OF_FIRST, OF_LAST, FIRST, SECOND, PREVIOUS, LAST = range(6)
+_ENDS = "kind int, part int, run long, page_id long, url string, host string, path string, roles binary, hashes binary, texts array<string>"
+_ENDS_ARROW = pa.schema(
+    [("kind", pa.int32()), ("part", pa.int32()), ("run", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("roles", pa.binary()), ("hashes", pa.binary()), ("texts", pa.list_(pa.string()))]
 )
 
 
@@ -394,51 +392,73 @@ def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pylist(some, schema)
 
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[_Page]:
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            for row in batch.slice(at, 256).to_pylist():
-                yield _Page(row)
+            yield from batch.slice(at, 256).to_pylist()
 
 
-def _partner(kind: int, page: _Page) -> dict:
-    return {"kind": kind, "part": page.row["part"], "run": page.run, "host": page.key[0], "path": page.key[1], "hashes": page.row["hashes"]}
+def _runs(pages: Iterator[_Page]) -> Iterator[tuple[_Page | None, _Run, _Page | None]]:
+    """The runs of a sorted range, each with the pages before and after it. One run is held: its lines and its pages' names."""
+    before, run, here = None, _Run(), None
+    for page in pages:
+        if here is not None and page.run != here.run:
+            yield before, run, page
+            before, run = here, _Run()
+        run.add(page)
+        here = page
+    yield before, run, None
 
 
-def _open(kind: int, page: _Page) -> dict:
-    return {"kind": kind, "run": page.run, **{c: page.row[c] for c in ("part", "page_id", "url", "host", "path", "roles", "hashes", "texts")}}
+def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results of all runs of each sorted range but its first and last."""
 
+    def results() -> Iterator[dict]:
+        for _, pages in groupby(map(_Page, _rows_of(batches)), key=lambda page: page.row["part"]):
+            for before, run, after in _runs(pages):
+                if before is not None and after is not None:
+                    yield from run.results(before, after)
 
-def _swept_rows(pages: Iterator[_Page]) -> Iterator[dict]:
-    """Each sorted range, run by run. Pages of the first run pass through; of a later run its copies' names are held until
-    the page after it comes; the last run's pages are open like the first one's."""
-    for part, own in groupby(pages, key=lambda page: page.row["part"]):
-        held: _Run | None = None
-        before = here = None
-        for page in own:
-            if here is None:
-                yield _partner(FIRST, page)
-            elif page.run != here.run:
-                if held is None:
-                    yield _partner(SECOND, page)
-                else:
-                    yield from ({"kind": DONE, "part": part, **r} for r in held.results(before, page))
-                before, held = here, _Run()
-            if held is None:
-                yield _open(OF_FIRST, page)
-            else:
-                held.add(page)
-            here = page
-        yield _partner(LAST, here)
-        if held is not None:
-            yield _partner(PREVIOUS, before)
-            head = held.head.row
-            for page_id, url, path, roles in held.names:
-                yield {"kind": OF_LAST, "part": part, "run": held.head.run, "page_id": page_id, "url": url, "host": head["host"], "path": path, "roles": roles, "hashes": head["hashes"], "texts": held.texts[roles]}
+    return _batched(results(), _RESULT_ARROW)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and last run of each sorted range, and the pages that can be partners of these or of other ranges' runs.
+    Lines go with the first of the copies that share their roles; the others send their names."""
+
+    def partner(kind: int, page: _Page) -> dict:
+        return {"kind": kind, "part": page.row["part"], "run": page.run, "host": page.key[0], "path": page.key[1], "hashes": page.row["hashes"]}
+
+    def ends() -> Iterator[dict]:
+        for part, pages in groupby(map(_Page, _rows_of(batches)), key=lambda page: page.row["part"]):
+            last: _Page | None = None
 
+            def noted() -> Iterator[_Page]:
+                nonlocal last
+                for last in pages:  # noqa: B023  used before the next group
+                    yield last
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _batched(_swept_rows(_pages(batches)), _SWEPT_ARROW)
+            for before, run, after in _runs(noted()):
+                if before is None:
+                    yield partner(FIRST, run.head)
+                    if after is not None:
+                        yield partner(SECOND, after)
+                elif after is None:
+                    yield partner(PREVIOUS, before)
+                if after is None:
+                    yield partner(LAST, last)
+                if before is None or after is None:
+                    sent: set[bytes] = set()
+                    for page_id, url, path, roles in run.names:
+                        lines = {} if roles in sent else {"hashes": run.head.row["hashes"], "texts": run.texts[roles]}
+                        sent.add(roles)
+                        yield {"kind": OF_LAST if before else OF_FIRST, "part": part, "run": run.head.run, "page_id": page_id, "url": url, "host": run.head.key[0], "path": path, "roles": roles, **lines}
+
+    return _batched(ends(), _ENDS_ARROW)
+
+
+def _as_they_are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return batches
 
 
 def _needs(partners: DataFrame) -> DataFrame:
@@ -475,21 +495,24 @@ def _needs(partners: DataFrame) -> DataFrame:
     return ranges.select(F.col("part").alias("goes"), wanted.alias("n")).select("goes", "n.*")
 
 
-def _closed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Results of the open pages of each group, whose partners come first: three pages are held."""
-    for _, rows in groupby(_pages(batches), key=lambda page: (page.row["goes"], page.row["side"])):
-        beside: list[_Page | None] = [None, None]
-        for page in rows:
-            if page.row["place"] < 2:
-                beside[page.row["place"]] = page
-                continue
-            one = _Run()
-            one.add(page)
-            yield from one.results(*beside)
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results of the open runs of each group, whose partners come first; then, for each list of roles, the copy with lines."""
 
+    def results() -> Iterator[dict]:
+        for _, rows in groupby(_rows_of(batches), key=lambda row: (row["goes"], row["side"])):
+            beside: list[_Page | None] = [None, None]
+            run = _Run()
+            for row in rows:
+                if row["place"] < 2:
+                    beside[row["place"]] = _Page(row)
+                    continue
+                if row["texts"] is not None:
+                    run = _Run()
+                    run.add(_Page(row))
+                run.names = [(row["page_id"], row["url"], row["path"], row["roles"])]
+                yield from run.results(*beside)
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _batched(_closed_rows(batches), _RESULT_ARROW)
+    return _batched(results(), _RESULT_ARROW)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -499,21 +522,22 @@ def extract(pages: DataFrame) -> DataFrame:
     Null html gives an empty text; a null or unreadable url has no neighbour; a run of pages with equal lines is compared
     with the pages before and after it, so a copy never deletes its original and copies keep the same; further columns are
     ignored; an empty table gives an empty one. One shuffle of all lines: a range sort by host and path, which splits a large
-    host over many tasks. The first and last run of each range, a page each as a rule, are written with the results and
-    meet their partners, which may be ranges away, in a second pass.
+    host over many tasks. The first and last run of each range, a page each as a rule, meet their partners, which may be
+    ranges away, in groups, one for each range.
     """
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // RANGE_ROWS))
     bounds = range_bounds(pages, parts)
     parsed = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parse(bounds), _PARSED)
     placed = parsed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "host", "path", "page_id", "hashes")
-    swept = materialise(placed.mapInArrow(_sweep, _SWEPT), "swept")
-    partners = swept.filter(F.col("kind") >= FIRST)
+    # both branches read one exchange, and so do the parts of the second: a function between keeps their columns alike
+    ends = placed.mapInArrow(_ends, _ENDS).repartition("part").mapInArrow(_as_they_are, _ENDS)
+    partners = ends.filter(F.col("kind") >= FIRST)
     lines = ("host", "path", "hashes")
     near = _needs(partners).join(partners.select("part", "kind", *lines), ["part", "kind"]).select("goes", "side", "place", *lines)
-    runs = swept.filter(F.col("kind").isin(OF_FIRST, OF_LAST))
+    runs = ends.filter(F.col("kind").isin(OF_FIRST, OF_LAST))
     runs = runs.select(F.col("part").alias("goes"), (F.col("kind") - OF_FIRST).alias("side"), F.lit(2).alias("place"), *lines, "page_id", "url", "roles", "texts")
-    met = runs.unionByName(near, allowMissingColumns=True).repartition("goes", "side").sortWithinPartitions("goes", "side", "place")
-    return swept.filter(F.col("kind") == DONE).select(*_RESULT_ARROW.names).unionByName(met.mapInArrow(_close, _RESULT))
+    met = runs.unionByName(near, allowMissingColumns=True).repartition("goes", "side").sortWithinPartitions("goes", "side", "place", "roles", F.col("texts").isNull())
+    return placed.mapInArrow(_inner, _RESULT).unionByName(met.mapInArrow(_close, _RESULT))
 
 
 def op1_html_diff(pages: DataFrame) -> DataFrame:
