@@ -35,7 +35,7 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector with the next one by id."""
+    """The scalar function: every vector with the next one by id. Pairs within a font are sim_ranks, over the table top_cosines."""
     e = table(spark, sf_dir, "embeddings")
     a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("sim"))
