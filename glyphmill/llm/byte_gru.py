@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm._common import hashed_order, slices, texts
+from glyphmill.llm._common import slices, texts
 
 #: Training documents in all, in equal parts for each language, but so many of each language at least; windows of each,
 #: spread over its whole text. These bound what the driver holds.
@@ -260,17 +260,21 @@ def _cut(most: int):
 
 
 def training_sample(docs: DataFrame, most: int = MAX_TRAIN_DOCS, least: int = LEAST_DOCS) -> list[tuple[str, bytes]]:
-    """(lang, window) of a bounded sample of the documents that have a language and a text and aren't held out: each language
-    has the same quota, the first of its own documents in hashed order, so none is left out however small it is."""
+    """(lang, window) of a bounded sample of the texts of documents that have a language and aren't held out: each language
+    has the same quota, the first of its different texts in hashed order, so none is left out however small it is, and
+    neither copies nor repeated doc_ids add to it."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & F.col("doc_id").isNotNull() & ~held_out())
-    usable = usable.select(F.col("lang").cast("string").alias("lang"), "doc_id", "text")
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("size"))
-    quota = max(least, most // max(1, sizes.count()))
-    # a frequent language's rows are thinned by the hash before they are ranked: three quotas of them are expected to be left
-    early = usable.select("lang", "doc_id", hashed_order("doc_id").alias("u")).join(F.broadcast(sizes), "lang").filter(F.col("u") < F.lit(float(1 << 60)) * 3 * (quota + 10) / F.col("size"))
-    order = Window.partitionBy("lang").orderBy("u", "doc_id")
-    ids = early.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= quota).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    picked = usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang")))  # quota ids a language
+    usable = usable.select(F.col("lang").cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64("text"), 4).alias("u"), "text")
+    keys = usable.select("lang", "u").distinct()
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("size")).collect()  # one row for each label of the model
+    if not sizes:
+        return []
+    quota = max(least, most // len(sizes))
+    # a frequent language's texts are thinned by the hash before they are ranked: three quotas of them are expected to be left
+    early = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], float(1 << 60) * 3 * (quota + 10) / r["size"]) for r in sizes], "lang string, below double"))
+    first = usable.select("lang", "u").join(early, "lang").filter(F.col("u") < F.col("below")).select("lang", "u").distinct()
+    ids = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).filter(F.col("n") <= quota).drop("n")
+    picked = usable.join(F.broadcast(ids), ["lang", "u"]).groupBy("lang", "u").agg(F.first("text").alias("text"))  # quota texts a language
     return [(r["lang"], bytes(r["window"])) for r in picked.select("lang", "text").mapInArrow(_cut(DOC_WINDOWS), "lang string, window binary").collect()]
 
 

@@ -283,6 +283,17 @@ def test_no_language_is_lost_before_training(spark):
     assert len({w for lang, w in drawn if lang == "de"}) > 60  # windows are spread over whole texts
 
 
+def test_repeated_ids_and_copies_count_once_in_the_sample(spark):
+    """All rows share one doc_id; one text is repeated 500 times. The sample holds each text once, and no language is lost."""
+    free = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(free, f"text {lang} number {i}", lang) for i in range(40) for lang in ("de", "en")] + [(free, "copied", "de")] * 500 + [(free, "copied", "fr")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = byte_gru.training_sample(docs, most=300, least=5)
+    assert Counter(lang for lang, _ in drawn) == {"de": 41, "en": 40, "fr": 1} and len(set(drawn)) == len(drawn)
+    assert Counter(lang for lang, _ in byte_gru.training_sample(docs, most=30, least=5)) == {"de": 10, "en": 10, "fr": 1}
+    assert byte_gru.training_sample(docs.filter("false")) == []
+
+
 def test_gradients_are_right():
     model = byte_gru.ByteGRU(["a", "b", "c"], hidden=4, seed=1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
