@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm import assign_secrets, bestfit_pack, byte_gru, curriculum_mix, hnsw_dedup, html_diff, importance_resample, pii_disclosure, simhash_vp, voronoi_topk
+from glyphmill.llm import assign_secrets, bestfit_pack, byte_fim, byte_gru, curriculum_mix, hnsw_dedup, html_diff, importance_resample, pcy_phrases, pii_disclosure, reply_trees, simhash_vp, voronoi_topk
 from glyphmill.llm._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,16 @@ QUERIES: dict[str, Query] = {
     "op8_importance_resample": lambda s, d: importance_resample.op8_importance_resample(table(s, d, "documents"), table(s, d, "labels")),
     "op9_assign_secrets": lambda s, d: assign_secrets.op9_assign_secrets(table(s, d, "documents")),
     "op10_simhash_vp": lambda s, d: simhash_vp.op10_simhash_vp(table(s, d, "documents")),
+    "op11_pcy_phrases": lambda s, d: pcy_phrases.op11_pcy_phrases(table(s, d, "documents")),
+    "op12_reply_trees": lambda s, d: reply_trees.op12_reply_trees(table(s, d, "conversations")),
+    "op13_byte_fim": lambda s, d: byte_fim.op13_byte_fim(table(s, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op3_curriculum_mix": curriculum_mix.SQL, "op4_hnsw_dedup": hnsw_dedup.SQL, "op7_voronoi_topk": voronoi_topk.SQL}
+ORACLES: dict[str, str] = {
+    "op3_curriculum_mix": curriculum_mix.SQL,
+    "op4_hnsw_dedup": hnsw_dedup.SQL,
+    "op7_voronoi_topk": voronoi_topk.SQL,
+    "op11_pcy_phrases": pcy_phrases.SQL,
+    "op12_reply_trees": reply_trees.SQL,
+    "op13_byte_fim": byte_fim.SQL,
+}
