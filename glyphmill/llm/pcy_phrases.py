@@ -26,12 +26,15 @@ SUPPORT, TOP, COVERED_PERCENT, SCALE = 10, 2000, 50, 1_000_000
 NO_LANG = "und"
 #: The table of buckets has two to the power of these bits: about one for each BYTES_A_BUCKET of text, in these bounds, so a
 #: broadcast table of bits has 16 MB at most and a task's counters 128 MB.
-LEAST_BITS, MOST_BITS, BYTES_A_BUCKET = 16, 27, 24
-#: Bits in a row of the collected table, and groups that are ranked apart before a language's best are.
+LEAST_BITS, MOST_BITS, BYTES_A_BUCKET = 16, 27, 32
+#: A task sends its counters in chunks of so many bits of the table.
+CHUNK_BITS = 18
+#: Bits in a row of a table made from exact counts, and groups that are ranked apart before a language's best are.
 ROW_BITS, SALTS = 1 << 15, 256
+SLICE_BYTES = 4 << 20
 
 INSIDE, BLANK, BREAK = range(3)
-SCHEMA = "lang string, phrase string, bucket long, n long"
+SCHEMA = "lang string, phrase string, bucket long, packed binary, n long"
 
 
 def _byte_kinds() -> np.ndarray:
@@ -101,7 +104,7 @@ class Words:
         self.words, self.langs = words.dictionary, langs.dictionary
         self.code = np.asarray(words.indices).astype(np.int64)
         self.lang = np.asarray(langs.indices).astype(np.int64)[doc]
-        piece = np.cumsum(kinds == BREAK)[starts] + doc if len(starts) else starts
+        piece = np.cumsum(kinds == BREAK, dtype=np.int32)[starts] + doc if len(starts) else starts
         self.joined = piece[1:] == piece[:-1]
         self.hash = _hashes(self.words)[self.code]
         self.single = _followed(_hashes(self.langs)[self.lang], self.hash)
@@ -111,7 +114,7 @@ class Words:
         return _followed(shorter[:-1], self.hash[words - 1 :]) if len(shorter) > 1 else shorter[:0]
 
     def counted(self, at: np.ndarray, words: int, hashes: np.ndarray, bits: int) -> pa.RecordBatch | None:
-        """(lang, phrase, bucket, n) of the phrases that start at the given words."""
+        """(lang, phrase, bucket, null, n) of the phrases that start at the given words."""
         if not len(at):
             return None
         ids = self.lang[at]
@@ -126,9 +129,21 @@ class Words:
         return _rows(self.langs.take(pa.array(self.lang[first])), phrase, hashes[first] >> np.uint64(64 - bits), n)
 
 
-def _rows(lang, phrase, bucket, n) -> pa.RecordBatch:
-    arrays = [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(bucket if bucket is None or isinstance(bucket, list) else bucket.astype(np.int64), pa.int64()), pa.array(n, pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "bucket", "n"])
+def _rows(lang, phrase, bucket, n, packed=None) -> pa.RecordBatch:
+    rows = next(len(x) for x in (lang, bucket, packed) if x is not None)
+    columns = zip((lang, phrase, bucket, packed, n), (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()), strict=True)
+    arrays = [pa.nulls(rows, kind) if x is None else pa.array(x.astype(np.int64) if isinstance(x, np.ndarray) else x, kind) for x, kind in columns]
+    return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "bucket", "packed", "n"])
+
+
+def _packed(counters: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of the table: the places in it that were hit, four bytes each, then their counts, a byte each."""
+    size = 1 << min(bits, CHUNK_BITS)
+    for chunk in range(len(counters) // size):
+        held = counters[chunk * size : (chunk + 1) * size]
+        at = np.flatnonzero(held)
+        if len(at):
+            yield _rows(None, None, [chunk], None, [at.astype("<u4").tobytes() + held[at].tobytes()])
 
 
 def _has(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -143,14 +158,14 @@ def _count_pass(length: int, bits: int, longest: int, shorter, buckets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << bits if length < longest else 0, np.uint8)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 found = Words(part)
                 if not len(found.code):
                     continue
                 hashes, keep = found.single, np.ones(len(found.code), bool)
                 if length == 1:
                     total = np.bincount(found.lang, minlength=len(found.langs))
-                    yield _rows(found.langs, [None] * len(total), [None] * len(total), total)
+                    yield _rows(found.langs, None, None, total)
                 for words in range(2, length + 1):
                     if words == length:  # both parts that are one word shorter are frequent
                         keep = keep & _has(shorter.value, hashes, bits)
@@ -166,21 +181,42 @@ def _count_pass(length: int, bits: int, longest: int, shorter, buckets):
                     bucket, n = np.unique(found.longer(hashes, length + 1)[after] >> np.uint64(64 - bits), return_counts=True)
                     bucket = bucket.astype(np.int64)
                     counters[bucket] = np.minimum(255, counters[bucket] + n).astype(np.uint8)  # above the support more doesn't matter
-        full = np.flatnonzero(counters)
-        for at in range(0, len(full), 1 << 16):
-            bucket = full[at : at + (1 << 16)]
-            yield _rows([None] * len(bucket), [None] * len(bucket), bucket, counters[bucket])
+        yield from _packed(counters, bits)
 
     return run
 
 
-def _bit_table(spark, buckets: DataFrame, bits: int):
-    """A broadcast table with a bit for each bucket of the column `bucket`: rows of 4 kB, 2^bits / 32,768 of them at most."""
-    rows = buckets.groupBy(F.shiftright("bucket", 15).alias("row")).agg(F.bitmap_construct_agg(F.col("bucket").bitwiseAND(ROW_BITS - 1)).alias("held"))
+def _frequent_buckets(packed: DataFrame, bits: int, support: int) -> DataFrame:
+    """(row, held): the bits of each chunk, of all tasks' counters together. A task streams the chunks that it is given and
+    holds a byte for each of their buckets."""
+    size = 1 << min(bits, CHUNK_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, held in zip(batch.column("bucket").to_pylist(), batch.column("packed"), strict=True):
+                data = held.as_buffer()
+                n = len(data) // 5
+                at, more = np.frombuffer(data, "<u4", n), np.frombuffer(data, np.uint8, n, 4 * n)
+                table = tables.setdefault(chunk, np.zeros(size, np.uint8))
+                table[at] = np.minimum(table[at].astype(np.int16) + more, 255)
+        for chunk, table in tables.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([np.packbits(table >= support, bitorder="little").tobytes()], pa.binary())], ["row", "held"])
+
+    return packed.select("bucket", "packed").repartition("bucket").mapInArrow(run, "row long, held binary")
+
+
+def _frequent_rows(buckets: DataFrame) -> DataFrame:
+    """(row, held): the bits of the buckets of exact counts, 32,768 a row."""
+    return buckets.groupBy(F.shiftright("bucket", 15).alias("row")).agg(F.bitmap_construct_agg(F.col("bucket").bitwiseAND(ROW_BITS - 1)).alias("held"))
+
+
+def _broadcast(rows: DataFrame, bits: int):
+    """The rows as one table of 2^bits bits, 16 MB at most, on the driver and then on every executor."""
     table = np.zeros(max(1, (1 << bits) // 8), np.uint8)
-    for row, held in rows.collect():
-        table[row * ROW_BITS // 8 : (row + 1) * ROW_BITS // 8] = np.frombuffer(bytes(held), np.uint8)
-    return spark.sparkContext.broadcast(table)
+    for row, held in rows.toLocalIterator():
+        table[row * len(held) : (row + 1) * len(held)] = np.frombuffer(bytes(held), np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(table)
 
 
 def _bits_for(docs: DataFrame) -> int:
@@ -194,9 +230,8 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, support: int = SUPPORT,
 
     Words are lower-cased in A-Z only; phrases don't cross `.,;:!?` or line breaks. Occurrences overlap; repeated documents
     count as often as they occur. Null texts are empty, a null language is `und`. A text of any length is read whole; a task
-    holds a few times the larger of 8 MB and its longest text, and a byte for each bucket.
+    holds some twenty times the larger of 4 MB and its longest text, and a byte for each bucket.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     bits = max(15, bits or _bits_for(docs))
     rows = docs.select("lang", F.col("text").cast("binary").alias("text"))
@@ -204,15 +239,16 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, support: int = SUPPORT,
     shorter = buckets = None
     for length in range(1, longest + 1):
         passed = rows.mapInArrow(_count_pass(length, bits, longest, shorter, buckets), SCHEMA)
-        summed = passed.groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
-        held = materialise(summed.filter((F.col("n") >= support) | F.col("bucket").isNull()), f"phrases{length}")
+        # a chunk of counters is its own key, so it passes through; everything else is summed before and after the shuffle
+        summed = passed.groupBy("lang", "phrase", "bucket", "packed").agg(F.sum("n").alias("n"))
+        held = materialise(summed.filter((F.col("n") >= support) | F.col("phrase").isNull()), f"phrases{length}")
         if length == 1:
             found[0] = held.filter("bucket is null").select("lang", "n")
         phrases = held.filter("phrase is not null")
         found[length] = phrases.select("lang", "phrase", "n")
         if length < longest:
-            shorter = _bit_table(spark, phrases.select("bucket"), bits)
-            buckets = _bit_table(spark, held.filter("phrase is null and bucket is not null").select("bucket"), bits)
+            shorter = _broadcast(_frequent_rows(phrases.select("bucket")), bits)
+            buckets = _broadcast(_frequent_buckets(held.filter("packed is not null"), bits, support), bits)
     return found
 
 
