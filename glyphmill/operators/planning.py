@@ -409,7 +409,28 @@ def font_coverage(text: DataFrame, cmap: DataFrame, key: str) -> DataFrame:
 
 
 def unique_attempts(attempts: DataFrame, key: str, attempt: str, digest: str) -> DataFrame:
-    """Of up to a few attempts for each row, the first whose digest no earlier (row, attempt) has."""
-    first = attempts.groupBy(digest).agg(F.min(F.struct(key, attempt)).alias("_f"))
-    own = attempts.join(first, digest).filter((F.col("_f")[key] == F.col(key)) & (F.col("_f")[attempt] == F.col(attempt))).drop("_f")
-    return own.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(attempt))).filter("_n = 1").drop("_n")
+    """(key, attempt, digest): rows take turns in the order of `key`, and each takes its first attempt whose digest none
+    before it has taken. A row whose attempts are all taken has null for both.
+
+    Rounds of deferred acceptance give the sequential rule's result: an open row proposes its first attempt whose digest is
+    free or held by a larger key, a digest keeps the smallest key that ever asked, and who loses it is open again. Holders
+    only fall, so an attempt that a smaller key holds is lost for good, and each round moves at least one holder. A round
+    sends a row for each open attempt and digest; map-side minima keep a digest that many ask for from piling up. Attempts
+    with a null digest take nothing.
+    """
+    from glyphmill.session import materialise
+
+    tries = materialise(attempts.select(F.col(key).alias("k"), F.col(attempt).alias("a"), F.col(digest).alias("d")), "attempts")
+    usable = tries.filter("d is not null")
+    held, before = usable.limit(0), (0, None)
+    while True:
+        placed = held.select("k").distinct()
+        holders = held.select("d", F.col("k").alias("_holder"))
+        free = usable.join(placed, "k", "left_anti").join(holders, "d", "left").filter("_holder is null or _holder > k")
+        proposed = free.groupBy("k").agg(F.min(F.struct("a", "d")).alias("_p")).select("k", "_p.a", "_p.d")
+        held = materialise(held.unionByName(proposed).groupBy("d").agg(F.min(F.struct("k", "a")).alias("_h")).select("_h.k", "_h.a", "d"), "held")
+        now = tuple(held.agg(F.count("*"), F.sum(F.xxhash64("d", "k").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    return tries.select("k").distinct().join(held, "k", "left").select(F.col("k").alias(key), F.col("a").alias(attempt), F.col("d").alias(digest))

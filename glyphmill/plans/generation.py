@@ -251,8 +251,14 @@ SELECT page, slot, font, ['clear', 'mild_old_print'][c + 1] AS condition, pair,
     "schedule_balance": "WITH s AS (SELECT (t // 2) AS font, t % 2 AS c, (p + t * 271) % 2162 AS pair FROM range(64) a(p) CROSS JOIN range(8) b(t)) SELECT 'font_' || font || ':' || ['clear', 'mild_old_print'][c + 1] AS key, count(*) AS n, count(DISTINCT pair) AS pairs FROM s GROUP BY ALL",
     "font_coverage": """WITH c AS (SELECT DISTINCT n_nationkey, unnest(regexp_extract_all(lower(n_name), '(?s).')) AS char FROM nation)
 SELECT n_nationkey, char, CASE WHEN unicode(char) NOT BETWEEN 97 AND 122 THEN '' WHEN unicode(char) % 2 = 0 THEN 'a,b' ELSE 'a' END AS fonts FROM c""",
-    "unique_attempts": """WITH r AS (SELECT p_partkey, a::INT AS attempt, (p_partkey * 7 + a) % 900 AS digest FROM part CROSS JOIN range(6) t(a)), f AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY p_partkey, attempt) AS n FROM r)
-SELECT digest, p_partkey, attempt FROM f WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY attempt) = 1""",
+    "unique_attempts": """WITH RECURSIVE r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS n, [(p_partkey * 7 + a) % 900 for a in range(6)] AS digests FROM part),
+turns AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS p_partkey, NULL::INT AS attempt, NULL::BIGINT AS digest, []::BIGINT[] AS taken
+  UNION ALL
+  SELECT n, p_partkey, attempt, digest, CASE WHEN attempt IS NULL THEN taken ELSE list_append(taken, digest) END
+  FROM (SELECT r.n, r.p_partkey, (f.i - 1)::INT AS attempt, r.digests[f.i] AS digest, s.taken
+        FROM turns s JOIN r ON r.n = s.n + 1, LATERAL (SELECT list_position([list_contains(s.taken, x) for x in r.digests], false) AS i) f))
+SELECT p_partkey, attempt, digest FROM turns WHERE n > 0""",
     "adjacent_positions": f"""WITH p AS (SELECT p_partkey, list_filter(range(0, greatest(length(p_name) - 1, 0)), lambda i: regexp_full_match(substr(p_name, i::INT + 1, 2), '[{FIRST}]{{2}}')) AS l FROM part) SELECT p_partkey, len(l)::BIGINT AS n, array_to_string(l, ',') AS places FROM p""",
     "splice": "SELECT p_partkey, left(p_name, 2) || '①' || substr(p_name, 3) AS inserted, left(p_name, 1) || 'XY' || substr(p_name, 4) AS replaced FROM part",
     "visual_rows": f"""WITH RECURSIVE {_BLOCKS}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, id) AS rn FROM blocks),
