@@ -47,6 +47,7 @@ _WORD_AT = re.compile(_NAME)
 _OP = re.compile(r"(?P<none>={2,}|[!<>]=|=~|::+)|:=|=>|(?:\+|\?\??|\|\|)?=|:")
 #: What stands before an operator, read backwards: a subscript's end, then a quoted or a bare name.
 _BEFORE = re.compile(r"[ \t]*[?!]?(?:\][^\[\]\"'`\n]*\[|\][ \t]*(?=[\"'`]))?[ \t]*(?:(?P<quote>[\"'`])|(?P<name>[A-Za-z0-9_$]+(?:[.\-][A-Za-z0-9_$]+)*))")
+_RUN_BACK = re.compile(r"[\w$.\-]*+")  # a name whose opening quote is missing, read backwards
 _TYPED = re.compile(rf"\s*(?:export\s+)?(?:var|const)\s+({_NAME})\s+[*\[\]\w.]+\s*\Z")  # Go: the type stands after the name
 _UNIT = r"[&*]*(?:'\w+[ ]+)?(?:(?:mut|const|dyn)[ ]+)?[A-Za-z_][\w.]*+(?:<[^=\n]{0,200}>|\[[^=\n]{0,200}\])*[?!]?"
 _ANNOTATION = re.compile(rf"[ \t]*{_UNIT}(?:[ \t]*[|&][ \t]*{_UNIT}){{0,20}}(?:[ \t]+=(?![=>~])[ \t]*(?=\S)|=(?=[A-Za-z@$]{{0,2}}[\"'`]))")
@@ -169,6 +170,7 @@ class _Values:
     def __init__(self, text: str, known: dict[str, Assignment]) -> None:
         self.text, self.known = text, known
         self.run_from = self.run_to = self.cut_from = self.cut_at = -1
+        self.places: dict[str, list[int]] = {}
         self.open = dict.fromkeys(('"""', "'''", '"', "'", "`"), len(text))  # from there on a quote isn't closed any more
 
     def string(self, at: int, lines: bool = False) -> tuple[tuple[int, int], int] | None:
@@ -196,6 +198,14 @@ class _Values:
             s += len(self.text[s:e]) - len(self.text[s:e].lstrip())
         return (s, e), m.end()
 
+    def within(self, mark: str, start: int, end: int) -> tuple[int, int]:
+        """(how often the character stands in text[start:end], its first place there or `end`); a text is searched once."""
+        if mark not in self.places:
+            self.places[mark] = [m.start() for m in re.finditer(re.escape(mark), self.text)]
+        held = self.places[mark]
+        first, last = bisect.bisect_left(held, start), bisect.bisect_left(held, end)
+        return last - first, held[first] if first < last else end
+
     def run(self, at: int) -> int:
         """Where the unquoted value at `at` ends: at white space, or at a separator that something follows."""
         if not self.run_from <= at <= self.run_to:
@@ -209,19 +219,19 @@ class _Values:
         """The span of an unquoted value, without closing quotes and brackets that were opened before it."""
         s, e = at, self.run(at)
         if query:  # a parameter of an address
-            e = min(e, *(x if x >= 0 else e for x in (self.text.find(c, s, e) for c in "&#")))
+            e = min(self.within(c, s, e)[1] for c in "&#")
         if s < e and self.text[s] in "\"'`":  # the quote isn't closed
             s += 1
         if _CALL.match(self.text, s):
             return None
-        value = self.text[s:e]
-        while value and (c := value[-1]) in "\"'`)]}>":
-            if c in _CLOSERS and value.count(c) <= value.count(_CLOSERS[c]) or c not in _CLOSERS and value.count(c) % 2 == 0:
+        while s < e and (c := self.text[e - 1]) in "\"'`)]}>":
+            if c in _CLOSERS and self.within(c, s, e)[0] <= self.within(_CLOSERS[c], s, e)[0] or c not in _CLOSERS and self.within(c, s, e)[0] % 2 == 0:
                 break
-            value = value[:-1]
-        if _PROSE.fullmatch(value):
-            value = value.rstrip(".!?")
-        return (s, s + len(value)) if value else None
+            e -= 1
+        if _PROSE.fullmatch(self.text, s, e):
+            while self.text[e - 1] in ".!?":
+                e -= 1
+        return (s, e) if s < e else None
 
     def block(self, at: int, indent: int) -> tuple[list[tuple[int, int]], int]:
         """The lines of a block scalar: those that are indented further than its name."""
@@ -307,7 +317,7 @@ def _name_before(text: str, begin: int, end: int) -> tuple[str, int] | None:
     if m["quote"]:
         close = len(part) - m.end()
         open_ = part.rfind(m["quote"], 0, close)
-        name = part[open_ + 1 : close] if open_ >= 0 else (re.search(r"[\w$.\-]*\Z", part[:close]) or [""])[0]
+        name = part[open_ + 1 : close] if open_ >= 0 else _RUN_BACK.match(part[close - 1 :: -1] if close else "")[0][::-1]
         return (name, begin + close - len(name)) if name else None
     name = m["name"][::-1]
     start = _WORD_AT.search(name)

@@ -262,3 +262,23 @@ def test_chains_of_sensitive_names_take_linear_time():
         return time.process_time() - began
 
     assert seconds(8000) < 10 * max(0.05, seconds(2000))
+
+
+@pytest.mark.parametrize("piece", ["a", "://", "x://", "(", "a=(", "a=)", "?a=", "a-", "=a-b", 'a="', "a=`", "a: b<", "a=b+", "a=b[", "( ", ":("])
+def test_repeated_marks_take_linear_time(piece):
+    """A long text of one mark, with an operator behind a quote that was never opened: four times the text, not sixteen
+    times the time."""
+
+    def seconds(n):
+        text = piece * (n // len(piece)) + ' b"= c'
+        began = time.perf_counter()
+        secrets.scan(text)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(120_000) < 8 * seconds(30_000) + 0.2
+
+
+def test_unopened_quotes():
+    assert [(p.name, p.value) for p in secrets.assignments('password"= "S3cr3t-Value-99"')] == [("password", "S3cr3t-Value-99")]
+    assert [p.value for p in secrets.assignments("token=(abc))")] == ["(abc)"]
