@@ -26,13 +26,19 @@ LEAST_PIVOTS, MOST_PIVOTS = 16, 64
 #: Data and query rows that a task solves.
 BLOCK_ROWS, QUERY_ROWS = 20_000, 10_000
 TOP, SCALE, QUERY_EVERY = 5, 256, 50
+#: The largest component that takes part: the squares of a thousand such ones, scaled, are within a double. No float is as large.
+MOST = 1e140
+#: The ends of a long: scores beyond them count as the end, so they tie.
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     """(row_id, vec_id, v array<double>) with v = floor(scale * x); rows that are null or hold null or non-finite components
-    go. row_id tells rows of equal vec_id apart; it holds once the rows are written."""
-    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("double"))
-    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    go, as do those with a component over MOST in size, whose norm a double can't hold. row_id tells rows of equal vec_id
+    apart; it holds once the rows are written."""
+    # from 2^53 on a double is whole, and floor() would put it into a long
+    x = F.transform("embedding", lambda c: F.when(F.abs(c * F.lit(float(scale))) < 2.0**53, F.floor(c.cast("double") * scale).cast("double")).otherwise(c.cast("double") * scale))
+    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) <= MOST))
     return rows.filter(F.coalesce(good, F.lit(False))).select(F.monotonically_increasing_id().alias("row_id"), F.col("vec_id").cast("long"), x.alias("v"))
 
 
@@ -197,12 +203,13 @@ def _piece(group: int, part: np.ndarray, block: np.ndarray, own: pa.RecordBatch,
 
 
 def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products: in double precision where all sums are below 2^53, else in Python's integers."""
+    """Integer inner products: in double precision where all sums are below 2^53, else in Python's integers, held within the
+    range of a long."""
     most = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * max(1, q.shape[1])
     if most < 2.0**53:
         return (q @ x.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
-    return whole(q).dot(whole(x).T)
+    return np.clip(whole(q).dot(whole(x).T), LOWEST, HIGHEST).astype(np.int64)
 
 
 def best_of_block(q_key: np.ndarray, q: np.ndarray, key: np.ndarray, x: np.ndarray, k: int, tile: int = 512) -> pd.DataFrame:
@@ -218,8 +225,8 @@ def best_of_block(q_key: np.ndarray, q: np.ndarray, key: np.ndarray, x: np.ndarr
             if len(usable) > k:
                 kth = np.partition(mine[usable], len(usable) - k)[len(usable) - k]
                 usable = usable[mine[usable] >= kth]
-            best = sorted((-mine[i], *key[i].tolist()) for i in usable.tolist())[:k]
-            out += [(query, number, i, n, int(-s)) for s, i, n in best]
+            best = sorted((-int(mine[i]), *key[i].tolist()) for i in usable.tolist())[:k]
+            out += [(query, number, i, n, -s) for s, i, n in best]
     return pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "row_id", "score"]).astype("int64")
 
 
@@ -240,6 +247,8 @@ def _solve(k: int):
 def _planned(rows: DataFrame, is_query: str, k: int, pivots: int | None, block_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame, Groups, np.ndarray, int] | None:
     """The written data, the queries, their groups, the cells' overlaps and the number of rows; None without any."""
     data = materialise(quantised(rows), "vectors")
+    lengths = data.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    data = data.filter(F.size("v") == (lengths[0]["n"] if lengths else 0))
     count = data.count()
     wanted = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, int(count**0.5)))
     centres = [r["v"] for r in data.orderBy(hashed_order("vec_id"), "vec_id", "row_id").limit(wanted).collect()]
@@ -281,8 +290,9 @@ def top_inner_products(rows: DataFrame, is_query: str, k: int = TOP, pivots: int
 
     Unusable vectors take no part; no usable vector gives an empty result. Repeated rows are candidates each and ask each:
     only a query's own row is left out, so another row of its vec_id is a candidate, and a vec_id that occurs n times among
-    the queries has n results of each rank. Vectors of unequal length raise; very long ones are read whole. What reaches the
-    driver: the pivots, k + 1 central vectors a cell, and the cells' rings and overlaps, pivots x pivots numbers.
+    the queries has n results of each rank. The length that most vectors have is the table's (the smaller of two); vectors of
+    another length take no part. Very long ones are read whole. Scores beyond the range of a long saturate, and saturated
+    scores tie. What reaches the driver: the pivots, k + 1 central vectors a cell, and the cells' rings and overlaps, pivots x pivots numbers.
     """
     planned = _planned(rows, is_query, k, pivots, block_rows, query_rows)
     if planned is None:

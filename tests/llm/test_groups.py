@@ -265,3 +265,13 @@ def test_bounds_prune_clustered_data(spark):
 def test_large_components_are_exact():
     q, x = np.array([[2.0**40, 1.0]]), np.array([[2.0**40, 1.0], [2.0**40, 2.0]])
     assert voronoi_topk.inner_products(q, x).tolist() == [[2**80 + 1, 2**80 + 2]]
+
+
+def test_huge_components_and_other_lengths(spark):
+    """Scores beyond a long saturate and tie; vectors of another length than most, and those without a norm, take no part."""
+    rows = [(0, [1e10, 1e10]), (1, [1e10, 2e10]), (2, [3e10, 1e10]), (3, [-1e10, -1e10]), (4, [1.5, 0.25]), (5, [1.0]), (6, [1e300, 0.0]), (7, [1e17, 0.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    found = [(r["rank"], r["vec_id"], r["score"]) for r in voronoi_topk.op7_voronoi_topk(df).orderBy("rank").collect()]
+    top = (1 << 63) - 1
+    small = (384 + 64) * 256 * 10**10
+    assert found == [(1, 1, top), (2, 2, top), (3, 7, top), (4, 4, small), (5, 3, -top - 1)]
