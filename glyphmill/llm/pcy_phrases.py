@@ -12,6 +12,7 @@ and a slice sends one row for each different phrase. Spark sums up before and af
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,12 @@ LEAST_BITS, MOST_BITS, BYTES_A_BUCKET = 16, 27, 32
 CHUNK_BITS = 18
 #: Bits in a row of a table made from exact counts, and groups that are ranked apart before a language's best are.
 ROW_BITS, SALTS = 1 << 15, 256
+HEAD = 20
 SLICE_BYTES = 4 << 20
 
 INSIDE, BLANK, BREAK = range(3)
-SCHEMA = "lang string, phrase string, bucket long, packed binary, n long"
+#: A row of a pass: a phrase's count; with a null phrase a language's words; with a null language packed counters.
+SCHEMA = "lang string, phrase binary, n long"
 
 
 def _byte_kinds() -> np.ndarray:
@@ -113,8 +116,8 @@ class Words:
         """Hashes of phrases one word longer than those of the given hashes."""
         return _followed(shorter[:-1], self.hash[words - 1 :]) if len(shorter) > 1 else shorter[:0]
 
-    def counted(self, at: np.ndarray, words: int, hashes: np.ndarray, bits: int) -> pa.RecordBatch | None:
-        """(lang, phrase, bucket, null, n) of the phrases that start at the given words."""
+    def counted(self, at: np.ndarray, words: int) -> pa.RecordBatch | None:
+        """Rows of the phrases that start at the given words."""
         if not len(at):
             return None
         ids = self.lang[at]
@@ -126,24 +129,27 @@ class Words:
         first = at[first]
         parts = [self.words.take(pa.array(self.code[first + k])) for k in range(words)]
         phrase = parts[0] if words == 1 else pc.binary_join_element_wise(*parts, " ")
-        return _rows(self.langs.take(pa.array(self.lang[first])), phrase, hashes[first] >> np.uint64(64 - bits), n)
+        return _rows(self.langs.take(pa.array(self.lang[first])), phrase.cast(pa.binary()), n)
 
 
-def _rows(lang, phrase, bucket, n, packed=None) -> pa.RecordBatch:
-    rows = next(len(x) for x in (lang, bucket, packed) if x is not None)
-    columns = zip((lang, phrase, bucket, packed, n), (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64()), strict=True)
-    arrays = [pa.nulls(rows, kind) if x is None else pa.array(x.astype(np.int64) if isinstance(x, np.ndarray) else x, kind) for x, kind in columns]
-    return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "bucket", "packed", "n"])
+def _rows(lang: pa.Array | None, phrase: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()) if lang is None else lang, pa.nulls(len(n), pa.binary()) if phrase is None else phrase, pa.array(n, pa.int64())], ["lang", "phrase", "n"])
 
 
 def _packed(counters: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk of the table: the places in it that were hit, four bytes each, then their counts, a byte each."""
-    size = 1 << min(bits, CHUNK_BITS)
+    """A row for each chunk of the table: the chunk's number, the task's own mark, the places in the chunk that were hit, four
+    bytes each, then their counts, a byte each. The mark keeps equal chunks of two tasks apart."""
+    size, mark = 1 << min(bits, CHUNK_BITS), uuid.uuid4().bytes
     for chunk in range(len(counters) // size):
         held = counters[chunk * size : (chunk + 1) * size]
         at = np.flatnonzero(held)
         if len(at):
-            yield _rows(None, None, [chunk], None, [at.astype("<u4").tobytes() + held[at].tobytes()])
+            yield _rows(None, pa.array([chunk.to_bytes(4, "little") + mark + at.astype("<u4").tobytes() + held[at].tobytes()], pa.binary()), np.zeros(1, np.int64))
+
+
+def _unpacked(held: pa.Buffer) -> tuple[int, np.ndarray, np.ndarray]:
+    n = (len(held) - HEAD) // 5
+    return int(np.frombuffer(held, "<u4", 1)[0]), np.frombuffer(held, "<u4", n, HEAD), np.frombuffer(held, np.uint8, n, HEAD + 4 * n)
 
 
 def _has(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -165,7 +171,7 @@ def _count_pass(length: int, bits: int, longest: int, shorter, buckets):
                 hashes, keep = found.single, np.ones(len(found.code), bool)
                 if length == 1:
                     total = np.bincount(found.lang, minlength=len(found.langs))
-                    yield _rows(found.langs, None, None, total)
+                    yield _rows(found.langs, None, total)
                 for words in range(2, length + 1):
                     if words == length:  # both parts that are one word shorter are frequent
                         keep = keep & _has(shorter.value, hashes, bits)
@@ -173,7 +179,7 @@ def _count_pass(length: int, bits: int, longest: int, shorter, buckets):
                     hashes = found.longer(hashes, words)
                 if length > 1:
                     keep = keep & _has(buckets.value, hashes, bits)
-                made = found.counted(np.flatnonzero(keep), length, hashes, bits)
+                made = found.counted(np.flatnonzero(keep), length)
                 if made is not None:
                     yield made
                 if length < longest:
@@ -194,20 +200,28 @@ def _frequent_buckets(packed: DataFrame, bits: int, support: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, held in zip(batch.column("bucket").to_pylist(), batch.column("packed"), strict=True):
-                data = held.as_buffer()
-                n = len(data) // 5
-                at, more = np.frombuffer(data, "<u4", n), np.frombuffer(data, np.uint8, n, 4 * n)
+            for held in batch.column("phrase"):
+                chunk, at, more = _unpacked(held.as_buffer())
                 table = tables.setdefault(chunk, np.zeros(size, np.uint8))
                 table[at] = np.minimum(table[at].astype(np.int16) + more, 255)
         for chunk, table in tables.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([np.packbits(table >= support, bitorder="little").tobytes()], pa.binary())], ["row", "held"])
 
-    return packed.select("bucket", "packed").repartition("bucket").mapInArrow(run, "row long, held binary")
+    return packed.select("phrase").repartition(F.substring("phrase", 1, 4)).mapInArrow(run, "row long, held binary")
+
 
+def _frequent_rows(phrases: DataFrame, length: int, bits: int) -> DataFrame:
+    """(row, held): the bits of phrases of the given length, 32,768 a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pc.split_pattern(batch.column("phrase").cast(pa.string()), " ").flatten()
+            hashes = _hashes(batch.column("lang"))
+            for word in _hashes(words).reshape(-1, length).T:
+                hashes = _followed(hashes, word)
+            yield pa.RecordBatch.from_arrays([pa.array((hashes >> np.uint64(64 - bits)).astype(np.int64))], ["bucket"])
 
-def _frequent_rows(buckets: DataFrame) -> DataFrame:
-    """(row, held): the bits of the buckets of exact counts, 32,768 a row."""
+    buckets = phrases.select("lang", "phrase").mapInArrow(run, "bucket long")
     return buckets.groupBy(F.shiftright("bucket", 15).alias("row")).agg(F.bitmap_construct_agg(F.col("bucket").bitwiseAND(ROW_BITS - 1)).alias("held"))
 
 
@@ -239,16 +253,16 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, support: int = SUPPORT,
     shorter = buckets = None
     for length in range(1, longest + 1):
         passed = rows.mapInArrow(_count_pass(length, bits, longest, shorter, buckets), SCHEMA)
-        # a chunk of counters is its own key, so it passes through; everything else is summed before and after the shuffle
-        summed = passed.groupBy("lang", "phrase", "bucket", "packed").agg(F.sum("n").alias("n"))
-        held = materialise(summed.filter((F.col("n") >= support) | F.col("phrase").isNull()), f"phrases{length}")
+        # a chunk of counters is a key of its own, so it passes through; phrases are summed before and after the shuffle
+        summed = passed.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        held = materialise(summed.filter((F.col("n") >= support) | F.col("lang").isNull() | F.col("phrase").isNull()), f"phrases{length}")
         if length == 1:
-            found[0] = held.filter("bucket is null").select("lang", "n")
-        phrases = held.filter("phrase is not null")
-        found[length] = phrases.select("lang", "phrase", "n")
+            found[0] = held.filter("phrase is null").select("lang", "n")
+        phrases = held.filter("lang is not null and phrase is not null")
+        found[length] = phrases.select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
         if length < longest:
-            shorter = _broadcast(_frequent_rows(phrases.select("bucket")), bits)
-            buckets = _broadcast(_frequent_buckets(held.filter("packed is not null"), bits, support), bits)
+            shorter = _broadcast(_frequent_rows(phrases, length, bits), bits)
+            buckets = _broadcast(_frequent_buckets(held.filter("lang is null"), bits, support), bits)
     return found
 
 
