@@ -84,9 +84,8 @@ def reply_paths(links: DataFrame, tree: str, node: str, parent: str, score: str,
     leaves = done.join(parents, F.col("id") == F.col("_p"), "left_anti") if parents is not None else done
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("id.tree").orderBy(F.desc("score"), "id.node"))).filter(F.col("rank") <= top)
     marked = materialise(ranked.select("id", F.col("rank").cast("long").alias("rank")), "paths")
-    for jump in reversed(jumps):
-        marked = marked.unionByName(marked.join(jump, "id").select(F.col("ptr").alias("id"), "rank"))
-        marked = materialise(marked, "paths")
+    for jump in reversed(jumps):  # each round writes only the messages that it names first
+        marked = marked.unionByName(materialise(marked.join(jump, "id").select(F.col("ptr").alias("id"), "rank"), "paths"))
     return marked.join(done.select("id", "depth"), "id").select("id", F.col("id.tree").alias("tree"), "rank", F.col("depth").alias("position"))
 
 
