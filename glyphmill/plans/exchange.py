@@ -79,12 +79,6 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(counted, "name string, rows long, n_read long")
 
 
-def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "bytes")
-    files.write_document(spark, {"a": 1}, f"{path}/one.png")
-    return files.read_images(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "digest", "length")
-
-
 def bank_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(files.pair_bank_digest(_nations(spark, sf_dir).select("n_name", "n_regionkey"), ["n_name"]),)], "digest string")
 
@@ -189,13 +183,11 @@ def build_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        json_lines, json_lines_strict, json_document, json_array, csv_union, text_list, ranked_parts, published, image_scan, bank_digest, metric_summary, review_table, digest_fields, positional_zip,
+        json_lines, json_lines_strict, json_document, json_array, csv_union, text_list, ranked_parts, published, bank_digest, metric_summary, review_table, digest_fields, positional_zip,
         text_helpers, tone_helpers, policy_check, hash_pins, blank_images, changed_pixels, build_gates,
     )
 }
 
-_DOCUMENT = "'{' || chr(10) || '  \"a\": 1' || chr(10) || '}' || chr(10)"
-
 ORACLES: dict[str, str] = {
     "json_lines": "SELECT n_nationkey::INT AS n_nationkey, CASE WHEN n_nationkey % 5 > 0 THEN n_name END AS n_name, n_regionkey::INT AS n_regionkey FROM nation",
     "json_lines_strict": "SELECT n_nationkey::INT AS n_nationkey, n_name, n_regionkey::INT AS n_regionkey FROM nation",
@@ -205,7 +197,6 @@ ORACLES: dict[str, str] = {
     "text_list": "SELECT n_name AS value FROM nation WHERE n_nationkey % 4 > 0",
     "ranked_parts": "SELECT s_suppkey::BIGINT AS s_suppkey, s_name, (s_suppkey % 4)::INT AS rank, row_number() OVER (ORDER BY s_suppkey % 4, s_suppkey) - 1 AS position FROM supplier",
     "published": "SELECT 'nation' AS name, count(*) AS rows, count(*) AS n_read FROM nation UNION ALL SELECT 'region', count(*), count(*) FROM region",
-    "image_scan": f"SELECT 'one.png' AS name, sha256({_DOCUMENT}) AS digest, length({_DOCUMENT}) AS length",
     "bank_digest": """SELECT sha256('[' || chr(10) || string_agg('  {' || chr(10) || '    "n_name": "' || n_name || '",' || chr(10) || '    "n_regionkey": ' || n_regionkey || chr(10) || '  }', ',' || chr(10) ORDER BY n_name) || chr(10) || ']' || chr(10)) AS digest FROM nation""",
     "metric_summary": "SELECT '# Nations' || chr(10) || chr(10) || '- rows: ' || count(*) || chr(10) || '- regions: ' || count(DISTINCT n_regionkey) || chr(10) AS text FROM nation",
     "review_table": """SELECT '<!doctype html><meta charset=''utf-8''><title>Nations</title><table><tr><th>n_nationkey</th><th>n_name</th></tr>' || chr(10)

@@ -19,12 +19,54 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
     return spark.read.schema(schema).json(path)
 
 
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): the lines of text files with their numbers from 1, as a sequential reader would count them.
+
+    A file is read in as many splits as Spark likes. Within a split lines come in order, so a line's number is its distance
+    from the split's first line plus the lines of the file's earlier splits: one count for each split, summed up over a
+    file's splits. No line is shuffled unless there are too many splits for Spark to send their counts to all tasks. Lines
+    end at \\n, \\r or both. An empty file has no lines.
+    """
+    split = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("_at"))
+    sizes = lines.groupBy("path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("path", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = lines.join(bases, ["path", "_block"])
+    return joined.select("path", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long").alias("line"), "value")
+
+
+#: White space as a line reader's strip() sees it.
+_BLANK = r"(?U)^[\s\x1c-\x1f]*$"
+
+
+def _line_problem(value: Column) -> Column:
+    """What is wrong with a line as a JSON object, null if nothing: a blank line isn't wrong, it is skipped.
+
+    Spark's JSON functions stop after the first value, so the line is read as the first of two members of an object: what
+    follows its value, a bracket too many or a further member shows in the object's keys.
+    """
+    keys = F.json_object_keys(F.concat(F.lit('{"v":'), value, F.lit(',"end":0}')))
+    opened = value.rlike(r"^[ \t\r]*\{")
+    double = F.from_json(value, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull()
+    valid = F.coalesce(keys == F.array(F.lit("v"), F.lit("end")), F.lit(False)) & (~opened | double)
+    return F.when(value.rlike(_BLANK), F.lit(None)).when(~valid, F.lit("not valid JSON")).when(~opened, F.lit("row must be a JSON object"))
+
+
+def json_line_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, problem): every line of the files that a strict reader refuses. Blank lines are fine."""
+    found = read_numbered_lines(spark, path).withColumn("problem", _line_problem(F.col("value")))
+    return found.filter("problem is not null").select("path", "line", "problem")
+
+
 def read_json_lines_strict(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Every non-blank line must be a JSON object, or the run fails with the file and the line's text."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path")).filter(F.trim("value") != "")
-    is_object = F.coalesce(F.try_parse_json("value").isNotNull(), F.lit(False)) & F.ltrim("value").startswith("{")
-    fail = F.raise_error(F.concat(F.col("_path"), F.lit(": not a JSON object: "), F.left(F.col("value"), F.lit(80))))
-    return lines.select(F.from_json(F.when(is_object, F.col("value")).otherwise(fail), schema).alias("r")).select("r.*")
+    """Every non-blank line must be a JSON object, or the run fails with `path:line: what is wrong`.
+
+    A failing run names the first bad line that a task met; json_line_problems lists them all.
+    """
+    lines = read_numbered_lines(spark, path).filter(~F.col("value").rlike(_BLANK)).withColumn("_problem", _line_problem(F.col("value")))
+    fail = F.raise_error(F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit(": "), F.col("_problem")))
+    return lines.select(F.from_json(F.when(F.col("_problem").isNull(), F.col("value")).otherwise(fail), schema).alias("r")).select("r.*")
 
 
 def read_json_document(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -9,11 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from glyphmill.plans import audit, evaluation, exchange, generation, graph
+from glyphmill.plans import audit, evaluation, exchange, generation, graph, rendering
 from glyphmill.streaming import events
 
-CATALOGUE = {name: query for plan in (evaluation, audit, graph, generation, exchange) for name, query in plan.QUERIES.items()}
-SQL = {name: sql for plan in (evaluation, audit, graph, generation, exchange) for name, sql in plan.ORACLES.items()}
+CATALOGUE = {name: query for plan in (evaluation, audit, graph, generation, exchange, rendering) for name, query in plan.QUERIES.items()}
+SQL = {name: sql for plan in (evaluation, audit, graph, generation, exchange, rendering) for name, sql in plan.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")

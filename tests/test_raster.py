@@ -31,6 +31,6 @@ def test_changed_pixels(spark):
 
 
 def test_features_are_normalised(spark):
-    rows = spark.createDataFrame([(4, [0, 255] * 8)], "width int, pixels array<int>")
-    v = rows.select(raster.shape_features("pixels", "width").alias("v")).first()["v"]
+    rows = spark.createDataFrame([(4, [0.0, 1.0] * 8)], "width int, mask array<double>")
+    v = rows.select(raster.shape_features("mask", "width").alias("v")).first()["v"]
     assert len(v) == 16 + 4 + 8 and abs(sum(x * x for x in v) - 1) < 1e-6
