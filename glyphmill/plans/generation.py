@@ -15,24 +15,33 @@ from glyphmill.plans.evaluation import FIRST, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SEED, TOTAL, PAGES, PAIRS = 20260, 1000, 64, 2162
+SEED, TOTAL = 20260, 1000
 RATIO = {"pure_yi": 0.40, "mixed": 0.45, "pure_common": 0.15}
 CAPS = {"light|ink -> tone_sensor|spread_minfilter": 0.25, "light|blur -> tone_sensor|none": 0.8}
 FIRST_POOL, SECOND_POOL = "ꀀꀁꀂꀃꀄꀅꀆꀇꀈꀉꀊꀋꀌꀍꀎꀏ", "天地人山水火木金土日月"
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> tuple[DataFrame, int]:
+    """The table's keys with their 1-based place in a shuffled order, and their number: what plans are dealt out to."""
+    rows = table(spark, sf_dir, name).select(key)
+    return planning.permuted(rows, SEED, key).withColumn("place", F.col("place").cast("long")), rows.count()
+
+
 def quota_alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("weight"))
     return largest_remainder(weights, TOTAL, "weight", "p_brand").select("p_brand", "weight", "quota")
 
 
 def exact_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.exact_values(spark, planning.TEMPLATE_WEIGHTS, 107, SEED).groupBy("value").agg(F.count("*").alias("n"), F.min("place").cast("long").alias("first"))
+    """Every part gets a template, each template exactly its quota of them."""
+    parts, n = _dealt(spark, sf_dir, "part", "p_partkey")
+    return parts.join(planning.exact_values(spark, planning.TEMPLATE_WEIGHTS, n, SEED), "place").select("p_partkey", "value")
 
 
 def sample_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = planning.sample_plan(spark, TOTAL, RATIO, "dev", SEED)
-    return plan.groupBy("granularity", "family", "script_class", "profile").agg(F.count("*").alias("n"))
+    """Every document gets a place in the plan."""
+    docs, n = _dealt(spark, sf_dir, "documents", "doc_id")
+    return docs.join(planning.sample_plan(spark, n, RATIO, "dev", SEED), "place").select("doc_id", "granularity", "family", "script_class", "profile")
 
 
 def every_fifth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +57,14 @@ def seeded_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.range(600).withColumnRenamed("id", "cursor")
-    return planning.pair_schedule(events, "cursor", 100, 6, 3).select("cursor", "pair", "font", "context_variant", "swapped")
+    """Shuffled parts as events, six for each pair; those left over get none."""
+    parts, n = _dealt(spark, sf_dir, "part", "p_partkey")
+    events = parts.select("p_partkey", (F.col("place") - 1).alias("cursor"))
+    return planning.pair_schedule(events, "cursor", n // 6, 6, 3).select("p_partkey", "cursor", "pair", "font", "context_variant", "swapped")
 
 
 def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return histograms.pair_summary(pair_schedule(spark, sf_dir), 100, 6)
+    return histograms.pair_summary(pair_schedule(spark, sf_dir), table(spark, sf_dir, "part").count() // 6, 6)
 
 
 def inject_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +119,10 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def circled_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schedule = planning.circled_schedule(spark, 20)
-    return schedule.groupBy("codepoint", "font", "position_kind").agg(F.count("*").alias("n"))
+    """The markers of a large split, shuffled and put on as many parts."""
+    parts, _ = _dealt(spark, sf_dir, "part", "p_partkey")
+    events = planning.permuted(planning.circled_schedule(spark, 20), SEED, "marker", "copy").withColumn("place", F.col("place").cast("long"))
+    return parts.join(events, "place").select("p_partkey", "codepoint", "font", "position_kind")
 
 
 def inject_circled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +131,9 @@ def inject_circled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ab_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.range(PAGES).withColumnRenamed("id", "page")
-    return planning.context_schedule(pages, "page", PAIRS)
+    """Suppliers as pages, parts as pairs."""
+    pages, _ = _dealt(spark, sf_dir, "supplier", "s_suppkey")
+    return planning.context_schedule(pages.select((F.col("place") - 1).alias("page")), "page", table(spark, sf_dir, "part").count())
 
 
 def schedule_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,30 +142,46 @@ def schedule_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bank = spark.range(PAIRS).select(F.col("id").alias("pair"), F.lit("ꀀ").alias("a"), F.lit("ꀁ").alias("b"))
+    """A part's pair are two neighbours in the pool."""
+    parts, _ = _dealt(spark, sf_dir, "part", "p_partkey")
+    of = lambda step: F.substring(F.lit(FIRST_POOL), ((F.col("p_partkey") + step) % len(FIRST_POOL) + 1).cast("int"), F.lit(1))
+    bank = parts.select((F.col("place") - 1).alias("pair"), of(0).alias("a"), of(1).alias("b"))
     return planning.context_lines(ab_schedule(spark, sf_dir), bank, FIRST_POOL, SEED)
 
 
+def _customer_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan row for each customer."""
+    customers, n = _dealt(spark, sf_dir, "customer", "c_custkey")
+    return planning.sample_plan(spark, n, RATIO, "train", SEED).join(customers, "place").drop("place")
+
+
 def sampled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.sampled_lines(planning.sample_plan(spark, 200, RATIO, "train", SEED), FIRST_POOL, SECOND_POOL, 0.65, 0.35, SEED).select("plan_index", "line_index", "script_class", "text")
+    lines = planning.sampled_lines(_customer_plan(spark, sf_dir), FIRST_POOL, SECOND_POOL, 0.65, 0.35, SEED)
+    return lines.select("c_custkey", "plan_index", "line_index", "script_class", "text")
 
 
 def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From plan to reading order: lines, geometry, blocks, visual rows."""
-    plan = planning.sample_plan(spark, 200, RATIO, "train", SEED).filter("granularity = 'page'")
+    plan = _customer_plan(spark, sf_dir).filter("granularity = 'page'")
     profile = F.element_at(F.array(*map(F.lit, list(planning.GEOMETRY)[:3])), (F.col("plan_index") % 3 + 1).cast("int"))
     placed = planning.canvas_geometry(plan.withColumn("geometry", profile), "geometry", "plan_index", SEED)
     lines = planning.sampled_lines(placed, FIRST_POOL, SECOND_POOL, 0.65, 0.35, SEED)
     blocks = planning.page_blocks(lines, "plan_index", "canvas_width", "margin", "gutter", "line_step")
-    return layout.page_lines(layout.visual_rows(blocks, "plan_index"), "plan_index", "text").select("plan_index", "line", "text")
+    made = layout.page_lines(layout.visual_rows(blocks, "plan_index"), "plan_index", "text").select("plan_index", "line", "text")
+    return made.join(plan.select("plan_index", "c_custkey"), "plan_index").select("c_custkey", "line", "text")
 
 
 def latin_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.latin_texts(planning.latin_plan(spark, 120, SEED), FIRST_POOL, SECOND_POOL, SEED)
+    """A Latin text for each part."""
+    parts, n = _dealt(spark, sf_dir, "part", "p_partkey")
+    return planning.latin_texts(planning.latin_plan(spark, n, SEED), FIRST_POOL, SECOND_POOL, SEED).join(parts, "place").drop("place")
 
 
 def residual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.residual_rows(spark, "train", 40, FIRST_POOL, SECOND_POOL, SEED)
+    """A pair of rows for each supplier, but for an odd one."""
+    suppliers, n = _dealt(spark, sf_dir, "supplier", "s_suppkey")
+    made = planning.residual_rows(spark, "train", n // 2 * 2, FIRST_POOL, SECOND_POOL, SEED)
+    return made.join(suppliers.select(F.concat(F.lit("train_residual_"), F.lpad((F.col("place") - 1).cast("string"), 4, "0")).alias("pair_id"), "s_suppkey"), "pair_id")
 
 
 def degradation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,25 +260,22 @@ QUERIES: dict[str, Query] = {
 _BLOCKS = """blocks AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, (l_partkey % 1000)::INT AS x,
   trunc(4 * l_quantity)::INT AS y, (20 + 10 * (l_suppkey % 3))::INT AS h FROM lineitem)"""
 _LINES = "lines AS (SELECT *, (y // 50)::INT AS line FROM blocks)"
-_TEMPLATES = "(VALUES (0, 'general_word_shape', 0.65::DOUBLE), (1, 'name_shape', 0.15), (2, 'year_number', 0.10), (3, 'abbreviation_code', 0.10)) w(ord, value, weight)"
+_EVENTS = f"(SELECT p_partkey, place - 1 AS c FROM {sampling_sql.dealt('part', 'p_partkey', SEED)}) WHERE c // 6 < (SELECT count(*) // 6 FROM part)"
 
 ORACLES: dict[str, str] = {
     "quota_alloc": """WITH w AS (SELECT p_brand, count(*) AS weight FROM part GROUP BY 1), s AS (SELECT *, weight::DOUBLE / sum(weight::DOUBLE) OVER () * 1000 AS share FROM w),
 r AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, p_brand) AS rank, 1000 - sum(floor(share)) OVER () AS spare FROM s) SELECT p_brand, weight, (floor(share) + CASE WHEN rank <= spare THEN 1 ELSE 0 END)::BIGINT AS quota FROM r""",
-    "exact_plan": f"""WITH s AS (SELECT *, weight / sum(weight) OVER () * 107 AS share FROM {_TEMPLATES}), r AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, ord) AS rank, 107 - sum(floor(share)) OVER () AS spare FROM s),
-q AS (SELECT ord, value, (floor(share) + CASE WHEN rank <= spare THEN 1 ELSE 0 END)::BIGINT AS quota FROM r), c AS (SELECT ord, value, unnest(range(1, quota + 1)) AS copy FROM q),
-p AS (SELECT value, row_number() OVER (ORDER BY md5('{SEED}:' || ord || ':' || copy), ord, copy) AS place FROM c) SELECT value, count(*) AS n, min(place) AS first FROM p GROUP BY value""",
+    "exact_plan": sampling_sql.exact_plan("part", "p_partkey", SEED),
     "every_fifth": "SELECT p_partkey, p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) % 5 = 0 AS clear FROM part",
     "round_robin": "SELECT p_partkey AS place, (p_partkey % 7)::INT AS shard FROM part",
     "seeded_permutation": f"SELECT p_partkey, row_number() OVER (ORDER BY md5('{SEED}:' || p_partkey), p_partkey) AS place FROM part",
-    "pair_schedule": "SELECT c AS cursor, c // 6 AS pair, (c % 6 % 3)::INT AS font, (c % 6 // 3)::INT AS context_variant, (c // 6 + c % 6 % 3) % 2 = 1 AS swapped FROM range(600) t(c)",
-    "pair_summary": "SELECT 600::BIGINT AS occurrences, 1200::BIGINT AS forced_characters, 600::BIGINT AS target, true AS reached, 100::BIGINT AS unique_pairs",
-    "circled_schedule": """WITH c AS (SELECT m, k FROM range(20) a(m) CROSS JOIN range(20) b(k)),
-s AS (SELECT m, CASE WHEN k < 7 - (m % 3 = 0)::INT THEN 0 WHEN k < 14 - (m % 3 = 0)::INT - (m % 3 = 1)::INT THEN 1 ELSE 2 END AS font, CASE WHEN k < 7 - ((m + 1) % 3 = 0)::INT THEN 0 WHEN k < 14 - ((m + 1) % 3 = 0)::INT - ((m + 1) % 3 = 1)::INT THEN 1 ELSE 2 END AS pos FROM c)
-SELECT 'U+' || upper(to_hex(9312 + m)) AS codepoint, font, ['line_start', 'line_middle', 'line_end'][pos + 1] AS position_kind, count(*) AS n FROM s GROUP BY ALL""",
-    "ab_schedule": """WITH s AS (SELECT p AS page, t::INT AS slot, (t // 2)::INT AS font, t % 2 AS c, (p + t * 271) % 2162 AS pair FROM range(64) a(p) CROSS JOIN range(8) b(t))
-SELECT page, slot, font, ['clear', 'mild_old_print'][c + 1] AS condition, pair, [20, 24, 28, 32][(pair + font + c) % 4 + 1]::INT AS font_size FROM s""",
-    "schedule_balance": "WITH s AS (SELECT (t // 2) AS font, t % 2 AS c, (p + t * 271) % 2162 AS pair FROM range(64) a(p) CROSS JOIN range(8) b(t)) SELECT 'font_' || font || ':' || ['clear', 'mild_old_print'][c + 1] AS key, count(*) AS n, count(DISTINCT pair) AS pairs FROM s GROUP BY ALL",
+    "pair_schedule": f"SELECT p_partkey, c AS cursor, c // 6 AS pair, (c % 6 % 3)::INT AS font, (c % 6 // 3)::INT AS context_variant, (c // 6 + c % 6 % 3) % 2 = 1 AS swapped FROM {_EVENTS}",
+    "pair_summary": "SELECT n // 6 * 6 AS occurrences, n // 6 * 12 AS forced_characters, n // 6 * 6 AS target, true AS reached, n // 6 AS unique_pairs FROM (SELECT count(*) AS n FROM part)",
+    "circled_schedule": f"""WITH c AS (SELECT m, k, row_number() OVER (ORDER BY md5(concat_ws(':', {SEED}, chr((9312 + m)::INT), k)), chr((9312 + m)::INT), k) AS place FROM range(20) a(m) CROSS JOIN range(20) b(k)),
+s AS (SELECT m, place, CASE WHEN k < 7 - (m % 3 = 0)::INT THEN 0 WHEN k < 14 - (m % 3 = 0)::INT - (m % 3 = 1)::INT THEN 1 ELSE 2 END AS font, CASE WHEN k < 7 - ((m + 1) % 3 = 0)::INT THEN 0 WHEN k < 14 - ((m + 1) % 3 = 0)::INT - ((m + 1) % 3 = 1)::INT THEN 1 ELSE 2 END AS pos FROM c)
+SELECT p_partkey, 'U+' || upper(to_hex(9312 + m)) AS codepoint, font, ['line_start', 'line_middle', 'line_end'][pos + 1] AS position_kind FROM s JOIN {sampling_sql.dealt("part", "p_partkey", SEED)} USING (place)""",
+    "ab_schedule": f"WITH {sampling_sql.context_schedule(SEED)} SELECT page, slot, font, ['clear', 'mild_old_print'][c + 1] AS condition, pair, [20, 24, 28, 32][(pair + font + c) % 4 + 1]::INT AS font_size FROM s",
+    "schedule_balance": f"WITH {sampling_sql.context_schedule(SEED)} SELECT 'font_' || font || ':' || ['clear', 'mild_old_print'][c + 1] AS key, count(*) AS n, count(DISTINCT pair) AS pairs FROM s GROUP BY ALL",
     "font_coverage": """WITH c AS (SELECT DISTINCT n_nationkey, unnest(regexp_extract_all(lower(n_name), '(?s).')) AS char FROM nation)
 SELECT n_nationkey, char, CASE WHEN unicode(char) NOT BETWEEN 97 AND 122 THEN '' WHEN unicode(char) % 2 = 0 THEN 'a,b' ELSE 'a' END AS fonts FROM c""",
     "unique_attempts": """WITH RECURSIVE r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS n, [(p_partkey * 7 + a) % 900 for a in range(6)] AS digests FROM part),
@@ -270,24 +297,24 @@ SELECT page, id, line FROM f""",
     "page_lines": f"WITH {_BLOCKS}, {_LINES} SELECT page, line, string_agg('b' || id, '' ORDER BY x, id) AS text FROM lines GROUP BY page, line",
     "canvas_heights": f"WITH {_BLOCKS} SELECT page, greatest(640, max(y + h) + 500)::BIGINT AS canvas_height FROM blocks GROUP BY page",
     "block_texts": "SELECT p_partkey AS page, substr(p_name, 2, 3) AS text FROM part",
-    "sample_plan": sampling_sql.sample_plan(TOTAL, RATIO),
+    "sample_plan": sampling_sql.sample_plan("documents", "doc_id", RATIO, SEED),
     "inject_pairs": sampling_sql.inject_pairs(SEED),
     "inject_circled": sampling_sql.inject_circled(SEED),
-    "context_lines": sampling_sql.context_lines(PAGES, PAIRS, FIRST_POOL, "ꀀ", "ꀁ", SEED),
-    "sampled_lines": sampling_sql.sampled_lines(200, RATIO, FIRST_POOL, SECOND_POOL, 0.65, 0.35, SEED),
-    "page_layout": sampling_sql.page_layout(200, RATIO, FIRST_POOL, SECOND_POOL, 0.65, 0.35, SEED),
-    "latin_plan": sampling_sql.latin_plan(120, FIRST_POOL, SECOND_POOL, SEED),
-    "residual_rows": sampling_sql.residual_rows("train", 40, FIRST_POOL, SECOND_POOL, SEED),
+    "context_lines": sampling_sql.context_lines(FIRST_POOL, SEED),
+    "sampled_lines": sampling_sql.sampled_lines("customer", "c_custkey", RATIO, FIRST_POOL, SECOND_POOL, 0.65, 0.35, SEED),
+    "page_layout": sampling_sql.page_layout("customer", "c_custkey", RATIO, FIRST_POOL, SECOND_POOL, 0.65, 0.35, SEED),
+    "latin_plan": sampling_sql.latin_plan("part", "p_partkey", FIRST_POOL, SECOND_POOL, SEED),
+    "residual_rows": sampling_sql.residual_rows("train", "supplier", "s_suppkey", FIRST_POOL, SECOND_POOL, SEED),
     "degradation_plan": sampling_sql.degradation_plan(CAPS, SEED),
     "inject_pages": sampling_sql.inject_pages(SEED),
     "injection_counters": sampling_sql.injection_counters(SEED),
-    "pair_histograms": """WITH e AS (SELECT c // 6 AS pair, c % 6 % 3 AS font, CASE WHEN c // 6 % 3 = 0 THEN 'tone_arc' ELSE 'cluster_multifont' END AS source, ['pure_yi', 'mixed', 'pure_common'][c % 3 + 1] AS script_class FROM range(600) t(c))
+    "pair_histograms": f"""WITH e AS (SELECT c // 6 AS pair, c % 6 % 3 AS font, CASE WHEN c // 6 % 3 = 0 THEN 'tone_arc' ELSE 'cluster_multifont' END AS source, ['pure_yi', 'mixed', 'pure_common'][c % 3 + 1] AS script_class FROM {_EVENTS})
 SELECT 'pair' AS histogram, pair::VARCHAR AS key, count(*) AS n FROM e GROUP BY 2 UNION ALL SELECT 'font', font::VARCHAR, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'pairxfont', pair || '|' || font, count(*) FROM e GROUP BY 2
 UNION ALL SELECT 'source', source, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'script_class', script_class, count(*) FROM e GROUP BY 2""",
     "contract_counters": f"""WITH d AS ({sampling_sql.degradation_plan(CAPS, SEED)})
 SELECT 'profiles' AS counter, profile AS key, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'ink_modes', ink_mode, count(*) FROM d WHERE ink_mode IS NOT NULL GROUP BY 2
 UNION ALL SELECT 'flagged_classes', class_key, count(*) FROM d WHERE applied GROUP BY 2 UNION ALL SELECT 'logical_lines', profile, sum(p_partkey % 4 + 1)::BIGINT FROM d GROUP BY 2""",
-    "split_summary": f"""WITH l AS ({sampling_sql.latin_plan(120, FIRST_POOL, SECOND_POOL, SEED)}), r AS ({sampling_sql.residual_rows("train", 40, FIRST_POOL, SECOND_POOL, SEED)})
+    "split_summary": f"""WITH l AS ({sampling_sql.latin_plan("part", "p_partkey", FIRST_POOL, SECOND_POOL, SEED)}), r AS ({sampling_sql.residual_rows("train", "supplier", "s_suppkey", FIRST_POOL, SECOND_POOL, SEED)})
 SELECT 'rows' AS counter, 'latin' AS key, count(*) AS n FROM l UNION ALL SELECT 'templates', template, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'environments', environment, count(*) FROM l GROUP BY 2
 UNION ALL SELECT 'granularities', granularity, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'rows', 'residual', count(*) FROM r UNION ALL SELECT 'pair_types', pair_type, count(DISTINCT pair_id) FROM r GROUP BY 2""",
 }

@@ -49,17 +49,36 @@ def _quotas(source: str, total: str, within: str = "") -> str:
     (SELECT *, weight / sum(weight) OVER ({by}) * {total} AS share FROM {source})))"""
 
 
-def _exact(weights: Mapping[str, float], total: int, seed: int) -> str:
-    return f"""(SELECT value, row_number() OVER (ORDER BY md5(concat_ws(':', {seed}, ord, copy)), ord, copy) AS place FROM (SELECT ord, value, unnest(range(1, quota + 1)) AS copy FROM {_quotas(_weights(weights), str(total))}))"""
+def dealt(name: str, key: str, seed: int) -> str:
+    """The table's keys with their place in the shuffled order."""
+    return f"(SELECT {key}, row_number() OVER (ORDER BY md5(concat_ws(':', {seed}, {key})), {key}) AS place FROM {name})"
 
 
-def _plan(total: int, ratio: Mapping[str, float]) -> str:
-    """CTE plan(plan_index, family, granularity, script_class)."""
+def _count(name: str) -> str:
+    return f"(SELECT count(*) FROM {name})"
+
+
+def exact_plan(name: str, key: str, seed: int) -> str:
+    return f"SELECT {key}, value FROM {dealt(name, key, seed)} JOIN {_exact(planning.TEMPLATE_WEIGHTS, _count(name), seed)} USING (place)"
+
+
+def context_schedule(seed: int) -> str:
+    """CTE s: a page for each supplier, a pair for each part."""
+    return f"s AS (SELECT p AS page, t::INT AS slot, (t // 2)::INT AS font, t % 2 AS c, (p + t * {planning.PAIR_STRIDE}) % {_count('part')} AS pair FROM (SELECT place - 1 AS p FROM {dealt('supplier', 's_suppkey', seed)}) CROSS JOIN range(8) y(t))"
+
+
+def _exact(weights: Mapping[str, float], total: str, seed: int) -> str:
+    return f"""(SELECT value, row_number() OVER (ORDER BY md5(concat_ws(':', {seed}, ord, copy)), ord, copy) AS place FROM (SELECT ord, value, unnest(range(1, quota + 1)) AS copy FROM {_quotas(_weights(weights), total)}))"""
+
+
+def _plan(name: str, key: str, ratio: Mapping[str, float], seed: int) -> str:
+    """CTE plan(plan_index, family, granularity, script_class, key): a row of the plan for each row of the table."""
     alone = ", ".join(f"'{f}'" for f in planning.MIXED_ONLY)
-    return f"""families AS (SELECT ord AS family_ord, value AS family, quota AS total FROM {_quotas(_weights(planning.FAMILY_WEIGHTS), str(total))}),
+    return f"""families AS (SELECT ord AS family_ord, value AS family, quota AS total FROM {_quotas(_weights(planning.FAMILY_WEIGHTS), _count(name))}),
 classes AS (SELECT families.*, ord, value AS script_class, weight FROM families, {_weights(ratio)} WHERE family NOT IN ({alone}) UNION ALL SELECT *, 0, 'mixed', 1.0::DOUBLE FROM families WHERE family IN ({alone})),
-plan AS (SELECT row_number() OVER (ORDER BY family_ord, ord, copy) - 1 AS plan_index, family, CASE WHEN family = 'line_anchor' THEN 'line' WHEN family = 'region_anchor' THEN 'region' ELSE 'page' END AS granularity, script_class
-  FROM (SELECT *, unnest(range(quota)) AS copy FROM {_quotas("classes", "total", "family")}))"""
+rows AS (SELECT row_number() OVER (ORDER BY family_ord, ord, copy) - 1 AS plan_index, family, CASE WHEN family = 'line_anchor' THEN 'line' WHEN family = 'region_anchor' THEN 'region' ELSE 'page' END AS granularity, script_class
+  FROM (SELECT *, unnest(range(quota)) AS copy FROM {_quotas("classes", "total", "family")})),
+plan AS (SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws(':', {seed}, plan_index)), plan_index) AS place FROM rows) JOIN {dealt(name, key, seed)} USING (place))"""
 
 
 def _lines(first: str, second: str, share: float, rate: float, seed: int) -> str:
@@ -82,16 +101,16 @@ lines AS (SELECT * EXCLUDE (line), CASE WHEN line = '' OR {_u(*m, "'rate'")} >=
   ELSE {_splice("line", "mark_at", _picked("'0123456789'", _int(1, 3, *m, "'digits'"), *m, "'digit'"))} END AS text FROM marked)"""
 
 
-def sample_plan(total: int, ratio: Mapping[str, float]) -> str:
-    return f"""WITH {_plan(total, ratio)}, tagged AS (SELECT *, (row_number() OVER (PARTITION BY granularity, family ORDER BY plan_index) - 1) % 5 = 0 AS clear FROM plan)
-SELECT granularity, family, script_class, CASE WHEN clear THEN 'clear_print' ELSE 'standard' END AS profile, count(*) AS n FROM tagged GROUP BY ALL"""
+def sample_plan(name: str, key: str, ratio: Mapping[str, float], seed: int) -> str:
+    return f"""WITH {_plan(name, key, ratio, seed)}, tagged AS (SELECT *, (row_number() OVER (PARTITION BY granularity, family ORDER BY plan_index) - 1) % 5 = 0 AS clear FROM plan)
+SELECT {key}, granularity, family, script_class, CASE WHEN clear THEN 'clear_print' ELSE 'standard' END AS profile FROM tagged"""
 
 
-def sampled_lines(total: int, ratio: Mapping[str, float], first: str, second: str, share: float, rate: float, seed: int) -> str:
-    return f"WITH {_plan(total, ratio)}, {_lines(first, second, share, rate, seed)} SELECT plan_index, line_index::INT AS line_index, script_class, text FROM lines"
+def sampled_lines(name: str, key: str, ratio: Mapping[str, float], first: str, second: str, share: float, rate: float, seed: int) -> str:
+    return f"WITH {_plan(name, key, ratio, seed)}, {_lines(first, second, share, rate, seed)} SELECT {key}, plan_index, line_index::INT AS line_index, script_class, text FROM lines"
 
 
-def page_layout(total: int, ratio: Mapping[str, float], first: str, second: str, share: float, rate: float, seed: int) -> str:
+def page_layout(name: str, key: str, ratio: Mapping[str, float], first: str, second: str, share: float, rate: float, seed: int) -> str:
     """Geometry, blocks, rows anchored on their first block, texts from left to right."""
     names = list(planning.GEOMETRY)[:3]
     ranges = "[" + ", ".join("[" + ", ".join(f"{float(v)!r}::DOUBLE" for pair in planning.GEOMETRY[p] for v in pair) + "]" for p in names) + f"][plan_index % {len(names)} + 1]"
@@ -100,18 +119,18 @@ def page_layout(total: int, ratio: Mapping[str, float], first: str, second: str,
     def ratio_of(low: int, name: str) -> str:
         return f"(g[{low}] + {_u(*k, name)} * (g[{low + 1}] - g[{low}]))"
 
-    return f"""WITH RECURSIVE {_plan(total, ratio)}, {_lines(first, second, share, rate, seed)},
+    return f"""WITH RECURSIVE {_plan(name, key, ratio, seed)}, {_lines(first, second, share, rate, seed)},
 drawn AS (SELECT *, {ranges} AS g FROM lines WHERE granularity = 'page'),
 wide AS (SELECT *, {_int("g[1]::INT", "g[2]::INT", *k, "'width'")} AS canvas, {_int(27, 36, *k, "'size'")} AS base FROM drawn),
 geometry AS (SELECT *, floor(canvas * {ratio_of(3, "'margin'")})::INT AS margin, floor(canvas * {ratio_of(5, "'gutter'")})::INT AS gutter, floor(base * (1.45::DOUBLE + 0.30::DOUBLE * {_u(*k, "'step'")}))::INT AS step,
   family IN ('two_column_flow', 'aligned_bilingual_rows', 'independent_spatial_columns') AS two FROM wide),
-blocks AS (SELECT plan_index AS page, line_index AS id, text, CASE WHEN two AND line_index % 2 = 1 THEN margin + trunc((canvas - 2 * margin - gutter) / 2)::INT + gutter ELSE margin END AS x,
+blocks AS (SELECT {key} AS page, line_index AS id, text, CASE WHEN two AND line_index % 2 = 1 THEN margin + trunc((canvas - 2 * margin - gutter) / 2)::INT + gutter ELSE margin END AS x,
   margin + CASE WHEN two THEN line_index // 2 ELSE line_index END * step + CASE WHEN family = 'independent_spatial_columns' AND line_index % 2 = 1 THEN step // 2 ELSE 0 END AS y, trunc(step * 0.7::DOUBLE)::INT AS h FROM geometry),
 o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, id) AS rn FROM blocks),
 f AS (SELECT page, id, x, text, rn, y AS ay, h AS ah, 0 AS line FROM o WHERE rn = 1
   UNION ALL SELECT page, id, x, text, rn, CASE WHEN s THEN ay ELSE y END, CASE WHEN s THEN ah ELSE h END, CASE WHEN s THEN line ELSE line + 1 END
   FROM (SELECT o.*, f.ay, f.ah, f.line, abs(o.y - f.ay) <= greatest(3, floor(least(f.ah, o.h) * 0.35::DOUBLE)) AS s FROM f JOIN o ON o.page = f.page AND o.rn = f.rn + 1))
-SELECT page AS plan_index, line, string_agg(text, '' ORDER BY x, id) AS text FROM f GROUP BY page, line"""
+SELECT page AS {key}, line, string_agg(text, '' ORDER BY x, id) AS text FROM f GROUP BY page, line"""
 
 
 def _pair_events(chosen: str, seed: int) -> str:
@@ -155,16 +174,17 @@ e AS (SELECT *, CASE position_kind WHEN 'line_start' THEN 0 WHEN 'line_end' THEN
 SELECT line_id, 'U+' || upper(to_hex({planning.CIRCLED_FIRST} + m)) AS codepoint, c::INT AS font, position_kind, position, {_splice("text", "position", "marker")} AS text FROM e"""
 
 
-def context_lines(pages: int, pairs: int, pool: str, a: str, b: str, seed: int) -> str:
+def context_lines(pool: str, seed: int) -> str:
     k = (str(seed), "pair", "slot")
-    clean = pool.replace(a, "").replace(b, "")
-    return f"""WITH s AS (SELECT p AS page, t::INT AS slot, (t // 2)::INT AS font, t % 2 AS c, (p + t * {planning.PAIR_STRIDE}) % {pairs} AS pair FROM range({pages}) x(p) CROSS JOIN range(8) y(t)),
-n AS (SELECT *, {_int(12, 20, *k, "'length'")} AS n FROM s), d AS (SELECT *, {_int(4, "(n - 5)", *k, "'place'")} AS target_position, {_picked(f"'{clean}'", "(n - 1)", *k, "'context'")} AS line FROM n)
-SELECT page, slot, font, ['clear', 'mild_old_print'][c + 1] AS condition, pair, [20, 24, 28, 32][(pair + font + c) % 4 + 1]::INT AS font_size, '{a}' AS a, '{b}' AS b, target_position,
-  {_splice("line", "target_position", f"'{a}'")} AS a_text, {_splice("line", "target_position", f"'{b}'")} AS b_text FROM d"""
+    a, b = (f"substr('{pool}', (p_partkey + {step}) % {len(pool)} + 1, 1)" for step in (0, 1))
+    return f"""WITH {context_schedule(seed)}, bank AS (SELECT place - 1 AS pair, {a} AS a, {b} AS b, replace(replace('{pool}', {a}, ''), {b}, '') AS clean FROM {dealt("part", "p_partkey", seed)}),
+n AS (SELECT *, {_int(12, 20, *k, "'length'")} AS n FROM s JOIN bank USING (pair)), d AS (SELECT *, {_int(4, "(n - 5)", *k, "'place'")} AS target_position, {_picked("clean", "(n - 1)", *k, "'context'")} AS line FROM n)
+SELECT page, slot, font, ['clear', 'mild_old_print'][c + 1] AS condition, pair, [20, 24, 28, 32][(pair + font + c) % 4 + 1]::INT AS font_size, a, b, target_position,
+  {_splice("line", "target_position", "a")} AS a_text, {_splice("line", "target_position", "b")} AS b_text FROM d"""
 
 
-def latin_plan(total: int, first: str, second: str, seed: int) -> str:
+def latin_plan(name: str, source: str, first: str, second: str, seed: int) -> str:
+    total = _count(name)
     k = (str(seed), "place")
     capitals = f"CASE WHEN length(coalesce(upper_anchors, '')) > 0 THEN upper_anchors ELSE {_picked(f'{chr(39)}{LOWER.upper()}{chr(39)}', _int(2, 5, *k, chr(39) + 'caps' + chr(39)), *k, chr(39) + 'cap' + chr(39))} END"
     word = f"coalesce(lower_anchor, {_picked(f'{chr(39)}{LOWER}{chr(39)}', '1', *k, chr(39) + 'first' + chr(39))}) || {_picked(f'{chr(39)}{LOWER}{chr(39)}', _int(2, 8, *k, chr(39) + 'len' + chr(39)), *k, chr(39) + 'word' + chr(39))}"
@@ -181,16 +201,17 @@ anchored AS (SELECT *, CASE WHEN k = 1 AND r < 26 THEN substr('{LOWER}', r::INT
 named AS (SELECT *, {capitals} AS capitals FROM anchored),
 latin AS (SELECT *, CASE template WHEN 'general_word_shape' THEN {word} WHEN 'name_shape' THEN {names} WHEN 'year_number' THEN {year} ELSE {code} END AS latin FROM named),
 runs AS (SELECT *, CASE environment WHEN 'pure_latin' THEN [latin] WHEN 'yi_latin' THEN [{a}, latin] ELSE [{a}, {b}, latin] END AS runs FROM latin)
-SELECT place::INT AS place, template, environment, granularity, lower_anchor, upper_anchors,
-  array_to_string(list_transform(list_sort(list_transform(range(len(runs)), lambda i: {{'o': {_u(*k, "'order'", "i")}, 'r': runs[i + 1]}})), lambda s: s.r), '') || chr(10) AS text FROM runs"""
+SELECT {source}, template, environment, granularity, lower_anchor, upper_anchors,
+  array_to_string(list_transform(list_sort(list_transform(range(len(runs)), lambda i: {{'o': {_u(*k, "'order'", "i")}, 'r': runs[i + 1]}})), lambda s: s.r), '') || chr(10) AS text FROM runs JOIN {dealt(name, source, seed)} USING (place)"""
 
 
-def residual_rows(split: str, pairs: int, first: str, second: str, seed: int) -> str:
+def residual_rows(split: str, name: str, key: str, first: str, second: str, seed: int) -> str:
+    pairs = f"({_count(name)} // 2 * 2)"
     k = (str(seed), "place")
     a, b = _picked(f"'{first}'", _int(5, 11, *k, "'a'", "l"), *k, "'ac'", "l"), _picked(f"'{second}'", _int(4, 9, *k, "'b'", "l"), *k, "'bc'", "l")
-    return f"""WITH p AS (SELECT '{split}_residual_' || lpad((place - 1)::VARCHAR, 4, '0') AS pair_id, value AS pair_type,
-  array_to_string(list_transform(range(1, {_int(2, 4, *k, "'lines'")} + 1), lambda l: CASE WHEN {_u(*k, "'swap'", "l")} < 0.5 THEN {b} || {a} ELSE {a} || {b} END), chr(10)) || chr(10) AS text FROM {_exact(dict.fromkeys(planning.RESIDUAL_TYPES, 1.0), pairs, seed)})
-SELECT pair_id || '_' || pair_role AS id, pair_id, pair_type, pair_role, text FROM p CROSS JOIN (VALUES ('clear'), ('variant')) r(pair_role)"""
+    return f"""WITH p AS (SELECT {key}, '{split}_residual_' || lpad((place - 1)::VARCHAR, 4, '0') AS pair_id, value AS pair_type,
+  array_to_string(list_transform(range(1, {_int(2, 4, *k, "'lines'")} + 1), lambda l: CASE WHEN {_u(*k, "'swap'", "l")} < 0.5 THEN {b} || {a} ELSE {a} || {b} END), chr(10)) || chr(10) AS text FROM {_exact(dict.fromkeys(planning.RESIDUAL_TYPES, 1.0), pairs, seed)} JOIN {dealt(name, key, seed)} USING (place))
+SELECT {key}, pair_id || '_' || pair_role AS id, pair_id, pair_type, pair_role, text FROM p CROSS JOIN (VALUES ('clear'), ('variant')) r(pair_role)"""
 
 
 def degradation_plan(policy: Mapping[str, float], seed: int) -> str:
