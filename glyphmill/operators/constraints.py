@@ -186,3 +186,25 @@ def authorization_errors(authorization: Mapping[str, object] | None, spec_digest
         "spec_sha256": authorization.get("spec_sha256") == spec_digest,
     }
     return [name for name, holds in rules.items() if not holds]
+
+
+def build_problems(rows: DataFrame, key: str, forbidden: Iterable[str], spec_digest: str) -> DataFrame:
+    """(key, errors): what argument_errors and authorization_errors say of many builds, one a row; an empty array is a pass.
+
+    rows: key, build_id, train_n, dev_n, workers, ratio_yi, ratio_mixed, ratio_common, mixed_yi_frac, symbol_rate,
+    heavy_degrade, authorization (struct of phase, formal_build, training, spec_sha256, or null). Null arguments have the
+    defaults: one worker, else 0 or an empty name.
+    """
+    name = F.coalesce("build_id", F.lit(""))
+    number = lambda c, default=0: F.coalesce(F.col(c).cast("double"), F.lit(float(default)))
+    ratios = [number(c) for c in ("ratio_yi", "ratio_mixed", "ratio_common")]
+    said = lambda c: F.col(f"authorization.{c}")
+    rules = [("build_id", name.rlike(r"^[A-Za-z0-9][A-Za-z0-9_.-]*\z"))]
+    rules += [(f"build_id: {token}", ~F.lower(name).contains(token.lower())) for token in forbidden]
+    rules += [(c, number(c) > 0) for c in ("train_n", "dev_n")]
+    rules += [("workers", (number("workers", 1) > 0) & (number("workers", 1) <= MAX_WORKERS)), ("ratios", (F.least(*ratios) >= 0) & (ratios[0] + ratios[1] + ratios[2] > 0))]
+    rules += [(c, number(c).between(0, 1)) for c in ("mixed_yi_frac", "symbol_rate", "heavy_degrade")]
+    rules += [("document", F.col("authorization").isNotNull())]
+    held = {"phase": (said("phase") == "formal_build_authorized") & said("formal_build"), "training": ~said("training"), "spec_sha256": said("spec_sha256") == spec_digest}
+    rules += [(c, F.col("authorization").isNull() | F.coalesce(rule, F.lit(False))) for c, rule in held.items()]
+    return rows.select(key, F.array_compact(F.array(*(F.when(~rule, F.lit(c)) for c, rule in rules))).alias("errors"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import numeric
@@ -16,51 +16,58 @@ from glyphmill.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-NATION = "n_nationkey int, n_name string, n_regionkey int"
+DOCUMENT = "doc_id long, text string, lang string"
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+def _hundreds(key: str) -> Column:
+    return F.floor(F.col(key) / 100).cast("long")
 
 
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "json-lines")
-    files.write_json_lines(_nations(spark, sf_dir).withColumn("n_name", F.when(F.col("n_nationkey") % 5 > 0, F.col("n_name"))), path)
-    return files.read_json_lines(spark, path, NATION)
+    files.write_json_lines(_documents(spark, sf_dir).withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang"))), path)
+    return files.read_json_lines(spark, path, DOCUMENT)
 
 
 def json_lines_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "json-lines")
-    files.write_canonical_lines(_nations(spark, sf_dir), path)
-    return files.read_json_lines_strict(spark, path, NATION)
+    files.write_canonical_lines(_documents(spark, sf_dir), path)
+    return files.read_json_lines_strict(spark, path, DOCUMENT)
 
 
 def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document that sums up each hundred of the orders, written by the executors."""
     path = scratch_path(spark, "document")
-    found = _nations(spark, sf_dir).agg(F.count("*").alias("rows"), F.max("n_name").alias("last")).first()  # one row
-    files.write_document(spark, found.asDict(), path)
-    return files.read_json_document(spark, path, "last string, rows long")
+    found = table(spark, sf_dir, "orders").groupBy(_hundreds("o_orderkey").alias("part")).agg(F.count("*").alias("rows"), F.max("o_orderpriority").alias("last"))
+    files.write_row_documents(found, "part", path)
+    return files.read_json_document(spark, path, "last string, rows long, part long")
 
 
 def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON arrays of a hundred each."""
     path = scratch_path(spark, "array")
-    files.write_document(spark, [r.asDict() for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()], path)  # five rows
-    return files.read_json_document(spark, path, "r_regionkey int, r_name string")
+    files.write_array_documents(_documents(spark, sf_dir).withColumn("part", _hundreds("doc_id")), "part", "doc_id", path)
+    return files.read_json_document(spark, path, f"{DOCUMENT}, part long")
 
 
 def csv_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tables of unlike columns as one CSV dimension; rows without a name go."""
     path = scratch_path(spark, "csv")
-    nations = _nations(spark, sf_dir).select("n_name", "n_regionkey")
-    regions = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") > 0, F.col("r_name")).alias("n_name"), F.col("r_regionkey").alias("region"))
-    files.write_csv(files.union_by_name(nations, regions), path)
-    return files.read_dimension(spark, path, "n_name")
+    parts = table(spark, sf_dir, "part").select("p_name", "p_size")
+    suppliers = table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") > 0, F.col("s_name")).alias("p_name"), F.col("s_suppkey").alias("supplier"))
+    files.write_csv(files.union_by_name(parts, suppliers), path)
+    return files.read_dimension(spark, path, "p_name")
 
 
 def text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "list")
-    files.write_list(_nations(spark, sf_dir).select(F.when(F.col("n_nationkey") % 4 > 0, F.concat(F.lit("  "), "n_name", F.lit(" "))).otherwise(F.lit(" ")).alias("n")), "n", path)
-    return files.read_list(spark, path)
+    entry = F.when(F.col("l_orderkey") % 4 > 0, F.concat(F.lit("  "), F.col("l_partkey"), F.lit(" "))).otherwise(F.lit(" "))
+    files.write_list(table(spark, sf_dir, "lineitem").select(entry.alias("n")), "n", path)
+    return files.read_list(spark, path).groupBy("value").agg(F.count("*").alias("n"))
 
 
 def ranked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,23 +81,31 @@ def ranked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of two published tables, and what a reader of the tables counts."""
     target = scratch_path(spark, "published")
-    made = files.publish(spark, {"nation": _nations(spark, sf_dir), "region": table(spark, sf_dir, "region").select("r_regionkey")}, target, {"name": "dimensions"})
+    made = files.publish(spark, {"documents": _documents(spark, sf_dir), "lineitem": table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")}, target, {"name": "dimensions"})
     counted = [(name, o["rows"], spark.read.text(f"{target}/{name}").count()) for name, o in made["outputs"].items()]
     return spark.createDataFrame(counted, "name string, rows long, n_read long")
 
 
 def bank_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(files.pair_bank_digest(_nations(spark, sf_dir).select("n_name", "n_regionkey"), ["n_name"]),)], "digest string")
+    """A brand's parts as a bank."""
+    return files.bank_digests(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name"), "p_brand", ["p_partkey"])
 
 
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = _nations(spark, sf_dir).agg(F.count("*").alias("rows"), F.countDistinct("n_regionkey").alias("regions")).first()
-    return spark.createDataFrame([(files.summary_markdown(row.asDict(), "Nations"),)], "text string")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("rows"), F.count_distinct("l_partkey").alias("parts"))
+    return files.summaries(rows, "l_returnflag", ["rows", "parts"])
 
 
 def review_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _nations(spark, sf_dir).orderBy("n_nationkey")
-    return spark.createDataFrame([(files.review_page(rows, ["n_nationkey", "n_name"], "Nations", 5),)], "html string")
+    """A page for each language: its five longest documents."""
+    rows = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars", F.substring("text", 1, 80).alias("start"))
+    return files.review_pages(rows, "lang", ["doc_id", "n_chars", "start"], [F.desc("n_chars"), "doc_id"], 5)
+
+
+def source_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart for each language: documents by source."""
+    rows = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return files.bar_charts(rows, "lang", "source", "n")
 
 
 def _digested(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
@@ -144,14 +159,14 @@ def tone_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def policy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = _nations(spark, sf_dir).select(F.concat_ws("|", F.lit("c"), "n_regionkey").alias("class_key"), (F.col("n_nationkey") / 20).alias("strength"))
+    policy = table(spark, sf_dir, "part").select(F.concat_ws("|", F.lit("c"), (F.col("p_partkey") % 1000).cast("string")).alias("class_key"), (F.col("p_size") / 40).alias("strength"))
     return constraints.policy_violations(policy, 7)
 
 
 def hash_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digests = _nations(spark, sf_dir).select(F.col("n_name").alias("path"), t.sha256(F.col("n_name")).alias("digest"))
-    pins = digests.select("path", F.when(F.col("path") < "F", F.col("digest")).otherwise(F.lit("0")).alias("digest"))
-    return constraints.pinned(digests, pins.unionByName(spark.createDataFrame([("absent", "1")], "path string, digest string")))
+    digests = _documents(spark, sf_dir).select(F.concat(F.lit("doc/"), "doc_id").alias("path"), t.sha256(F.col("text")).alias("digest"))
+    pins = digests.select("path", F.when(F.substring("digest", 1, 1) < "8", F.col("digest")).otherwise(F.lit("0")).alias("digest"))
+    return constraints.pinned(digests, pins.unionByName(spark.range(1).select(F.lit("absent").alias("path"), F.lit("1").alias("digest"))))
 
 
 def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,35 +187,46 @@ def changed_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the gates say of a good and a bad build."""
-    good = {"build_id": "v1", "train_n": 5, "dev_n": 1, "workers": 2, "ratio_yi": 1.0, "symbol_rate": 0.5}
-    bad = {"build_id": "-Draft", "train_n": 0, "dev_n": 1, "workers": 64, "ratio_yi": -1.0, "symbol_rate": 2.0}
-    allowed = {"phase": "formal_build_authorized", "formal_build": True, "training": False, "spec_sha256": "ab"}
-    rows = [(name, ",".join(constraints.argument_errors(args, ("draft",)) + constraints.authorization_errors(doc, "ab"))) for name, args, doc in (("good", good, allowed), ("bad", bad, allowed | {"training": True}), ("none", good, None))]
-    return spark.createDataFrame(rows, "build string, errors string")
+    """Parts as builds: what the gates say of each."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("int")
+    name = F.when(k % 5 == 0, F.concat(F.lit("-"), "p_brand")).when(k % 7 == 0, F.concat(F.lit("Draft"), k)).otherwise(F.concat(F.lit("build."), k))
+    phase, digest = F.when(k % 11 == 0, "draft").otherwise("formal_build_authorized"), F.when(k % 17 == 0, "cd").otherwise("ab")
+    allowed = F.struct(phase.alias("phase"), F.lit(True).alias("formal_build"), (k % 13 == 0).alias("training"), digest.alias("spec_sha256"))
+    none = F.lit(None).cast("double")
+    arguments = {
+        "build_id": name, "train_n": size - 2, "dev_n": F.lit(1), "workers": size, "ratio_yi": (k % 4 - 1).cast("double"), "ratio_mixed": F.lit(0.5), "ratio_common": none,
+        "mixed_yi_frac": size / 45, "symbol_rate": F.lit(0.5), "heavy_degrade": none, "authorization": F.when(k % 19 > 0, allowed),
+    }
+    rows = table(spark, sf_dir, "part").select("p_partkey", *(c.alias(n) for n, c in arguments.items()))
+    return constraints.build_problems(rows, "p_partkey", ("draft",), "ab").select("p_partkey", F.array_join("errors", ",").alias("errors"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        json_lines, json_lines_strict, json_document, json_array, csv_union, text_list, ranked_parts, published, bank_digest, metric_summary, review_table, digest_fields, positional_zip,
+        json_lines, json_lines_strict, json_document, json_array, csv_union, text_list, ranked_parts, published, bank_digest, metric_summary, review_table, source_charts, digest_fields, positional_zip,
         text_helpers, tone_helpers, policy_check, hash_pins, blank_images, changed_pixels, build_gates,
     )
 }
 
 ORACLES: dict[str, str] = {
-    "json_lines": "SELECT n_nationkey::INT AS n_nationkey, CASE WHEN n_nationkey % 5 > 0 THEN n_name END AS n_name, n_regionkey::INT AS n_regionkey FROM nation",
-    "json_lines_strict": "SELECT n_nationkey::INT AS n_nationkey, n_name, n_regionkey::INT AS n_regionkey FROM nation",
-    "json_document": "SELECT max(n_name) AS last, count(*) AS rows FROM nation",
-    "json_array": "SELECT r_regionkey::INT AS r_regionkey, r_name FROM region",
-    "csv_union": "SELECT n_name, n_regionkey::VARCHAR AS n_regionkey, NULL::VARCHAR AS region FROM nation UNION ALL SELECT r_name, NULL, r_regionkey::VARCHAR FROM region WHERE r_regionkey > 0",
-    "text_list": "SELECT n_name AS value FROM nation WHERE n_nationkey % 4 > 0",
+    "json_lines": "SELECT doc_id, text, CASE WHEN doc_id % 5 > 0 THEN lang END AS lang FROM documents",
+    "json_lines_strict": "SELECT doc_id, text, lang FROM documents",
+    "json_document": "SELECT max(o_orderpriority) AS last, count(*) AS rows, o_orderkey // 100 AS part FROM orders GROUP BY part",
+    "json_array": "SELECT doc_id, text, lang, doc_id // 100 AS part FROM documents",
+    "csv_union": "SELECT p_name, p_size::VARCHAR AS p_size, NULL::VARCHAR AS supplier FROM part UNION ALL SELECT s_name, NULL, s_suppkey::VARCHAR FROM supplier WHERE s_suppkey > 0",
+    "text_list": "SELECT l_partkey::VARCHAR AS value, count(*) AS n FROM lineitem WHERE l_orderkey % 4 > 0 GROUP BY 1",
     "ranked_parts": "SELECT s_suppkey::BIGINT AS s_suppkey, s_name, (s_suppkey % 4)::INT AS rank, row_number() OVER (ORDER BY s_suppkey % 4, s_suppkey) - 1 AS position FROM supplier",
-    "published": "SELECT 'nation' AS name, count(*) AS rows, count(*) AS n_read FROM nation UNION ALL SELECT 'region', count(*), count(*) FROM region",
-    "bank_digest": """SELECT sha256('[' || chr(10) || string_agg('  {' || chr(10) || '    "n_name": "' || n_name || '",' || chr(10) || '    "n_regionkey": ' || n_regionkey || chr(10) || '  }', ',' || chr(10) ORDER BY n_name) || chr(10) || ']' || chr(10)) AS digest FROM nation""",
-    "metric_summary": "SELECT '# Nations' || chr(10) || chr(10) || '- rows: ' || count(*) || chr(10) || '- regions: ' || count(DISTINCT n_regionkey) || chr(10) AS text FROM nation",
-    "review_table": """SELECT '<!doctype html><meta charset=''utf-8''><title>Nations</title><table><tr><th>n_nationkey</th><th>n_name</th></tr>' || chr(10)
-  || string_agg('<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', chr(10) ORDER BY n_nationkey) || '</table>' || chr(10) AS html FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 5)""",
+    "published": "SELECT 'documents' AS name, count(*) AS rows, count(*) AS n_read FROM documents UNION ALL SELECT 'lineitem', count(*), count(*) FROM lineitem",
+    "bank_digest": """SELECT p_brand, sha256('[' || chr(10) || string_agg('  {' || chr(10) || '    "p_partkey": ' || p_partkey || ',' || chr(10) || '    "p_name": "' || p_name || '"' || chr(10) || '  }', ',' || chr(10) ORDER BY p_partkey) || chr(10) || ']' || chr(10)) AS digest FROM part GROUP BY p_brand""",
+    "metric_summary": "SELECT l_returnflag, '# ' || l_returnflag || chr(10) || chr(10) || '- rows: ' || count(*) || chr(10) || '- parts: ' || count(DISTINCT l_partkey) || chr(10) AS text FROM lineitem GROUP BY l_returnflag",
+    "review_table": """WITH f AS (SELECT lang, doc_id, n_chars, left(text, 80) AS s, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM documents),
+e AS (SELECT *, replace(replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS start FROM f WHERE n <= 5)
+SELECT lang, '<!doctype html><meta charset=' || chr(39) || 'utf-8' || chr(39) || '><title>' || lang || '</title><table><tr><th>doc_id</th><th>n_chars</th><th>start</th></tr>' || chr(10)
+  || string_agg('<tr><td>' || doc_id || '</td><td>' || n_chars || '</td><td>' || start || '</td></tr>', chr(10) ORDER BY n) || '</table>' || chr(10) AS html FROM e GROUP BY lang""",
+    "source_charts": """WITH c AS (SELECT lang, source, count(*) AS v FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS i, v / max(v) OVER (PARTITION BY lang) * 260.0::DOUBLE AS w FROM c)
+SELECT lang, '<svg xmlns=''http://www.w3.org/2000/svg'' width=''480'' height=' || chr(39) || (40 + 24 * count(*)) || chr(39) || '><title>' || lang || '</title>'
+  || string_agg(printf('<text x=''0'' y=''%d''>%s</text><rect x=''140'' y=''%d'' width=''%.1f'' height=''16''/><text x=''%.1f'' y=''%d''>%.4f</text>', 30 + 24 * i, source, 18 + 24 * i, w, w + 150, 30 + 24 * i, v::DOUBLE), '' ORDER BY i) || '</svg>' || chr(10) AS svg FROM r GROUP BY lang""",
     "digest_fields": "SELECT sha256(s_name) AS digest, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE 'a' || s_name END AS text FROM supplier",
     "positional_zip": "WITH p AS (SELECT p_partkey::BIGINT AS p_partkey, row_number() OVER (ORDER BY p_partkey) AS n FROM part), o AS (SELECT o_orderkey::BIGINT AS o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) SELECT p_partkey, o_orderkey FROM p JOIN o USING (n)",
     "text_helpers": "SELECT p_partkey, p_name AS prompt, p_name || chr(10) || p_brand || chr(10) AS target, regexp_full_match(p_brand, 'Brand#[0-9]+') AS whole, contains(lower(p_type), 'brass') OR contains(lower(p_type), 'tin') AS any_case FROM part",
@@ -208,9 +234,13 @@ ORACLES: dict[str, str] = {
 SELECT p_partkey, array_to_string(list_transform(g, lambda v: round(least(255.0, greatest(0.0, v * 0.5 + 20)), 4)::DECIMAL(12,4)::VARCHAR), ',') AS tone,
   array_to_string([round(g[1] * 0.75, 4)::DECIMAL(12,4)::VARCHAR, round(g[2] * 0.75, 4)::DECIMAL(12,4)::VARCHAR, round(g[3] * 0.75 + 63.75, 4)::DECIMAL(12,4)::VARCHAR], ',') AS blended,
   least(40.0::DOUBLE, greatest(10.0::DOUBLE, p_size)) AS clipped, round(least(1.0::DOUBLE, 2400.0::DOUBLE / greatest(p_size * 100.0::DOUBLE, 50.0)), 9) AS scale, ceil(p_size / 7.0)::BIGINT AS up, ((7 - p_size % 7) % 7)::BIGINT AS mod FROM x""",
-    "policy_check": "SELECT count(DISTINCT n_regionkey) AS keys, count(*) AS rows, count(*) FILTER (n_nationkey / 20.0 > 1) AS outside FROM nation",
-    "hash_pins": "SELECT n_name AS path, '0' AS pinned, sha256(n_name) AS digest FROM nation WHERE n_name >= 'F' UNION ALL SELECT 'absent', '1', NULL",
+    "policy_check": "SELECT count(DISTINCT p_partkey % 1000) AS keys, count(*) AS rows, count(*) FILTER (p_size / 40.0::DOUBLE > 1) AS outside FROM part",
+    "hash_pins": "SELECT 'doc/' || doc_id AS path, '0' AS pinned, sha256(text) AS digest FROM documents WHERE left(sha256(text), 1) >= '8' UNION ALL SELECT 'absent', '1', NULL",
     "blank_images": "SELECT p_partkey::BIGINT AS key, 230::INT AS low, 230::INT AS high FROM part WHERE p_partkey % 3 <> 0",
     "changed_pixels": "SELECT p_partkey::BIGINT AS key, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS changed, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS outside FROM part",
-    "build_gates": "SELECT * FROM (VALUES ('good', ''), ('bad', 'build_id,build_id: draft,train_n,workers,ratios,symbol_rate,training'), ('none', 'document')) t(build, errors)",
+    "build_gates": """WITH b AS (SELECT p_partkey, p_partkey AS k, p_size AS s FROM part), e AS (SELECT p_partkey, [
+  CASE WHEN k % 5 = 0 THEN 'build_id' END, CASE WHEN k % 5 > 0 AND k % 7 = 0 THEN 'build_id: draft' END, CASE WHEN s <= 2 THEN 'train_n' END, CASE WHEN s > 32 OR s < 1 THEN 'workers' END,
+  CASE WHEN k % 4 = 0 THEN 'ratios' END, CASE WHEN s > 45 THEN 'mixed_yi_frac' END, CASE WHEN k % 19 = 0 THEN 'document' END,
+  CASE WHEN k % 19 > 0 AND k % 11 = 0 THEN 'phase' END, CASE WHEN k % 19 > 0 AND k % 13 = 0 THEN 'training' END, CASE WHEN k % 19 > 0 AND k % 17 = 0 THEN 'spec_sha256' END] AS l FROM b)
+SELECT p_partkey, array_to_string(list_filter(l, lambda x: x IS NOT NULL), ',') AS errors FROM e""",
 }

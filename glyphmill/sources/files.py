@@ -181,6 +181,62 @@ def read_ranked_parts(spark: SparkSession, path: str, schema: StructType | str,
     return parts.join(F.broadcast(bases), rank).withColumn("position", (F.col("_base") + within).cast("long")).drop("_base")
 
 
+def write_array_documents(rows: DataFrame, part: str, order: str, path: str) -> None:
+    """A JSON array for each value of `part`, its rows' other columns as objects in the given order, each in a file of its own
+    below path/part=value. One task builds an array, so a part must be a bounded number of rows; parts are spread."""
+    one = F.to_json(F.struct(*(c for c in rows.columns if c != part)), {"ignoreNullFields": "false"})
+    made = rows.groupBy(part).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), one.alias("j")))).alias("_a"))
+    made.select(part, F.concat(F.lit("["), F.array_join(F.transform("_a", lambda x: x["j"]), ",\n"), F.lit("]")).alias("value")).write.mode("errorifexists").partitionBy(part).text(path)
+
+
+def write_row_documents(rows: DataFrame, part: str, path: str) -> None:
+    """An indented JSON object for each row, in a file of its own below path/part=value."""
+    shown = F.to_json(F.struct(*(c for c in rows.columns if c != part)), {"pretty": "true", "ignoreNullFields": "false"})
+    rows.select(part, shown.alias("value")).repartition(part).write.mode("errorifexists").partitionBy(part).text(path)
+
+
+def bank_digests(pairs: DataFrame, bank: str, order: list[str]) -> DataFrame:
+    """(bank, digest): the digest of each bank as pair_bank_digest would give it for its rows alone, on the executors. A bank
+    is bounded: one task holds its text."""
+    columns = [c for c in pairs.columns if c != bank]
+    listed = [F.to_json(F.array(F.col(c)), {"ignoreNullFields": "false"}) for c in columns]  # a value as JSON, in brackets
+    fields = [F.concat(F.lit(f'    "{c}": '), F.substring(j, F.lit(2), F.length(j) - 2)) for c, j in zip(columns, listed, strict=True)]
+    shown = F.concat(F.lit("  {\n"), F.array_join(F.array(*fields), ",\n"), F.lit("\n  }"))
+    held = pairs.groupBy(bank).agg(F.sort_array(F.collect_list(F.struct(*order, shown.alias("_t")))).alias("_a"))
+    text = F.concat(F.lit("[\n"), F.array_join(F.transform("_a", lambda x: x["_t"]), ",\n"), F.lit("\n]\n"))
+    return held.select(bank, F.sha2(text, 256).alias("digest"))
+
+
+def summaries(rows: DataFrame, title: str, metrics: list[str]) -> DataFrame:
+    """(title, text): each row as a Markdown summary, a bullet for each metric."""
+    bullets = [F.concat(F.lit(f"- {m}: "), F.coalesce(F.col(m).cast("string"), F.lit("None")), F.lit("\n")) for m in metrics]
+    return rows.select(title, F.concat(F.lit("# "), F.col(title).cast("string"), F.lit("\n\n"), *bullets).alias("text"))
+
+
+def review_pages(rows: DataFrame, group: str, columns: list[str], order: list[Column | str], limit: int) -> DataFrame:
+    """(group, html): a table of each group's first rows in their order. The limit is applied before and after the shuffle, so
+    a task holds `limit` rows of a group however large the group is."""
+    cells = F.concat(*(F.concat(F.lit("<td>"), t.escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in columns))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("_n") <= limit)
+    held = first.select(group, "_n", F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("_r")).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_n", "_r"))).alias("_a"))
+    head = "".join(f"<th>{c}</th>" for c in columns)
+    name = t.escaped(F.col(group).cast("string"))
+    return held.select(group, F.concat(F.lit("<!doctype html><meta charset='utf-8'><title>"), name, F.lit(f"</title><table><tr>{head}</tr>\n"), F.array_join(F.transform("_a", lambda x: x["_r"]), "\n"), F.lit("</table>\n")).alias("html"))
+
+
+def bar_charts(rows: DataFrame, group: str, name: str, value: str, width: int = 480) -> DataFrame:
+    """(group, svg): a plain bar chart of each group's values, by name. A group is a bounded summary."""
+    held = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(name).cast("string").alias("n"), F.col(value).cast("double").alias("v")))).alias("_a"), F.greatest(F.lit(1e-12), F.max(F.col(value).cast("double"))).alias("_m"))
+
+    def bar(x: Column, i: Column) -> Column:
+        size = x["v"] / F.col("_m") * (width - 220)
+        label = F.concat(F.format_string("<text x='0' y='%d'>", i * 24 + 30), t.escaped(x["n"]))
+        return F.concat(label, F.format_string("</text><rect x='140' y='%d' width='%.1f' height='16'/><text x='%.1f' y='%d'>%.4f</text>", i * 24 + 18, size, size + 150, i * 24 + 30, x["v"]))
+
+    head = F.format_string("<svg xmlns='http://www.w3.org/2000/svg' width='%d' height='%d'><title>", F.lit(width), F.size("_a") * 24 + 40)
+    return held.select(group, F.concat(head, t.escaped(F.col(group).cast("string")), F.lit("</title>"), F.array_join(F.transform("_a", bar), ""), F.lit("</svg>\n")).alias("svg"))
+
+
 def pair_bank_digest(pairs: DataFrame, order: list[str]) -> str:
     """SHA-256 of the bank as one indented JSON array in the given order. A bank is a small dimension."""
     rows = [{c: r[c] for c in pairs.columns} for r in pairs.orderBy(*order).toLocalIterator()]

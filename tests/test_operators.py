@@ -323,3 +323,31 @@ def test_vectors(spark):
     assert one(spark, numeric.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
     assert one(spark, numeric.blend(F.array(F.lit(10.0)), F.array(F.lit(20.0)), F.lit(0.25))) == [12.5]
     assert one(spark, numeric.fit_scale(F.lit(4800), F.lit(100), 2400)) == 0.5
+
+
+def test_reports_by_group_equal_the_single_ones(spark):
+    rows = [("a", i, f"<n{i}>", 1.0 * i) for i in range(7)] + [("b", 9, "x\"y", 0.25)]
+    df = spark.createDataFrame(rows, "g string, i int, name string, v double")
+    digests = {r["g"]: r["digest"] for r in files.bank_digests(df.select("g", "i", "name"), "g", ["i"]).collect()}
+    pages = {r["g"]: r["html"] for r in files.review_pages(df, "g", ["i", "name"], ["i"], 3).collect()}
+    charts = {r["g"]: r["svg"] for r in files.bar_charts(df.filter("g = 'b'"), "g", "name", "v").collect()}
+    for g in "ab":
+        own = df.filter(F.col("g") == g)
+        assert digests[g] == files.pair_bank_digest(own.select("i", "name"), ["i"])
+        assert pages[g] == files.review_page(own.orderBy("i"), ["i", "name"], g, 3)
+    assert charts["b"] == files.bar_chart({"x&quot;y": 0.25}, "b")
+
+
+def test_gates_of_many_builds(spark):
+    allowed = {"phase": "formal_build_authorized", "formal_build": True, "training": False, "spec_sha256": "ab"}
+    cases = [
+        ({"build_id": "v1", "train_n": 5, "dev_n": 1, "workers": 2, "ratio_yi": 1.0, "symbol_rate": 0.5}, allowed),
+        ({"build_id": "-Draft", "train_n": 0, "dev_n": 1, "workers": 64, "ratio_yi": -1.0, "symbol_rate": 2.0}, allowed | {"training": True}),
+        ({"build_id": "a\n", "train_n": 1, "dev_n": 0, "ratio_mixed": 0.1, "heavy_degrade": 1.5}, None),
+        ({"build_id": "", "train_n": 1, "dev_n": 1, "workers": 0}, allowed | {"phase": "no", "spec_sha256": "x"}),
+    ]
+    names = ("train_n", "dev_n", "workers", "ratio_yi", "ratio_mixed", "ratio_common", "mixed_yi_frac", "symbol_rate", "heavy_degrade")
+    schema = "k int, build_id string, " + ", ".join(f"{n} double" for n in names) + ", authorization struct<phase:string,formal_build:boolean,training:boolean,spec_sha256:string>"
+    rows = [(i, a["build_id"], *(float(a[n]) if n in a else None for n in names), d) for i, (a, d) in enumerate(cases)]
+    found = {r["k"]: r["errors"] for r in constraints.build_problems(spark.createDataFrame(rows, schema), "k", ("draft",), "ab").collect()}
+    assert found == {i: constraints.argument_errors(a, ("draft",)) + constraints.authorization_errors(d, "ab") for i, (a, d) in enumerate(cases)}
