@@ -23,13 +23,97 @@ def _unit_rows(vectors: Iterable) -> np.ndarray:
 
 #: Vectors of a side of a block: a task compares two blocks, whatever the size of a font. Pairs that meet a block together.
 BLOCK, PAIR_BLOCK = 4096, 8192
+#: The most cells of a font and view. Their pivots and radii are known to every task: so many vectors for each font and view.
+MOST_CELLS = 256
 ASKS, HELD = 1, 2
-
-
-def _blocked(features: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """features with `_blocks`, how many blocks their group has, and `_own`, the one that a row is dealt to by hash."""
-    sizes = features.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))  # a row a group: a small dimension
-    return features.join(sizes, keys).withColumn("_own", F.pmod(F.xxhash64("i"), F.col("_blocks")).cast("int"))
+#: Distances that differ by less aren't told apart by the bounds.
+SLACK = 1e-7
+
+
+def _distances(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (unit * unit).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * unit @ pivots.T))
+
+
+class Known:
+    """What every task knows of the cells, by (font, view): the pivots, each cell's radius and its number of parts. The last
+    cell has the vectors without a direction; its radius is infinite, so it is never ruled out. Without pivots there is one
+    cell."""
+
+    def __init__(self, of: dict[tuple, tuple[np.ndarray | None, np.ndarray, np.ndarray]]) -> None:
+        self.of = of
+        self.single = all(len(radius) == 1 for _, radius, _ in of.values())
+
+    def parts(self) -> list[tuple]:
+        """(font, view, cell, parts) of the cells that have several."""
+        return [(*g, c, int(n)) for g, (_, _, held) in self.of.items() for c, n in enumerate(held) if n > 1]
+
+    def near(self, g: tuple, unit: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """rows x cells: whether a cell may hold a vector within the bound (a distance) of a vector."""
+        pivots, radius, parts = self.of[g]
+        if pivots is None:
+            return np.ones((len(unit), 1), bool)
+        reach = np.full((len(unit), len(radius)), -np.inf)
+        reach[:, :-1] = _distances(unit, pivots) - radius[:-1]
+        return (reach <= bound[:, None] + SLACK) & (parts > 0)
+
+
+def _deal(pivots: dict[tuple, np.ndarray | None]):
+    """Each vector's cell, that of the nearest pivot, and its distance."""
+
+    def deal(batches):
+        for rows in batches:
+            cell, radius = np.zeros(len(rows), np.int32), np.full(len(rows), np.inf)
+            for g, at in rows.groupby(["font", "view"]).indices.items():
+                if pivots[g] is None:
+                    continue
+                unit = _unit_rows(rows["feature"].to_numpy()[at])
+                distance = _distances(unit, pivots[g])
+                some = (unit * unit).sum(1) > 0
+                cell[at] = np.where(some, distance.argmin(1), len(pivots[g]))
+                radius[at] = np.where(some, distance.min(1), np.inf)
+            yield rows.assign(cell=cell, radius=radius)
+
+    return deal
+
+
+def in_cells(features: DataFrame, block: int) -> tuple[DataFrame, Known]:
+    """(font, view, i, feature, cell, part) and what is known of the cells: the vectors of each font and view dealt to the
+    cells of their nearest pivots, large cells to parts by hash. Written, if there are several cells."""
+    given = features.select("font", "view", "i", "feature")
+    sizes = given.groupBy("font", "view").agg(F.count("*").alias("_n"))  # a row for each font and view: a small dimension
+    sizes = sizes.withColumn("_cells", F.least(F.lit(MOST_CELLS), F.ceil(F.col("_n") / block)))
+    wanted = {(r["font"], r["view"]): r["_cells"] for r in sizes.collect()}
+    if all(n == 1 for n in wanted.values()):
+        return given.withColumn("cell", F.lit(0)).withColumn("part", F.lit(0)), Known({g: (None, np.array([np.inf]), np.array([1])) for g in wanted})
+    pivots: dict[tuple, list] = {g: [] for g in wanted}
+    # some four times as many candidates by hash, of which the first in hashed order stand
+    drawn = given.join(F.broadcast(sizes), ["font", "view"]).filter("_cells > 1").filter(F.pmod(F.xxhash64("i", F.lit(1)), F.col("_n")) < 4 * F.col("_cells"))
+    first = F.row_number().over(Window.partitionBy("font", "view").orderBy(F.xxhash64("i", F.lit(2)), "i"))
+    for r in drawn.withColumn("_r", first).filter(F.col("_r") <= F.col("_cells")).select("font", "view", "feature").toLocalIterator():
+        pivots[r["font"], r["view"]].append(r["feature"])
+    held = {g: np.unique(_unit_rows(x), axis=0) if x else None for g, x in pivots.items()}
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema)
+    dealt = materialise(given.mapInPandas(_deal(held), f"{schema}, cell int, radius double"), "cells")
+    of = {g: (x, np.full(1 + (0 if x is None else len(x)), -np.inf), np.zeros(1 + (0 if x is None else len(x)), np.int64)) for g, x in held.items()}
+    for r in dealt.groupBy("font", "view", "cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius")).collect():  # a row a cell
+        _, radius, parts = of[r["font"], r["view"]]
+        radius[r["cell"]], parts[r["cell"]] = r["radius"], -(-r["n"] // block)
+    known = Known(of)
+    return _with_parts(dealt.drop("radius"), known).select("font", "view", "i", "feature", "cell", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int").alias("part")), known
+
+
+def _with_parts(rows: DataFrame, known: Known) -> DataFrame:
+    """rows with `parts`, the number of parts of their cell."""
+    several = known.parts()
+    if not several:
+        return rows.withColumn("parts", F.lit(1))
+    split = rows.sparkSession.createDataFrame(several, "font int, view int, cell int, parts int")
+    return rows.join(F.broadcast(split), ["font", "view", "cell"], "left").fillna(1, ["parts"])
+
+
+def _bounds(sim: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """The distance at which unit vectors have the similarity; infinite for vectors without a direction."""
+    return np.where((unit * unit).sum(1) > 0, np.sqrt(np.maximum(0.0, 2 - 2 * np.nan_to_num(sim, nan=-np.inf))), np.inf)
 
 
 def _ranked(k: int, tile: int = 512):
@@ -56,28 +140,60 @@ def _ranked(k: int, tile: int = 512):
     return rank
 
 
+_NEAR = "font int, view int, i long, j long, sim double"
+
+
+def _wanting(known: Known):
+    """The cells but its own that each vector (with `bound`, a similarity or null) may find nearer vectors in."""
+
+    def want(batches):
+        for rows in batches:
+            for g, at in rows.groupby(["font", "view"]).indices.items():
+                own = rows.iloc[at]
+                unit = _unit_rows(own["feature"])
+                need = known.near(g, unit, _bounds(own["bound"].to_numpy(np.float64), unit))
+                need[np.arange(len(own)), own["cell"].to_numpy()] = False
+                row, cell = np.nonzero(need)
+                yield own.iloc[row][["font", "view", "i", "feature", "part"]].assign(a=own["cell"].to_numpy()[row].astype(np.int32), cell=cell.astype(np.int32))
+
+    return want
+
+
 def neighbours(features: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """features (font, view, i, feature) -> (font, view, i, j, sim, rank): each vector's k nearest in its font and view by
     cosine, ties to the smaller j.
 
-    A group is a grid of blocks: a task compares the vectors of one block with those of another and sends on the k best of
-    each, which are ranked together. So no task holds more than two blocks, however large a font is.
+    Vectors meet their own cell first, part by part of bounded size. The k-th similarity found there bounds what another cell
+    must offer: a vector asks in those cells alone that come near enough by the distance to their pivot less their radius.
+    So the work follows the vectors' clusters; where there are none, every cell is asked, which is exact all the same. No
+    task holds more than two parts, however large a font is.
     """
-    dealt = _blocked(features.select("font", "view", "i", "feature"), ["font", "view"], block)
-    cells = F.concat(
-        F.array(F.struct(F.col("_own").alias("a"), F.col("_own").alias("b"), F.lit(ASKS + HELD).alias("_as"))),
-        *(
-            F.transform(F.filter(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: x != F.col("_own")), cell)
-            for cell in (
-                lambda x: F.struct(F.col("_own").alias("a"), x.alias("b"), F.lit(ASKS).alias("_as")),
-                lambda x: F.struct(x.alias("a"), F.col("_own").alias("b"), F.lit(HELD).alias("_as")),
-            )
-        ),
-    )
-    dealt = dealt.withColumn("_c", F.explode(cells)).select("font", "view", "i", "feature", "_c.a", "_c.b", "_c._as")
-    local = dealt.groupBy("font", "view", "a", "b").applyInPandas(_ranked(k), "font int, view int, i long, j long, sim double")
+    rows, known = in_cells(features, block)
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    both, asks, held = (F.lit(x).alias("_as") for x in (ASKS + HELD, ASKS, HELD))
+    cell = lambda x: F.when(x == F.col("part"), F.array(F.struct(x.alias("a"), x.alias("b"), both))).otherwise(F.array(F.struct(F.col("part").alias("a"), x.alias("b"), asks), F.struct(x.alias("a"), F.col("part").alias("b"), held)))
+    met = _with_parts(rows, known).withColumn("_c", F.explode(F.flatten(F.transform(every, cell)))).select("font", "view", "i", "feature", "cell", "_c.a", "_c.b", "_c._as")
+    rank = _ranked(k)
     best = Window.partitionBy("font", "view", "i").orderBy(F.desc("sim"), "j")
-    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    def kept(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    own = kept(met.groupBy("font", "view", "cell", "a", "b").applyInPandas(lambda key, x: rank(key, x), _NEAR))
+    if known.single:
+        return own
+    own = materialise(own.drop("rank"), "near")
+    bounds = own.groupBy("font", "view", "i").agg(F.when(F.count("*") >= k, F.min("sim")).alias("bound"))
+    kind = next(f.dataType.simpleString() for f in rows.schema if f.name == "feature")
+    wanted = rows.join(bounds, ["font", "view", "i"], "left").mapInPandas(_wanting(known), f"font int, view int, i long, feature {kind}, part int, a int, cell int")
+    wanted = materialise(wanted.withColumnRenamed("part", "asking"), "asks")
+    # a cell's part is sent to the parts that ask for it; a pair of parts is a task
+    pairs = wanted.select("font", "view", "a", "asking", "cell").distinct()
+    columns = ("font", "view", "i", "feature", "a", "asking", "cell", "part")
+    there = rows.join(pairs, ["font", "view", "cell"]).select(*columns, held)
+    sent = _with_parts(wanted, known).withColumn("part", F.explode(every)).select(*columns, asks)
+    more = there.unionByName(sent).groupBy("font", "view", "a", "asking", "cell", "part").applyInPandas(lambda key, x: rank(key, x), _NEAR)
+    return kept(own.unionByName(more))
 
 
 def mutual_edges(near: DataFrame) -> DataFrame:
@@ -116,24 +232,45 @@ def _ahead(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"font": pairs["font"], "i": a, "j": b, **counts})
 
 
+def _looking(known: Known):
+    """For each pair the cells that may hold vectors ahead of the other end, as seen from either."""
+
+    def look(batches):
+        for rows in batches:
+            for font, at in rows.groupby("font").indices.items():
+                own = rows.iloc[at]
+                left, right = _unit_rows(own["fi"]), _unit_rows(own["fj"])
+                sim = np.einsum("nd,nd->n", left, right)
+                need = known.near((font, 0), left, _bounds(sim, left)) | known.near((font, 0), right, _bounds(sim, right))
+                row, cell = np.nonzero(need)
+                yield own.iloc[row][["font", "i", "j", "fi", "fj", "slot"]].assign(cell=cell.astype(np.int32))
+
+    return look
+
+
 def pair_evidence(features: DataFrame, pairs: DataFrame, block: int = BLOCK, pair_block: int = PAIR_BLOCK) -> DataFrame:
     """(font, i, j, sim, mutual_rank) of the given pairs in every font that holds both: a sparse evaluation, never all pairs.
 
-    The pairs, dealt to parts of bounded size, meet each block of their font's vectors; the numbers of vectors ahead are
-    summed over the blocks, and the worse of the two ranks counts.
+    A pair, dealt to a slot of bounded size, looks for vectors ahead only in the cells of its font that come within the
+    pair's distance of either end; a cell's parts are sent to the slots that look into it. The numbers of vectors ahead are
+    summed over the parts, and the worse of the two ranks counts.
     """
-    held = _blocked(features.select("font", "i", "feature"), ["font"], block)
+    rows, cells = in_cells(features.withColumn("view", F.lit(0)), block)
     asked = pairs.select("i", "j").distinct()
-    parts = max(1, -(-asked.count() // pair_block))
+    slots = max(1, -(-asked.count() // pair_block))
     one = features.select("font", "i", F.col("feature").alias("fi"))
     two = features.select("font", F.col("i").alias("j"), F.col("feature").alias("fj"))
-    known = asked.join(one, "i").join(two, ["font", "j"]).join(held.select("font", "_blocks").distinct(), "font")
-    known = known.withColumn("part", F.pmod(F.xxhash64("i", "j"), F.lit(parts)).cast("int"))
-    meet = known.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("font", "b", "part", "i", "j", "fi", "fj")
-    spread = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("font", F.col("_own").alias("b"), "part", "i", F.lit(0).cast("long").alias("j"), F.col("feature").alias("fi"))
-    counted = meet.unionByName(spread, allowMissingColumns=True).groupBy("font", "b", "part").applyInPandas(_ahead, "font int, i long, j long, n_i long, n_j long")
+    known = asked.join(one, "i").join(two, ["font", "j"]).withColumn("slot", F.pmod(F.xxhash64("i", "j"), F.lit(slots)).cast("int"))
+    kind = next(f.dataType.simpleString() for f in features.schema if f.name == "feature")
+    look = known.select("font", "i", "j", "fi", "fj", "slot").mapInPandas(_looking(cells), f"font int, i long, j long, fi {kind}, fj {kind}, slot int, cell int")
+    if not cells.single:
+        look = materialise(look, "looks")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    meet = _with_parts(look.withColumn("view", F.lit(0)), cells).withColumn("part", every).select("font", "cell", "part", "slot", "i", "j", "fi", "fj")
+    spread = rows.join(look.select("font", "cell", "slot").distinct(), ["font", "cell"]).select("font", "cell", "part", "slot", "i", F.lit(0).cast("long").alias("j"), F.col("feature").alias("fi"))
+    counted = meet.unionByName(spread, allowMissingColumns=True).groupBy("font", "cell", "part", "slot").applyInPandas(_ahead, "font int, i long, j long, n_i long, n_j long")
     ranks = counted.groupBy("font", "i", "j").agg((F.greatest(F.sum("n_i"), F.sum("n_j")) + 1).alias("mutual_rank"))
-    return known.select("font", "i", "j", cosine(F.col("fi"), F.col("fj")).alias("sim")).join(ranks, ["font", "i", "j"])
+    return known.select("font", "i", "j", cosine(F.col("fi"), F.col("fj")).alias("sim")).join(ranks, ["font", "i", "j"], "left").fillna(1, ["mutual_rank"])
 
 
 def candidate_pairs(whole: DataFrame, views: DataFrame, k: int, least_fonts: int, total_views: int, view_share: float, least_clean: int, clean_every: int) -> DataFrame:

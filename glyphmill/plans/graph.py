@@ -113,10 +113,7 @@ ORACLES: dict[str, str] = {
     "top_cosines": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings WHERE embedding IS NOT NULL)
 SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.f, b.f), 6) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.f, b.f) DESC, b.vec_id) AS rank FROM e a JOIN e b ON a.vec_id <> b.vec_id QUALIFY rank <= 3""",
     "sim_ranks": f"{_F} SELECT font::INT AS font, i, j, round(sim, 6) AS sim, rank FROM ranks WHERE rank <= 6",
-    "mutual_topk": """WITH feats AS (SELECT vec_id % 4 AS font, vec_id // 4 AS i, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings),
-near AS MATERIALIZED (SELECT a.font, a.i, b.i AS j, list_cosine_similarity(a.f, b.f) AS sim FROM feats a JOIN feats b ON a.font = b.font AND a.i <> b.i
-  QUALIFY row_number() OVER (PARTITION BY a.font, a.i ORDER BY sim DESC, b.i) <= 6)
-SELECT x.font::INT AS font, x.i, x.j, round(x.sim, 6) AS sim FROM near x JOIN near y ON x.font = y.font AND x.i = y.j AND x.j = y.i WHERE x.i < x.j""",
+    "mutual_topk": f"""{_F} SELECT font::INT AS font, least(i, j) AS i, greatest(i, j) AS j, round(max(sim), 6) AS sim FROM ranks WHERE rank <= 6 GROUP BY font, least(i, j), greatest(i, j) HAVING count(*) = 2""",
     "coverage_floor": f"""{_F.replace("WITH feats", "WITH RECURSIVE feats", 1)}{_V}, sp AS (SELECT * FROM support WHERE views >= 3 AND clean >= 2), c AS (SELECT i, j FROM stable UNION SELECT i, j FROM sp),
 accepted AS (SELECT i, j FROM c JOIN mutual m USING (i, j) GROUP BY i, j HAVING count(*) FILTER (mr <= 6) >= 3),
 covered AS (SELECT unnest([i, j]) AS v FROM stable SEMI JOIN accepted USING (i, j)),

@@ -351,3 +351,50 @@ def test_gates_of_many_builds(spark):
     rows = [(i, a["build_id"], *(float(a[n]) if n in a else None for n in names), d) for i, (a, d) in enumerate(cases)]
     found = {r["k"]: r["errors"] for r in constraints.build_problems(spark.createDataFrame(rows, schema), "k", ("draft",), "ab").collect()}
     assert found == {i: constraints.argument_errors(a, ("draft",)) + constraints.authorization_errors(d, "ab") for i, (a, d) in enumerate(cases)}
+
+
+def _clustered(n, seed):
+    import numpy as np
+
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(12, 8))
+    v = centres[draw.integers(0, 12, n)] + 0.02 * draw.normal(size=(n, 8))
+    v[::37] = 0.0  # vectors without a direction
+    v[5:9] = v[4]  # equal ones
+    return v
+
+
+@pytest.mark.parametrize("block", [16, 50])
+def test_cells_lose_no_neighbour(spark, block):
+    import numpy as np
+
+    v = _clustered(300, block)
+    rows = spark.createDataFrame([(i % 2, 0, i, x.tolist()) for i, x in enumerate(v)], "font int, view int, i long, feature array<double>")
+    near = {}
+    for r in similarity.neighbours(rows, 4, block).collect():
+        near[r["i"], r["rank"]] = (r["j"], r["sim"])
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    unit = v / np.where(size > 0, size, 1)
+    for i in range(len(v)):
+        same = [j for j in range(i % 2, len(v), 2) if j != i]
+        best = sorted(((-float(unit[i] @ unit[j])), j) for j in same)[:4]
+        assert [near[i, n][1] for n in range(1, 5)] == pytest.approx([-s for s, _ in best], abs=1e-9)
+    pairs = rows.select("i", (F.col("i") + 2).alias("j")).filter("j < 300")
+    got = {(r["font"], r["i"], r["j"]): r["mutual_rank"] for r in similarity.pair_evidence(rows, pairs, block, 64).collect()}
+    one = {(r["font"], r["i"], r["j"]): r["mutual_rank"] for r in similarity.pair_evidence(rows, pairs, 4096, 64).collect()}
+    assert got == one and len(got) == 298
+
+
+def test_cells_prune_clusters(spark):
+    """On tight clusters a vector asks in few cells; on scattered vectors in all that hold any."""
+    import numpy as np
+
+    for v, most in ((_clustered(600, 1), 0.35), (np.random.default_rng(2).normal(size=(600, 8)), 1.0)):
+        rows = spark.createDataFrame([(0, 0, i, x.tolist()) for i, x in enumerate(v)], "font int, view int, i long, feature array<double>")
+        dealt, known = similarity.in_cells(rows, 30)
+        assert not known.single and dealt.groupBy("cell", "part").count().agg(F.max("count")).first()[0] < 80
+        near = similarity.neighbours(rows, 4, 30).filter("rank = 4").select("i", "sim").toPandas().sort_values("i")
+        unit = similarity._unit_rows(v)
+        need = known.near((0, 0), unit, similarity._bounds(near["sim"].to_numpy(), unit))
+        some = (unit * unit).sum(1) > 0
+        assert need[some].sum() / (some.sum() * (known.of[0, 0][2] > 0).sum()) <= most
