@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.session import materialise
+
 #: Metadata columns of a sample and their values where they are missing.
 META_DEFAULTS = {
     "source_name": "",
@@ -129,18 +131,17 @@ def align_strict(annotations: DataFrame, predictions: DataFrame, key: str) -> Da
     return checked.filter("_whole").drop("_annotations", "_predictions", "_whole")
 
 
-def numbered(rows: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
-    """rows with `_n`, the 0-based rank by a numeric key (ties in no stated order): the rows of the key ranges before, and a
-    window within the range. Ranges are equal parts of the key's span, so even keys are spread over as many tasks."""
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return rows.withColumn("_n", F.lit(0).cast("long"))
-    width = max((high - low) / buckets, 1e-300)
-    dealt = rows.withColumn("_range", F.least(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(buckets - 1)))
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `_n`, the 0-based rank by the key; ties are settled by a hash of the whole row, so only equal rows may change
+    places. Spark's range partitioner cuts the order into even ranges, through a frequent key as well; the rows are written
+    range by range, and a rank is the rows of the ranges before and the place within."""
+    tie = F.xxhash64(*rows.columns)
+    cut = rows.withColumn("_tie", tie).repartitionByRange(key, "_tie").withColumn("_range", F.spark_partition_id())
+    held = materialise(cut, "ranges")
     before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over the counts of the ranges
-    bases = dealt.groupBy("_range").agg(F.count("*").alias("_c")).select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return dealt.join(F.broadcast(bases), "_range").withColumn("_n", F.col("_base") + within).drop("_range", "_base")
+    bases = held.groupBy("_range").agg(F.count("*").alias("_c")).select("_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(key, "_tie")) - 1
+    return held.join(bases, "_range").withColumn("_n", (F.col("_base") + within).cast("long")).drop("_range", "_base", "_tie")
 
 
 def positional(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.session import materialise
+
 
 def counts(rows: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     """Counts of the keys joined by '/'; nulls as empty."""
@@ -40,12 +43,27 @@ def grouping_sets(rows: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     return grouped.select(name.alias("histogram"), value.alias("key"), "n")
 
 
+#: Up to so many symbols are counted side by side, without taking the texts apart.
+SIDE_BY_SIDE = 64
+
+
 def zero_filled(rows: DataFrame, text: str, domain: DataFrame) -> DataFrame:
-    """(symbol, n) for every symbol of the domain: how often the texts hold it. The domain, an alphabet, is broadcast, so that
-    only its symbols are counted; counts are summed before the shuffle."""
-    symbols = rows.select(F.explode(F.split(text, "")).alias("symbol")).join(F.broadcast(domain.select("symbol").distinct()), "symbol", "left_semi")
-    found = symbols.groupBy("symbol").agg(F.count("*").alias("_n"))
-    return domain.join(found, "symbol", "left").select("symbol", F.coalesce("_n", F.lit(0)).alias("n"))
+    """(symbol, n) for every symbol of the domain, single characters: how often the texts hold it.
+
+    A small domain is counted in one pass: a symbol's count is what a text loses in length without it, and only sums are
+    shuffled. Of a larger one, an alphabet, the texts are first cut down to its symbols, whose counts are summed before the
+    shuffle. Null texts hold nothing; symbols that repeat in the domain have a row each.
+    """
+    symbols = sorted({r[0] for r in domain.select("symbol").distinct().collect() if r[0]})  # code points, 1,114,112 at most
+    if len(symbols) <= SIDE_BY_SIDE:
+        n = F.length(text)
+        sums = rows.agg(*(F.coalesce(F.sum(n - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))), F.lit(0)).alias(f"_{i}") for i, c in enumerate(symbols)), F.count("*").alias("_rows"))
+        found = sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("symbol"), F.col(f"_{i}").alias("_n")) for i, c in enumerate(symbols)))).alias("_c")).select("_c.*") if symbols else domain.limit(0).select("symbol", F.lit(0).alias("_n"))
+    else:
+        others = "[^" + "".join(f"\\x{{{ord(c):X}}}" for c in symbols) + "]"
+        kept = rows.select(F.explode(F.split(F.regexp_replace(text, others, ""), "")).alias("symbol"))
+        found = kept.groupBy("symbol").agg(F.count("*").alias("_n"))
+    return domain.join(found, "symbol", "left").select("symbol", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
 
 
 def conditional(rows: DataFrame, conditions: dict[str, Column], sums: dict[str, Column] | None = None) -> DataFrame:
@@ -75,44 +93,53 @@ def pair_summary(events: DataFrame, pairs_total: int, repeats: int) -> DataFrame
     )
 
 
-#: Counts of a narrowing round, and the values that may be fetched instead of narrowing further.
-BINS, FETCHED = 4096, 10_000
+#: Bins of an open range in a narrowing round.
+BINS = 4096
 
 
-def ranked_value(rows: DataFrame, column: str, rank: int, low: float, high: float) -> float:
-    """The value of the given 0-based rank among the column's non-null values, exactly; low and high are its extremes.
+def ranked_values(rows: DataFrame, column: str, ranks: Sequence[int]) -> dict[int, float]:
+    """The values of the given 0-based ranks among the column's values, exactly. Null and NaN aren't values.
 
-    Each round counts the values of the open range in BINS bins, on the executors, and goes on in the rank's bin, until the
-    bin has one value or few enough rows to be sorted here.
+    Each round counts, in one pass for all ranks, the values of every open range in BINS bins on the executors, and goes on
+    in each rank's bin until it holds one value. A range with fewer doubles than bins is counted value by value. The values
+    are written once; six rounds are the most that doubles need.
     """
-    open_ = rows.select(F.col(column).cast("double").alias("v")).filter("v is not null")
-    while low < high:
-        inside = open_.filter(F.col("v").between(low, high))
-        width = (high - low) / BINS
-        bin_ = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
-        found = sorted(inside.groupBy(bin_.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
-        for b in found:
-            if rank < b["n"]:
-                low, high, n = b["low"], b["high"], b["n"]
-                break
-            rank -= b["n"]
-        if low < high and n <= FETCHED:
-            return sorted(r[0] for r in inside.filter(F.col("v").between(low, high)).collect())[rank]
-        if len(found) == 1 and low < high:  # neighbours in floating point
-            below = open_.filter(F.col("v") == low).count()
-            return low if rank < below else ranked_value(open_.filter(F.col("v") > low), "v", rank - below, *open_.filter(F.col("v") > low).agg(F.min("v"), F.max("v")).first())
-    return low
+    values = materialise(rows.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)"), "values")
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    open_ = {rank: (low, high, rank) for rank in ranks}
+    done: dict[int, float] = {}
+    while True:
+        done |= {rank: low for rank, (low, high, _) in open_.items() if low == high}
+        open_ = {rank: at for rank, at in open_.items() if rank not in done}
+        if not open_:
+            return done
+        ranges = sorted({(low, high) for low, high, _ in open_.values()})
+        place = F.lit(None).cast("struct<r:int,b:double>")
+        for i, (low, high) in enumerate(ranges):
+            width = (high - low) / BINS
+            whole = math.isfinite(width) and width > math.ulp(max(abs(low), abs(high)))
+            bin_ = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1)).cast("double") if whole else F.col("v") if math.isfinite(width) else F.floor(F.col("v") / (high / BINS))
+            place = F.when(F.col("v").between(low, high), F.struct(F.lit(i).alias("r"), bin_.alias("b"))).otherwise(place)
+        counted = values.select("v", place.alias("p")).filter("p is not null").groupBy("p").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("p").collect()  # ranks x bins
+        for rank, (low, high, left) in open_.items():
+            own = ranges.index((low, high))
+            for b in counted:
+                if b["p"]["r"] == own:
+                    if left < b["n"]:
+                        open_[rank] = (b["low"], b["high"], left)
+                        break
+                    left -= b["n"]
 
 
 def percentiles(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
     """One row of exact linear-interpolated percentiles, one column p<share*100> each; null without values. Only bin counts
     are shuffled, not the values."""
-    n, low, high = rows.agg(F.count(column), F.min(F.col(column).cast("double")), F.max(F.col(column).cast("double"))).first()
-    out = []
-    for share in shares:
-        at = share * (n - 1)
-        ranks = {r: ranked_value(rows, column, r, low, high) for r in {int(at), min(n - 1, int(at) + 1)}} if n else {}
-        out.append(ranks[int(at)] + (at - int(at)) * (ranks[min(n - 1, int(at) + 1)] - ranks[int(at)]) if n else None)
+    value = F.col(column).cast("double")
+    n = rows.agg(F.count(F.when(~F.isnan(value), value))).first()[0]
+    places = [share * (n - 1) for share in shares]
+    ranks = sorted({min(n - 1, int(at) + step) for at in places for step in (0, 1)}) if n else []
+    found = ranked_values(rows, column, ranks) if n else {}
+    out = [found[int(at)] + (at - int(at)) * (found[min(n - 1, int(at) + 1)] - found[int(at)]) if n else None for at in places]
     return rows.sparkSession.createDataFrame([tuple(out)], ", ".join(f"p{round(s * 100)} double" for s in shares))
 
 

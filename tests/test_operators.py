@@ -398,3 +398,29 @@ def test_cells_prune_clusters(spark):
         need = known.near((0, 0), unit, similarity._bounds(near["sim"].to_numpy(), unit))
         some = (unit * unit).sum(1) > 0
         assert need[some].sum() / (some.sum() * (known.of[0, 0][2] > 0).sum()) <= most
+
+
+def test_ranks_of_awkward_values(spark):
+    import math
+
+    values = [1e308, -1e308, 0.0, 5e-324, 1e-323, 1.0, math.nextafter(1.0, 2), math.nextafter(1.0, 0), math.nan, None, 1.0, 1.0, -1.5, 2**53 + 2.0, 7.0]
+    known = sorted(v for v in values if v is not None and not math.isnan(v))
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    assert histograms.ranked_values(rows, "v", range(len(known))) == dict(enumerate(known))
+    assert histograms.percentiles(rows, "v", [1.0]).first()[0] == 1e308
+
+
+def test_ranks_with_a_frequent_key(spark):
+    rows = spark.createDataFrame([(i if i % 3 else 7, i) for i in range(600)], "k long, v long").repartition(7)
+    found = alignment.numbered(rows, "k").orderBy("_n").collect()
+    assert [r["_n"] for r in found] == list(range(600)) and [r["k"] for r in found] == sorted(r["k"] for r in found)
+    assert found == alignment.numbered(rows.repartition(3), "k").orderBy("_n").collect()
+
+
+@pytest.mark.parametrize("size", [3, 200])
+def test_zero_filled_domains(spark, size):
+    symbols = [chr(0x4E00 + i) for i in range(size - 2)] + ["]", "\\"]
+    texts = ["".join(symbols[(i * k) % size] for k in range(30)) + "^-z" for i in range(20)] + ["", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string")
+    found = {r["symbol"]: r["n"] for r in histograms.zero_filled(rows, "t", spark.createDataFrame([(s,) for s in [*symbols, "absent"[:1]]], "symbol string")).collect()}
+    assert found == {s: sum((x or "").count(s) for x in texts) for s in [*symbols, "a"]}
