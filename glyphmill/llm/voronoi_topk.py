@@ -203,13 +203,12 @@ def _piece(group: int, part: np.ndarray, block: np.ndarray, own: pa.RecordBatch,
 
 
 def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products: in double precision where all sums are below 2^53, else in Python's integers, held within the
-    range of a long."""
+    """Integer inner products: in double precision where all sums are below 2^53, else in Python's integers."""
     most = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * max(1, q.shape[1])
     if most < 2.0**53:
         return (q @ x.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
-    return np.clip(whole(q).dot(whole(x).T), LOWEST, HIGHEST).astype(np.int64)
+    return whole(q).dot(whole(x).T)
 
 
 def best_of_block(q_key: np.ndarray, q: np.ndarray, key: np.ndarray, x: np.ndarray, k: int, tile: int = 512) -> pd.DataFrame:
@@ -218,7 +217,7 @@ def best_of_block(q_key: np.ndarray, q: np.ndarray, key: np.ndarray, x: np.ndarr
     key, x = key[order], x[order]
     out = []
     for at in range(0, len(q_key), tile):
-        score = inner_products(q[at : at + tile], x)
+        score = np.clip(inner_products(q[at : at + tile], x), LOWEST, HIGHEST).astype(np.int64)
         for row, (query, number) in enumerate(q_key[at : at + tile].tolist()):
             mine = score[row]
             usable = np.flatnonzero((key[:, 0] != query) | (key[:, 1] != number))
