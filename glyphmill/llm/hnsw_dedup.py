@@ -2,8 +2,9 @@
 
 Vectors are dealt to shards by a hash; each shard builds one graph. Every distinct vector queries every shard's graph. A
 beam is widened for a query until its worst member is below the threshold, so that a dense group is walked to its edge, and
-the beam's base width is doubled until audits against brute force pass; past the widest beam the shards are compared in
-blocks. Links are verified in double precision. A task keeps a spanning forest of its links, not the pairs; components are
+the beam's base width is doubled until audits against brute force pass. Most audited vectors are ones with links, which a
+second search finds that knows nothing of the graphs: hashes by random hyperplanes. Where the widest beam fails, or where
+too few true links can be had to measure recall, the shards are compared in blocks. Links are verified in double precision. A task keeps a spanning forest of its links, not the pairs; components are
 united over all tasks. Within a component links are counted exactly, in blocks, so a link that only one end found, or none,
 counts at both.
 """
@@ -16,9 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.numeric import cosine
 from glyphmill.llm._common import materialise
 from glyphmill.llm.components import connected_components, star_forest
 
@@ -27,9 +29,10 @@ THRESHOLD = 0.9
 M, M_GROUND, EF_BUILD, SHARDS, SHARD_ROWS = 12, 24, 48, 4, 50_000
 #: Base width of a query's beam, its audited recall, rows of a query block and blocks that meet a copy of a graph.
 EF_SEARCH, RECALL, QUERY_ROWS, BLOCKS_PER_TASK = 32, 0.99, 2048, 16
-#: Audited queries of each length of vectors (the first in hashed order), at first and at most, and the true links that they
-#: should have together.
+#: Audited queries of a length of vectors at first, of all lengths at most, and the true links that they must have together.
 AUDITED, MOST_AUDITED, TRUE_LINKS = 200, 3200, 200
+#: Tables of hyperplane hashes, and bits of a hash beyond those that tell all rows apart.
+TABLES, SPARE_BITS = 16, 2
 #: Rows of a side of a block in which a component's links are counted, and rows that a counting task holds, about.
 COUNT_ROWS, COUNT_TASK = 2048, 20_000
 _FLOAT_SLACK = 1e-3
@@ -250,14 +253,14 @@ def _found(graph: Graph, ids: np.ndarray, vectors: np.ndarray, width: int | None
     return q[apart], other[apart]
 
 
-def _query(width: int | None, threshold: float):
+def _query(widths: dict[int, int | None], threshold: float):
     def run(graphs: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for blob in graphs["graph"]:
             graph = Graph.unpacked(blob)
             for raw_ids, raw in zip(blocks["ids"], blocks["vectors"], strict=True):
                 ids = np.frombuffer(raw_ids, np.int64)
-                q, other = _found(graph, ids, np.frombuffer(raw, np.float64).reshape(len(ids), -1), width, threshold)
+                q, other = _found(graph, ids, np.frombuffer(raw, np.float64).reshape(len(ids), -1), widths.get(graph.exact.shape[1]), threshold)
                 if len(q):
                     a, b = star_forest(ids[q], other)
                     u.append(a)
@@ -318,26 +321,77 @@ def _audit(sample: list, rows: DataFrame, graphs: DataFrame, width: int, thresho
     return (float(np.mean([held.get(("found", q), 0) / n for q, n in true.items()])) if true else 1.0), sum(true.values())
 
 
-def _audited_width(distinct: DataFrame, graphs: DataFrame, width: int, threshold: float, recall: float, rows_of_shard: int) -> int | None:
-    """The base width at which the audits of all lengths pass; None if none does up to the size of a shard."""
-    order = Window.partitionBy(F.size("embedding")).orderBy(F.xxhash64("rep"), "rep")
-    numbered = distinct.select("rep", "embedding").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= MOST_AUDITED)
-    by_length: dict[int, list] = {}
-    for r in numbered.orderBy("n").collect():  # MOST_AUDITED vectors a length at most
-        by_length.setdefault(len(r["embedding"]), []).append(r)
-    for sample in by_length.values():
-        size = AUDITED
+def _hashed(bits: int, tables: int = TABLES):
+    """(table, key, rep): a vector's side of `bits` random hyperplanes, for each table; the length is part of the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, vectors = np.asarray(batch.column(0), np.int64), batch.column(1)
+            lengths = np.diff(np.asarray(vectors.offsets))
+            for d in np.unique(lengths).tolist():
+                rows = np.flatnonzero(lengths == d)
+                unit = _unit(pd.Series(list(np.asarray(vectors.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), d))))
+                planes = np.random.default_rng([d, bits]).normal(size=(d, tables, bits))
+                sides = np.einsum("nd,dtb->ntb", unit, planes) > 0
+                keys = sides @ (1 << np.arange(bits, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(np.arange(tables), len(rows)) + d * tables, pa.int64()), pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(reps[rows], tables), pa.int64())], ["table", "key", "rep"]
+                )
+
+    return run
+
+
+def linked_sample(distinct: DataFrame, total: int, threshold: float, most: int) -> DataFrame:
+    """(rep, embedding) of up to `most` vectors that have a link, found by hashing alone.
+
+    Of each hash bucket the first and the last row meet, so a bucket costs two numbers however many rows share it; the pairs,
+    bounded in hashed order, are verified. What is found doesn't depend on any graph.
+    """
+    bits = min(40, max(1, total).bit_length() + SPARE_BITS)
+    hashed = distinct.select("rep", "embedding").mapInArrow(_hashed(bits), "table long, key long, rep long")
+    met = hashed.groupBy("table", "key").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).filter("u < v").select("u", "v").distinct()
+    few = met.orderBy(F.xxhash64("u", "v"), "u", "v").limit(4 * most)
+    one, two = (distinct.select(F.col("rep").alias(c), F.col("embedding").alias(f"_{c}")) for c in "uv")
+    near = few.join(one, "u").join(two, "v").filter(F.size("_u") == F.size("_v")).filter(cosine(F.col("_u"), F.col("_v")) >= threshold)
+    ends = near.select(F.explode(F.array(F.struct(F.col("u").alias("rep"), F.col("_u").alias("embedding")), F.struct(F.col("v").alias("rep"), F.col("_v").alias("embedding")))).alias("e")).select("e.*")
+    return ends.dropDuplicates(["rep"]).limit(most)
+
+
+def _audited_widths(distinct: DataFrame, graphs: DataFrame, total: int, width: int, threshold: float, recall: float, rows_of_shard: int) -> dict[int, int | None]:
+    """By length of vectors the base width at which its audits pass; None where the shards are to be compared in blocks: no
+    beam up to the size of a shard passes, or the audited vectors have too few true links to tell. Lengths that aren't
+    audited, as too few rows have them, are absent and compared in blocks as well.
+
+    Three of four audited vectors have links by hashing, as far as there are such; the others are the first in hashed order.
+    MOST_AUDITED of either kind are collected at most, whatever the number of lengths.
+    """
+    linked = linked_sample(distinct, total, threshold, MOST_AUDITED).collect()
+    plain = distinct.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(MOST_AUDITED).collect()
+    known = {r["rep"] for r in linked}
+    by_length: dict[int, tuple[list, list]] = {}
+    for kind, rows in enumerate((linked, [r for r in plain if r["rep"] not in known])):
+        for r in rows:
+            by_length.setdefault(len(r["embedding"]), ([], []))[kind].append(r)
+    widths: dict[int, int | None] = {}
+    for length, (first, second) in by_length.items():
+        sample = []
+        while first or second:
+            sample += [*first[:3], *second[:1]]
+            first, second = first[3:], second[1:]
+        size, wide = AUDITED, width
         while True:
-            reached, true = _audit(sample[:size], distinct, graphs, width, threshold)
+            reached, true = _audit(sample[:size], distinct, graphs, wide, threshold)
             if true < TRUE_LINKS and size < len(sample):
                 size *= 4
+            elif true < TRUE_LINKS or reached < recall and wide >= rows_of_shard:
+                widths[length] = None
+                break
             elif reached >= recall:
+                widths[length] = wide
                 break
-            elif width >= rows_of_shard:
-                return None
             else:
-                width *= 2
-    return width
+                wide *= 2
+    return widths
 
 
 def _linked_within(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -393,13 +447,13 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD, width:
         shards = max(shards, -(-total // SHARD_ROWS))
         dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)) + F.size("embedding").cast("long") * shards)  # a graph for each length
         graphs = materialise(dealt.groupBy("shard").applyInPandas(_build, "shard long, graph binary"), "graphs")
-        beam = _audited_width(distinct, graphs, width, threshold, recall, min(total, SHARD_ROWS))
+        widths = _audited_widths(distinct, graphs, total, width, threshold, recall, min(total, SHARD_ROWS))
         parts = max(1, -(-total // (QUERY_ROWS * BLOCKS_PER_TASK)))
         blocks = distinct.select("rep", "embedding").repartition(parts * 2, "rep").mapInArrow(_pack, "ids binary, vectors binary, width long")
         spread = graphs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
         own_shards = F.sequence(F.col("width") * shards, F.col("width") * shards + shards - 1)  # a block asks all shards of its length
         asked = blocks.select("ids", "vectors", F.pmod(F.xxhash64("ids"), F.lit(parts)).alias("part"), F.explode(own_shards).alias("shard"))
-        answered = spread.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(_query(beam, threshold), "u long, v long")
+        answered = spread.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(_query(widths, threshold), "u long, v long")
         found = materialise(answered, "links")
     roots = materialise(connected_components(found), "roots")
     counts = component_links(distinct, roots, threshold) if total and not roots.isEmpty() else spark.createDataFrame([], "rep long, n long")

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from glyphmill.llm import hnsw_dedup, simhash_vp, voronoi_topk
 from glyphmill.llm.components import connected_components
@@ -275,3 +276,34 @@ def test_huge_components_and_other_lengths(spark):
     top = (1 << 63) - 1
     small = (384 + 64) * 256 * 10**10
     assert found == [(1, 1, top), (2, 2, top), (3, 7, top), (4, 4, small), (5, 3, -top - 1)]
+
+
+def _far_apart(n, pairs, seed=3):
+    """Scattered vectors with a few planted near pairs: (rows, the pairs' ids)."""
+    draw = np.random.default_rng(seed)
+    v = draw.normal(size=(n, 24))
+    for a, b in pairs:
+        v[b] = v[a] + 0.05 * draw.normal(size=24)
+    return [(i, x.tolist(), 0) for i, x in enumerate(v)]
+
+
+def test_rare_links_are_found(spark):
+    """Two near pairs in 6,000 vectors: too few links to measure a beam's recall, so the shards are compared in blocks."""
+    pairs = [(17, 4211), (900, 5999)]
+    df = spark.createDataFrame(_far_apart(6000, pairs), "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw_dedup.op4_hnsw_dedup(df).filter("n_links > 0").collect()}
+    assert found == {x: (1, a) for a, b in pairs for x in (a, b)}
+
+
+def test_audits_see_a_broken_graph(spark):
+    """Graphs that lack a third of the vectors: the audits, which other means chose, don't pass at any width."""
+    pairs = [(i, 1000 + i) for i in range(400)]
+    df = spark.createDataFrame([(i, v) for i, v, _ in _far_apart(2000, pairs)], "rep long, embedding array<double>")
+    linked = {r["rep"] for r in hnsw_dedup.linked_sample(df, 2000, 0.9, 3200).collect()}
+    assert len(linked) > 400 and linked <= {x for p in pairs for x in p}
+
+    def graphs(rows):
+        return rows.withColumn("shard", F.col("rep") % 2).groupBy("shard").applyInPandas(hnsw_dedup._build, "shard long, graph binary")
+
+    assert hnsw_dedup._audited_widths(df, graphs(df), 2000, 32, 0.9, 0.99, 2000)[24] is not None
+    assert hnsw_dedup._audited_widths(df, graphs(df.filter("rep % 3 > 0")), 2000, 32, 0.9, 0.99, 64) == {24: None}
