@@ -1,14 +1,16 @@
 """Personal data and what gives it away (operator 2), in DataFrame and SQL functions only.
 
 Base spans are the stated patterns. The information-theoretic part counts over whole documents: for each personal value v
-and each term t of the documents that hold v, corpus counts estimate p(v | t), smoothed towards p(v) by SMOOTHING documents
-so that a single common document proves little. Its negative logarithm is what is still hidden of v from one who knows t.
-Where that is at most GENERALISE_BITS the term is generalised, at most REMOVE_BITS removed, wherever it stands in the
+and each term t of the documents that hold v, corpus counts bound p(v | t) from below, with the confidence of CONFIDENCE
+deviations (Wilson's interval), so that a term must have shown itself: one document proves nothing, however rare its words.
+The bound's negative logarithm is what is still hidden of v from one who knows t. Where that is at most GENERALISE_BITS the term is generalised, at most REMOVE_BITS removed, wherever it stands in the
 documents of v.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ HINTS = {"email": "text like '%@%'", "ip": r"text rlike '[0-9]\\.[0-9]++\\.[0-9]
 TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}@])(?![A-Za-z0-9._%+-]{0,64}+@)"
 #: Addresses are found on the way to the terms, so that no term is taken from within one.
 TERM_OR_ADDRESS = f"(?:{PATTERNS['email']})|(?:{TERM})"
-#: Documents' worth of the prior in p(value | term); hidden bits from which a term is generalised, and removed.
-SMOOTHING, GENERALISE_BITS, REMOVE_BITS = 2.0, 2.0, 1.0
+#: The same where a text has no address: nothing follows a term that would make it part of one.
+BARE_TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
+#: Deviations of the lower bound of p(value | term); hidden bits from which a term is generalised, and removed.
+CONFIDENCE, GENERALISE_BITS, REMOVE_BITS = 1.96, 2.0, 1.0
 #: Matches whose offsets one fold adds up; longer lists are folded in chunks, so work is linear but for n / FOLD chunk sums.
 FOLD = 256
 
@@ -88,28 +92,33 @@ def _classes(pairs: DataFrame, what: str, *more: str) -> DataFrame:
     return pairs.join(sets.select(what, F.struct("_n", "_a", "_b").alias("set")), what).select("rid", what, "set", *more)
 
 
+def lower_bound(hits, n, root=math.sqrt):
+    """The lower end of Wilson's interval for a share of which `hits` of n were seen; numbers or, with Spark's root, columns."""
+    z = CONFIDENCE**2
+    return (hits + z / 2 - CONFIDENCE * root(hits * (n - hits) / n + z / 4)) / (n + z)
+
+
 def disclosing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
     """(rid, term, action) of the rows in `held` (rid, text, values): what the terms of a row disclose of its values.
 
-    A term's documents are counted over all texts. p(v | t) = (together + SMOOTHING p(v)) / (term_docs + SMOOTHING), so at
-    GENERALISE_BITS a term of over 2^bits (value_docs + SMOOTHING) documents can't disclose the value: such terms are left
-    out before they meet a value, which loses none.
+    A term's documents are counted over all texts. The lower bound of p(v | t) is under together / term_docs, so a term of
+    over 2^GENERALISE_BITS value_docs documents can't disclose the value, and neither can one of too few documents for the
+    bound: such terms are left out before they meet a value, which loses none.
     """
     bits = 2.0**GENERALISE_BITS
-    total = F.lit(float(max(1, docs.count())))
+    fewest = next(n for n in range(1, 1000) if lower_bound(n, n) * bits >= 1)
     values = held.select("rid", F.explode("values").alias("value")).distinct()
     sized = _classes(values, "value").select("rid", "set").distinct().withColumn("value_docs", F.col("set._n"))
     most = sized.groupBy("rid").agg(F.max("value_docs").alias("most"))
-    words = F.array_distinct(F.expr(f"regexp_extract_all(lower(text), {_quoted(TERM)}, 0)"))
+    words = F.array_distinct(F.expr(f"case when text like '%@%' then regexp_extract_all(lower(text), {_quoted(TERM)}, 0) else regexp_extract_all(lower(text), {_quoted(BARE_TERM)}, 0) end"))
     own = held.select("rid", F.explode(words).alias("term"))
     known = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
-    rare = own.join(known, "term").join(most, "rid").filter(F.col("term_docs") <= bits * (F.col("most") + SMOOTHING))
+    rare = own.join(known, "term").join(most, "rid").filter((F.col("term_docs") >= fewest) & (F.col("term_docs") <= bits * F.col("most")))
     terms = materialise(_classes(rare.select("rid", "term", "term_docs"), "term", "term_docs").withColumn("set", F.struct("set", "term_docs")), "terms")
     term_sets = terms.select("rid", F.col("set").alias("term_set")).distinct()
     value_sets = sized.select("rid", F.col("set").alias("value_set"), "value_docs")
     met = value_sets.join(term_sets, "rid").groupBy("value_set", "term_set", "value_docs").agg(F.count("*").alias("together"))
-    chance = (F.col("together") + SMOOTHING * F.col("value_docs") / total) / (F.col("term_set.term_docs") + SMOOTHING)
-    hidden = -F.log2(chance)
+    hidden = -F.log2(lower_bound(F.col("together"), F.col("term_set.term_docs"), F.sqrt))
     telling = met.select("value_set", "term_set", hidden.alias("hidden")).filter(F.col("hidden") <= GENERALISE_BITS)
     reached = value_sets.join(telling, "value_set").groupBy("rid", "term_set").agg(F.min("hidden").alias("hidden"))
     action = F.when(F.col("hidden") <= REMOVE_BITS, F.lit("remove")).otherwise(F.lit("generalise"))
