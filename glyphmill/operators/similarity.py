@@ -302,6 +302,25 @@ def candidate_order() -> list:
     return [F.col("source") != "cluster_multifont", F.desc("font_support"), F.col("median_mutual_rank"), F.desc(F.round("score", 4)), F.col("a"), F.col("b")]
 
 
+def pair_bank(suffixed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(position, a, b, source, cluster_source and the candidates' further columns): the bank as one plan.
+
+    suffixed: (a, b, name), pairs whose names differ by a suffix, in order of name; of a repeated pair the first counts.
+    candidates: as candidate_pairs gives them. Suffix pairs come first; a candidate that is one of them adds its columns and
+    its source as cluster_source, the others follow in candidate_order. A bank is a bounded dimension: the positions are one
+    window over it.
+    """
+    first = suffixed.groupBy("a", "b").agg(F.min("name").alias("name"))
+    more = [c for c in candidates.columns if c not in ("a", "b", "source")]
+    both = first.join(candidates.withColumnRenamed("source", "_source"), ["a", "b"], "full")
+    named = F.col("name").isNotNull()
+    order = Window.partitionBy(F.lit(0)).orderBy(~named, "name", F.col("_place"), "a", "b")
+    placed = candidates.select("a", "b", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*candidate_order())).alias("_place"))
+    both = both.join(placed, ["a", "b"], "left")
+    source = F.when(named, F.lit("tone_arc")).otherwise(F.col("_source"))
+    return both.select((F.row_number().over(order) - 1).cast("long").alias("position"), "a", "b", source.alias("source"), F.when(named, F.col("_source")).alias("cluster_source"), *more)
+
+
 def stable_edges(whole: DataFrame, k: int, least_fonts: int) -> DataFrame:
     """(i, j, font_support, median_similarity): edges that are mutual in at least least_fonts fonts."""
     edges = mutual_edges(neighbours(whole, k)).groupBy("i", "j").agg(F.count("*").alias("font_support"), F.round(F.median("sim"), 8).alias("median_similarity"))

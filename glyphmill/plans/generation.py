@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import text as t
 from glyphmill.functions.numeric import largest_remainder
 from glyphmill.operators import histograms, layout, planning
+from glyphmill.operators import samples as samples_
 from glyphmill.plans import sampling_sql
 from glyphmill.plans.evaluation import FIRST, table
 
@@ -202,6 +203,26 @@ def unique_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.unique_attempts(rows, "p_partkey", "attempt", "digest")
 
 
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as samples: the assistant's turns are the lines, two neighbouring lower-case letters an event."""
+    turns = table(spark, sf_dir, "conversations")
+    k = F.col("conv_id")
+    lines = turns.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("line_index"), "text")
+    found = lines.withColumn("places", t.adjacent_positions(F.col("text"), "a-z")).filter(F.size("places") > 0)
+    place = F.get("places", F.lit(0))
+    pair = F.substring("text", place + 1, F.lit(2))
+    events = found.select("conv_id", "line_index", place.alias("position"), F.concat(F.lit("p_"), pair).alias("pair_id"), pair.alias("ordered_chars"), F.concat(F.lit("font_"), k % 3).alias("font_asset"), F.lit("tone_arc").alias("source"), (k % 2).alias("context_variant"))
+    samples = turns.select("conv_id").distinct().join(found.groupBy("conv_id").agg(F.count("*").alias("eligible_lines")), "conv_id", "left").fillna(0, ["eligible_lines"])
+    samples = samples.select("conv_id", F.element_at(F.array(*map(F.lit, RATIO)), (k % 3 + 1).cast("int")).alias("script_class"), F.lit("region").alias("granularity"), "eligible_lines")
+    made = samples_.sample_rows(samples, lines, events, "conv_id", "train", "Read the page.", ".,")
+    event = F.transform("meta.confusable_events", lambda e: F.concat_ws(":", e["line_index"], F.array_join(e["positions"].cast("array<string>"), "-"), e["pair_id"], e["ordered_chars"], e["font_asset"], e["source"], e["context_variant"]))
+    content = F.get("messages", F.lit(1))["content"]
+    return made.select(
+        "id", F.get("images", F.lit(0)).alias("image"), F.sha2(content, 256).alias("label_sha256"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.col("meta.has_symbol").alias("has_symbol"), F.col("meta.symbol_count").alias("symbol_count"),
+        F.col("meta.confusable_eligible_lines").alias("eligible_lines"), F.col("meta.forced_confusable_count").alias("n_events"), F.array_join(event, ";").alias("events"),
+    )
+
+
 def adjacent_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", t.adjacent_positions(F.col("p_name"), FIRST).alias("places"))
     return rows.select("p_partkey", F.size("places").cast("long").alias("n"), F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
@@ -253,7 +274,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         quota_alloc, exact_plan, sample_plan, every_fifth, round_robin, seeded_permutation, pair_schedule, pair_summary, pair_histograms, inject_pairs, inject_pages, injection_counters, circled_schedule, inject_circled, ab_schedule, schedule_balance,
-        context_lines, sampled_lines, page_layout, latin_plan, residual_rows, split_summary, degradation_plan, contract_counters, font_coverage, unique_attempts, adjacent_positions, splice, visual_rows, char_offsets, page_lines, canvas_heights, block_texts,
+        context_lines, sampled_lines, page_layout, latin_plan, residual_rows, split_summary, degradation_plan, contract_counters, font_coverage, unique_attempts, sample_rows, adjacent_positions, splice, visual_rows, char_offsets, page_lines, canvas_heights, block_texts,
     )
 }
 
@@ -286,6 +307,13 @@ turns AS (
   FROM (SELECT r.n, r.p_partkey, (f.i - 1)::INT AS attempt, r.digests[f.i] AS digest, s.taken
         FROM turns s JOIN r ON r.n = s.n + 1, LATERAL (SELECT list_position([list_contains(s.taken, x) for x in r.digests], false) AS i) f))
 SELECT p_partkey, attempt, digest FROM turns WHERE n > 0""",
+    "sample_rows": """WITH l AS (SELECT conv_id, turn, text, list_filter(range(0, greatest(length(text) - 1, 0)), lambda i: regexp_full_match(substr(text, i::INT + 1, 2), '[a-z]{2}')) AS places FROM conversations WHERE role = 'assistant'),
+e AS (SELECT conv_id, turn, places[1]::INT AS p, substr(text, places[1]::INT + 1, 2) AS c FROM l WHERE len(places) > 0),
+g AS (SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS label FROM l GROUP BY conv_id),
+v AS (SELECT conv_id, count(*) AS n, string_agg(turn || ':' || p || '-' || (p + 1) || ':p_' || c || ':' || c || ':font_' || conv_id % 3 || ':tone_arc:' || conv_id % 2, ';' ORDER BY turn) AS events FROM e GROUP BY conv_id)
+SELECT 'synth_train_' || lpad(s.conv_id::VARCHAR, 6, '0') AS id, 'images/train/' || ['pure_yi', 'mixed', 'pure_common'][s.conv_id % 3 + 1] || '/region/' || lpad(s.conv_id::VARCHAR, 6, '0') || '.png' AS image, sha256(coalesce(label, '')) AS label_sha256, 'user,assistant' AS roles,
+  length(coalesce(label, '')) > length(translate(coalesce(label, ''), '.,', '')) AS has_symbol, (length(coalesce(label, '')) - length(translate(coalesce(label, ''), '.,', '')))::BIGINT AS symbol_count, coalesce(n, 0)::BIGINT AS eligible_lines, coalesce(n, 0)::BIGINT AS n_events, coalesce(events, '') AS events
+FROM (SELECT DISTINCT conv_id FROM conversations) s LEFT JOIN g ON s.conv_id = g.conv_id LEFT JOIN v ON s.conv_id = v.conv_id""",
     "adjacent_positions": f"""WITH p AS (SELECT p_partkey, list_filter(range(0, greatest(length(p_name) - 1, 0)), lambda i: regexp_full_match(substr(p_name, i::INT + 1, 2), '[{FIRST}]{{2}}')) AS l FROM part) SELECT p_partkey, len(l)::BIGINT AS n, array_to_string(l, ',') AS places FROM p""",
     "splice": "SELECT p_partkey, left(p_name, 2) || '①' || substr(p_name, 3) AS inserted, left(p_name, 1) || 'XY' || substr(p_name, 4) AS replaced FROM part",
     "visual_rows": f"""WITH RECURSIVE {_BLOCKS}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, id) AS rn FROM blocks),

@@ -62,6 +62,14 @@ def candidate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.withColumn("median_mutual_rank", F.col("median_mutual_rank").cast("double")), 6)
 
 
+def pair_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with a further 0 first, then the candidates of the similarity graph."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), F.col("p_partkey").cast("long").alias("value"))
+    suffixed = alignment.suffix_pairs(names, "name", "value", "0").select("a", "b", F.greatest("a", "b").cast("string").alias("name"))
+    bank = similarity.pair_bank(suffixed, _candidates(spark, sf_dir)).drop("stable_fonts")
+    return rounded(bank.withColumn("median_mutual_rank", F.col("median_mutual_rank").cast("double")), 6)
+
+
 def vertex_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.degrees(similarity.stable_edges(whole(spark, sf_dir), K, FONTS))
 
@@ -94,7 +102,7 @@ def top_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (cosine_pairs, top_cosines, sim_ranks, mutual_topk, edge_support, stable_edges, candidate_edges, vertex_degree, coverage_floor, suffix_pairs, pair_upsert, top_per_group)
+    f.__name__: f for f in (cosine_pairs, top_cosines, sim_ranks, mutual_topk, edge_support, stable_edges, candidate_edges, pair_bank, vertex_degree, coverage_floor, suffix_pairs, pair_upsert, top_per_group)
 }
 
 _F = """WITH feats AS (SELECT vec_id % 4 AS font, vec_id // 4 AS i, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings),
@@ -135,6 +143,14 @@ e AS (SELECT m.*, sp.views, sp.clean FROM c JOIN mutual m USING (i, j) LEFT JOIN
 SELECT i AS a, j AS b, CASE WHEN count(*) FILTER (mr <= 6) >= 2 THEN 'cluster_multifont' ELSE 'cluster_font_specific' END AS source, round(median(sim), 6) AS score, count(*) FILTER (mr <= 6) AS font_support, median(mr)::DOUBLE AS median_mutual_rank,
   round(min(sim), 6) AS font_min_score, round(max(sim), 6) AS font_max_score, coalesce(string_agg(CASE WHEN views IS NOT NULL THEN font::VARCHAR END, ',' ORDER BY font), '') AS stable_fonts, coalesce(max(views), 0) AS max_view_support, coalesce(max(clean), 0) AS max_clean_size_support
 FROM e GROUP BY i, j""",
+    "pair_bank": f"""{_F}{_V}, sp AS (SELECT * FROM support WHERE views >= 3 AND clean >= 2), c AS (SELECT i, j FROM stable UNION SELECT i, j FROM sp),
+e AS (SELECT m.*, sp.views, sp.clean FROM c JOIN mutual m USING (i, j) LEFT JOIN sp ON sp.i = m.i AND sp.j = m.j AND sp.font = m.font),
+found AS (SELECT i AS a, j AS b, CASE WHEN count(*) FILTER (mr <= 6) >= 2 THEN 'cluster_multifont' ELSE 'cluster_font_specific' END AS cs, median(sim) AS score, count(*) FILTER (mr <= 6) AS font_support, median(mr)::DOUBLE AS median_mutual_rank,
+  min(sim) AS font_min_score, max(sim) AS font_max_score, coalesce(max(views), 0) AS max_view_support, coalesce(max(clean), 0) AS max_clean_size_support FROM e GROUP BY i, j),
+arcs AS (SELECT DISTINCT least(a.p_partkey, b.p_partkey) AS a, greatest(a.p_partkey, b.p_partkey) AS b FROM part a JOIN part b ON b.p_partkey::VARCHAR = a.p_partkey::VARCHAR || '0' WHERE a.p_partkey <> b.p_partkey),
+bank AS (SELECT coalesce(x.a, f.a) AS a, coalesce(x.b, f.b) AS b, x.a IS NOT NULL AS arc, f.* EXCLUDE (a, b) FROM arcs x FULL JOIN found f ON x.a = f.a AND x.b = f.b)
+SELECT row_number() OVER (ORDER BY NOT arc, CASE WHEN arc THEN b::VARCHAR END, cs <> 'cluster_multifont', font_support DESC, median_mutual_rank, round(score, 4) DESC, a, b) - 1 AS position, a, b, CASE WHEN arc THEN 'tone_arc' ELSE cs END AS source, CASE WHEN arc THEN cs END AS cluster_source,
+  round(score, 6) AS score, font_support, median_mutual_rank, round(font_min_score, 6) AS font_min_score, round(font_max_score, 6) AS font_max_score, max_view_support, max_clean_size_support FROM bank""",
     "vertex_degree": f"{_F} SELECT vertex, count(*) AS degree FROM (SELECT i AS vertex FROM stable UNION ALL SELECT j FROM stable) GROUP BY vertex",
     "suffix_pairs": "SELECT DISTINCT least('c' || a.p_partkey, 'c' || b.p_partkey) AS a, greatest('c' || a.p_partkey, 'c' || b.p_partkey) AS b, 'suffix' AS source FROM part a JOIN part b ON b.p_partkey::VARCHAR = a.p_partkey::VARCHAR || '0'",
     "pair_upsert": "WITH b AS (SELECT p_partkey AS a FROM part WHERE p_partkey % 2 = 0), n AS (SELECT p_partkey AS a, p_size AS score FROM part WHERE p_partkey % 3 = 0) SELECT coalesce(b.a, n.a) AS a, CASE WHEN b.a IS NOT NULL THEN 'tone_arc' ELSE 'cluster_multifont' END AS source, CASE WHEN b.a IS NOT NULL AND n.a IS NOT NULL THEN 'cluster_multifont' END AS cluster_source, score FROM b FULL JOIN n ON b.a = n.a",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import numeric
 from glyphmill.functions import text as t
-from glyphmill.operators import alignment, constraints, histograms, layout, planning, scoring, similarity
+from glyphmill.operators import alignment, constraints, histograms, layout, planning, samples, scoring, similarity
 from glyphmill.sources import files
 
 QUICK = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -424,3 +424,24 @@ def test_zero_filled_domains(spark, size):
     rows = spark.createDataFrame([(x,) for x in texts], "t string")
     found = {r["symbol"]: r["n"] for r in histograms.zero_filled(rows, "t", spark.createDataFrame([(s,) for s in [*symbols, "absent"[:1]]], "symbol string")).collect()}
     assert found == {s: sum((x or "").count(s) for x in texts) for s in [*symbols, "a"]}
+
+
+def test_pair_bank_merges_in_order(spark):
+    suffixed = spark.createDataFrame([("c", "d", "bax"), ("a", "b", "abx"), ("a", "b", "zzx")], "a string, b string, name string")
+    found = [("a", "b", "cluster_multifont", 3, 2.0, 0.5), ("e", "f", "cluster_font_specific", 1, 1.0, 0.9), ("a", "e", "cluster_multifont", 2, 9.0, 0.4), ("a", "d", "cluster_multifont", 3, 9.0, 0.4)]
+    candidates = spark.createDataFrame(found, "a string, b string, source string, font_support long, median_mutual_rank double, score double")
+    rows = similarity.pair_bank(suffixed, candidates).orderBy("position").collect()
+    assert [(r["position"], r["a"], r["b"], r["source"], r["cluster_source"], r["font_support"]) for r in rows] == [
+        (0, "a", "b", "tone_arc", "cluster_multifont", 3), (1, "c", "d", "tone_arc", None, None), (2, "a", "d", "cluster_multifont", None, 3), (3, "a", "e", "cluster_multifont", None, 2), (4, "e", "f", "cluster_font_specific", None, 1),
+    ]
+
+
+def test_sample_rows_hold_lines_and_events(spark):
+    rows = spark.createDataFrame([(1, "mixed", "page", 2), (2, "pure_yi", "line", 0)], "k long, script_class string, granularity string, eligible_lines long")
+    lines = spark.createDataFrame([(1, 1, "b."), (1, 0, "a,"), (1, 2, None)], "k long, line_index int, text string")
+    events = spark.createDataFrame([(1, 1, 0, "p", "xy", "f", "s", 1), (1, 0, 3, "q", "yx", "f", "s", 0)], f"k long, {', '.join(f'{c} int' if c in ('line_index', 'position', 'context_variant') else f'{c} string' for c in samples.EVENT)}")
+    one, two = samples.sample_rows(rows, lines, events, "k", "dev", "Read.", ".,").orderBy("id").collect()
+    assert (one["id"], one["images"]) == ("synth_dev_000001", ["images/dev/mixed/page/000001.png"])
+    assert [(m["role"], m["content"]) for m in one["messages"]] == [("user", "Read."), ("assistant", "a,\nb.\n\n")]
+    assert [e["positions"] for e in one["meta"]["confusable_events"]] == [[3, 4], [0, 1]] and one["meta"]["symbol_count"] == 2 and one["meta"]["forced_confusable_count"] == 2
+    assert two["messages"][1]["content"] == "" and two["meta"]["confusable_events"] == [] and not two["meta"]["has_symbol"]
