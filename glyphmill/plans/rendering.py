@@ -240,7 +240,7 @@ _WIDE = " + ".join(f"(length(text) - length(translate(text, '{chars.replace(chr(
 _REST = "length(translate(text, '" + "".join(WIDTHS.values()).replace("'", "''") + f"', '')) * (100 * (({OTHER_WIDTH} * s + 500) // 1000) + 6 * s)"
 
 ORACLES: dict[str, str] = {
-    "json_line_problems": f"WITH {_SPOILT} SELECT part, line, CASE i WHEN 5 THEN 'row must be a JSON object' ELSE 'not valid JSON' END AS problem FROM spoilt WHERE i IN (5, 7)",
+    "json_line_problems": f"WITH {_SPOILT} SELECT part, line, CASE i WHEN 5 THEN 'not a JSON object' ELSE 'not valid JSON' END AS problem FROM spoilt WHERE i IN (5, 7)",
     "numbered_lines": """WITH r AS (SELECT l_orderkey // 1000 AS part, l_partkey, row_number() OVER (PARTITION BY l_orderkey // 1000 ORDER BY l_orderkey, l_linenumber, l_partkey) AS line FROM lineitem)
 SELECT part, count(*) AS n, count(*) AS last, sum(line * l_partkey)::BIGINT AS weighted FROM r GROUP BY part""",
     "image_files": f"WITH {_GREY} SELECT vec_id, 8::INT AS width, 8::INT AS height, true AS digest_agrees, sha256(unhex(string_agg(printf('%02x', v), '' ORDER BY place))) AS pixels_sha256 FROM pixels GROUP BY vec_id",

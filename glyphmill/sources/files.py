@@ -50,7 +50,7 @@ def _line_problem(value: Column) -> Column:
     opened = value.rlike(r"^[ \t\r]*\{")
     double = F.from_json(value, "map<string,string>", {"allowSingleQuotes": "false"}).isNotNull()
     valid = F.coalesce(keys == F.array(F.lit("v"), F.lit("end")), F.lit(False)) & (~opened | double)
-    return F.when(value.rlike(_BLANK), F.lit(None)).when(~valid, F.lit("not valid JSON")).when(~opened, F.lit("row must be a JSON object"))
+    return F.when(value.rlike(_BLANK), F.lit(None)).when(~valid, F.lit("not valid JSON")).when(~opened, F.lit("not a JSON object"))
 
 
 def json_line_problems(spark: SparkSession, path: str) -> DataFrame:

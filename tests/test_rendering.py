@@ -54,7 +54,7 @@ def test_strict_lines_name_the_line(spark, tmp_path, small_splits):
     lines = ['{"a": 1}', "", "  \t", " ", *['{"a": 2}'] * 60, "[1]", "3", '"{}"', "{", "null", '{"a": 3}', '{"a": 1} {"a": 2}', '{"a": 1}],[2', '"a": 1', '{"a": 1},"b": 2', "{'a': 1}", '{"a": 1}}', '{"a": [1, {"b": null}], "a": 2}', " {} "]
     (tmp_path / "bad.jsonl").write_text("\n".join(lines))
     problems = {(r["line"], r["problem"]) for r in files.json_line_problems(spark, str(tmp_path)).collect()}
-    assert problems == {(65, "row must be a JSON object"), (66, "row must be a JSON object"), (67, "row must be a JSON object"), (68, "not valid JSON"), (69, "row must be a JSON object"), *((n, "not valid JSON") for n in range(71, 77))}
+    assert problems == {(65, "not a JSON object"), (66, "not a JSON object"), (67, "not a JSON object"), (68, "not valid JSON"), (69, "not a JSON object"), *((n, "not valid JSON") for n in range(71, 77))}
     with pytest.raises(PySparkException, match=r"bad\.jsonl:[67][0-9]: "):
         files.read_json_lines_strict(spark, str(tmp_path), "a int").collect()
     (tmp_path / "bad.jsonl").write_text("\n".join(lines[:64]))
