@@ -24,13 +24,13 @@ def sample_rows(samples: DataFrame, lines: DataFrame, events: DataFrame, key: st
     sample are one value, so one task holds them; samples are spread by key. Nulls among the texts count as empty lines.
     """
     said = lines.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col("line_index").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t")))).alias("_lines"))
+    said = said.select(key, t.lines_to_target(F.transform("_lines", lambda x: x["t"])).alias("_label"))
     forced = events.groupBy(key).agg(F.sort_array(F.collect_list(event_meta())).alias("_events"))
     none = F.array().cast(forced.schema["_events"].dataType)
     both = samples.join(said, key, "left").join(forced, key, "left").withColumn("_events", F.coalesce("_events", none))
-    label = F.coalesce(t.lines_to_target(F.transform("_lines", lambda x: x["t"])), F.lit(""))
     number = F.lpad(F.col(key).cast("string"), 6, "0")
     count = t.count_of(F.col("_label"), symbols)
-    made = both.withColumn("_label", label)
+    made = both.withColumn("_label", F.coalesce("_label", F.lit("")))
     meta = F.struct(
         F.lit("synthetic").alias("source_kind"), "script_class", "granularity", (count > 0).alias("has_symbol"), count.cast("long").alias("symbol_count"), F.col("eligible_lines").cast("long").alias("confusable_eligible_lines"),
         (F.size("_events") > 0).alias("has_forced_confusable"), F.size("_events").cast("long").alias("forced_confusable_count"), F.col("_events").alias("confusable_events"),

@@ -215,7 +215,8 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = turns.select("conv_id").distinct().join(found.groupBy("conv_id").agg(F.count("*").alias("eligible_lines")), "conv_id", "left").fillna(0, ["eligible_lines"])
     samples = samples.select("conv_id", F.element_at(F.array(*map(F.lit, RATIO)), (k % 3 + 1).cast("int")).alias("script_class"), F.lit("region").alias("granularity"), "eligible_lines")
     made = samples_.sample_rows(samples, lines, events, "conv_id", "train", "Read the page.", ".,")
-    event = F.transform("meta.confusable_events", lambda e: F.concat_ws(":", e["line_index"], F.array_join(e["positions"].cast("array<string>"), "-"), e["pair_id"], e["ordered_chars"], e["font_asset"], e["source"], e["context_variant"]))
+    places = lambda e: F.concat(e["line_index"].cast("string"), F.lit(":"), F.get(e["positions"], F.lit(0)).cast("string"), F.lit("-"), F.get(e["positions"], F.lit(1)).cast("string"))
+    event = F.transform("meta.confusable_events", lambda e: F.concat(places(e), F.lit(":"), e["pair_id"], F.lit(":"), e["ordered_chars"], F.lit(":"), e["font_asset"], F.lit(":"), e["source"], F.lit(":"), e["context_variant"].cast("string")))
     content = F.get("messages", F.lit(1))["content"]
     return made.select(
         "id", F.get("images", F.lit(0)).alias("image"), F.sha2(content, 256).alias("label_sha256"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), F.col("meta.has_symbol").alias("has_symbol"), F.col("meta.symbol_count").alias("symbol_count"),
