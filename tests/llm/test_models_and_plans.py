@@ -499,5 +499,5 @@ def test_pipeline_equals_its_stages_by_hand(spark):
 
 
 def test_registered_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES) and len(corpus_pipeline.STAGES) == 5
