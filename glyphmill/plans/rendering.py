@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import streams
-from glyphmill.operators import fonts, raster
-from glyphmill.plans.evaluation import table
+from glyphmill.operators import fonts, raster, similarity
+from glyphmill.plans.evaluation import rounded, table
 from glyphmill.session import scratch_path
 from glyphmill.sources import files, images
 
@@ -190,6 +190,12 @@ def feature_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", F.size("v").cast("long").alias("dimensions"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
 
 
+def glyph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masks' shape features in the neighbour graph: each mask's three nearest of its font."""
+    features = _masks(spark, sf_dir).select((F.col("vec_id") % 4).cast("int").alias("font"), F.lit(0).alias("view"), F.col("vec_id").alias("i"), raster.shape_features("mask", "width").alias("feature"))
+    return rounded(similarity.neighbours(features, 3).select("font", "i", "j", "sim", F.col("rank").cast("long").alias("rank")), 6)
+
+
 def residual_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks put into rasters of 48 x 48, each embedding's component six pixels wide: what was wanted, what was placed, and
     pixels of ink that changed."""
@@ -222,7 +228,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         json_line_problems, numbered_lines, image_files, image_scan, asset_store, link_problems, linked_assets, segment_coverage, font_choices, fitted_lines, degraded_rasters, mask_moments, centred_masks,
-        feature_norms, residual_marks, stream_draws, philox_blocks,
+        feature_norms, glyph_neighbours, residual_marks, stream_draws, philox_blocks,
     )
 }
 

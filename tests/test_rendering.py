@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import streams
 from glyphmill.operators import fonts, planning, raster
+from glyphmill.plans import rendering
 from glyphmill.sources import files, images
 
 
@@ -201,6 +202,53 @@ def test_features_follow_the_shape_not_its_place(spark):
     assert tuple(m[1]) == (8.0, 3.5, 6.5, 2, -1) and tuple(m[3]) == (0.0, None, None, 0, 0)
 
 
+def _plain_feature(mask):
+    """The averaged views of a square mask, worked out pixel by pixel."""
+    n = len(mask)
+
+    def window(m, pick):
+        return np.array([[pick([m[min(n - 1, max(0, y + a)), min(n - 1, max(0, x + b))] for a in (-1, 0, 1) for b in (-1, 0, 1)]) for x in range(n)] for y in range(n)])
+
+    def soft(m):
+        w = {d: np.exp(-0.5 * (d / 0.65) ** 2) for d in range(-2, 3)}
+        total = sum(w.values()) ** 2
+        return np.array([[sum(w[a] * w[b] * m[min(n - 1, max(0, y + a)), min(n - 1, max(0, x + b))] for a in w for b in w) / total for x in range(n)] for y in range(n)])
+
+    def line(v, target):
+        scale = len(v) / target
+        out = []
+        for t in range(target):
+            w = [max(0.0, 1 - abs(i + 0.5 - (t + 0.5) * scale) / max(1.0, scale)) for i in range(len(v))]
+            out.append(sum(a * b for a, b in zip(w, v, strict=True)) / sum(w))
+        return out
+
+    def resized(m, target):
+        across = np.array([line(row, target) for row in m])
+        return np.array([line(column, target) for column in across.T]).T
+
+    def centred(m):
+        total = m.sum()
+        cx, cy = sum(m[y, x] * x for y in range(n) for x in range(n)) / total, sum(m[y, x] * y for y in range(n) for x in range(n)) / total
+        dx, dy = round((n - 1) / 2 - cx), round((n - 1) / 2 - cy)
+        return np.array([[m[y - dy, x - dx] if 0 <= y - dy < n and 0 <= x - dx < n else 0.0 for x in range(n)] for y in range(n)])
+
+    views = [centred(v) for v in (mask, soft(mask), resized(resized(mask, n // 2), n), window(mask, max), window(mask, min)) if v.max() > 0]
+    made = [np.concatenate([v.ravel(), 0.7 * resized(v, n // 2).ravel(), 0.8 * np.concatenate([v.sum(0), v.sum(1)]) / n]) for v in views]
+    mean = np.mean([v / (np.linalg.norm(v) + 1e-8) for v in made], axis=0)
+    return mean / (np.linalg.norm(mean) + 1e-8)
+
+
+def test_glyph_neighbours_equal_brute_force(spark, sf):
+    rows = rendering._masks(spark, sf).orderBy("vec_id").collect()
+    features = {r["vec_id"]: _plain_feature(np.array(r["mask"]).reshape(8, 8)) for r in rows if max(r["mask"]) > 0}
+    found = {}
+    for r in rendering.glyph_neighbours(spark, sf).collect():
+        found.setdefault(r["i"], {})[r["rank"]] = r["sim"]
+    for i in list(features)[:60]:
+        best = sorted((float(features[i] @ f) / (np.linalg.norm(features[i]) * np.linalg.norm(f)) for j, f in features.items() if j != i and j % 4 == i % 4), reverse=True)[:3]
+        assert [found[i][n] for n in (1, 2, 3)] == pytest.approx(best, abs=1e-5)
+
+
 def test_marks_touch_neither_ink_nor_each_other(spark):
     draw = np.random.default_rng(6)
     rows = []
