@@ -7,6 +7,7 @@ Fonts and drawing are outside the library: images come in as arrays or bytes (so
 from __future__ import annotations
 
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -152,6 +153,130 @@ def degraded(rows: DataFrame, pixels: str, width: str, sigma: Column, scale: Col
     return rows.select("*", blurred(p, w, sigma).alias("blurred"), resampled(p, w, scale, F.lit(least)).alias("resampled"), rotated(p, w, degrees, F.lit(fill)).alias("rotated"))
 
 
+# -- prints: old print, faded ink, paper, orientation and side ------------------------------------------------------------
+
+# An old print's scale, blur and contrast; the contrast below which ink can't be read; the change that counts.
+PRINT_SCALE, PRINT_BLUR, PRINT_CONTRAST = 0.92, 0.55, 0.92
+READABLE, SEEN = 40.0, 2.0
+
+
+def _contrasted(pixels: Column, middle: Column, factor: Column) -> Column:
+    return F.transform(pixels, lambda p: F.least(F.lit(255.0), F.greatest(F.lit(0.0), middle + (p - middle) * factor)))
+
+
+def old_print(pixels: Column, width: Column, least: int = 8) -> Column:
+    """A raster as a mild old print: shrunk a little and brought back, blurred, paler about the middle grey."""
+    soft = blurred(resampled(pixels, width, F.lit(PRINT_SCALE), F.lit(least)), width, F.lit(PRINT_BLUR))
+    return _contrasted(soft, F.lit(128.0), F.lit(PRINT_CONTRAST))
+
+
+def _quantile(values: Column, share: float) -> Column:
+    """The quantile of an array, linear between neighbours; null for an empty one."""
+    ordered = F.sort_array(values)
+    at = F.greatest(F.lit(0.0), (F.size(values) - 1) * F.lit(share))
+    low = F.get(ordered, F.floor(at).cast("int"))
+    return low + (F.get(ordered, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+
+
+def faded_ink(rows: DataFrame, key: str, pixels: str, mask: str, width: str, sigma: Column, contrast: Column) -> DataFrame:
+    """(key, variant, changed, readable, problem): the raster blurred and paler about its mean grey, what changed of the ink, and
+    whether it can still be read.
+
+    changed counts pixels of ink that moved by SEEN grey values or more; readable is the median of the paper less the first
+    quartile of the ink. A variant that changes nothing, or whose ink stands out by less than READABLE, is a problem and stays
+    among the rows; so does a mask without ink or without paper, whose readable is null.
+    """
+    soft = rows.select(key, F.col(pixels).alias("_p"), F.col(mask).alias("_m"), contrast.cast("double").alias("_c"), blurred(F.col(pixels), F.col(width), sigma).alias("_s"))
+    mean = F.floor(F.aggregate("_s", F.lit(0.0), lambda total, p: total + p) / F.size("_s") + 0.5)
+    made = soft.withColumn("_mean", mean.cast("double")).withColumn("variant", _contrasted(F.col("_s"), F.col("_mean"), F.col("_c")))
+    cells = F.arrays_zip(F.col("_p").alias("p"), F.col("_m").alias("m"), F.col("variant").alias("v"))
+    ink = F.filter(cells, lambda c: c["m"] > 0)
+    paper = F.transform(F.filter(cells, lambda c: c["m"] <= 0), lambda c: c["v"])
+    made = made.withColumn("changed", F.size(F.filter(ink, lambda c: F.abs(c["p"] - c["v"]) >= SEEN)).cast("long"))
+    made = made.withColumn("readable", _quantile(paper, 0.5) - _quantile(F.transform(ink, lambda c: c["v"]), 0.25))
+    problem = (
+        F.when(F.size(ink) == 0, "no ink").when(F.size(paper) == 0, "no paper").when(F.col("changed") == 0, "nothing changed").when(F.col("readable") < READABLE, "not readable")
+    )
+    return made.withColumn("problem", problem).select(key, "variant", "changed", "readable", "problem")
+
+
+@lru_cache(512)
+def lanczos_matrix(size: int, target: int) -> np.ndarray:
+    """Resampling of a line of `size` pixels to `target` by a sinc of three lobes, widened where the line shrinks."""
+    scale = max(1.0, size / target)
+    far = (np.arange(size)[None, :] + 0.5 - (np.arange(target)[:, None] + 0.5) * size / target) / scale
+    weights = np.where(np.abs(far) < 3, np.sinc(far) * np.sinc(far / 3), 0.0)
+    return weights / weights.sum(1, keepdims=True)
+
+
+#: How a raster is turned upright, by the orientation that its camera noted; any other number leaves it.
+_UPRIGHT = {2: lambda g: g[:, ::-1], 3: lambda g: g[::-1, ::-1], 4: lambda g: g[::-1], 5: lambda g: g.T, 6: lambda g: g[::-1].T, 7: lambda g: g[::-1, ::-1].T, 8: lambda g: g.T[::-1]}
+
+
+@pandas_udf(T.StructType().add("pixels", T.ArrayType(T.DoubleType())).add("width", T.IntegerType()).add("height", T.IntegerType()))
+def upright_within(pixels: pd.Series, width: pd.Series, orientation: pd.Series, most: pd.Series) -> pd.DataFrame:
+    """A raster turned upright and shrunk until its longer side is at most `most` pixels (0 or less: as it is). It is never
+    enlarged; a side keeps one pixel at least. A null orientation is upright."""
+    out = []
+    for p, w, turn, side in zip(pixels, width, orientation, most, strict=True):
+        grid = np.asarray(p, np.float64).reshape(-1, int(w))
+        grid = _UPRIGHT.get(0 if pd.isna(turn) else int(turn), lambda g: g)(grid)
+        longer = max(grid.shape)
+        if 0 < side < longer:
+            small = [max(1, int(n * (side / longer))) for n in grid.shape]
+            grid = np.clip(_separable(grid, lanczos_matrix(grid.shape[0], small[0]), lanczos_matrix(grid.shape[1], small[1])), 0, 255)
+        out.append((grid.ravel(), grid.shape[1], grid.shape[0]))
+    return pd.DataFrame(out, columns=["pixels", "width", "height"])
+
+
+class Paper(NamedTuple):
+    """A kind of paper: ranges of its base tone, of the drift from edge to edge down and across, and of the fibres' deviation;
+    the darkest and lightest tone; what red, green and blue lose of it."""
+
+    base: tuple[int, int]
+    down: float
+    across: float
+    fibre: tuple[float, float]
+    tones: tuple[int, int]
+    tint: tuple[int, int, int]
+
+
+# A worn page and a clean sheet.
+PAGE = Paper((238, 252), 8.0, 6.0, (1.5, 4.0), (200, 255), (0, 0, 0))
+SHEET = Paper((244, 250), 3.0, 2.0, (0.8, 0.8), (232, 255), (0, 1, 3))
+
+_PAPER = "k long, width int, height int, channels int, pixels array<int>"
+_PAPERS = pa.schema([("k", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("pixels", pa.list_(pa.int32()))])
+
+
+def paper_pixels(draw: np.random.Generator, width: int, height: int, paper: Paper) -> np.ndarray:
+    """Height x width x 3 values: a base tone, a linear drift down and across, normal noise a pixel; cut off, then tinted."""
+    base = float(draw.integers(paper.base[0], paper.base[1] + 1))
+    top, bottom = draw.uniform(-paper.down, paper.down, 2)
+    left, right = draw.uniform(-paper.across, paper.across, 2)
+    grey = base + np.linspace(top, bottom, height)[:, None] + np.linspace(left, right, width)[None, :]
+    grey = grey + draw.normal(0, draw.uniform(*paper.fibre), (height, width))
+    whole = np.clip(grey, *paper.tones).astype(np.int32)
+    return np.clip(whole[:, :, None] - np.array(paper.tint, np.int32), 0, 255)
+
+
+def paper_backgrounds(rows: DataFrame, key: str, width: str, height: str, seed: int, paper: Paper = PAGE) -> DataFrame:
+    """(key, width, height, channels, pixels) of a sheet for each row, as write_images takes them.
+
+    Chance is the stream of (seed, key), so a sheet depends on its key and size alone, whatever task makes it; key is an integer
+    from 0 to 2^32 - 1. A task holds one sheet at a time.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                draw = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed, spawn_key=(row["k"],))))
+                made = paper_pixels(draw, row["w"], row["h"], paper)
+                yield pa.RecordBatch.from_pylist([{"k": row["k"], "width": row["w"], "height": row["h"], "channels": 3, "pixels": made.ravel()}], schema=_PAPERS)
+
+    given = rows.select(F.col(key).cast("long").alias("k"), F.col(width).cast("int").alias("w"), F.col(height).cast("int").alias("h"))
+    return given.mapInArrow(run, _PAPER).withColumnRenamed("k", key)
+
 # -- masks: centring, views, features -----------------------------------------------------------------------------------
 
 

@@ -167,6 +167,40 @@ def degraded_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", F.posexplode(F.arrays_zip("blurred", "resampled", "rotated")).alias("place", "p")).select("vec_id", "place", *(F.floor(F.col(f"p.{c}") * 1000 + OFF_TIES).alias(c) for c in ("blurred", "resampled", "rotated")))
 
 
+def old_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each raster as a mild old print: a row for each pixel, in thousandths."""
+    made = _rasters(spark, sf_dir).select("vec_id", F.posexplode(raster.old_print(F.col("pixels"), F.col("width"), 2)).alias("place", "p"))
+    return made.select("vec_id", "place", F.floor(F.col("p") * 1000 + OFF_TIES).alias("tone"))
+
+
+def faded_inks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of strong contrast faded by amounts that follow their number; what is below 100 is ink."""
+    strong = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 0.25) * 512).cast("int"))))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", strong.alias("pixels"), F.lit(SIDE).alias("width"))
+    rows = rows.withColumn("mask", F.transform("pixels", lambda p: F.when(p < 100, 1).otherwise(0)))
+    k = F.col("vec_id") % 5
+    made = raster.faded_ink(rows, "vec_id", "pixels", "mask", "width", 0.7 + k * 0.075, 0.72 + k * 0.04)
+    total = F.aggregate("variant", F.lit(0.0), lambda a, p: a + p)
+    return made.select("vec_id", "changed", F.floor(F.col("readable") * 1000 + OFF_TIES).alias("readable"), F.floor(total * 1000 + OFF_TIES).alias("tone"), "problem")
+
+
+def upright_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of 16 x 4 turned upright and shrunk to sides that follow their number: a row for each pixel, in thousandths."""
+    most = F.element_at(F.array(F.lit(0), F.lit(12), F.lit(40), F.lit(8)), (F.col("vec_id") % 4 + 1).cast("int"))
+    turned = _rasters(spark, sf_dir).select("vec_id", raster.upright_within("pixels", F.lit(2 * SIDE), (F.col("vec_id") % 9).cast("int"), most).alias("u"))
+    made = turned.select("vec_id", "u.width", "u.height", F.posexplode("u.pixels").alias("place", "p"))
+    return made.select("vec_id", "width", "height", "place", F.floor(F.col("p") * 1000 + OFF_TIES).alias("tone"))
+
+
+def paper_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet of paper for each part, of a size that follows its number: its darkest and lightest value and a digest."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", (16 + k % 5).alias("w"), (12 + k % 3).alias("h"))
+    made = raster.paper_backgrounds(rows, "p_partkey", "w", "h", SEED)
+    shown = F.unhex(F.array_join(F.transform("pixels", lambda p: F.lpad(F.hex(p), 2, "0")), ""))
+    return made.select("p_partkey", "width", "height", F.array_min("pixels").alias("low"), F.array_max("pixels").alias("high"), F.sha2(shown, 256).alias("pixels_sha256"))
+
+
 def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as masks: what is over 0.1, as eighths up to one, so that sums are exact."""
     ink = F.transform("embedding", lambda x: F.least(F.lit(8), F.greatest(F.lit(0), F.floor((x.cast("double") - 0.1) * 40).cast("int"))) / 8)
@@ -227,7 +261,7 @@ def philox_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        json_line_problems, numbered_lines, image_files, image_scan, asset_store, link_problems, linked_assets, segment_coverage, font_choices, fitted_lines, degraded_rasters, mask_moments, centred_masks,
+        json_line_problems, numbered_lines, image_files, image_scan, asset_store, link_problems, linked_assets, segment_coverage, font_choices, fitted_lines, degraded_rasters, old_prints, faded_inks, upright_images, paper_sheets, mask_moments, centred_masks,
         feature_norms, glyph_neighbours, residual_marks, stream_draws, philox_blocks,
     )
 }
@@ -292,6 +326,38 @@ turned AS (SELECT vec_id, k, place, cos(radians(k - 2.0::DOUBLE)) * (x + 0.5 - 4
 taps AS (SELECT t.vec_id, t.place, fx, fy, floor(fy - 0.5)::INT + j AS ty, floor(fx - 0.5)::INT + i AS tx, CASE WHEN j = 1 THEN fy - 0.5 - floor(fy - 0.5) ELSE 1 - (fy - 0.5 - floor(fy - 0.5)) END * CASE WHEN i = 1 THEN fx - 0.5 - floor(fx - 0.5) ELSE 1 - (fx - 0.5 - floor(fx - 0.5)) END AS w FROM turned t CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j)),
 spun AS (SELECT t.vec_id, t.place, CASE WHEN min(fx) >= 0 AND min(fx) < 8 AND min(fy) >= 0 AND min(fy) < 8 THEN sum(t.w * c.v) ELSE 245 END AS v FROM taps t JOIN cells c ON c.vec_id = t.vec_id AND c.y = least(7, greatest(0, ty)) AND c.x = least(7, greatest(0, tx)) GROUP BY t.vec_id, t.place)
 SELECT b.vec_id, b.place::INT AS place, floor(b.v * 1000 + {OFF_TIES}::DOUBLE)::BIGINT AS blurred, floor(r.v * 1000 + {OFF_TIES}::DOUBLE)::BIGINT AS resampled, floor(s.v * 1000 + {OFF_TIES}::DOUBLE)::BIGINT AS rotated FROM mapped b JOIN mapped r ON b.op = 'b' AND r.op = 'r' AND b.vec_id = r.vec_id AND b.place = r.place JOIN spun s ON s.vec_id = b.vec_id AND s.place = b.place""",
+    "old_prints": f"""WITH {_GREY}, cells AS (SELECT vec_id, place // 8 AS y, place % 8 AS x, v::DOUBLE AS v FROM pixels), eight AS (SELECT unnest(range(8)) AS i),
+gauss AS (SELECT d, exp(-0.5 * (d / 0.55::DOUBLE) ** 2) / sum(exp(-0.5 * (d / 0.55::DOUBLE) ** 2)) OVER () AS w FROM (SELECT unnest(range(-2, 3)) AS d)),
+soft AS (SELECT i AS target, least(7, greatest(0, i + d)) AS source, sum(w) AS w FROM gauss CROSS JOIN eight GROUP BY ALL),
+shrink AS (SELECT t, s, w / sum(w) OVER (PARTITION BY t) AS w FROM (SELECT t, i AS s, greatest(0, 1 - abs(i + 0.5 - (t + 0.5) * 8 / 7.0::DOUBLE) * 7 / 8.0::DOUBLE) AS w FROM range(7) r(t) CROSS JOIN eight)),
+grow AS (SELECT t, s, w / sum(w) OVER (PARTITION BY t) AS w FROM (SELECT i AS t, s, greatest(0, 1 - abs(s + 0.5 - (i + 0.5) * 7 / 8.0::DOUBLE)) AS w FROM range(7) r(s) CROSS JOIN eight)),
+line AS (SELECT b.target, h.s AS source, sum(b.w * g.w * h.w) AS w FROM soft b JOIN grow g ON b.source = g.t JOIN shrink h ON g.s = h.t GROUP BY ALL),
+across AS (SELECT c.vec_id, c.y, m.target AS x, sum(c.v * m.w) AS v FROM cells c JOIN line m ON c.x = m.source GROUP BY ALL),
+mapped AS (SELECT a.vec_id, (m.target * 8 + a.x)::INT AS place, sum(a.v * m.w) AS v FROM across a JOIN line m ON a.y = m.source GROUP BY ALL)
+SELECT vec_id, place, floor(least(255, greatest(0, 128 + (v - 128) * 0.92::DOUBLE)) * 1000 + {OFF_TIES}::DOUBLE)::BIGINT AS tone FROM mapped""",
+    "faded_inks": f"""WITH cells AS (SELECT vec_id, vec_id % 5 AS k, unnest(range(64)) // 8 AS y, unnest(range(64)) % 8 AS x, unnest([least(255, greatest(0, floor((e::DOUBLE + 0.25) * 512)::INT)) for e in embedding]) AS v FROM embeddings),
+reach AS (SELECT k, 0.7::DOUBLE + k * 0.075::DOUBLE AS sigma, unnest(range(-3, 4)) AS d FROM range(5) r(k)),
+gauss AS (SELECT k, d, exp(-0.5 * (d / sigma) ** 2) / sum(exp(-0.5 * (d / sigma) ** 2)) OVER (PARTITION BY k) AS w FROM reach WHERE abs(d) <= ceil(3 * sigma)),
+soft AS (SELECT k, i AS target, least(7, greatest(0, i + d)) AS source, sum(w) AS w FROM gauss CROSS JOIN range(8) r(i) GROUP BY ALL),
+across AS (SELECT c.vec_id, c.k, c.y, m.target AS x, sum(c.v * m.w) AS v FROM cells c JOIN soft m ON c.k = m.k AND c.x = m.source GROUP BY ALL),
+blurred AS (SELECT a.vec_id, a.k, m.target AS y, a.x, sum(a.v * m.w) AS v FROM across a JOIN soft m ON a.k = m.k AND a.y = m.source GROUP BY ALL),
+means AS (SELECT vec_id, floor(avg(v) + 0.5) AS mean FROM blurred GROUP BY vec_id),
+variant AS (SELECT vec_id, c.v AS p, c.v < 100 AS ink, least(255, greatest(0, mean + (b.v - mean) * (0.72::DOUBLE + b.k * 0.04::DOUBLE))) AS v FROM blurred b JOIN means USING (vec_id) JOIN cells c USING (vec_id, y, x)),
+told AS (SELECT vec_id, count(*) FILTER (ink AND abs(p - v) >= 2) AS changed, median(v) FILTER (NOT ink) - quantile_cont(v, 0.25) FILTER (ink) AS readable, sum(v) AS tone, count(*) FILTER (ink) AS inked FROM variant GROUP BY vec_id)
+SELECT vec_id, changed, floor(readable * 1000 + {OFF_TIES}::DOUBLE)::BIGINT AS readable, floor(tone * 1000 + {OFF_TIES}::DOUBLE)::BIGINT AS tone,
+  CASE WHEN inked = 0 THEN 'no ink' WHEN inked = 64 THEN 'no paper' WHEN changed = 0 THEN 'nothing changed' WHEN readable < 40 THEN 'not readable' END AS problem FROM told""",
+    "upright_images": f"""WITH {_GREY}, given AS (SELECT vec_id, vec_id % 9 AS o, [16, 12, 16, 8][vec_id % 4 + 1] AS side, place // 16 AS y, place % 16 AS x, v::DOUBLE AS v FROM pixels),
+turned AS (SELECT vec_id, side, CASE WHEN o BETWEEN 5 AND 8 THEN 16 ELSE 4 END AS h, CASE WHEN o BETWEEN 5 AND 8 THEN 4 ELSE 16 END AS w, v,
+  CASE o WHEN 3 THEN 3 - y WHEN 4 THEN 3 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 15 - x WHEN 8 THEN 15 - x ELSE y END AS y,
+  CASE o WHEN 2 THEN 15 - x WHEN 3 THEN 15 - x WHEN 5 THEN y WHEN 6 THEN 3 - y WHEN 7 THEN 3 - y WHEN 8 THEN y ELSE x END AS x FROM given),
+lengths AS (SELECT n, side, n * side // 16 AS m, n / (n * side // 16)::DOUBLE AS scale FROM (SELECT unnest([4, 16]) AS n) CROSS JOIN (SELECT unnest([8, 12, 16]) AS side)),
+far AS (SELECT n, side, t, s, (s + 0.5 - (t + 0.5) * scale) / scale AS u FROM (SELECT *, unnest(range(n)) AS s FROM (SELECT *, unnest(range(m)) AS t FROM lengths))),
+raw AS (SELECT n, side, t, s, CASE WHEN u = 0 THEN 1 WHEN abs(u) < 3 THEN sin(pi() * u) / (pi() * u) * sin(pi() * u / 3) / (pi() * u / 3) ELSE 0 END AS w FROM far),
+line AS (SELECT n, side, t, s, w / sum(w) OVER (PARTITION BY n, side, t) AS w FROM raw),
+across AS (SELECT c.vec_id, c.side, c.h, c.w, c.y, l.t AS x, sum(c.v * l.w) AS v FROM turned c JOIN line l ON l.n = c.w AND l.side = c.side AND l.s = c.x GROUP BY ALL)
+SELECT a.vec_id, (a.w * a.side // 16)::INT AS width, (a.h * a.side // 16)::INT AS height, (l.t * (a.w * a.side // 16) + a.x)::INT AS place,
+  floor(least(255, greatest(0, sum(a.v * l.w))) * 1000 + {OFF_TIES}::DOUBLE)::BIGINT AS tone
+FROM across a JOIN line l ON l.n = a.h AND l.side = a.side AND l.s = a.y GROUP BY a.vec_id, a.w, a.h, a.side, a.x, l.t""",
     "mask_moments": f"WITH {_MOMENTS} SELECT vec_id, round(ink, 6) AS ink, round(center_x, 6) AS center_x, round(center_y, 6) AS center_y, shift_x, shift_y FROM shifts",
     "centred_masks": f"""WITH {_MOMENTS} SELECT m.vec_id, ((place // 8 + shift_y) * 8 + place % 8 + shift_x)::INT AS place, round(eighths / 8.0::DOUBLE, 6) AS ink
 FROM masks m JOIN shifts s ON m.vec_id = s.vec_id WHERE eighths > 0 AND place // 8 + shift_y BETWEEN 0 AND 7 AND place % 8 + shift_x BETWEEN 0 AND 7""",

@@ -188,6 +188,68 @@ def test_linear_maps_keep_flat_images_and_ink(spark):
     assert np.allclose(quarter, np.rot90(np.arange(16.0).reshape(4, 4)))
 
 
+def _bare_paper(seed, key, width, height, paper):
+    """The sheet value by value, from the same stream."""
+    draw = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed, spawn_key=(key,))))
+    base = int(draw.integers(paper.base[0], paper.base[1] + 1))
+    ends = [*(draw.uniform(-paper.down, paper.down) for _ in range(2)), *(draw.uniform(-paper.across, paper.across) for _ in range(2))]
+    spread = draw.uniform(*paper.fibre)
+    out = []
+    for y in range(height):
+        for x in range(width):
+            down = ends[0] + (ends[1] - ends[0]) * (y / (height - 1) if height > 1 else 0)
+            across = ends[2] + (ends[3] - ends[2]) * (x / (width - 1) if width > 1 else 0)
+            tone = int(min(paper.tones[1], max(paper.tones[0], base + down + across + draw.normal(0, spread))))
+            out += [max(0, tone - loss) for loss in paper.tint]
+    return out
+
+
+@pytest.mark.parametrize("paper", [raster.PAGE, raster.SHEET])
+def test_paper_depends_on_its_key_and_size_alone(spark, paper):
+    rows = [(k, 1 + k * 7 % 40, 1 + k * 5 % 30) for k in range(30)]
+    df = spark.createDataFrame(rows, "k long, w int, h int")
+    found = [{r["k"]: r for r in raster.paper_backgrounds(df.repartition(n), "k", "w", "h", 3, paper).collect()} for n in (1, 7)]
+    assert found[0] == found[1]
+    for k, w, h in rows:
+        made = found[0][k]
+        assert (made["width"], made["height"], made["channels"]) == (w, h, 3)
+        apart = np.abs(np.array(made["pixels"]) - _bare_paper(3, k, w, h, paper))
+        assert apart.max() <= 1 and (apart > 0).mean() < 0.01  # sums in another order may cross a whole number
+    means = [np.mean(r["pixels"]) for r in found[0].values()]
+    assert max(means) - min(means) > 2
+    assert raster.paper_backgrounds(df.filter("k < 0"), "k", "w", "h", 3).count() == 0
+
+
+def test_upright_turns_and_sides(spark):
+    """An image that a camera noted as turned comes out as the upright one; sides shrink alike and never grow."""
+    upright = np.arange(15).reshape(3, 5) * 17
+    noted = {1: upright, 2: np.fliplr(upright), 3: np.rot90(upright, 2), 4: np.flipud(upright), 5: upright.T, 6: np.rot90(upright, 1), 7: np.rot90(upright.T, 2), 8: np.rot90(upright, -1), 9: upright}
+    rows = [(turn, grid.ravel().tolist(), grid.shape[1]) for turn, grid in noted.items()]
+    df = spark.createDataFrame([*rows, (None, upright.ravel().tolist(), 5)], "turn int, p array<int>, w int")
+    for most, shape in ((0, (5, 3)), (-1, (5, 3)), (5, (5, 3)), (99, (5, 3)), (4, (4, 2)), (1, (1, 1))):
+        found = [r["u"] for r in df.select(raster.upright_within("p", "w", "turn", F.lit(most)).alias("u")).collect()]
+        assert {(r["width"], r["height"]) for r in found} == {shape}
+        assert all(np.allclose(r["pixels"], found[0]["pixels"]) for r in found)
+        if shape == (5, 3):
+            assert found[0]["pixels"] == upright.ravel().tolist()
+        flat = spark.createDataFrame([([9.0] * 15, 5)], "p array<double>, w int").select(raster.upright_within("p", "w", F.lit(1), F.lit(most)).alias("u")).first()["u"]
+        assert np.allclose(flat["pixels"], 9.0)
+
+
+def test_faded_ink_is_told_readable_or_not(spark):
+    page = np.full((12, 12), 240)
+    page[3:9, 3:9] = 20
+    faint = np.where(page < 100, 210, 240)
+    rows = [("dark", page), ("faint", faint), ("bare", np.full((12, 12), 240)), ("full", np.full((12, 12), 20)), ("flat", np.full((12, 12), 128))]
+    df = spark.createDataFrame([(k, g.ravel().tolist(), (g < 220).astype(int).ravel().tolist() if k != "flat" else [1] + [0] * 143, 12) for k, g in rows], "k string, p array<int>, m array<int>, w int")
+    found = {r["k"]: r for r in raster.faded_ink(df, "k", "p", "m", "w", F.lit(0.8), F.lit(0.75)).collect()}
+    assert {k: r["problem"] for k, r in found.items()} == {"dark": None, "faint": "not readable", "bare": "no ink", "full": "no paper", "flat": "nothing changed"}
+    v, ink = np.array(found["dark"]["variant"]), page.ravel() < 220
+    assert found["dark"]["changed"] == (np.abs(v - page.ravel()) >= 2)[ink].sum()
+    assert found["dark"]["readable"] == pytest.approx(np.median(v[~ink]) - np.percentile(v[ink], 25))
+    assert found["bare"]["readable"] is None and found["full"]["readable"] is None
+
+
 def test_features_follow_the_shape_not_its_place(spark):
     bar = np.zeros((12, 12))
     bar[3:7, 5:7] = 1  # its centre is between pixels, as the frame's is, so no shift is a tie
