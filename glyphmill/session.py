@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,13 +36,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Where the scratch paths of the open scope are noted.
+_NOTED: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the scratch folder, deleted when the interpreter ends."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_forget, spark, path)
+    if (noted := _NOTED.get()) is not None:
+        noted.append(path)
     return path
 
 
+@contextmanager
+def noted_scratch() -> Iterator[list[str]]:
+    """The list of scratch paths that are made within the block, in order."""
+    noted: list[str] = []
+    token = _NOTED.set(noted)
+    try:
+        yield noted
+    finally:
+        _NOTED.reset(token)
+
+
+def drop_scratch(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch tables that no plan reads any more."""
+    for path in paths:
+        _forget(spark, path)
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
