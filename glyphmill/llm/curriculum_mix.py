@@ -8,6 +8,8 @@ where the demand reaches c: the inverse, a root of a quadratic, is the document'
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from glyphmill.llm._common import WORD, hashed_order
 WEIGHTS, SHARE, COPIES = (5.0, 2.0, 1.0), 1.5, 2
 #: Slopes of the sources' schedules in the same order, repeating: early, late, even. Between -1 and 1, so w(t) >= 0.
 SLOPES = (-0.5, 0.75, 0.0)
-#: Buckets of the hashed order within a source: running sums go over buckets first, then within each.
-ORDER_BUCKETS = 4096
+#: The hashed order within a source is cut into 2^ORDER_BITS buckets, and each of these into as many parts as bring a part
+#: to about PART_ROWS rows: running sums go over buckets, then over a bucket's parts, then within a part.
+ORDER_BITS, PART_ROWS, HASH_BITS = 12, 4096, 60
 
 
 def words(column: str = "text") -> F.Column:
@@ -59,22 +62,41 @@ def position(offset: F.Column, target: F.Column, slope: F.Column) -> F.Column:
     return F.when(F.abs(slope) < 1e-12, share).otherwise(2 * share / (flat + root))
 
 
+def _part_bits(rows: int) -> int:
+    """Bits that cut a bucket into parts of about PART_ROWS rows each, were all rows of one source."""
+    return min(HASH_BITS - ORDER_BITS, max(0, math.ceil(math.log2(max(1, rows) / PART_ROWS)) - ORDER_BITS))
+
+
+def _bases(sized: DataFrame, fine: int) -> DataFrame:
+    """_s, _b, base: the words of each source before each part of its hashed order. No window is over more than a source's
+    2^ORDER_BITS buckets or a bucket's 2^fine parts."""
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    base = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    if not fine:
+        return parts.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), base.alias("base"))
+    whole = parts.groupBy("source", F.shiftright("bucket", fine).alias("bucket")).agg(F.sum("n").alias("n"))
+    whole = whole.select(F.col("source").alias("_ws"), F.col("bucket").alias("_wb"), base.alias("_before"))
+    inside = Window.partitionBy("source", F.shiftright("bucket", fine)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("base", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    joined = parts.join(whole, parts["source"].eqNullSafe(whole["_ws"]) & (F.shiftright(parts["bucket"], fine) == whole["_wb"]))
+    return joined.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), (F.col("_before") + F.col("base")).alias("base"))
+
+
 def mix_plan(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, taken, start, slope, position.
 
     Null texts have size 0; null sources are a source of their own and come last; null doc_ids count as ''. Ties in the
     hashed order go to the smaller doc_id, then size; repeated rows are mixed one by one. An empty table gives an empty
-    one; further columns are ignored. The source's stream is its documents in order, repeated COPIES times; the mix takes
+    one; further columns are ignored; texts of any length are counted whole. The source's stream is its documents in order, repeated COPIES times; the mix takes
     the stream's first round(target) words, so a document's words are taken whole, up to COPIES times, but for the one
     where the target falls.
     """
     sized = docs.select("doc_id", "source", words().alias("size")).withColumn("u", hashed_order("doc_id"))
-    sized = sized.withColumn("bucket", F.shiftright("u", 60 - 12))
+    fine = _part_bits(docs.count())
+    sized = sized.withColumn("bucket", F.shiftright("u", HASH_BITS - ORDER_BITS - fine))
     targets = source_targets(sized).withColumnRenamed("source", "_source")
-    per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = per_bucket.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    buckets = buckets.join(targets, buckets["_s"].eqNullSafe(targets["_source"])).drop("_source")
+    buckets = _bases(sized, fine).join(targets, F.col("_s").eqNullSafe(targets["_source"])).drop("_source")
     placed = sized.join(buckets, sized["source"].eqNullSafe(buckets["_s"]) & (sized["bucket"] == buckets["_b"]))
     within = Window.partitionBy("_s", "_b").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -96,16 +118,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mixed documents in training order, columns as they came: a row for each copy that the mix takes, the last copy
     of a source cut after the words taken. n_chars, if there is such a column, follows the text.
 
-    The plan is joined back by the hash of doc_id and the size; where several rows share both, each takes the plan of one.
+    The plan is joined back by source, hash of doc_id and size; where several rows share all three, each takes the plan of one.
     """
-    plan = mix_plan(docs).filter("taken > 0").withColumn("u", hashed_order("doc_id"))
-    nth = F.row_number().over(Window.partitionBy("u", "size").orderBy("position"))
-    named = ("u", "size", "source_size", "target", "taken", "start", "slope")
+    of = F.xxhash64("source", F.col("source").isNull())
+    plan = mix_plan(docs).filter("taken > 0").withColumn("u", hashed_order("doc_id")).withColumn("of", of)
+    nth = F.row_number().over(Window.partitionBy("u", "size", "of").orderBy("position"))
+    named = ("u", "of", "size", "source_size", "target", "taken", "start", "slope")
     plan = plan.select(*(F.col(c).alias(f"__gm_{c}") for c in named), nth.alias("__gm_nth"))
-    own = F.row_number().over(Window.partitionBy("__gm_key", "__gm_words").orderBy(F.xxhash64("text", "source")))
-    numbered = docs.withColumn("__gm_words", words()).filter("__gm_words > 0").withColumn("__gm_key", hashed_order("doc_id")).withColumn("__gm_own", own)
+    own = F.row_number().over(Window.partitionBy("__gm_key", "__gm_words", "__gm_from").orderBy(F.xxhash64("text")))
+    numbered = docs.withColumn("__gm_words", words()).filter("__gm_words > 0").withColumn("__gm_key", hashed_order("doc_id")).withColumn("__gm_from", of).withColumn("__gm_own", own)
     # the last term isn't a join key on purpose: the window's partitioning then serves the join, and the texts move once
-    same = (F.col("__gm_key") == F.col("__gm_u")) & (F.col("__gm_words") == F.col("__gm_size")) & (F.col("__gm_own") - F.col("__gm_nth") == 0)
+    same = (F.col("__gm_key") == F.col("__gm_u")) & (F.col("__gm_words") == F.col("__gm_size")) & (F.col("__gm_from") == F.col("__gm_of")) & (F.col("__gm_own") - F.col("__gm_nth") == 0)
     joined = numbered.join(plan, same)
     size = F.col("__gm_size")
     copies = F.transform(
