@@ -235,13 +235,15 @@ def with_key(rows: DataFrame, seed: int = 8) -> DataFrame:
     return rows.withColumn(KEY, F.col(WEIGHT) + gumbel("doc_id", seed))
 
 
-def fit(docs: DataFrame, labels: DataFrame, whole: bool = False) -> Resampler:
-    """Count, weigh and draw. k is the number of documents whose weight is target-like, by the labelled sample's threshold.
+def draw(weighed: DataFrame, k: int, seed: int = 8) -> Resampler:
+    """The k rows of the largest log weight plus Gumbel noise: a draw of k documents without replacement, each time in
+    proportion to the weights of those left."""
+    rows = with_key(weighed, seed)
+    return Resampler(rows, kth_largest(rows.select(_ordered_bits(KEY).alias("v")), "v", k), k)
 
-    Null texts count as empty and have a mean log ratio of 0; repeated rows draw the same noise and stay or go together, so
-    ties at the k-th key are all kept; labels of unknown documents do nothing; without labels all documents are kept; an
-    empty table gives an empty one; texts of any length are read whole, in batches. The scored rows are written once.
-    """
+
+def weigh(docs: DataFrame, labels: DataFrame, whole: bool = False) -> tuple[DataFrame, float]:
+    """Count and weigh: the documents' log weights, written once, and the weight from which the labelled sample says good."""
     sample = materialise(labelled_sample(docs, labels), "labelled")  # MAX_LABELLED ids at most
     raw = count_buckets(docs)
     target = count_buckets(sample.filter("quality = 1"))
@@ -250,14 +252,24 @@ def fit(docs: DataFrame, labels: DataFrame, whole: bool = False) -> Resampler:
     means, good = np.array([r[WEIGHT] for r in seen]), np.array([r["quality"] == 1 for r in seen], bool)
     line = calibrate(means, good)
     threshold = best_threshold(line[0] + line[1] * means, good)
-    rows = materialise(with_key(score_rows(docs if whole else docs.select("doc_id", "text"), ratio, line, whole)), "weights")
-    k = rows.filter(F.col(WEIGHT) >= threshold).count()
-    return Resampler(rows, kth_largest(rows.select(_ordered_bits(KEY).alias("v")), "v", k), k)
+    return materialise(score_rows(docs if whole else docs.select("doc_id", "text"), ratio, line, whole), "weights"), threshold
+
+
+def fit(docs: DataFrame, labels: DataFrame, whole: bool = False, keep: int | None = None, seed: int = 8) -> Resampler:
+    """Count, weigh and draw `keep` documents; by default the number whose weight is target-like, by the labelled sample's
+    threshold. A smaller number cuts into the good ones, and the noise decides which of them stay, by their weights.
+
+    Null texts count as empty and have a mean log ratio of 0; repeated rows draw the same noise and stay or go together, so
+    ties at the k-th key are all kept; labels of unknown documents do nothing; without labels all documents are kept; an
+    empty table gives an empty one; texts of any length are read whole, in batches. The scored rows are written once.
+    """
+    rows, threshold = weigh(docs, labels, whole)
+    return draw(rows, rows.filter(F.col(WEIGHT) >= threshold).count() if keep is None else keep, seed)
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, keep: int | None = None, seed: int = 8) -> DataFrame:
     """The rows of docs that the sample holds, columns as they came."""
-    model = fit(docs, labels, whole=True)
+    model = fit(docs, labels, True, keep, seed)
     return model.rows.filter(model.kept()).select(*docs.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glyphmill.llm import bestfit_pack, byte_gru, curriculum_mix, html_diff, importance_resample, queries, simhash_vp
-from glyphmill.llm._common import materialise, table
+from glyphmill.llm._common import materialise, scratch_dir, table
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -239,6 +240,31 @@ def test_mixed_documents(spark):
     assert curriculum_mix.mixed_documents(docs.limit(0)).count() == 0 and curriculum_mix.op3_curriculum_mix(docs.limit(0)).count() == 0
 
 
+def test_parts_of_buckets_change_nothing(spark, monkeypatch):
+    """A table of so many rows that buckets are cut into parts has the plan that one of few has."""
+    rng = np.random.default_rng(3)
+    docs = mixed(spark, *[(" ".join(["w"] * int(rng.integers(0, 9))), [None, "a", "b"][int(rng.integers(3))]) for _ in range(300)])
+    docs = docs.unionByName(docs.limit(40)).withColumn("doc_id", F.when(F.col("doc_id") % 7 > 0, F.col("doc_id")))
+    plans = []
+    for bits, part_rows in ((12, 4096), (2, 8), (0, 1), (0, 50)):
+        monkeypatch.setattr(curriculum_mix, "ORDER_BITS", bits)
+        monkeypatch.setattr(curriculum_mix, "PART_ROWS", part_rows)
+        plans.append(sorted(map(str, curriculum_mix.mix_plan(docs).collect())))
+    assert plans[0] and all(p == plans[0] for p in plans) and curriculum_mix._part_bits(docs.count()) > 0
+
+
+def test_an_id_in_two_sources_keeps_both_plans(spark):
+    """Rows of one doc_id and size take the plan of their own source, whatever their texts."""
+    docs = spark.createDataFrame([(1 if i % 3 else None, f"{s}{i} " * 4, "en", s, 0, 1) for i in range(40) for s in ("a", "b", "c")], DOCS + ", target int")
+    want, got = defaultdict(int), defaultdict(int)
+    for r in curriculum_mix.mix_plan(docs).collect():
+        want[r["source"]] += r["taken"]
+    for r in curriculum_mix.mixed_documents(docs).collect():
+        assert all(w.startswith(r["source"]) for w in r["text"].split())
+        got[r["source"]] += len(r["text"].split())
+    assert got == want and len(set(want.values())) > 1
+
+
 def test_positions_follow_the_schedule(spark):
     """The mean position of a source with a late schedule is later than that of one with an early schedule."""
     rows = [("w " * 5, f"s{i % 3}") for i in range(600)]
@@ -477,6 +503,27 @@ def test_draw_and_calibration(spark):
     assert p.sum() == pytest.approx(good.sum(), abs=1e-4) and (p * means).sum() == pytest.approx(means[good].sum(), abs=1e-4)
 
 
+def test_a_stated_number_is_drawn_by_weight(spark):
+    """A number that cuts into the good documents: over many seeds of the operator each tenth of them, by weight, is in as often
+    as exact draws say, and the rows kept aren't the plain top."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    weighed, _ = importance_resample.weigh(docs, labels)
+    weight = {r["doc_id"]: r[importance_resample.WEIGHT] for r in weighed.collect()}
+    ids = sorted(weight, key=lambda i: -weight[i])
+    k, seeds = len(ids) // 2, 12
+    models = [importance_resample.draw(weighed, k, seed) for seed in range(seeds)]
+    kept = [{r["doc_id"] for r in m.rows.filter(m.kept()).collect()} for m in models]
+    assert all(len(s) == k for s in kept) and all(s != set(ids[:k]) for s in kept) and len({frozenset(s) for s in kept}) == seeds
+    rng = np.random.default_rng(1)
+    noisy = np.array([weight[i] for i in ids])[None, :] + rng.gumbel(size=(400, len(ids)))
+    exact = (noisy.argsort(1).argsort(1) >= len(ids) - k).mean(0)
+    for at in range(0, len(ids), len(ids) // 10):
+        some = slice(at, at + len(ids) // 10)
+        assert np.mean([len(s & set(ids[some])) for s in kept]) / len(ids[some]) == pytest.approx(exact[some].mean(), abs=0.04)
+    rows = importance_resample.resample(docs, labels, keep=k)
+    assert rows.count() == k and importance_resample.resample(docs, labels, keep=0).count() == 0
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------------
 
 
@@ -498,6 +545,40 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, after["packing"].collect()))
 
 
+def test_pipeline_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeats and columns with clashing names go through all stages."""
+    good = [r for r in table(spark, SF, "documents").select("text", "source").limit(60).collect()]
+    rows = [(i, r["text"], "en", r["source"], len(r["text"]), float(i), "x") for i, r in enumerate(good)]
+    rows += [rows[0], rows[1], (None, None, None, None, None, None, None), (None, "", None, None, 0, 1.0, "y"), (900, None, "en", "s", 0, None, "z"), (901, "word " * 60_000 + "end", None, None, 5, 0.0, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size double, `key` string").withColumn("position", F.lit(1)).withColumn("fp", F.lit("q"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = materialise(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == docs.columns and now.count() > 0, name
+        if name == "near_duplicates":
+            held = [(r["doc_id"], r["text"]) for r in now.collect()]
+            assert len(held) == len(set(held)) and sum(not t for _, t in held) == 1 and any(d == 901 for d, _ in held)
+    assert all(r["text"] for r in now.collect())
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.count() >= now.count()
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_run_keeps_only_what_its_last_stage_reads(spark):
+    def held():
+        return {p for p in os.listdir(scratch_dir(spark).removeprefix("file:")) if p.startswith(("quality-", "near_duplicates-", "secrets-", "mixture-", "weights-", "fingerprint"))}
+
+    before = held()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    new = held() - before
+    assert len(new) == 1 and min(new).startswith("mixture-")
+
+
 def test_registered_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES) and len(corpus_pipeline.STAGES) == 5
