@@ -33,7 +33,7 @@ def _pick(values: tuple[float, ...], place: F.Column) -> F.Column:
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
-    """A row for each source: source, source_size, weight, slope, target.
+    """A row for each source: source, source_size, weight, slope, target, from the sizes of its documents or parts.
 
     With the sources sorted by cap / weight, the first ones are capped: those whose cap is at most the level that the rest
     would then share. Resharing the excess by weight until none is above its cap ends in the same level.
@@ -67,18 +67,17 @@ def _part_bits(rows: int) -> int:
     return min(HASH_BITS - ORDER_BITS, max(0, math.ceil(math.log2(max(1, rows) / PART_ROWS)) - ORDER_BITS))
 
 
-def _bases(sized: DataFrame, fine: int) -> DataFrame:
+def _bases(parts: DataFrame, fine: int) -> DataFrame:
     """_s, _b, base: the words of each source before each part of its hashed order. No window is over more than a source's
     2^ORDER_BITS buckets or a bucket's 2^fine parts."""
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    base = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    base = F.coalesce(F.sum("size").over(earlier), F.lit(0))
     if not fine:
         return parts.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), base.alias("base"))
-    whole = parts.groupBy("source", F.shiftright("bucket", fine).alias("bucket")).agg(F.sum("n").alias("n"))
+    whole = parts.groupBy("source", F.shiftright("bucket", fine).alias("bucket")).agg(F.sum("size").alias("size"))
     whole = whole.select(F.col("source").alias("_ws"), F.col("bucket").alias("_wb"), base.alias("_before"))
     inside = Window.partitionBy("source", F.shiftright("bucket", fine)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("base", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    parts = parts.withColumn("base", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = parts.join(whole, parts["source"].eqNullSafe(whole["_ws"]) & (F.shiftright(parts["bucket"], fine) == whole["_wb"]))
     return joined.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), (F.col("_before") + F.col("base")).alias("base"))
 
@@ -94,9 +93,11 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     """
     sized = docs.select("doc_id", "source", words().alias("size")).withColumn("u", hashed_order("doc_id"))
     fine = _part_bits(docs.count())
-    sized = sized.withColumn("bucket", F.shiftright("u", HASH_BITS - ORDER_BITS - fine))
-    targets = source_targets(sized).withColumnRenamed("source", "_source")
-    buckets = _bases(sized, fine).join(targets, F.col("_s").eqNullSafe(targets["_source"])).drop("_source")
+    # never null, as all know: a filter for it would tell apart the plans of the parts' words, which are counted once
+    sized = sized.withColumn("bucket", F.coalesce(F.shiftright("u", HASH_BITS - ORDER_BITS - fine), F.lit(0).cast("long")))
+    parts = sized.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
+    targets = source_targets(parts).withColumnRenamed("source", "_source")
+    buckets = _bases(parts, fine).join(targets, F.col("_s").eqNullSafe(targets["_source"])).drop("_source")
     placed = sized.join(buckets, sized["source"].eqNullSafe(buckets["_s"]) & (sized["bucket"] == buckets["_b"]))
     within = Window.partitionBy("_s", "_b").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
