@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -349,6 +350,18 @@ def test_streams_equal_numpys(spark, seed, path):
     assert [r["u"] for r in rows] == np.random.Generator(np.random.Philox(sequence)).random(9).tolist()
 
 
+def test_streams_of_many_keys(spark):
+    """A batch of keys is drawn at once: expressions of a row took minutes for as many. A null key has no stream."""
+    keys = spark.range(60_000).select(F.when(F.col("id") != 7, F.col("id") * 71_000).alias("k"))
+    began = time.monotonic()
+    rows = keys.select("k", streams.stream_uniform(20260, 5, F.col("k"), 3).alias("u"), streams.stream_key(20260, F.col("k")).alias("key")).collect()
+    assert time.monotonic() - began < 30
+    assert len(rows) == 60_000 and [(r["u"], r["key"]) for r in rows if r["k"] is None] == [(None, None)]
+    for r in [r for r in rows if r["k"] is not None][::3001]:
+        assert r["u"] == np.random.Generator(np.random.Philox(np.random.SeedSequence(20260, spawn_key=(r["k"], 3)))).random(6)[5]
+        assert r["key"] == np.random.SeedSequence(20260, spawn_key=(r["k"],)).generate_state(4).tolist()
+
+
 def _in_turn(rows):
     taken, out = set(), {}
     for k in sorted({k for k, _, _ in rows}):
