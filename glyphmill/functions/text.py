@@ -169,8 +169,8 @@ def escaped(text: Column) -> Column:
 
 
 def six_decimals(value: Column) -> Column:
-    """A float with six decimals, ties to even, a missing one as an empty text."""
-    return F.when(value.isNull() | F.isnan(value), F.lit("")).otherwise(F.bround(value.cast("decimal(38,18)"), 6).cast("decimal(38,6)").cast("string"))
+    """A float with six decimals, rounded by its exact binary value, ties to even, a missing one as an empty text."""
+    return F.when(value.isNull() | F.isnan(value), F.lit("")).otherwise(F.call_function("format_number", value.cast("double"), F.lit("0.000000")))
 
 
 def matches_whole(text: Column, pattern: str) -> Column:

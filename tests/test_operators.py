@@ -84,6 +84,20 @@ def test_flags_and_formatting(spark):
     assert one(spark, t.six_decimals(F.lit(0.6640625))) == "0.664062"
 
 
+#: Lengths whose rates have seven decimals, the last one a five: the doubles lie beside the ties.
+BESIDE_TIES = [(d, n) for n in (320, 640, 1280, 1600, 3200) for d in range(1, n, 14)]
+
+
+def test_six_decimals_follow_the_binary_value(spark):
+    rows = spark.createDataFrame([(d / n,) for d, n in BESIDE_TIES] + [(0.5**7,), (3 * 0.5**7,), (1234567.5,)], "x double")
+    assert [r["s"] for r in rows.select(t.six_decimals(F.col("x")).alias("s")).collect()] == [f"{r['x']:.6f}" for r in rows.collect()]
+
+
+def test_danger_rows_follow_the_binary_value(spark):
+    rows = scoring.score_rows(pairs(spark, *(("\\frac" + "x" * (n - d - 5) + "y" * d, "\\frac" + "x" * (n - 5)) for d, n in BESIDE_TIES[::9])))
+    assert {(r["dist"], r["gt_len"]): r["ned"] for r in scoring.danger_rows(rows, "sample_id").collect()} == {(d, n): f"{d / n:.6f}" for d, n in BESIDE_TIES[::9]}
+
+
 def test_assistant_texts(spark):
     rows = spark.createDataFrame([([("user", "q"), ("assistant", "x"), ("assistant", "y")], None), ([], None), ([("user", "q")], "label")], "messages array<struct<role:string,content:string>>, label string")
     assert [r[0] for r in rows.select(alignment.assistant_text(F.col("messages"), F.col("label"))).collect()] == ["y", "", "label"]
