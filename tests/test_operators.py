@@ -98,6 +98,12 @@ def test_danger_rows_follow_the_binary_value(spark):
     assert {(r["dist"], r["gt_len"]): r["ned"] for r in scoring.danger_rows(rows, "sample_id").collect()} == {(d, n): f"{d / n:.6f}" for d, n in BESIDE_TIES[::9]}
 
 
+def test_details_follow_the_binary_value(spark):
+    rows = scoring.score_rows(pairs(spark, *(("x" * (n - d) + "y" * d, "x" * n) for d, n in BESIDE_TIES[4::9])))
+    found = scoring.details(rows, "sample_id").collect()
+    assert {(r["dist"], r["gt_len"]): (r["ned"], r["ws_ned"]) for r in found} == {(d, n): (f"{d / n:.6f}",) * 2 for d, n in BESIDE_TIES[4::9]}
+
+
 def test_assistant_texts(spark):
     rows = spark.createDataFrame([([("user", "q"), ("assistant", "x"), ("assistant", "y")], None), ([], None), ([("user", "q")], "label")], "messages array<struct<role:string,content:string>>, label string")
     assert [r[0] for r in rows.select(alignment.assistant_text(F.col("messages"), F.col("label"))).collect()] == ["y", "", "label"]
