@@ -370,7 +370,10 @@ def latin_texts(plan: DataFrame, first: str, second: str, seed: int) -> DataFram
 
 
 def residual_rows(spark: SparkSession, split: str, pairs: int, first: str, second: str, seed: int) -> DataFrame:
-    """(id, pair_id, pair_type, pair_role, text): half of the pairs of either type, two rows each with the same target."""
+    """(place, id, pair_id, pair_type, pair_role, text): half of the pairs of either type, two rows each with the same target.
+
+    A pair_id has four characters of the number, so beyond 10,000 pairs it repeats; place tells pairs apart.
+    """
     if pairs < 2 or pairs % 2:
         raise ValueError("an even number of pairs is needed")
     types = exact_values(spark, dict.fromkeys(RESIDUAL_TYPES, 1.0), pairs, seed)
@@ -383,7 +386,7 @@ def residual_rows(spark: SparkSession, split: str, pairs: int, first: str, secon
     )
     made = types.withColumn("pair_id", F.concat(F.lit(f"{split}_residual_"), F.lpad((F.col("place") - 1).cast("string"), 4, "0"))).withColumn("text", t.lines_to_target(lines))
     roles = made.withColumn("pair_role", F.explode(F.array(F.lit("clear"), F.lit("variant"))))
-    return roles.select(F.concat_ws("_", "pair_id", "pair_role").alias("id"), "pair_id", F.col("value").alias("pair_type"), "pair_role", "text")
+    return roles.select("place", F.concat_ws("_", "pair_id", "pair_role").alias("id"), "pair_id", F.col("value").alias("pair_type"), "pair_role", "text")
 
 
 def degradation_plan(rows: DataFrame, key: str, profile: str, policy: DataFrame, seed: int) -> DataFrame:

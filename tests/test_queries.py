@@ -43,6 +43,26 @@ def test_query(spark, sf, duck, name):
         assert found == expected
 
 
+@pytest.fixture(scope="module")
+def many_suppliers(spark, sf, tmp_path_factory):
+    """More suppliers than numbers of four characters."""
+    base = tmp_path_factory.mktemp("suppliers")
+    os.symlink(f"{sf}/part.parquet", base / "part.parquet")
+    spark.range(10_403).selectExpr("id * 3 as s_suppkey").coalesce(1).write.parquet(str(base / "supplier.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{base}/part.parquet'")
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{base}/supplier.parquet/*.parquet'")
+    return str(base), con
+
+
+@pytest.mark.parametrize("name", ["residual_rows"])
+def test_more_pairs_than_four_digits(spark, many_suppliers, name):
+    base, con = many_suppliers
+    relation = con.sql(SQL[name])
+    found = CATALOGUE[name](spark, base).select(*relation.columns).collect()
+    assert sorted(map(tuple, found)) == sorted(relation.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
