@@ -6,10 +6,11 @@ import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 # Character ranges, white space and digit classes, flag tokens that results depend on.
 YI_BLOCK = "\\uA000-\\uA4CF"
@@ -42,10 +43,15 @@ def keep_digits(text: Column) -> Column:
     return keep(text, DIGITS)
 
 
+#: Texts that are held as Python strings at once.
+AT_ONCE = 64
+
+
 def _normal(form: str):
-    @pandas_udf("string")
-    def normalise(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize(form, t))
+    @arrow_udf(T.StringType())
+    def normalise(texts: pa.Array) -> pa.Array:
+        done = [pa.array([None if t is None else t if t.isascii() else unicodedata.normalize(form, t) for t in texts.slice(at, AT_ONCE).to_pylist()], pa.string()) for at in range(0, len(texts), AT_ONCE)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     return normalise
 

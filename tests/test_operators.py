@@ -71,6 +71,13 @@ def test_normal_forms(spark):
     assert one(spark, t.nfkc_ws(F.lit(raw))) == unicodedata.normalize("NFKC", raw).replace(" ", "")
 
 
+def test_normal_forms_of_many_texts(spark):
+    """Texts are held a few at a time, nulls stay."""
+    texts = [None if i % 50 == 7 else "e\u0301" * (i % 5) + f"\ufb01{i}" for i in range(3 * t.AT_ONCE + 1)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, x string").coalesce(1).select("i", t.nfkc_ws(F.col("x")).alias("x")).collect()
+    assert {r["i"]: r["x"] for r in rows} == {i: x if x is None else unicodedata.normalize("NFKC", x) for i, x in enumerate(texts)}
+
+
 @pytest.mark.parametrize(("n", "expected"), [(119, False), (120, True)])
 def test_long_prediction(spark, n, expected):
     assert one(spark, t.is_long(F.lit("x" * n), F.lit("y" * 10))) is expected
