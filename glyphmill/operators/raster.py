@@ -6,6 +6,7 @@ Fonts and drawing are outside the library: images come in as arrays or bytes (so
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 # The extrema that a page with ink on paper must reach.
 DARK, LIGHT = 220, 225
@@ -43,6 +44,12 @@ def thin_ink(pixels: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series([_window(_grid(p, w), np.max).ravel().astype(np.int32) for p, w in zip(pixels, width, strict=True)])
 
 
+@arrow_udf(T.StringType())
+def pixel_digest(pixels: pa.Array) -> pa.Array:
+    """The SHA-256 of the values, from 0 to 255, as bytes."""
+    return pa.array([None if p.values is None else hashlib.sha256(p.values.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()).hexdigest() for p in pixels], pa.string())
+
+
 def binarized(pixels: Column, threshold: Column | int) -> Column:
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
     return F.transform(pixels, lambda p: F.when(p < limit, 0).otherwise(255))
@@ -245,6 +252,9 @@ class Paper(NamedTuple):
 PAGE = Paper((238, 252), 8.0, 6.0, (1.5, 4.0), (200, 255), (0, 0, 0))
 SHEET = Paper((244, 250), 3.0, 2.0, (0.8, 0.8), (232, 255), (0, 1, 3))
 
+#: Values of the sheets that are sent on together.
+SHEETS = 1 << 20
+
 _PAPER = "k long, width int, height int, channels int, pixels array<int>"
 _PAPERS = pa.schema([("k", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("pixels", pa.list_(pa.int32()))])
 
@@ -264,15 +274,27 @@ def paper_backgrounds(rows: DataFrame, key: str, width: str, height: str, seed:
     """(key, width, height, channels, pixels) of a sheet for each row, as write_images takes them.
 
     Chance is the stream of (seed, key), so a sheet depends on its key and size alone, whatever task makes it; key is an integer
-    from 0 to 2^32 - 1. A task holds one sheet at a time.
+    from 0 to 2^32 - 1. A task holds sheets of SHEETS values in all, or one larger one.
     """
 
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        keys, widths, heights, sheets = zip(*held, strict=True)
+        ends = np.cumsum([0, *(x.size for x in sheets)], dtype=np.int32)
+        pixels = pa.ListArray.from_arrays(ends, np.concatenate(sheets).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(x, pa.int32()) for x in (widths, heights, [3] * len(held))), pixels], schema=_PAPERS)
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                draw = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed, spawn_key=(row["k"],))))
-                made = paper_pixels(draw, row["w"], row["h"], paper)
-                yield pa.RecordBatch.from_pylist([{"k": row["k"], "width": row["w"], "height": row["h"], "channels": 3, "pixels": made.ravel()}], schema=_PAPERS)
+            for k, w, h in zip(*(batch.column(c).to_pylist() for c in ("k", "w", "h")), strict=True):
+                if held and size + 3 * w * h > SHEETS:
+                    yield batch_of(held)
+                    held, size = [], 0
+                draw = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed, spawn_key=(k,))))
+                held.append((k, w, h, paper_pixels(draw, w, h, paper).ravel()))
+                size += 3 * w * h
+        if held:
+            yield batch_of(held)
 
     given = rows.select(F.col(key).cast("long").alias("k"), F.col(width).cast("int").alias("w"), F.col(height).cast("int").alias("h"))
     return given.mapInArrow(run, _PAPER).withColumnRenamed("k", key)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import streams
 from glyphmill.operators import fonts, raster, similarity
-from glyphmill.plans.evaluation import rounded, table
+from glyphmill.plans.evaluation import rounded, spread, table
 from glyphmill.session import scratch_path
 from glyphmill.sources import files, images
 
@@ -196,9 +196,8 @@ def paper_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet of paper for each part, of a size that follows its number: its darkest and lightest value and a digest."""
     k = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select("p_partkey", (16 + k % 5).alias("w"), (12 + k % 3).alias("h"))
-    made = raster.paper_backgrounds(rows, "p_partkey", "w", "h", SEED)
-    shown = F.unhex(F.array_join(F.transform("pixels", lambda p: F.lpad(F.hex(p), 2, "0")), ""))
-    return made.select("p_partkey", "width", "height", F.array_min("pixels").alias("low"), F.array_max("pixels").alias("high"), F.sha2(shown, 256).alias("pixels_sha256"))
+    made = raster.paper_backgrounds(spread(rows, "p_partkey"), "p_partkey", "w", "h", SEED)
+    return made.select("p_partkey", "width", "height", F.array_min("pixels").alias("low"), F.array_max("pixels").alias("high"), raster.pixel_digest("pixels").alias("pixels_sha256"))
 
 
 def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:

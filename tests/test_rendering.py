@@ -350,6 +350,17 @@ def test_streams_equal_numpys(spark, seed, path):
     assert [r["u"] for r in rows] == np.random.Generator(np.random.Philox(sequence)).random(9).tolist()
 
 
+def test_paper_of_few_input_splits(spark, tmp_path):
+    """Sheets are made by as many tasks as there are cores, though their rows fill one split of a small file."""
+    spark.range(40).select((F.col("id") * 3).alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = rendering.paper_sheets(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    for r in made.collect():
+        k = r["p_partkey"]
+        want = raster.paper_pixels(np.random.Generator(np.random.Philox(np.random.SeedSequence(rendering.SEED, spawn_key=(k,)))), 16 + k % 5, 12 + k % 3, raster.PAGE)
+        assert (r["low"], r["high"], r["pixels_sha256"]) == (want.min(), want.max(), hashlib.sha256(want.astype(np.uint8).tobytes()).hexdigest())
+
+
 def test_streams_of_many_keys(spark):
     """A batch of keys is drawn at once: expressions of a row took minutes for as many. A null key has no stream."""
     keys = spark.range(60_000).select(F.when(F.col("id") != 7, F.col("id") * 71_000).alias("k"))
