@@ -93,7 +93,8 @@ def asset_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     assets = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("name"), F.col("text").cast("binary").alias("content"))
     manifest = images.store_assets(assets, root)
     named = manifest.groupBy("digest").agg(F.count("*").alias("names"), F.min("length").alias("length"))
-    return images.read_objects(spark, root).join(named, "digest").select("digest", "names", "length", (F.sha2("content", 256) == F.col("digest")).alias("intact"))
+    held = images.read_objects(spark, root).select("digest", (F.sha2("content", 256) == F.col("digest")).alias("intact"))
+    return held.join(named, "digest").select("digest", "names", "length", "intact")
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

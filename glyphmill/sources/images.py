@@ -33,6 +33,8 @@ RASTERS = "name string, width int, channels int, pixels array<int>"
 MANIFEST = pa.schema([("name", pa.string()), ("file", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32())])
 #: Images of one folder, and rows of a manifest that a task holds before it writes them.
 FOLDER, ROWS = 1000, 10_000
+#: Length of an object's name, and bytes of objects that a task holds before it hands them on.
+DIGEST, AT_ONCE = 64, 8 << 20
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -249,14 +251,29 @@ def store_assets(assets: DataFrame, root: str) -> DataFrame:
 
 
 def read_objects(spark: SparkSession, root: str) -> DataFrame:
-    """(digest, content) of the store's objects; the empty one, which a scan of files leaves out, is looked up by its name."""
-    files = spark.read.format("binaryFile").load(f"{root}/objects/*/*")
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("digest"), "content").filter(F.length("digest") == 64)
-    system, base = file_system(root)
-    empty = hashlib.sha256(b"").hexdigest()
-    if system.get_file_info(f"{base}/{object_path(empty)}").type == pafs.FileType.NotFound:
-        return found
-    return found.unionByName(spark.range(1).select(F.lit(empty).alias("digest"), F.lit("").cast("binary").alias("content")))
+    """(digest, content) of the store's objects. A task lists a folder of the store and reads its objects, a few megabytes at
+    a time: neither their names nor a task for each few of them pass through the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = file_system(root)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                digests, contents, size = [], [], 0
+                for found in system.get_file_info(pafs.FileSelector(f"{base}/objects/{folder}", allow_not_found=True)):
+                    if len(found.base_name) != DIGEST:  # an object that is being written
+                        continue
+                    with system.open_input_stream(found.path) as held:
+                        contents.append(held.read())
+                    digests.append(found.base_name)
+                    size += len(contents[-1])
+                    if size >= AT_ONCE or len(digests) == ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(contents, pa.binary())], ["digest", "content"])
+                        digests, contents, size = [], [], 0
+                if digests:
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(contents, pa.binary())], ["digest", "content"])
+
+    folders = spark.range(0, 256, 1, 256).select(F.lower(F.lpad(F.hex("id"), 2, "0")).alias("folder"))
+    return folders.mapInArrow(run, "digest string, content binary")
 
 
 def link_problems(rows: DataFrame, key: str, paths: str, available: DataFrame) -> DataFrame:

@@ -124,6 +124,19 @@ def test_equal_contents_are_one_object(spark, tmp_path):
     assert {(r["digest"], bytes(r["content"])) for r in images.read_objects(spark, root).collect()} == {(hashlib.sha256(x).hexdigest(), x) for x in [b"", *(str(i).encode() for i in range(7))]}
 
 
+def test_objects_are_listed_by_tasks(spark, tmp_path):
+    root = str(tmp_path / "store")
+    images.store_assets(spark.range(900).select(F.col("id").cast("string").alias("name"), F.when(F.col("id") > 0, F.col("id").cast("string").cast("binary")).alias("content")), root)
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("objects", "")
+    held = images.read_objects(spark, root)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert not tracker.getJobIdsForGroup("objects")  # a scan of files lists them before it is a table
+    assert held.rdd.getNumPartitions() <= 256
+    assert {(r["digest"], bytes(r["content"])) for r in held.collect()} == {(hashlib.sha256(x).hexdigest(), x) for x in [b"", *(str(i).encode() for i in range(1, 900))]}
+    assert images.read_objects(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_links_are_refused(spark, tmp_path):
     rows = spark.createDataFrame([("a", ["images/x"]), ("b", ["images/y"])], "id string, images array<string>")
     content = spark.createDataFrame([("images/x", b"1"), ("images/y", b"2")], "path string, content binary")
