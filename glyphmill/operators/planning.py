@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions import hashed_lines
 from glyphmill.functions import text as t
 from glyphmill.functions.numeric import hashed_pick, hashed_uniform, largest_remainder
 
@@ -129,16 +130,8 @@ def picked(pool: str | Column, length: Column, *keys: Column | str | int) -> Col
 def sampled_line(script_class: Column, length: Column, first: str, second: str, share: float, *keys: Column | str | int) -> Column:
     """A line of one pool, or, for mixed rows, runs of up to four characters that are of the first pool with the given
     share: a character's run is the hash of its place div 4's draw."""
-    mixed = F.array_join(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(length, F.lit(1))),
-            lambda i: F.when(hashed_uniform(*keys, "run", F.floor((i - 1) / hashed_int(1, 4, *keys, "width"))) < share, F.substring(F.lit(first), hashed_pick(len(first), *keys, "a", i) + 1, F.lit(1))).otherwise(
-                F.substring(F.lit(second), hashed_pick(len(second), *keys, "b", i) + 1, F.lit(1))
-            ),
-        ),
-        "",
-    )
-    return F.when(script_class == "pure_yi", picked(first, length, *keys, "c")).when(script_class == "pure_common", picked(second, length, *keys, "c")).otherwise(mixed)
+    texts = [(k if isinstance(k, Column) else F.lit(k)).cast("string") for k in keys]
+    return hashed_lines.sampled_line(script_class, length, first, second, share, F.concat_ws(":", *texts, F.lit("")))
 
 
 def decorated(line: Column, rate: float, *keys: Column | str | int) -> Column:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphmill.functions import numeric
+from glyphmill.functions import hashed_lines, numeric
 from glyphmill.functions import text as t
 from glyphmill.operators import alignment, constraints, histograms, layout, planning, samples, scoring, similarity
+from glyphmill.plans import generation
 from glyphmill.sources import files
 
 QUICK = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -502,3 +505,34 @@ def test_copies_and_scattered_vectors_in_many_tasks(spark):
         sim = np.einsum("d,nd->n", unit[i], unit)
         first = [j for j in np.lexsort((np.arange(len(v)), -np.round(sim, 12))) if j != i][:5]
         assert [found[i, n] for n in range(1, 6)] == first
+
+
+def plain_line(kind, n, first, second, share, key):
+    """A sampled line by its definition, character by character."""
+    u = lambda *rest: int(hashlib.md5(":".join([key, *map(str, rest)]).encode()).hexdigest()[:13], 16) / 2**52
+    one = lambda pool, x: pool[int(x * len(pool))] if pool else ""
+    if kind in ("pure_yi", "pure_common"):
+        return "".join(one(first if kind == "pure_yi" else second, u("c", i)) for i in range(1, (n or 0) + 1))
+    width = 1 + int(u("width") * 4)
+    return "".join(one(first, u("a", i)) if u("run", (i - 1) // width) < share else one(second, u("b", i)) for i in range(1, max(n or 0, 1) + 1))
+
+
+@pytest.mark.parametrize(("first", "second", "key"), [("abcdefg", "天地人𠀀", "k"), ("ab", "", "k"), ("abc", "de", "a key of more than one block of the digest, " * 2)])
+def test_sampled_lines_equal_their_hashes(spark, first, second, key):
+    rows = [(i, kind, n) for i, (kind, n) in enumerate((k, n) for k in ("pure_yi", "pure_common", "mixed", None) for n in (None, -1, 0, 1, 4, 9, 10, 20, 120, 1100))]
+    df = spark.createDataFrame(rows, "i int, kind string, n int")
+    line = planning.sampled_line(F.col("kind"), F.col("n"), first, second, 0.65, 7, F.lit(key), F.col("i"))
+    found = {r["i"]: r["line"] for r in df.select("i", line.alias("line")).collect()}
+    assert found == {i: plain_line(kind, n, first, second, 0.65, f"7:{key}:{i}") for i, kind, n in rows}
+
+
+def test_long_lines_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(hashed_lines, "CHARACTERS", 30)
+    texts = hashed_lines.line_texts(["mixed", "pure_yi"] * 50, np.arange(100), [b"%d:" % i for i in range(100)], "abc", "de", 0.5)
+    df = spark.range(0, 100, 1, 1).select(F.when(F.col("id") % 2 == 0, "mixed").otherwise("pure_yi").alias("kind"), F.col("id").cast("int").alias("n"))
+    assert [r[0] for r in df.select(planning.sampled_line(F.col("kind"), F.col("n"), "abc", "de", 0.5, F.col("n"))).collect()] == texts
+
+
+def test_lines_of_few_plan_rows_are_spread(spark, sf):
+    """The rows of a plan are few bytes, which joins leave in few partitions; their lines are the work."""
+    assert generation._customer_plan(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
