@@ -1,8 +1,9 @@
 """Rasters as PNG files, and assets in a content-addressed store: both written by the executors.
 
-The PNG sink is a Python data source. A task writes its images and a manifest of them into a folder of its own below
-`_staging`; the driver's commit moves the folders of the tasks that count, and an abort deletes the staging folder, so a
-reader sees all of a run's images or none. What a task tells the driver is its folder's name, however many images it wrote.
+The PNG sink is a Python data source. A task writes its images and a manifest of them into a folder of its own below the
+run's staging folder; the driver's commit moves the folders of the tasks that count, and an abort deletes the staging folder,
+so a reader sees all of a run's images or none. What a task tells the driver is its folder's name, however many images it
+wrote. The driver alone makes the staging folder: a task that outlives an abort finds it gone and stops.
 
 Paths are URIs of any file system that pyarrow knows, or local paths that the driver and the executors share.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,6 +35,8 @@ RASTERS = "name string, width int, channels int, pixels array<int>"
 MANIFEST = pa.schema([("name", pa.string()), ("file", pa.string()), ("digest", pa.string()), ("length", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32())])
 #: Images of one folder, and rows of a manifest that a task holds before it writes them.
 FOLDER, ROWS = 1000, 10_000
+#: Tries to delete a staging folder.
+TRIES = 20
 #: Length of an object's name, and bytes of objects that a task holds before it hands them on.
 DIGEST, AT_ONCE = 64, 8 << 20
 
@@ -110,13 +114,16 @@ class Written(WriterCommitMessage):
 
 class _ImageWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
-        self.path = path.rstrip("/")
+        self.path, self.staging = path.rstrip("/"), f"_staging-{uuid.uuid4().hex}"
+        system, root = file_system(self.path)
+        system.create_dir(f"{root}/{self.staging}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = file_system(self.path)
         folder, n, seen = uuid.uuid4().hex, 0, []
-        stage = f"{root}/_staging/{folder}"
-        system.create_dir(f"{stage}/manifest")
+        stage = f"{root}/{self.staging}/{folder}"
+        for made in (stage, f"{stage}/manifest", f"{stage}/images"):
+            system.create_dir(made, recursive=False)
 
         def remember() -> None:
             pq.write_table(pa.Table.from_pylist(seen, MANIFEST), f"{stage}/manifest/{n:012d}.parquet", filesystem=system)
@@ -131,7 +138,7 @@ class _ImageWriter(DataSourceArrowWriter):
                 pixels = flat.reshape(shape)
                 data = encode_png(pixels)
                 if n % FOLDER == 0:
-                    system.create_dir(f"{stage}/images/{n // FOLDER:06d}")
+                    system.create_dir(f"{stage}/images/{n // FOLDER:06d}", recursive=False)
                 file = f"images/{n // FOLDER:06d}/{n:09d}.png"
                 with system.open_output_stream(f"{stage}/{file}") as out:
                     out.write(data)
@@ -147,16 +154,22 @@ class _ImageWriter(DataSourceArrowWriter):
         system, root = file_system(self.path)
         for told in messages:
             if told and told.images:
-                system.move(f"{root}/_staging/{told.folder}", f"{root}/{told.folder}")
+                system.move(f"{root}/{self.staging}/{told.folder}", f"{root}/{told.folder}")
         self._forget(system, root)
 
     def abort(self, messages: list[Written | None]) -> None:
         self._forget(*file_system(self.path))
 
-    @staticmethod
-    def _forget(system: pafs.FileSystem, root: str) -> None:
-        if system.get_file_info(f"{root}/_staging").type != pafs.FileType.NotFound:
-            system.delete_dir(f"{root}/_staging")
+    def _forget(self, system: pafs.FileSystem, root: str) -> None:
+        for left in reversed(range(TRIES)):
+            if system.get_file_info(f"{root}/{self.staging}").type == pafs.FileType.NotFound:
+                return
+            try:
+                system.delete_dir(f"{root}/{self.staging}")
+            except OSError:  # a task that is being stopped has put a file into a folder meanwhile
+                if not left:
+                    raise
+                time.sleep(0.2)
 
 
 class PngSink(DataSource):

@@ -8,6 +8,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -113,6 +114,24 @@ def test_images_are_written_whole_or_not_at_all(spark, tmp_path):
     assert sorted(os.listdir(path)) == before
 
 
+def test_tasks_that_outlive_an_abort_leave_nothing(tmp_path, monkeypatch):
+    path, other = str(tmp_path / "out"), images.PngSink({"path": str(tmp_path / "out")}).writer(None, False)
+    batch = pa.RecordBatch.from_pylist([{"name": "a", "width": 1, "channels": 1, "pixels": [7]}])
+    writer = images.PngSink({"path": path}).writer(None, False)
+
+    def batches():
+        yield batch
+        writer.abort([])
+        yield batch
+
+    monkeypatch.setattr(images, "FOLDER", 1)
+    for rows in (batches(), iter([batch])):  # one that is writing, and one that has yet to begin
+        with pytest.raises(OSError):
+            writer.write(rows)
+    other.commit([other.write(iter([batch]))])  # another run's images are left alone
+    assert len(os.listdir(path)) == 1 and not os.listdir(path)[0].startswith("_")
+
+
 def test_equal_contents_are_one_object(spark, tmp_path):
     root = str(tmp_path / "store")
     assets = spark.range(300).select(F.concat(F.lit("n"), "id").alias("name"), F.when(F.col("id") == 5, None).otherwise((F.col("id") % 7).cast("string").cast("binary")).alias("content")).repartition(6)
